@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.functions.text import WHITESPACE, cut
@@ -30,6 +30,32 @@ def chat_template(messages: Column) -> Column:
     return F.array_join(F.concat(spoken, invited), "\n")
 
 
+def chat_pieces(
+    turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text"
+) -> DataFrame:
+    """R26 for samples stored one message per row: the lines of the template in ``position`` order.
+
+    Only two aggregates per sample travel; a sample of any length stays spread over its rows.
+    """
+    is_system = F.col(role) == "system"
+    ends = turns.groupBy(key).agg(
+        F.min(F.when(is_system, F.col(order))).alias("_system"),
+        F.max(order).alias("_last"),
+        F.max_by(role, order).alias("_last_role"),
+    )
+    joined = turns.join(ends, key).filter(~is_system | (F.col(order) == F.col("_system")))
+    own = F.struct(
+        F.when(is_system, F.lit(-1)).otherwise(F.col(order)).cast("bigint").alias("position"),
+        render_turn(F.col(role), F.col(text)).alias("piece"),
+    )
+    invite = F.struct(
+        (F.col("_last") + 1).cast("bigint").alias("position"), F.lit(ASSISTANT).alias("piece")
+    )
+    open_end = (F.col(order) == F.col("_last")) & (F.col("_last_role") == "user")
+    pieces = F.when(open_end, F.array(own, invite)).otherwise(F.array(own))
+    return joined.select(F.col(key), F.inline(pieces))
+
+
 def single_turn_prompt(system: Column, user: Column) -> Column:
     """R27."""
     return F.concat(

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.fixed.rules import TOPIC_TARGETS
-from answerloom.operators import curate
+from answerloom.functions import checks, facts, parse, prompts, scores
+from answerloom.operators import curate, evaluate, respond, validate
+from answerloom.operators.reports import score_summary, top_counts
 from answerloom.plans import inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +146,379 @@ def a20_plan_vs_actual(spark, d):
     topic = names[(F.col("doc_id") % 9).cast("int")]
     docs = inputs.table(spark, d, "documents").select(topic["kind"].alias("kind"), topic["topic"].alias("topic"))
     return curate.plan_vs_actual(docs, curate.topic_targets(spark))
+
+
+# --- response parsing and scores ----------------------------------------------------------------
+
+
+def parsed(spark: SparkSession, d: str, flavor: str) -> DataFrame:
+    return parse.parse_responses(inputs.responses(spark, d), flavor)
+
+
+def parse_columns(df: DataFrame) -> DataFrame:
+    return df.select(
+        "conv_id", "turn", F.md5("reasoning").alias("reasoning_md5"), F.md5("answer").alias("answer_md5"),
+        listed(F.col("sources")).alias("sources"), "has_think_block",
+        whole(F.col("reasoning_steps")).alias("reasoning_steps"),
+    )
+
+
+@query
+def r1_parse_basic(spark, d):
+    return parse_columns(parsed(spark, d, "basic"))
+
+
+@query
+def r2_parse_strict(spark, d):
+    return parse_columns(parsed(spark, d, "strict"))
+
+
+@query
+def r3_parse_suite(spark, d):
+    return parse_columns(parsed(spark, d, "suite"))
+
+
+def strict_confidence(df: DataFrame) -> DataFrame:
+    return df.withColumn(
+        "confidence",
+        scores.confidence_strict(
+            F.col("reasoning"), F.col("answer"), F.col("reasoning_steps"), F.size("sources")
+        ),
+    )
+
+
+def suite_confidence(df: DataFrame) -> DataFrame:
+    return df.withColumn(
+        "confidence",
+        scores.confidence_suite(
+            F.col("answer"), F.col("has_think_block"), F.col("reasoning_steps"), F.col("sources")
+        ),
+    )
+
+
+@query
+def r4_confidence_strict(spark, d):
+    scored = strict_confidence(parsed(spark, d, "strict"))
+    return scored.select("conv_id", "turn", real(F.col("confidence")).alias("confidence"))
+
+
+@query
+def r5_confidence_suite(spark, d):
+    scored = suite_confidence(parsed(spark, d, "suite"))
+    return scored.select("conv_id", "turn", real(F.col("confidence")).alias("confidence"))
+
+
+@query
+def r6_reasoning_score(spark, d):
+    scored = inputs.responses(spark, d).select("conv_id", "turn", scores.reasoning_score(F.col("raw")).alias("s"))
+    return scored.select("conv_id", "turn", real(F.col("s")).alias("score"))
+
+
+@query
+def r8_source_attribution(spark, d):
+    found = scores.source_attribution(inputs.responses(spark, d), "raw")
+    return found.select(
+        "conv_id", "turn", listed(F.col("domains_cited")).alias("domains"),
+        whole(F.col("citation_count")).alias("citations"), listed(F.col("compliance_versions")).alias("versions"),
+    )
+
+
+@query
+def r9_claim_alignment(spark, d):
+    found = scores.claim_alignment(inputs.responses(spark, d), "raw")
+    return found.select(
+        "conv_id", "turn", whole(F.col("applicable")).alias("applicable"),
+        whole(F.col("aligned")).alias("aligned"), listed(F.col("failed_claims")).alias("failed"),
+        real(F.col("claim_score")).alias("score"),
+    )
+
+
+@query
+def r10_alignment_score(spark, d):
+    scored = scores.alignment_score(inputs.responses(spark, d), "raw")
+    return scored.select("conv_id", "turn", real(F.col("alignment_score")).alias("score"))
+
+
+@query
+def r11_technical_facts(spark, d):
+    checked = facts.check_facts(inputs.responses(spark, d), "raw", "category")
+    return checked.select(
+        "conv_id", "turn", "category", whole(F.col("num_checked")).alias("num_checked"),
+        listed(F.col("failed_facts")).alias("failed"), real(F.col("fact_score")).alias("score"),
+    )
+
+
+@query
+def r11_facts_on_documents(spark, d):
+    """Facts over whole documents, no category."""
+    checked = facts.check_facts(inputs.table(spark, d, "documents").select("doc_id", "text"), "text")
+    return checked.select(
+        "doc_id", listed(F.col("failed_facts")).alias("failed"), real(F.col("fact_score")).alias("score")
+    )
+
+
+@query
+def r13_config_syntax(spark, d):
+    rows = inputs.responses(spark, d)
+    return rows.select("conv_id", "turn", facts.config_syntax_ok(F.col("raw")).alias("ok"))
+
+
+@query
+def r23_extract_cost(spark, d):
+    c = F.col("raw")
+    rows = inputs.responses(spark, d).select(
+        "conv_id", "turn", parse.extract_cost(c, "api").alias("api"), parse.extract_cost(c, "agent").alias("agent")
+    )
+    return rows.select(
+        "conv_id", "turn", F.col("api.capex").alias("api_capex"), F.col("api.annual_opex").alias("api_opex"),
+        F.col("agent.capex").alias("agent_capex"), F.col("agent.annual_opex").alias("agent_opex"),
+        F.col("agent").isNotNull().alias("agent_found"),
+    )
+
+
+@query
+def r24_remediation_steps(spark, d):
+    """Java has the lookahead this pattern needs, the SQL engine has not: checked in the tests."""
+    rows = inputs.responses(spark, d)
+    steps = parse.remediation_steps(F.col("raw"))
+    return rows.select("conv_id", "turn", F.posexplode(steps).alias("step", "text")).select(
+        "conv_id", "turn", whole(F.col("step")).alias("step"), F.md5("text").alias("text_md5")
+    )
+
+
+def judge_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Judge texts of six shapes, one per event."""
+    value, k = F.col("value").cast("string"), F.col("event_id") % 6
+    raw = (
+        F.when(k == 0, F.concat(F.lit('{"score": '), value, F.lit(', "rationale": "fine"}')))
+        .when(k == 1, F.concat(F.lit('Verdict: {"score" : '), (F.col("event_id") % 5 + 1).cast("string"), F.lit(".5, broken")))
+        .when(k == 2, F.lit("no score at all"))
+        .when(k == 3, F.lit('{"rationale": "score left out"}'))
+        .when(k == 4, F.lit('{"score": "high"}'))
+        .otherwise(F.concat(F.lit('{"score": "'), (F.col("event_id") % 7).cast("string"), F.lit('"}')))
+    )
+    return inputs.table(spark, d, "events").select("event_id", raw.alias("raw"))
+
+
+@query
+def r25_parse_judgement(spark, d):
+    rows = judge_outputs(spark, d).select("event_id", parse.parse_judgement(F.col("raw")).alias("j"))
+    return rows.select("event_id", real(F.col("j.score")).alias("score"), F.col("j.rationale").alias("rationale"))
+
+
+@query
+def a9_judge_report(spark, d):
+    rows = judge_outputs(spark, d).select(parse.parse_judgement(F.col("raw"))["score"].alias("score"))
+    report = evaluate.judge_report(rows)
+    return report.withColumn("avg_score", real(F.col("avg_score")))
+
+
+@query
+def r26_chat_template(spark, d):
+    pieces = prompts.chat_pieces(inputs.table(spark, d, "conversations"))
+    return pieces.select("conv_id", "position", F.md5("piece").alias("piece_md5"))
+
+
+@query
+def r28_span_weights(spark, d):
+    rows = inputs.responses(spark, d).select("conv_id", "turn", prompts.span_weights(F.col("raw")).alias("w"))
+    return rows.select("conv_id", "turn", F.col("w.tokens").alias("tokens"), real(F.col("w.weight")).alias("weight"))
+
+
+# --- sample validation --------------------------------------------------------------------------
+
+
+@query
+def r14_r16_sample_checks(spark, d):
+    checked = validate.validate(sample_digest(spark, d))
+    return checked.select("sample_id", F.inline("checks")).select("sample_id", "name", "passed", "message")
+
+
+@query
+def r14_r16_strict_checks(spark, d):
+    checked = validate.validate(sample_digest(spark, d), strict=True)
+    return checked.select("sample_id", F.inline("checks")).select("sample_id", "name", "passed")
+
+
+@query
+def r17_validate_samples(spark, d):
+    checked = validate.validate(sample_digest(spark, d))
+    return checked.select(
+        "sample_id", real(F.col("score")).alias("score"), "passed",
+        whole(F.size("errors")).alias("errors"), whole(F.size("warnings")).alias("warnings"),
+    )
+
+
+@query
+def a3_validation_report(spark, d):
+    report = validate.validation_report(validate.validate(sample_digest(spark, d)))
+    return report.withColumn("average_score", real(F.col("average_score")))
+
+
+@query
+def a18_pass_rate_gate(spark, d):
+    gate = validate.passes_rate_gate(validate.validation_report(validate.validate(sample_digest(spark, d))))
+    return gate.withColumn("pass_rate", real(F.col("pass_rate")))
+
+
+@query
+def a4_check_rates(spark, d):
+    rates = validate.check_rates(validate.validate(sample_digest(spark, d)))
+    return rates.withColumn("pass_rate", real(F.col("pass_rate")))
+
+
+@query
+def p8_recommendations(spark, d):
+    return validate.recommendations(validate.check_rates(validate.validate(sample_digest(spark, d))))
+
+
+@query
+def a5_frequent_errors(spark, d):
+    return validate.frequent_errors(validate.validate(sample_digest(spark, d)))
+
+
+@query
+def r18_r21_accuracy_checks(spark, d):
+    checked = validate.check_accuracy(sample_digest(spark, d))
+    return checked.select("sample_id", F.posexplode("accuracy_checks").alias("pos", "c")).select(
+        "sample_id", F.col("c.name").alias("name"), F.col("c.passed").alias("passed"),
+        F.col("c.severity").alias("severity"), F.col("c.message").alias("message"),
+        F.col("c.evidence").alias("evidence"),
+    )
+
+
+@query
+def r19_public_addresses(spark, d):
+    """Every public IPv4 occurrence in the documents."""
+    docs = inputs.table(spark, d, "documents")
+    return docs.select("doc_id", F.inline(checks.address_checks(F.col("text")))).select("doc_id", "name", "evidence")
+
+
+@query
+def r22_accuracy_scores(spark, d):
+    checked = validate.check_accuracy(sample_digest(spark, d))
+    return checked.select(
+        "sample_id", real(F.col("accuracy_score")).alias("score"), whole(F.col("critical_failures")).alias("critical")
+    )
+
+
+@query
+def a6_accuracy_report(spark, d):
+    report = validate.accuracy_report(validate.check_accuracy(sample_digest(spark, d)))
+    return report.withColumn("average_accuracy_score", real(F.col("average_accuracy_score")))
+
+
+# --- evaluation ---------------------------------------------------------------------------------
+
+
+def scored_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Every response is an answer to the case its conversation number falls on."""
+    cases = inputs.test_cases(spark, d)
+    answered = suite_confidence(parsed(spark, d, "suite"))
+    size = inputs.table(spark, d, "benchmark").agg(F.count(F.lit(1)).alias("n_cases"))
+    numbered = answered.crossJoin(F.broadcast(size)).withColumn("case_id", F.col("conv_id") % F.col("n_cases"))
+    return scores.keyword_score(evaluate.with_cases(numbered, cases))
+
+
+@query
+def j1_r7_keyword_scores(spark, d):
+    return scored_cases(spark, d).select(
+        "conv_id", "turn", "case_id", listed(F.col("keywords_found")).alias("found"),
+        listed(F.col("keywords_missing")).alias("missing"), listed(F.col("sources_found")).alias("sources"),
+        real(F.col("keyword_score")).alias("keyword_score"), real(F.col("source_score")).alias("source_score"),
+        F.col("overall_score"), "pass_fail",
+    )
+
+
+@query
+def a12_quality_report(spark, d):
+    report = evaluate.quality_report(scored_cases(spark, d), "case_category")
+    names = ("avg_score", "avg_keyword", "avg_confidence", "avg_latency_ms", "think_rate")
+    return report.select(
+        "category", "is_total", "cases", *[real(F.col(n)).alias(n) for n in names], "passes", "warns", "fails"
+    )
+
+
+@query
+def a13_missing_keywords(spark, d):
+    return evaluate.missing_keywords(scored_cases(spark, d))
+
+
+def evaluated(spark: SparkSession, d: str) -> DataFrame:
+    rows = parsed(spark, d, "basic")
+    rows = rows.withColumn("full_text", F.concat_ws(" ", "answer", "reasoning"))
+    rows = scores.alignment_score(facts.check_facts(rows, "full_text", "category"), "full_text")
+    return rows.withColumn("reasoning_score", scores.reasoning_score(F.concat_ws("\n", "reasoning", "answer")))
+
+
+@query
+def a7_fact_report(spark, d):
+    report = score_summary(facts.check_facts(inputs.responses(spark, d), "raw", "category"), "fact_score")
+    return report.select(F.col("num_samples"), *[real(F.col(c)).alias(c) for c in ("avg_score", "min_score", "max_score")])
+
+
+@query
+def a7_failed_facts(spark, d):
+    return top_counts(facts.check_facts(inputs.responses(spark, d), "raw", "category"), "failed_facts", 10, "fact")
+
+
+@query
+def a8_alignment_report(spark, d):
+    report = score_summary(scores.alignment_score(inputs.responses(spark, d), "raw"), "alignment_score")
+    return report.select(F.col("num_samples"), *[real(F.col(c)).alias(c) for c in ("avg_score", "min_score", "max_score")])
+
+
+@query
+def a8_failed_claims(spark, d):
+    return top_counts(scores.claim_alignment(inputs.responses(spark, d), "raw"), "failed_claims", 5, "claim")
+
+
+@query
+def a10_reasoning_report(spark, d):
+    rows = inputs.responses(spark, d).select(scores.reasoning_score(F.col("raw")).alias("s"))
+    report = score_summary(rows, "s")
+    return report.select(F.col("num_samples"), *[real(F.col(c)).alias(c) for c in ("avg_score", "min_score", "max_score")])
+
+
+def batch_answers(spark: SparkSession, d: str) -> DataFrame:
+    """User turns as prompts; the recorded answer is the next assistant turn, a few prompts are blank."""
+    asked = inputs.table(spark, d, "conversations").filter("role = 'user'").select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), F.lit("general").alias("category"),
+        F.when((F.col("conv_id") + F.col("turn")) % 11 == 0, "").otherwise(F.col("text")).alias("prompt"),
+        "conv_id", (F.col("turn") + 1).alias("turn"),
+    )
+    answers = inputs.responses(spark, d).select("conv_id", "turn", "raw", "latency_ms")
+    joined = asked.join(answers, ["conv_id", "turn"], "left")
+    return joined.withColumn("error", F.when(F.col("raw").isNull(), "no recorded answer"))
+
+
+@query
+def s8_u2_batch_records(spark, d):
+    records = respond.batch_records(batch_answers(spark, d))
+    return records.select(
+        "id", F.md5("prompt").alias("prompt_md5"), F.md5("answer").alias("answer_md5"), "error",
+        real(F.col("latency_ms")).alias("latency_ms"), "has_think_block",
+        whole(F.col("reasoning_steps")).alias("reasoning_steps"),
+    )
+
+
+@query
+def a11_batch_stats(spark, d):
+    answered = batch_answers(spark, d)
+    rows = answered.withColumn("has_think_block", F.col("raw").rlike(parse.THINK))
+    stats = evaluate.batch_stats(rows)
+    names = ("avg_latency_ms", "min_latency_ms", "max_latency_ms", "think_block_rate")
+    return stats.select("total", "completed", "failed", *[real(F.col(n)).alias(n) for n in names])
+
+
+@query
+def a14_evaluation_metrics(spark, d):
+    long = evaluate.metrics_long(evaluate.evaluation_metrics(evaluated(spark, d)))
+    return long.select("metric", real(F.col("value")).alias("value"))
+
+
+@query
+def q1_gates(spark, d):
+    metrics = evaluate.metrics_long(evaluate.evaluation_metrics(evaluated(spark, d)))
+    gates = evaluate.evaluate_gates(metrics, evaluate.gate_targets(spark))
+    return gates.withColumn("value", real(F.col("value")))

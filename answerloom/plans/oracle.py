@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from answerloom.fixed.rules import TOPIC_TARGETS
+from answerloom.fixed.claims import CLAIMS
+from answerloom.fixed.rules import (
+    CONTROL_PREFIX, CONTROLS, EIGRP_WORDS, GATE_TARGETS, NON_PUBLIC_BLOCKS, OTHER_VENDORS,
+    OVERLAY_CONTEXT, OVERLAY_WORDS, PUBLIC_EXCEPTIONS, SPINE_LEAF_CONTEXT, SPINE_LEAF_REQUIRED,
+    TOPIC_TARGETS,
+)
+from answerloom.fixed.sources import CITABLE_NAMES, DOMAIN_TITLES, STANDARD_VERSIONS, TECHNICAL_TERMS
 from answerloom.plans.inputs import REMARKS
 
 ORACLE: dict[str, str] = {}
@@ -128,3 +134,414 @@ ORACLE["a20_plan_vs_actual"] = f"""WITH t(kind, topic, target, i) AS (VALUES {_T
 c AS (SELECT doc_id % 9 AS i, count(*) AS n FROM documents GROUP BY 1)
 SELECT kind, topic, target::BIGINT AS target, coalesce(n, 0)::BIGINT AS actual, (target - coalesce(n, 0))::BIGINT AS missing
 FROM t LEFT JOIN c USING (i)"""
+
+
+# --- response parsing and scores ----------------------------------------------------------------
+
+THINK = "regexp_extract(raw, '(?s)<think>(.*?)</think>', 1)"
+HAS = "regexp_matches(raw, '(?s)<think>.*?</think>')"
+AFTER = "regexp_extract(raw, '(?s)<think>.*?</think>(.*)', 1)"
+
+
+def distinct_in_order(x: str) -> str:
+    return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
+
+
+def joined(x: str) -> str:
+    return f"coalesce(array_to_string({x}, '|'), '')"
+
+
+def matches(x: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({x}, {q(pattern)}, {group})"
+
+
+def n_matches(x: str, pattern: str) -> str:
+    return f"len({matches(x, pattern)})"
+
+
+_MARKS = matches("raw", r"(?i)\[Source:\s*[^\]]+\]|Source:\s*[^\n]+")
+_MARK_TEXT = (
+    f"list_transform({_MARKS}, lambda m: {trim('''regexp_replace(CASE WHEN m[1] = '[' THEN m[2:-2] ELSE m END, '(?i)^Source:', '')''')})"
+)
+PARSED_BASIC = f"""{RESP}, basic AS (SELECT *, regexp_extract(raw, '(?s)<think>.*?</think>') AS reasoning,
+  CASE WHEN {HAS} THEN {trim(AFTER)} ELSE raw END AS answer,
+  list_sort(list_distinct({_MARK_TEXT})) AS sources, {HAS} AS has_think_block,
+  {n_matches(THINK, r'(?m)^Step\s+\d+:')}::BIGINT AS reasoning_steps FROM responses)"""
+
+_STRICT_SOURCES = "list_concat({}, {}, {})".format(
+    matches("raw", r"\[([^\[\]]+(?:Design|Guide|RFC|CCDE|CCNP|CCIE|PCI|HIPAA|NIST|IEEE|Cisco)[^\[\]]*)\]", 1),
+    matches("raw", r"RFC\s+\d{3,5}"),
+    matches("raw", r"(?:PCI-DSS|HIPAA|NIST CSF|ISO 27001)\s+[\d.]+"),
+)
+_STRICT_REST = f"CASE WHEN {HAS} THEN {AFTER} ELSE raw END"
+PARSED_STRICT = f"""{RESP}, s0 AS (SELECT *, {_STRICT_SOURCES} AS found, {trim(THINK)} AS reasoning FROM responses),
+strict AS (SELECT *, {trim(f"regexp_replace({trim(_STRICT_REST)}, '<[|][^|]+[|]>', '', 'g')")} AS answer,
+  {distinct_in_order('found')} AS sources, {HAS} AS has_think_block,
+  {n_matches('reasoning', r'(?m)^Step\s+\d+[:.]')}::BIGINT AS reasoning_steps FROM s0)"""
+
+_SUITE_SOURCES = "list_concat({}, {}, {})".format(
+    matches("raw", r"\[([^\]]{4,80})\]", 1),
+    matches("raw", r"(?i)\bRFC\s+\d{3,5}\b"),
+    matches("raw", r"(?i)\b(PCI-DSS|HIPAA|NIST CSF|IEEE 802\.\S+|3GPP|ITU-T)\b", 1),
+)
+PARSED_SUITE = f"""{RESP}, u0 AS (SELECT *, {_SUITE_SOURCES} AS found,
+  {trim("regexp_extract(raw, '(?is)<think>(.*?)</think>', 1)")} AS reasoning,
+  {trim("regexp_replace(raw, '(?is)<think>.*?</think>', '', 'g')")} AS answer,
+  regexp_matches(raw, '(?is)<think>.*?</think>') AS has_think_block FROM responses),
+u1 AS (SELECT *, {distinct_in_order('found')} AS sources,
+  {n_matches("CASE WHEN reasoning <> '' THEN reasoning ELSE answer END", r'(?i)\bStep\s+\d+')}::BIGINT AS reasoning_steps FROM u0),
+suite AS (SELECT *, least(round(0.35::DOUBLE + CASE WHEN has_think_block THEN 0.2 ELSE 0 END
+    + CASE WHEN reasoning_steps >= 3 THEN 0.15 WHEN reasoning_steps >= 1 THEN 0.08 ELSE 0 END
+    + CASE WHEN len(sources) > 0 THEN 0.15 ELSE 0 END
+    + CASE WHEN {n_matches('answer', r'\S+')} >= 200 THEN 0.1 WHEN {n_matches('answer', r'\S+')} >= 80 THEN 0.05 ELSE 0 END, 2), 1.0)
+  AS confidence FROM u1)"""
+
+_PARSE_OUT = f"""conv_id, turn, md5(reasoning) AS reasoning_md5, md5(answer) AS answer_md5, {joined('sources')} AS sources,
+  has_think_block, reasoning_steps"""
+ORACLE["r1_parse_basic"] = f"WITH {PARSED_BASIC} SELECT {_PARSE_OUT} FROM basic"
+ORACLE["r2_parse_strict"] = f"WITH {PARSED_STRICT} SELECT {_PARSE_OUT} FROM strict"
+ORACLE["r3_parse_suite"] = f"WITH {PARSED_SUITE} SELECT {_PARSE_OUT} FROM suite"
+
+_HITS = " + ".join(
+    f"(contains(answer, {q(t)}) OR contains(reasoning, {q(t)}))::INT" for t in TECHNICAL_TERMS
+)
+ORACLE["r4_confidence_strict"] = f"""WITH {PARSED_STRICT}
+SELECT conv_id, turn, round(least(0.5::DOUBLE + CASE WHEN reasoning <> '' THEN 0.15 ELSE 0 END
+  + CASE WHEN reasoning_steps >= 3 THEN 0.1 ELSE 0 END + CASE WHEN reasoning_steps >= 5 THEN 0.05 ELSE 0 END
+  + CASE WHEN len(sources) > 0 THEN 0.1 ELSE 0 END + CASE WHEN len(sources) > 2 THEN 0.05 ELSE 0 END
+  + CASE WHEN length(answer) > 200 THEN 0.05 ELSE 0 END + least(({_HITS}) * 0.02::DOUBLE, 0.1), 1.0), 6) AS confidence
+FROM strict"""
+ORACLE["r5_confidence_suite"] = f"WITH {PARSED_SUITE} SELECT conv_id, turn, round(confidence, 6) AS confidence FROM suite"
+
+
+def reasoning_score(x: str) -> str:
+    steps = n_matches(x, r"(?m)^Step\s+\d+:")
+    cites = n_matches(x, r"(?i)\[Source:|Source:|from .{3,30} chapter|per .{3,30} §")
+    versions = q(r"(?i)PCI-DSS\s+\d+\.\d+|HIPAA\s+\d{4}|SOX\s+\d{4}|NIST\s+CSF\s+\d+|ISO\s+27001:\d{4}")
+    return f"""least(5.0::DOUBLE, 1.0 + CASE WHEN contains(lower({x}), '<think>') THEN 1.0 ELSE 0 END
+  + CASE WHEN {steps} >= 8 THEN 1.0 WHEN {steps} >= 5 THEN 0.7 WHEN {steps} >= 3 THEN 0.4 ELSE 0 END
+  + CASE WHEN {cites} >= 5 THEN 1.0 WHEN {cites} >= 3 THEN 0.6 WHEN {cites} >= 1 THEN 0.3 ELSE 0 END
+  + CASE WHEN regexp_matches({x}, {versions}) THEN 0.5 ELSE 0 END
+  + CASE WHEN contains({x}, '```') OR contains(lower({x}), 'interface ') OR contains(lower({x}), 'router bgp') THEN 0.5 ELSE 0 END)"""
+
+
+ORACLE["r6_reasoning_score"] = f"WITH {RESP} SELECT conv_id, turn, round({reasoning_score('raw')}, 6) AS score FROM responses"
+
+
+def any_of(x: str, words) -> str:
+    return "(" + " OR ".join(f"contains({x}, {q(w.lower())})" for w in words) + ")"
+
+
+def attribution(x: str) -> str:
+    domains = ", ".join(f"CASE WHEN {any_of('lower(' + x + ')', t)} THEN {q(dom)} END" for dom, t in DOMAIN_TITLES.items())
+    cites = n_matches(x, r"(?i)\[Source:|Source:|from .{3,60} chapter|per .{3,60} §|according to .{3,60}")
+    versions = matches(x, r"(?i)PCI.DSS\s+\d+\.\d+|HIPAA\s+\d{4}|NIST\s+CSF\s+\d+\.\d+|ISO\s+27001:\d{4}")
+    return f"list_filter([{domains}], lambda v: v IS NOT NULL) AS domains, {cites}::BIGINT AS citations, {versions} AS versions"
+
+
+def claims(x: str) -> str:
+    rows = ", ".join(
+        f"CASE WHEN {any_of('lower(' + x + ')', ctx)} THEN {{'c': {q(dom + '/' + claim)}, 'a': regexp_matches(lower({x}), {q(pat)})}} END"
+        for dom, claim, pat, ctx in CLAIMS
+    )
+    return f"list_filter([{rows}], lambda v: v IS NOT NULL) AS verdicts"
+
+
+def aligned(source: str, x: str) -> str:
+    return f"""al0 AS (SELECT *, {attribution(x)}, {claims(x)} FROM {source}),
+al1 AS (SELECT *, len(verdicts)::BIGINT AS applicable, len(list_filter(verdicts, lambda v: v.a))::BIGINT AS aligned,
+  list_transform(list_filter(verdicts, lambda v: NOT v.a), lambda v: v.c) AS failed_claims FROM al0),
+al2 AS (SELECT *, CASE WHEN applicable = 0 THEN 1.0 ELSE aligned::DOUBLE / applicable END AS claim_score FROM al1),
+al AS (SELECT *, claim_score * 0.5::DOUBLE + least(1.0::DOUBLE, len(domains)::DOUBLE / 3) * 0.3::DOUBLE
+  + least(1.0::DOUBLE, citations::DOUBLE / 5) * 0.2::DOUBLE AS alignment_score FROM al2)"""
+
+
+ORACLE["r8_source_attribution"] = f"""WITH {RESP}, {aligned('responses', 'raw')}
+SELECT conv_id, turn, {joined('domains')} AS domains, citations, {joined('versions')} AS versions FROM al"""
+ORACLE["r9_claim_alignment"] = f"""WITH {RESP}, {aligned('responses', 'raw')}
+SELECT conv_id, turn, applicable, aligned, {joined('failed_claims')} AS failed, round(claim_score, 6) AS score FROM al"""
+ORACLE["r10_alignment_score"] = f"""WITH {RESP}, {aligned('responses', 'raw')}
+SELECT conv_id, turn, round(alignment_score, 6) AS score FROM al"""
+
+
+# Facts, written here as rules on (low)er-cased and (raw) text; numbers are compared as numbers.
+def has_number(x: str, n: int) -> str:
+    return f"list_contains(list_transform({matches(x, r'\b(\d+)\b', 1)}, lambda v: try_cast(v AS HUGEINT)), {n})"
+
+
+def fact_rules(x: str) -> list[tuple[str, str, str]]:
+    low = f"lower({x})"
+
+    def w(*words):
+        return any_of(low, words)
+
+    in_range = f"len(list_filter({matches(x, r'\b(\d{3,5})\b', 1)}, lambda v: v::INT BETWEEN 1800 AND 2200)) > 0"
+    near = lambda letter, word: (
+        f"regexp_matches({low}, 'option.{{0,30}}{letter}.{{0,50}}{word}|{word}.{{0,50}}option.{{0,30}}{letter}')"
+    )
+    planes = " + ".join(f"contains({low}, '{p}')::INT" for p in ("vbond", "vmanage", "vsmart", "vedge", "cedge"))
+    return [
+        ("collapsed_core_max_users", "topology", f"NOT {w('collapsed core', 'two-tier')} OR {in_range}"),
+        ("spine_leaf_64port_max_servers", "topology", f"NOT {w('spine', 'leaf')} OR {has_number(x, 2048)}"),
+        ("three_tier_max_endpoints", "topology", f"NOT {w('three-tier', 'three tier')} OR {has_number(x, 50000)}"),
+        ("n_plus_1_optimal", "ha", w("n+1", "n plus 1", "two parallel paths")),
+        ("hsrp_default_preemption", "ha", f"NOT {w('hsrp')} OR NOT {w('preempt')} OR {w('disabled', 'not enabled')}"),
+        ("vrrp_preemption_enabled_default", "ha", f"NOT {w('vrrp')} OR NOT {w('preempt')} OR {w('enabled')}"),
+        ("active_active_capacity_planning", "ha", f"NOT {w('active-active', 'capacity')} OR {has_number(x, 50)}"),
+        ("bgp_tcp_port", "bgp", f"NOT {w('bgp')} OR {has_number(x, 179)}"),
+        ("ebgp_default_ttl", "bgp", f"NOT {w('ebgp', 'external bgp')} OR NOT {w('ttl')} OR {w('1', 'ebgp-multihop')}"),
+        ("bgp_next_hop_iBGP", "bgp", f"NOT {w('ibgp')} OR {w('next-hop unchanged', 'next-hop-self')}"),
+        ("ospf_lsa_refresh_interval", "ospf", f"NOT {w('lsa')} OR {has_number(x, 30)}"),
+        ("ospf_lsa_max_age", "ospf", "true"),
+        ("voice_dscp", "qos", f"NOT {w('voice', 'voip')} OR {w('ef', 'expedited forwarding', '46')}"),
+        ("llq_max_bandwidth_percent", "qos", f"NOT {w('llq', 'priority queue')} OR {has_number(x, 33)}"),
+        ("scavenger_dscp", "qos", "true"),
+        ("inter_as_option_a_most_secure", "mpls", f"NOT {w('option a', 'back-to-back vrf')} OR {near('a', 'secure')}"),
+        ("inter_as_option_c_most_scalable", "mpls", f"NOT {w('option c', 'multihop mp-ebgp')} OR {near('c', 'scalab')}"),
+        ("sdwan_planes", "sdwan", f"NOT {w('sd-wan', 'sdwan')} OR ({planes}) >= 3"),
+        ("symmetric_irb_no_all_vteps", "vxlan", "true"),
+    ]
+
+
+def fact_check(source: str, x: str, category: str | None) -> str:
+    rows = []
+    for name, kind, rule in fact_rules(x):
+        verdict = f"{{'f': {q(name)}, 'p': ({rule})}}"
+        if category:
+            verdict = f"CASE WHEN coalesce({category}, '') IN ('', {q(kind)}) THEN {verdict} END"
+        rows.append(verdict)
+    return f"""fc0 AS (SELECT *, list_filter([{', '.join(rows)}], lambda v: v IS NOT NULL) AS fv FROM {source}),
+fc AS (SELECT *, len(fv)::BIGINT AS num_checked, list_transform(list_filter(fv, lambda v: NOT v.p), lambda v: v.f) AS failed_facts,
+  CASE WHEN len(fv) = 0 THEN 1.0 ELSE len(list_filter(fv, lambda v: v.p))::DOUBLE / len(fv) END AS fact_score FROM fc0)"""
+
+
+ORACLE["r11_technical_facts"] = f"""WITH {RESP}, {fact_check('responses', 'raw', 'category')}
+SELECT conv_id, turn, category, num_checked, {joined('failed_facts')} AS failed, round(fact_score, 6) AS score FROM fc"""
+ORACLE["r11_facts_on_documents"] = f"""WITH {fact_check('documents', 'text', None)}
+SELECT doc_id, {joined('failed_facts')} AS failed, round(fact_score, 6) AS score FROM fc"""
+
+
+def syntax_ok(x: str) -> str:
+    def times(line, ch):
+        return f"length({line}) - length(replace({line}, '{ch}', ''))"
+
+    return f"""coalesce(list_bool_and(list_transform({matches(x, '(?s)```(?:cisco|ios|nxos|juniper|text)?\n(.*?)```', 1)}, lambda b:
+  {trim('b')} = '' OR (len(list_filter(string_split(b, chr(10)), lambda l: {times('l', '(')} <> {times('l', ')')})) = 0
+  AND (NOT contains(b, 'router bgp') OR contains(b, 'neighbor') OR contains(b, 'network'))
+  AND (NOT contains(b, 'router ospf') OR contains(b, 'network') OR contains(b, 'area'))))), true)"""
+
+
+ORACLE["r13_config_syntax"] = f"WITH {RESP} SELECT conv_id, turn, {syntax_ok('raw')} AS ok FROM responses"
+
+
+def amount(pattern: str) -> str:
+    num = f"try_cast(replace(regexp_extract(raw, {q(pattern)}, 1), ',', '') AS DOUBLE)"
+    return f"{num} * CASE upper(regexp_extract(raw, {q(pattern)}, 2)) WHEN 'M' THEN 1e6 WHEN 'K' THEN 1e3 ELSE 1.0 END"
+
+
+ORACLE["r23_extract_cost"] = f"""WITH {RESP}, c AS (SELECT conv_id, turn,
+  {amount(r'CAPEX[:\s$]*([0-9,]+(?:\.[0-9]+)?)\s*([MKmk]?)')} AS api_capex,
+  {amount(r'(?:annual\s+)?OPEX[:\s$]*([0-9,]+(?:\.[0-9]+)?)\s*([MKmk]?)')} AS api_opex,
+  {amount(r'(?i)CAPEX[:\s]+[$]?([\d,]+(?:\.\d+)?)\s*([MK]?)')} AS ac,
+  {amount(r'(?i)annual\s+OPEX[:\s]+[$]?([\d,]+(?:\.\d+)?)\s*([MK]?)')} AS ao FROM responses)
+SELECT conv_id, turn, api_capex, api_opex, CASE WHEN f THEN ac END AS agent_capex, CASE WHEN f THEN ao END AS agent_opex, f AS agent_found
+FROM (SELECT *, coalesce(ac, 0) <> 0 OR coalesce(ao, 0) <> 0 AS f FROM c)"""
+
+JUDGED = """judged AS (SELECT event_id, CASE event_id % 6
+  WHEN 0 THEN greatest(1.0, least(5.0, value)) WHEN 1 THEN event_id % 5 + 1.5 WHEN 5 THEN greatest(1.0, least(5.0, event_id % 7))
+  ELSE 3.0 END::DOUBLE AS given, event_id % 6 AS k FROM events),
+judgement AS (SELECT event_id, given AS score, CASE k WHEN 0 THEN 'fine' WHEN 1 THEN 'Parsed from malformed JSON'
+  WHEN 2 THEN 'Parse error' WHEN 3 THEN 'score left out' WHEN 4 THEN 'Error: no usable score' ELSE '' END AS rationale FROM judged)"""
+ORACLE["r25_parse_judgement"] = f"WITH {JUDGED} SELECT event_id, round(score, 6) AS score, rationale FROM judgement"
+ORACLE["a9_judge_report"] = f"""WITH {JUDGED} SELECT count(*) AS num_evaluated, round(avg(score), 6) AS avg_score,
+  min(score) AS min_score, max(score) AS max_score,
+  {', '.join(f'count(*) FILTER (floor(score) = {i}) AS score_{i}' for i in range(1, 6))},
+  count(*) FILTER (score >= 4) AS samples_above_4, count(*) FILTER (score < 3) AS samples_below_3 FROM judgement"""
+
+ORACLE["r26_chat_template"] = """WITH t AS (SELECT *, max(turn) OVER w AS last,
+  min(turn) FILTER (role = 'system') OVER w AS sys FROM conversations WINDOW w AS (PARTITION BY conv_id)),
+p AS (SELECT conv_id, CASE WHEN role = 'system' THEN -1 ELSE turn END AS position,
+  concat('<|', CASE WHEN role IN ('system', 'user') THEN role ELSE 'assistant' END, '|>', chr(10), text, '<|end|>') AS piece
+  FROM t WHERE role <> 'system' OR turn = sys
+  UNION ALL SELECT conv_id, turn + 1, '<|assistant|>' FROM t WHERE turn = last AND role = 'user')
+SELECT conv_id, position, md5(piece) AS piece_md5 FROM p"""
+
+ORACLE["r28_span_weights"] = f"""WITH {RESP}, m AS (SELECT conv_id, turn, replace(replace(raw, '<think>', ' <think> '), '</think>', ' </think> ') AS s FROM responses),
+n AS (SELECT *, {n_matches('s', r'\S+')} AS tokens, {n_matches("regexp_extract(s, '(?s)<think>.*?</think>')", r'\S+')} AS heavy FROM m)
+SELECT conv_id, turn, tokens::BIGINT AS tokens, (tokens + heavy)::DOUBLE AS weight FROM n"""
+
+
+# --- sample validation --------------------------------------------------------------------------
+
+
+def check_rows(strict: bool) -> str:
+    refs, chars = (3, 500) if strict else (2, 200)
+    names = " + ".join(f"contains(think_low, {q(n.lower())})::INT" for n in CITABLE_NAMES)
+    versions = "\n".join(
+        f"UNION ALL SELECT sample_id, 'compliance_version_{s}', {any_of('low', v)}, '{s} mentioned without version number' "
+        f"FROM b WHERE contains(low, {q(s.lower())})"
+        for s, v in STANDARD_VERSIONS.items()
+    )
+    return f"""b AS (SELECT *, coalesce(assistant_content, '') AS body, lower(coalesce(assistant_content, '')) AS low,
+  regexp_extract(coalesce(assistant_content, ''), '(?s)<think>(.*?)</think>', 1) AS think,
+  lower(regexp_extract(coalesce(assistant_content, ''), '(?s)<think>(.*?)</think>', 1)) AS think_low FROM samples),
+m AS (SELECT sample_id, body, {n_matches('think', r'(?i)Step\s+\d+:')} AS steps, {names} AS refs,
+  length({trim("string_split(body, '</think>')[-1]")}) AS tail FROM b WHERE n_messages >= 2 AND body <> ''),
+checks AS (
+SELECT sample_id, 'has_messages' AS name, false AS passed, 'Sample must have at least 2 messages' AS message FROM b WHERE n_messages < 2
+UNION ALL SELECT sample_id, 'has_assistant_message', false, 'No assistant message found' FROM b WHERE n_messages >= 2 AND body = ''
+UNION ALL SELECT sample_id, 'has_think_tags', contains(body, '<think>') AND contains(body, '</think>'), 'Missing <think>...</think> tags in assistant response' FROM m
+UNION ALL SELECT sample_id, 'min_reasoning_steps', steps >= 5, concat('Only ', steps, ' steps found (minimum 5)') FROM m
+UNION ALL SELECT sample_id, 'has_source_references', refs >= {refs}, concat('Only ', refs, ' source references found (minimum {refs})') FROM m
+UNION ALL SELECT sample_id, 'has_answer_content', tail >= {chars}, concat('Answer section too short: ', tail, ' chars (min {chars})') FROM m
+UNION ALL SELECT sample_id, 'spine_leaf_context', {any_of('low', SPINE_LEAF_CONTEXT)}, 'Spine-leaf topology mentioned without data center context'
+  FROM b WHERE contains(low, 'spine-leaf') OR contains(low, 'spine leaf')
+{versions}
+UNION ALL SELECT sample_id, 'tls_version_specified', regexp_matches(low, 'tls\\s*1\\.[2-3]'),
+  'TLS mentioned without version (should specify TLS 1.2 or 1.3)' FROM b WHERE contains(low, 'tls') OR contains(low, 'ssl')
+UNION ALL SELECT sample_id, 'has_user_question', has_user, 'No user question found' FROM b
+UNION ALL SELECT sample_id, 'explicit_source_citations', n >= 2, concat('Only ', n, ' explicit source citations in think block')
+  FROM (SELECT sample_id, {n_matches('think', r'(?i)(?:Source|Reference|Ref|Per|From|Chapter|Section)[:.]?\s*[^\n]+')} AS n FROM b)
+UNION ALL SELECT sample_id, 'metadata_sources_populated', n_sources >= 2, 'metadata.sources_used has fewer than 2 entries' FROM b
+UNION ALL SELECT sample_id, 'metadata_reasoning_steps', reasoning_steps >= 5, concat('metadata.reasoning_steps = ', reasoning_steps, ' (min 5)') FROM b),
+scored AS (SELECT sample_id, count(*) FILTER (passed)::DOUBLE / count(*) * 100 AS score, count(*) FILTER (NOT passed) AS errors FROM checks GROUP BY 1),
+warned AS (SELECT sample_id, (contains(low, 'ebgp') AND user_count > 0 AND user_count < 500)::BIGINT AS warnings FROM b)"""
+
+
+_CHECKS = f"WITH {DIGEST}, {check_rows(False)}"
+ORACLE["r14_r16_sample_checks"] = f"{_CHECKS} SELECT * FROM checks"
+ORACLE["r14_r16_strict_checks"] = f"WITH {DIGEST}, {check_rows(True)} SELECT sample_id, name, passed FROM checks"
+ORACLE["r17_validate_samples"] = f"""{_CHECKS} SELECT sample_id, round(score, 6) AS score, score >= 70 AS passed, errors, warnings
+FROM scored JOIN warned USING (sample_id)"""
+_REPORT = """SELECT count(*) AS total_samples, count(*) FILTER (score >= 70) AS passed_samples,
+  count(*) FILTER (score < 70) AS failed_samples, round(avg(score), 6) AS average_score FROM scored"""
+ORACLE["a3_validation_report"] = f"{_CHECKS} {_REPORT}"
+ORACLE["a18_pass_rate_gate"] = f"""{_CHECKS} SELECT round(passed_samples::DOUBLE / total_samples, 6) AS pass_rate,
+  passed_samples::DOUBLE / total_samples >= 0.8 AS ok FROM ({_REPORT})"""
+_RATES = """SELECT name AS "check", count(*) AS emitted, round(count(*) FILTER (passed)::DOUBLE / count(*) * 100, 6) AS pass_rate,
+  CASE WHEN count(*) FILTER (passed)::DOUBLE / count(*) * 100 >= 80 THEN 'GOOD' ELSE 'NEEDS WORK' END AS status FROM checks GROUP BY 1"""
+ORACLE["a4_check_rates"] = f"{_CHECKS} {_RATES}"
+ORACLE["p8_recommendations"] = f"""{_CHECKS} SELECT "check", printf('Improve ''%s'': currently %.1f%% pass rate', "check", pass_rate) AS recommendation
+FROM ({_RATES}) WHERE pass_rate < 80"""
+ORACLE["a5_frequent_errors"] = f"""{_CHECKS} SELECT name AS error, count(*) AS n, concat(name, ': ', count(*), ' occurrences') AS text
+FROM checks WHERE NOT passed GROUP BY name ORDER BY n DESC, name LIMIT 5"""
+
+
+def public_rows(source: str, x: str, key: str) -> str:
+    """Addresses outside the listed blocks, by integer division."""
+    octet = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
+    found = matches(x, rf"\b(?:{octet}\.){{3}}{octet}\b")
+    blocks = []
+    for first, bits in NON_PUBLIC_BLOCKS:
+        a, b, c, e = (int(v) for v in first.split("."))
+        low = ((a * 256 + b) * 256 + c) * 256 + e
+        blocks.append(f"n // {2 ** (32 - bits)} = {low // 2 ** (32 - bits)}")
+    number = " + ".join(f"string_split(ip, '.')[{i + 1}]::BIGINT * {256 ** (3 - i)}" for i in range(4))
+    return f"""SELECT {key}, concat('public_ip_in_design_', ip) AS name, ip
+FROM (SELECT *, {number} AS n FROM (SELECT {key}, unnest({found}) AS ip FROM {source})
+  WHERE NOT regexp_matches(ip, '(^|[.])0[0-9]'))
+WHERE NOT (({' OR '.join(blocks)}) AND ip NOT IN ({', '.join(q(p) for p in PUBLIC_EXCEPTIONS)}))"""
+
+
+ORACLE["r19_public_addresses"] = f"SELECT doc_id, name, ip AS evidence FROM ({public_rows('documents', 'text', 'doc_id')})"
+
+_CONTROL_ROWS = "\n".join(
+    f"UNION ALL SELECT sample_id, '{CONTROL_PREFIX[s]}_{c}', {any_of('low', w)}, 'error', "
+    f"'{s} {c.replace('_', ' ')} not addressed', '{s} {c.replace('_', ' ')} addressed', '' FROM b WHERE list_contains(compliance, '{s}')"
+    for s, c, w in CONTROLS
+)
+_ACC = f"""WITH {DIGEST}, b AS (SELECT *, lower(coalesce(assistant_content, '')) AS low FROM samples),
+g(sample_id, name, passed, grade, bad, good, evidence) AS (
+SELECT sample_id, 'vxlan_context', {any_of('low', OVERLAY_CONTEXT)}, 'warning', 'VXLAN/EVPN mentioned without clear data center context',
+  'VXLAN/EVPN used appropriately in DC context', '' FROM b WHERE {any_of('low', OVERLAY_WORDS)}
+UNION ALL SELECT sample_id, 'eigrp_multi_vendor', false, 'warning', 'EIGRP mentioned alongside non-Cisco vendors (EIGRP is Cisco proprietary)', '', ''
+  FROM b WHERE {any_of('low', EIGRP_WORDS)} AND {any_of('low', OTHER_VENDORS)}
+UNION ALL SELECT sample_id, name, false, 'warning', concat('Public IP ', ip, ' used - verify if intentional (internet-facing)'), '', ip
+  FROM ({public_rows('b', "coalesce(assistant_content, '')", 'sample_id')})
+UNION ALL SELECT sample_id, 'spine_leaf_appropriate', {any_of('low', SPINE_LEAF_REQUIRED)}, 'error', 'Spine-leaf is a DC topology, not campus/branch',
+  'Spine-leaf correctly used in DC context', '' FROM b WHERE {any_of('low', ['spine-leaf', 'spine leaf'])}
+UNION ALL SELECT sample_id, 'three_tier_scale', user_count >= 2000, 'warning',
+  concat('Three-tier for ', user_count, ' users is oversized (recommended: 2000+ users)'),
+  concat('Three-tier correctly sized for ', user_count, ' users'), user_count::VARCHAR FROM b WHERE {any_of('low', ['three-tier', 'three tier'])}
+UNION ALL SELECT sample_id, 'collapsed_core_scale', user_count <= 2000, 'warning',
+  concat('Collapsed core for ', user_count, ' users exceeds recommended max (2000 users)'),
+  concat('Collapsed core appropriate for ', user_count, ' users'), user_count::VARCHAR FROM b WHERE contains(low, 'collapsed core')
+{_CONTROL_ROWS}),
+acc AS (SELECT sample_id, coalesce(count(*) FILTER (passed)::DOUBLE / nullif(count(name), 0) * 100, 100) AS score,
+  count(*) FILTER (NOT passed AND grade = 'error') AS critical FROM b LEFT JOIN g USING (sample_id) GROUP BY 1)"""
+ORACLE["r18_r21_accuracy_checks"] = f"""{_ACC} SELECT sample_id, name, passed, CASE WHEN passed THEN 'info' ELSE grade END AS severity,
+  CASE WHEN passed THEN good ELSE bad END AS message, evidence FROM g"""
+ORACLE["r22_accuracy_scores"] = f"{_ACC} SELECT sample_id, round(score, 6) AS score, critical FROM acc"
+ORACLE["a6_accuracy_report"] = f"""{_ACC} SELECT count(*) AS total_samples, round(avg(score), 6) AS average_accuracy_score,
+  sum(critical)::BIGINT AS total_critical_failures, count(*) FILTER (score < 60) AS samples_with_critical_failures FROM acc"""
+
+
+# --- evaluation ---------------------------------------------------------------------------------
+
+# Half-even on the binary value: x * 2^60 is a whole number, the rest is integer arithmetic.
+_ROUND3 = """(SELECT (w * 1000 // h + CASE WHEN (w * 1000 % h) * 2 > h OR ((w * 1000 % h) * 2 = h AND (w * 1000 // h) % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / 1000
+  FROM (SELECT (total * 1152921504606846976::DOUBLE)::HUGEINT AS w, 1152921504606846976::HUGEINT AS h))"""
+SCORED = f"""{PARSED_SUITE}, words AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda v: length(v) > 4) AS w FROM benchmark),
+cases AS (SELECT item_id AS case_id, (['topology', 'bgp', 'qos', 'ha'])[item_id % 4 + 1] AS case_category,
+  list_concat(kw, ['TLS 1.3', 'Step 3', 'BGP']) AS expected, ['Source list', concat('RFC ', item_id + 2000), 'Campus ' || kw[1]] AS required
+  FROM (SELECT item_id, ({distinct_in_order('w')})[1:4] AS kw FROM words)),
+k0 AS (SELECT s.*, c.*, lower(raw) AS low FROM suite s JOIN cases c ON s.conv_id % (SELECT count(*) FROM benchmark) = c.case_id),
+k1 AS (SELECT *, list_filter(expected, lambda v: contains(low, lower(v))) AS kfound,
+  list_filter(expected, lambda v: NOT contains(low, lower(v))) AS kmissing,
+  list_filter(required, lambda v: len(list_filter(string_split(lower(v), ' '), lambda p: length(p) > 4 AND contains(low, p))) > 0) AS sfound FROM k0),
+k2 AS (SELECT *, len(kfound)::DOUBLE / greatest(len(expected), 1) AS keyword_score, len(sfound)::DOUBLE / greatest(len(required), 1) AS source_score FROM k1),
+k3 AS (SELECT *, 0.5::DOUBLE * keyword_score + 0.2::DOUBLE * source_score + 0.2::DOUBLE * confidence
+  + CASE WHEN has_think_block THEN 0.1::DOUBLE ELSE 0 END AS total FROM k2),
+k4 AS (SELECT *, {_ROUND3} AS overall_score FROM k3),
+scored AS (SELECT *, CASE WHEN overall_score >= 0.7 THEN 'PASS' WHEN overall_score >= 0.45 THEN 'WARN' ELSE 'FAIL' END AS pass_fail FROM k4)"""
+ORACLE["j1_r7_keyword_scores"] = f"""WITH {SCORED} SELECT conv_id, turn, case_id, {joined('kfound')} AS found, {joined('kmissing')} AS missing,
+  {joined('sfound')} AS sources, round(keyword_score, 6) AS keyword_score, round(source_score, 6) AS source_score, overall_score, pass_fail FROM scored"""
+_A12 = """count(*) AS cases, round(avg(overall_score), 6) AS avg_score, round(avg(keyword_score), 6) AS avg_keyword,
+  round(avg(confidence), 6) AS avg_confidence, round(avg(latency_ms), 6) AS avg_latency_ms,
+  round(count(*) FILTER (has_think_block)::DOUBLE / count(*), 6) AS think_rate,
+  count(*) FILTER (pass_fail = 'PASS') AS passes, count(*) FILTER (pass_fail = 'WARN') AS warns, count(*) FILTER (pass_fail = 'FAIL') AS fails FROM scored"""
+ORACLE["a12_quality_report"] = f"""WITH {SCORED} SELECT case_category AS category, false AS is_total, {_A12} GROUP BY 1
+UNION ALL SELECT 'ALL', true, {_A12}"""
+ORACLE["a13_missing_keywords"] = f"""WITH {SCORED} SELECT keyword, count(*) AS n FROM (SELECT unnest(kmissing) AS keyword FROM scored)
+GROUP BY 1 ORDER BY n DESC, keyword LIMIT 8"""
+
+
+def summary(col: str, source: str) -> str:
+    return f"""SELECT count(*) AS num_samples, round(avg({col}), 6) AS avg_score, round(min({col}), 6) AS min_score,
+  round(max({col}), 6) AS max_score FROM {source}"""
+
+
+_FACTS = f"WITH {RESP}, {fact_check('responses', 'raw', 'category')}"
+_ALIGN = f"WITH {RESP}, {aligned('responses', 'raw')}"
+ORACLE["a7_fact_report"] = f"{_FACTS} {summary('fact_score', 'fc')}"
+ORACLE["a7_failed_facts"] = f"{_FACTS} SELECT fact, count(*) AS n FROM (SELECT unnest(failed_facts) AS fact FROM fc) GROUP BY 1 ORDER BY n DESC, fact LIMIT 10"
+ORACLE["a8_alignment_report"] = f"{_ALIGN} {summary('alignment_score', 'al')}"
+ORACLE["a8_failed_claims"] = f"{_ALIGN} SELECT claim, count(*) AS n FROM (SELECT unnest(failed_claims) AS claim FROM al) GROUP BY 1 ORDER BY n DESC, claim LIMIT 5"
+ORACLE["a10_reasoning_report"] = f"WITH {RESP}, r AS (SELECT {reasoning_score('raw')} AS s FROM responses) {summary('s', 'r')}"
+
+_BATCH = f"""{PARSED_BASIC}, asked AS (SELECT concat(conv_id, '-', turn) AS id, conv_id, turn + 1 AS turn,
+  CASE WHEN (conv_id + turn) % 11 = 0 THEN '' ELSE text END AS prompt FROM conversations WHERE role = 'user'),
+batch AS (SELECT a.*, b.raw, b.answer, b.latency_ms, b.has_think_block, b.reasoning_steps FROM asked a LEFT JOIN basic b USING (conv_id, turn))"""
+ORACLE["s8_u2_batch_records"] = f"""WITH {_BATCH} SELECT id, md5(prompt) AS prompt_md5, md5(coalesce(answer, '')) AS answer_md5,
+  CASE WHEN raw IS NULL THEN 'no recorded answer' END AS error, round(latency_ms, 6) AS latency_ms, has_think_block, reasoning_steps
+FROM batch WHERE prompt <> ''"""
+ORACLE["a11_batch_stats"] = f"""WITH {_BATCH}, d AS (SELECT *, prompt <> '' AND raw IS NOT NULL AS done FROM batch)
+SELECT count(*) AS total, count(*) FILTER (done) AS completed, count(*) FILTER (NOT done) AS failed,
+  round(avg(latency_ms) FILTER (done), 6) AS avg_latency_ms, round(min(latency_ms) FILTER (done), 6) AS min_latency_ms,
+  round(max(latency_ms) FILTER (done), 6) AS max_latency_ms,
+  round(count(*) FILTER (done AND has_think_block)::DOUBLE / count(*) FILTER (done), 6) AS think_block_rate FROM d"""
+
+_EVAL = f"""WITH {PARSED_BASIC}, ev AS (SELECT *, concat(answer, ' ', reasoning) AS full_text FROM basic),
+{fact_check('ev', 'full_text', 'category')}, {aligned('fc', 'full_text')},
+mx AS (SELECT avg(fact_score) AS technical_accuracy, avg(alignment_score) AS knowledge_alignment,
+  avg({reasoning_score("concat(reasoning, chr(10), answer)")}) AS reasoning_quality,
+  avg(has_think_block::INT) AS think_block_present, avg((reasoning_steps >= 5)::INT) AS steps_sufficient,
+  coalesce(avg(CASE WHEN contains(answer, '```') THEN {syntax_ok('answer')}::INT END), 1.0) AS config_syntax_valid,
+  avg(latency_ms) AS avg_latency_ms FROM al),
+metrics AS (UNPIVOT mx ON technical_accuracy, knowledge_alignment, reasoning_quality, think_block_present, steps_sufficient,
+  config_syntax_valid, avg_latency_ms INTO NAME metric VALUE value)"""
+ORACLE["a14_evaluation_metrics"] = f"{_EVAL} SELECT metric, round(value, 6) AS value FROM metrics"
+_GATES = ", ".join(f"({q(k)}, {v}::DOUBLE)" for k, v in GATE_TARGETS.items())
+ORACLE["q1_gates"] = f"""{_EVAL}, t(metric, target) AS (VALUES {_GATES})
+SELECT metric, target, round(value, 6) AS value, coalesce(value >= target, true) AS passed, value IS NULL AS skipped
+FROM t LEFT JOIN metrics USING (metric)"""
