@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerloom.fixed import scenarios
 from answerloom.fixed.rules import TOPIC_TARGETS
 from answerloom.functions import checks, facts, parse, prompts, scores
-from answerloom.operators import curate, evaluate, respond, validate
+from answerloom.operators import curate, evaluate, generate, respond, validate
 from answerloom.operators.reports import score_summary, top_counts
 from answerloom.plans import inputs
 
@@ -522,3 +523,122 @@ def q1_gates(spark, d):
     metrics = evaluate.metrics_long(evaluate.evaluation_metrics(evaluated(spark, d)))
     gates = evaluate.evaluate_gates(metrics, evaluate.gate_targets(spark))
     return gates.withColumn("value", real(F.col("value")))
+
+
+# --- generation ---------------------------------------------------------------------------------
+
+
+def design_rows(spark: SparkSession, d: str) -> DataFrame:
+    return generate.design_scenarios(inputs.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
+def fault_rows(spark: SparkSession, d: str) -> DataFrame:
+    return generate.fault_scenarios(inputs.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query
+def g1_design_scenarios(spark, d):
+    return design_rows(spark, d).withColumn("compliance", listed(F.col("compliance")))
+
+
+@query
+def g2_fault_scenarios(spark, d):
+    return fault_rows(spark, d).withColumn("symptoms", listed(F.col("symptoms")))
+
+
+@query
+def g3_plan_kinds(spark, d):
+    return generate.plan_kinds(inputs.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query
+def g4_design_questions(spark, d):
+    return design_rows(spark, d).select("o_orderkey", generate.design_question(F.col("o_orderkey")).alias("question"))
+
+
+@query
+def g4_fault_questions(spark, d):
+    return fault_rows(spark, d).select("o_orderkey", generate.fault_question(F.col("o_orderkey")).alias("question"))
+
+
+@query
+def g5_g9_choices(spark, d):
+    """Scale, topology, WAN type, WAN size and cost of every service request."""
+    r = inputs.requests(spark, d).withColumn("users", F.col("users").cast("bigint"))
+    users, sites = F.col("users"), F.col("sites").cast("bigint")
+    rows = r.select(
+        "req_id", generate.scale_label(users).alias("scale"),
+        generate.select_topology(users, F.col("req_id") % 7 == 0).alias("topology"),
+        generate.select_wan(sites, F.col("req_id") % 3 == 0, F.col("compliance")).alias("wan"),
+        generate.wan_sizing(users, sites).alias("w"), generate.cost_model(users, F.col("compliance")).alias("c"),
+    )
+    return rows.select(
+        "req_id", "scale", "topology", "wan", "w.users_per_site", "w.mbps", "w.recommended",
+        "c.per_user", "c.base_capex", real(F.col("c.multiplier")).alias("multiplier"), "c.capex", "c.opex", "c.tco",
+    )
+
+
+@query
+def j6_cost_benchmark(spark, d):
+    """Benchmark looked up by join, default where the label is missing."""
+    r = inputs.requests(spark, d).select("req_id", F.col("users").cast("bigint").alias("users"), "compliance")
+    known = [(k, v) for k, v in scenarios.CAPEX_PER_USER.items() if k != "enterprise"]
+    table = spark.createDataFrame(known, "scale string, typical string")
+    joined = r.withColumn("scale", generate.scale_label(F.col("users"))).join(table, "scale", "left")
+    cost = generate.cost_model(F.col("users"), F.col("compliance"), F.col("typical"))
+    return joined.select("req_id", "scale", "typical", cost["capex"].alias("capex"))
+
+
+@query
+def g11_design_chains(spark, d):
+    rows = design_rows(spark, d).select("o_orderkey", generate.design_chain().alias("chain"))
+    return rows.select(
+        "o_orderkey", whole(F.size("chain")).alias("steps"),
+        F.md5(generate.render_chain(F.col("chain"))).alias("think_md5"),
+    )
+
+
+@query
+def g12_fault_chains(spark, d):
+    rows = generate.with_fault_chain(fault_rows(spark, d), generate.diagnostic_routes(spark))
+    return rows.select(
+        "o_orderkey", whole(F.size("chain")).alias("steps"),
+        F.md5(generate.render_chain(F.col("chain"))).alias("think_md5"),
+    )
+
+
+def assembled(spark: SparkSession, d: str) -> DataFrame:
+    """Both kinds of samples; the supplied answer is an order's clerk-like note, some are missing."""
+    kinds = generate.plan_kinds(
+        inputs.table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), "o_orderkey"
+    )
+    answers = inputs.table(spark, d, "orders").filter("o_orderkey % 13 <> 0").select(
+        "o_orderkey", F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("answer")
+    )
+    key = F.col("o_orderkey")
+    design = generate.design_scenarios(kinds.filter("kind = 'design'").select("o_orderkey"), "o_orderkey").select(
+        "*", generate.design_question(key).alias("question"), generate.design_chain().alias("chain")
+    )
+    faults = generate.fault_scenarios(kinds.filter("kind <> 'design'").select("o_orderkey"), "o_orderkey")
+    faults = generate.with_fault_chain(
+        faults.withColumn("question", generate.fault_question(key)), generate.diagnostic_routes(spark)
+    )
+    return generate.union_samples(
+        generate.assemble_samples(design, answers, "o_orderkey", "design"),
+        generate.assemble_samples(faults, answers, "o_orderkey", "troubleshooting"),
+    )
+
+
+@query
+def g14_u1_assembled_samples(spark, d):
+    return assembled(spark, d).select(
+        "o_orderkey", "kind", "status", F.md5(F.col("messages")[0]["content"]).alias("question_md5"),
+        F.md5(F.col("messages")[1]["content"]).alias("answer_md5"),
+        F.get_json_object("metadata", "$.reasoning_steps").cast("bigint").alias("reasoning_steps"),
+        F.get_json_object("metadata", "$.sources_used[0]").alias("first_source"),
+    )
+
+
+@query
+def a16_generation_stats(spark, d):
+    return generate.generation_stats(assembled(spark, d))

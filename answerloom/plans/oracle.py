@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from answerloom.fixed import chain_text as ct
+from answerloom.fixed import scenarios as sc
 from answerloom.fixed.claims import CLAIMS
 from answerloom.fixed.rules import (
     CONTROL_PREFIX, CONTROLS, EIGRP_WORDS, GATE_TARGETS, NON_PUBLIC_BLOCKS, OTHER_VENDORS,
@@ -545,3 +547,189 @@ _GATES = ", ".join(f"({q(k)}, {v}::DOUBLE)" for k, v in GATE_TARGETS.items())
 ORACLE["q1_gates"] = f"""{_EVAL}, t(metric, target) AS (VALUES {_GATES})
 SELECT metric, target, round(value, 6) AS value, coalesce(value >= target, true) AS passed, value IS NULL AS skipped
 FROM t LEFT JOIN metrics USING (metric)"""
+
+
+# --- generation ---------------------------------------------------------------------------------
+
+
+def hash_draw(field: str, n: int, seed: int = 42) -> str:
+    return f"(('0x' || substr(md5(concat('{seed}|{field}|', o_orderkey)), 1, 8))::BIGINT % {n})"
+
+
+def lookup(values, field: str) -> str:
+    return f"([{', '.join(q(v) if isinstance(v, str) else (arr(v) + '::VARCHAR[]' if isinstance(v, list) else str(v)) for v in values)}])[{hash_draw(field, len(values))} + 1]"
+
+
+def case_map(x: str, mapping: dict, default: str | None = None) -> str:
+    whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in mapping.items())
+    return f"CASE {x} {whens} {f'ELSE {q(default)} ' if default is not None else ''}END"
+
+
+_SCALE_I = hash_draw("scale", 4)
+SCENARIOS = f"""d0 AS (SELECT o_orderkey, {lookup([s for s, _, _ in sc.SCALES], 'scale')} AS scale,
+  ({arr([lo for _, lo, _ in sc.SCALES])})[{_SCALE_I} + 1] AS lo, ({arr([hi for _, _, hi in sc.SCALES])})[{_SCALE_I} + 1] AS hi,
+  {lookup(sc.SITE_COUNTS, 'sites')}::BIGINT AS site_count, {lookup(sc.INDUSTRIES, 'industry')} AS industry,
+  {lookup(sc.COMPLIANCE_SETS, 'compliance')} AS comp, {lookup(sc.UPTIMES, 'uptime')} AS uptime_requirement,
+  {lookup(sc.BUDGETS, 'budget')} AS budget, {hash_draw('datacenter', 2 ** 32)} / 4294967296.0::DOUBLE < 0.15 AS is_datacenter,
+  {hash_draw('cloud', 2 ** 32)} / 4294967296.0::DOUBLE < 0.3 AS cloud_heavy FROM orders),
+scen AS (SELECT o_orderkey, scale, (lo + {hash_draw('users', 2 ** 32)} % (hi - lo + 1))::BIGINT AS user_count, site_count, industry,
+  uptime_requirement, budget, is_datacenter, cloud_heavy,
+  CASE WHEN len(comp) = 0 AND industry = 'financial_services' THEN ['PCI-DSS', 'SOX']
+       WHEN len(comp) = 0 AND industry = 'healthcare' THEN ['HIPAA'] ELSE comp END AS compliance FROM d0)"""
+FAULTS = f"""fault AS (SELECT o_orderkey, {lookup([p for p, _, _ in sc.FAULTS], 'fault')} AS protocol,
+  {lookup([i for _, i, _ in sc.FAULTS], 'fault')} AS issue_type, {lookup([s for _, _, s in sc.FAULTS], 'fault')} AS symptoms FROM orders)"""
+
+ORACLE["g1_design_scenarios"] = f"WITH {SCENARIOS} SELECT * REPLACE ({joined('compliance')} AS compliance) FROM scen"
+ORACLE["g2_fault_scenarios"] = f"WITH {FAULTS} SELECT * REPLACE ({joined('symptoms')} AS symptoms) FROM fault"
+_KINDS = """kinds AS (SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY md5(concat('42|', o_orderkey)), o_orderkey)
+  <= floor((SELECT count(*) FROM orders) * 0.7::DOUBLE) THEN 'design' ELSE 'troubleshooting' END AS kind FROM orders)"""
+ORACLE["g3_plan_kinds"] = f"WITH {_KINDS} SELECT * FROM kinds"
+
+_COMPLY = "CASE WHEN len(compliance) > 0 THEN concat(' We must comply with ', array_to_string(compliance, ' and '), '.') ELSE '' END"
+_BUDGET = case_map("budget", sc.BUDGET_PHRASES, "moderate budget")
+_IND, _USERS = "replace(industry, '_', ' ')", "format('{:,}', user_count)"
+_QUESTION = f"""CASE {hash_draw('question', 3)}
+ WHEN 0 THEN concat('Design a network for a ', {_IND}, ' company with ', {_USERS}, ' users across ', site_count,
+   CASE WHEN site_count > 1 THEN ' sites' ELSE ' site' END, '.', {_COMPLY}, ' We need ', uptime_requirement, ' uptime and have a ', {_BUDGET}, '.')
+ WHEN 1 THEN concat('I''m building network infrastructure for a ', {_IND}, ' organization. We have ', {_USERS}, ' employees ',
+   CASE WHEN site_count > 1 THEN concat('distributed across ', site_count, ' locations') ELSE 'at a single location' END, '.', {_COMPLY},
+   ' Reliability target: ', uptime_requirement, '. Budget: ', {_BUDGET}, '. What architecture do you recommend?')
+ ELSE concat('Recommend a complete network architecture for a ', {_IND}, ' enterprise: ', {_USERS}, ' users, ', site_count, ' sites.', {_COMPLY},
+   ' Required uptime: ', uptime_requirement, '. Budget constraints: ', {_BUDGET},
+   '. Include topology, WAN design, security, hardware recommendations, and cost estimates.') END"""
+_SYM, _PROTO, _ISSUE = "array_to_string(symptoms, '; ')", "upper(protocol)", "replace(issue_type, '_', ' ')"
+_FAULT_QUESTION = f"""CASE {hash_draw('question', 3)}
+ WHEN 0 THEN concat('We''re experiencing ', {_ISSUE}, ' on our ', {_PROTO}, ' network. Symptoms: ', {_SYM}, '. Walk me through the troubleshooting methodology.')
+ WHEN 1 THEN concat('Our network team is seeing: ', {_SYM}, '. This appears to be a ', {_PROTO}, ' ', {_ISSUE},
+   ' issue. What is the systematic approach to diagnose and resolve this?')
+ ELSE concat('Help me troubleshoot a ', {_PROTO}, ' problem. We''re observing: ', {_SYM}, '. Provide step-by-step diagnostic commands and expected outputs.') END"""
+ORACLE["g4_design_questions"] = f"WITH {SCENARIOS} SELECT o_orderkey, {_QUESTION} AS question FROM scen"
+ORACLE["g4_fault_questions"] = f"WITH {FAULTS} SELECT o_orderkey, {_FAULT_QUESTION} AS question FROM fault"
+
+REQUESTS = """requests AS (SELECT o_orderkey AS req_id, (50 + o_orderkey * 7919 % 60000)::BIGINT AS users, (1 + o_custkey % 25)::BIGINT AS sites,
+  CASE c_mktsegment WHEN 'BUILDING' THEN ['PCI-DSS'] WHEN 'MACHINERY' THEN ['HIPAA'] WHEN 'AUTOMOBILE' THEN ['PCI-DSS', 'HIPAA'] ELSE []::VARCHAR[] END AS compliance,
+  CASE o_orderpriority[1] WHEN '1' THEN 99.99 WHEN '2' THEN 99.999 WHEN '5' THEN 89.5 ELSE 99.9 END::DOUBLE AS uptime,
+  o_orderpriority[1] AS priority_code, o_orderstatus AS status, o_totalprice AS price, o_orderdate AS ts
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+def label(u: str) -> str:
+    return f"CASE WHEN {u} < 500 THEN 'small' WHEN {u} < 5000 THEN 'medium' WHEN {u} < 50000 THEN 'large' ELSE 'enterprise' END"
+
+
+def costs(source: str, users: str, per_user: str, keep: str) -> str:
+    return f"""c0 AS (SELECT *, {per_user} AS per_user, 1.0::DOUBLE + CASE WHEN list_contains(compliance, 'PCI-DSS') THEN 0.3 ELSE 0 END
+  + CASE WHEN list_contains(compliance, 'HIPAA') THEN 0.25 ELSE 0 END AS multiplier FROM {source}),
+c1 AS (SELECT *, per_user * {users} AS base_capex, floor(per_user * {users} * multiplier)::BIGINT AS capex FROM c0),
+c2 AS (SELECT *, floor(capex * 0.15::DOUBLE)::BIGINT AS opex FROM c1), {keep} AS (SELECT *, capex + 3 * opex AS tco FROM c2)"""
+
+
+def per_user(u: str) -> str:
+    return f"CASE {label(u)} WHEN 'small' THEN 350 WHEN 'large' THEN 1000 ELSE 600 END::BIGINT"
+
+
+ORACLE["g5_g9_choices"] = f"""WITH {REQUESTS}, {costs('requests', 'users', per_user('users'), 'c')}
+SELECT req_id, {label('users')} AS scale, CASE WHEN req_id % 7 = 0 THEN 'spine_leaf' WHEN users < 2000 THEN 'collapsed_core' ELSE 'three_tier' END AS topology,
+  CASE WHEN sites > 10 OR req_id % 3 = 0 THEN 'sd_wan' WHEN len(compliance) > 0 THEN 'mpls' WHEN sites > 3 THEN 'hybrid_wan' ELSE 'mpls' END AS wan,
+  users // sites AS users_per_site, users // sites * 2 AS mbps,
+  round_even(least(users // sites * 2 * 1.2::DOUBLE, users // sites * 2 + 100.0), 0)::BIGINT AS recommended,
+  per_user, base_capex, round(multiplier, 6) AS multiplier, capex, opex, tco FROM c"""
+ORACLE["j6_cost_benchmark"] = f"""WITH {REQUESTS}, l AS (SELECT *, {label('users')} AS scale FROM requests),
+b(scale, typical) AS (VALUES ('small', '$350'), ('medium', '$600'), ('large', '$1000')),
+j AS (SELECT l.*, b.typical FROM l LEFT JOIN b USING (scale)),
+{costs('j', 'users', "replace(coalesce(typical, '$600'), '$', '')::BIGINT", 'c')} SELECT req_id, scale, typical, capex FROM c"""
+
+
+def sql_step(n_title: str, source: str, content: str, sub: str = "[]") -> str:
+    return f"{{'t': {n_title}, 's': {source}, 'c': {content}, 'b': {sub}::VARCHAR[]}}"
+
+
+RENDERED = """concat('<think>', array_to_string(list_transform(chain, lambda s, i: concat(chr(10), chr(10), 'Step ', i, ': ', s.t, chr(10),
+  '- Source: ', s.s, chr(10), s.c, array_to_string(list_transform(s.b, lambda x: concat(chr(10), '  * ', x)), ''))), ''), chr(10), '</think>')"""
+
+_PCI, _HIPAA = "list_contains(compliance, 'PCI-DSS')", "list_contains(compliance, 'HIPAA')"
+_WAN = f"CASE WHEN site_count > 10 OR cloud_heavy THEN 'SD WAN' WHEN {_PCI} OR {_HIPAA} THEN 'MPLS' WHEN site_count > 3 THEN 'HYBRID WAN' ELSE 'MPLS' END"
+_PER = "(user_count // site_count)"
+
+
+def hardware(i: int) -> str:
+    return "CASE " + " ".join(f"WHEN user_count > {r[0]} THEN {q(r[i])}" for r in ct.HARDWARE[:-1]) + f" ELSE {q(ct.HARDWARE[-1][i])} END"
+
+
+_DESIGN_STEPS = ", ".join([
+    sql_step(q(ct.SCALE_TITLE), q(ct.SCALE_SOURCE),
+             f"concat('- User count: ', user_count, ' → ''', {label('user_count')}, ''' category', chr(10), '- Recommended topology: ', "
+             "CASE WHEN is_datacenter THEN 'Spine Leaf' WHEN user_count < 2000 THEN 'Collapsed Core' ELSE 'Three Tier' END, chr(10), '- Decision basis: ', "
+             "CASE WHEN is_datacenter THEN 'Data center workloads' WHEN user_count < 2000 THEN '50-2000' ELSE '2000-100000' END, ' user range')",
+             "[CASE WHEN user_count > 2000 THEN 'Alternative 1 considered: collapsed core - Rejected: exceeds 2000-user threshold' "
+             "ELSE 'Alternative 1 considered: collapsed core - Viable option' END, CASE WHEN is_datacenter THEN 'Alternative 2 considered: spine-leaf - Applicable' "
+             "ELSE 'Alternative 2 considered: spine-leaf - Rejected: data center topology only' END]"),
+    f"CASE WHEN {_PCI} THEN {sql_step(q(ct.PCI_TITLE), q(ct.PCI_SOURCE), q(ct.PCI_BODY), arr(ct.PCI_SUB))} END",
+    f"CASE WHEN {_HIPAA} THEN {sql_step(q(ct.HIPAA_TITLE), q(ct.HIPAA_SOURCE), q(ct.HIPAA_BODY), arr(ct.HIPAA_SUB))} END",
+    sql_step("concat('High Availability Design for ', uptime_requirement, ' Uptime')", q(ct.HA_SOURCE),
+             f"concat('- Uptime target: ', uptime_requirement, ' = ', {case_map('uptime_requirement', ct.UPTIME_NOTES)}, chr(10), {q(ct.UPTIME_TAIL)})",
+             f"CASE WHEN uptime_requirement LIKE '%99.99%' THEN {arr(ct.HA_SUB + ct.HA_SUB_STRICT)} ELSE {arr(ct.HA_SUB)} END"),
+    "CASE WHEN site_count > 1 THEN " + sql_step(
+        q(ct.WAN_TITLE), q(ct.WAN_SOURCE),
+        f"concat('- Site count: ', site_count, ' → ', {_WAN}, chr(10), '- Average users per site: ', {_PER}, chr(10), '- Bandwidth calculation: ', {_PER}, "
+        f"' users × 2 Mbps = ', {_PER} * 2, ' Mbps minimum', chr(10), '- Recommended: ', "
+        f"round_even(least({_PER} * 2 * 1.2::DOUBLE, {_PER} * 2 + 100.0), 0)::BIGINT, ' Mbps with 20% headroom')",
+        f"CASE {_WAN} WHEN 'SD WAN' THEN {arr(ct.WAN_SUB['sd_wan'])} WHEN 'MPLS' THEN {arr(ct.WAN_SUB['mpls'])} ELSE []::VARCHAR[] END") + " END",
+    sql_step(q(ct.SECURITY_TITLE), q(ct.SECURITY_SOURCE),
+             f"concat({q(ct.SECURITY_HEAD)}, chr(10), '- Compliance-driven segmentation: ', CASE WHEN {_PCI} THEN 'CDE isolation required' ELSE 'Standard VLAN segmentation' END, "
+             f"chr(10), '- PHI data isolation: ', CASE WHEN {_HIPAA} THEN 'HIPAA-compliant separate VLAN required' ELSE 'Not required' END, chr(10), {q(ct.SECURITY_TAIL)})",
+             f"list_filter(list_concat({arr(ct.SECURITY_SUB)}, [CASE WHEN {_PCI} THEN {q(ct.SECURITY_PCI)} END, CASE WHEN {_HIPAA} THEN {q(ct.SECURITY_HIPAA)} END]), lambda x: x IS NOT NULL)"),
+    sql_step(q(ct.VENDOR_TITLE), q(ct.VENDOR_SOURCE),
+             f"concat('- Core: ', {hardware(1)}, chr(10), '- Distribution: ', {hardware(2)}, chr(10), '- Access: ', {hardware(3)}, chr(10), {q(ct.HARDWARE_TAIL)})"),
+    sql_step(q(ct.COST_TITLE), q(ct.COST_SOURCE),
+             f"concat('- Scale: ', {label('user_count')}, ' (', user_count, ' users) → $', format('{{:,}}', per_user), '/user benchmark', chr(10), '- Base CapEx: $', "
+             "format('{:,}', base_capex), chr(10), '- Compliance premium: ', round((multiplier - 1) * 100)::INT, '%', chr(10), '- Estimated total CapEx: $', "
+             "format('{:,}', capex), chr(10), '- Annual OpEx estimate: $', format('{:,}', opex), ' (15% of CapEx)', chr(10), '- 3-Year TCO: $', format('{:,}', tco))"),
+    sql_step(q(ct.PHASE_TITLE), q(ct.PHASE_SOURCE),
+             f"CASE WHEN user_count > 10000 OR site_count > 10 THEN {q(ct.PHASES_LARGE)} WHEN user_count > 1000 THEN {q(ct.PHASES_MEDIUM)} ELSE {q(ct.PHASES_SMALL)} END"),
+])
+DESIGN_CHAINS = f"""{SCENARIOS}, {costs('scen', 'user_count', per_user('user_count'), 'priced')},
+chains AS (SELECT *, list_filter([{_DESIGN_STEPS}], lambda s: s IS NOT NULL) AS chain FROM priced)"""
+ORACLE["g11_design_chains"] = f"WITH {DESIGN_CHAINS} SELECT o_orderkey, len(chain)::BIGINT AS steps, md5({RENDERED}) AS think_md5 FROM chains"
+
+
+def sql_route(route: str) -> str:
+    out = []
+    for r, _, check, commands, expected, bad in ct.DIAGNOSTICS:
+        if r == route:
+            body = f"Command: {', '.join(commands)}\nExpected: {expected}" + (f"\nIf fail: {bad}" if bad else "")
+            title, source = ct.ROUTE_WORDING[r.split("_")[0]]
+            out.append(sql_step(q(title + check), q(source), q(body)))
+    return f"[{', '.join(out)}]"
+
+
+_LAYER_STEPS = "[" + ", ".join(
+    sql_step(q(f"Layer {n} ({name}) Verification"), q(ct.ROUTE_WORDING["layers"][1]), q(f"Checks: {', '.join(c)}\nCommands: {', '.join(k)}"))
+    for n, name, c, k in ct.LAYERS
+) + "]"
+_GENERIC = "[" + ", ".join(
+    sql_step(q(f"Diagnostic Step {i}: Systematic Verification"), q(ct.GENERIC_SOURCE),
+             f"concat('Verify ', {_PROTO}, ' ', issue_type, ' from multiple angles:', chr(10), {q(ct.GENERIC_TAIL)})")
+    for i in range(1, 5)
+) + "]"
+FAULT_CHAINS = f"""{FAULTS}, fault_chains AS (SELECT *, list_concat(
+  [{sql_step(q(ct.TRIAGE_TITLE), q(ct.TRIAGE_SOURCE), f"concat('- Protocol affected: ', {_PROTO}, chr(10), '- Issue category: ', issue_type, chr(10), '- Symptoms: ', array_to_string(symptoms, ', '), chr(10), {q(ct.TRIAGE_TAIL)})")},
+   {sql_step(q(ct.LINK_TITLE), q(ct.LINK_SOURCE), q(ct.LINK_BODY))}],
+  CASE WHEN protocol = 'bgp' AND issue_type LIKE '%neighbor%' THEN {sql_route('bgp_neighbor_down')} WHEN protocol = 'bgp' THEN {sql_route('bgp_route_missing')}
+    WHEN protocol = 'ospf' AND (issue_type LIKE '%exstart%' OR issue_type LIKE '%exchange%') THEN {sql_route('ospf_exstart')}
+    WHEN protocol = 'ospf' THEN {sql_route('ospf_neighbor_down')} WHEN protocol IN ('interface', 'connectivity') THEN {_LAYER_STEPS} ELSE {_GENERIC} END,
+  [{sql_step(q(ct.RESOLUTION_TITLE), f"concat({_PROTO}, {q(ct.RESOLUTION_SOURCE_TAIL)})",
+             f"concat('- Root cause category: ', issue_type, chr(10), '- Common causes for ', {_PROTO}, ': ', {case_map('protocol', ct.CAUSES, ct.CAUSE_DEFAULT)}, chr(10), {q(ct.RESOLUTION_TAIL)})",
+             f"CASE protocol WHEN 'bgp' THEN {arr(ct.VERIFY['bgp'])} WHEN 'ospf' THEN {arr(ct.VERIFY['ospf'])} WHEN 'interface' THEN {arr(ct.VERIFY['interface'])} ELSE {arr(ct.VERIFY_DEFAULT)} END")}]) AS chain FROM fault)"""
+ORACLE["g12_fault_chains"] = f"WITH {FAULT_CHAINS} SELECT o_orderkey, len(chain)::BIGINT AS steps, md5({RENDERED}) AS think_md5 FROM fault_chains"
+_ASSEMBLED = f"""WITH {_KINDS}, {DESIGN_CHAINS}, {FAULT_CHAINS},
+a AS (SELECT o_orderkey, concat(o_orderpriority, ' ', o_orderstatus) AS answer FROM orders WHERE o_orderkey % 13 <> 0),
+both_kinds AS (SELECT o_orderkey, kind, {_QUESTION} AS question, {RENDERED} AS think, len(chain)::BIGINT AS steps,
+    {q(sc.DESIGN_SOURCES[0])} AS src FROM chains JOIN kinds USING (o_orderkey) WHERE kind = 'design'
+  UNION ALL SELECT o_orderkey, kind, {_FAULT_QUESTION}, {RENDERED}, len(chain)::BIGINT, concat({_PROTO}, ' Troubleshooting Decision Tree')
+    FROM fault_chains JOIN kinds USING (o_orderkey) WHERE kind <> 'design')"""
+ORACLE["g14_u1_assembled_samples"] = f"""{_ASSEMBLED} SELECT o_orderkey, kind, CASE WHEN answer IS NULL THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN answer IS NOT NULL THEN md5(question) END AS question_md5, md5(think || chr(10) || chr(10) || answer) AS answer_md5,
+  CASE WHEN answer IS NOT NULL THEN steps END AS reasoning_steps, CASE WHEN answer IS NOT NULL THEN src END AS first_source
+FROM both_kinds LEFT JOIN a USING (o_orderkey)"""
+ORACLE["a16_generation_stats"] = f"""WITH {_KINDS} SELECT kind, CASE WHEN o_orderkey % 13 = 0 THEN 'error' ELSE 'ok' END AS status, count(*) AS n FROM kinds GROUP BY 1, 2"""
