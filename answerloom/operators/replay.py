@@ -1,0 +1,189 @@
+"""Replay of decisions that depend on earlier decisions of the same key.
+
+A rate limiter and a cache with expiry decide request after request. Rows of a key are
+streamed in time order through a small state, and never gathered: a task holds one Arrow batch
+and the state. A key with many rows is cut into blocks of bounded size. A pause after which no
+earlier request matters starts an independent block, so such blocks run side by side; blocks
+without a pause between them run in rounds, each starting from the state the last one left.
+"""
+
+from __future__ import annotations
+
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from answerloom.operators.joins import small_side
+from answerloom.session import cut_lineage
+
+BLOCK_ROWS = 2_000_000
+SECOND = 1_000_000
+
+
+class RateLimit:
+    """T8. A request passes when fewer than ``limit`` passed in the window before it."""
+
+    def __init__(self, limit: int, window: int) -> None:
+        self.limit, self.window, self.passed = limit, window, deque()
+
+    def begin(self, carry) -> None:
+        self.passed = deque(carry)
+
+    def decide(self, t: np.ndarray, store: np.ndarray) -> np.ndarray:
+        ok, i = np.zeros(len(t), dtype=bool), 0
+        while i < len(t):
+            while self.passed and t[i] - self.passed[0] >= self.window:
+                self.passed.popleft()
+            if len(self.passed) < self.limit:
+                ok[i] = True
+                self.passed.append(int(t[i]))
+                i += 1
+            else:  # nothing passes until the oldest one leaves the window
+                i += int(np.searchsorted(t[i:], self.passed[0] + self.window))
+        return ok
+
+    def state(self) -> list[int]:
+        return list(self.passed)
+
+
+class Expiry:
+    """T9. A request hits while the last stored answer is younger than ``ttl``; hits store nothing."""
+
+    def __init__(self, ttl: int) -> None:
+        self.ttl, self.stored = ttl, None
+
+    def begin(self, carry) -> None:
+        self.stored = int(carry[0]) if len(carry) else None
+
+    def decide(self, t: np.ndarray, store: np.ndarray) -> np.ndarray:
+        hit, i = np.ones(len(t), dtype=bool), 0
+        while True:
+            if self.stored is not None:
+                i += int(np.searchsorted(t[i:], self.stored + self.ttl))
+            if i >= len(t):
+                return hit
+            hit[i] = False
+            self.stored = int(store[i])
+            i += 1
+
+    def state(self) -> list[int]:
+        return [] if self.stored is None else [self.stored]
+
+
+def _blocks(rows: DataFrame, gap: int, bucket: int, block_rows: int) -> DataFrame:
+    """Buckets of keys with more than ``block_rows`` rows: (_key, _bucket, _block, _round).
+
+    ``_block`` numbers independent stretches, ``_round`` the parts of one stretch.
+    """
+    buckets = rows.groupBy("_key", F.floor(F.col("_t") / bucket).alias("_bucket")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_first"), F.max("_store").alias("_reach")
+    )
+    large = buckets.groupBy("_key").agg(F.sum("_n").alias("_total")).filter(F.col("_total") > block_rows)
+    kept = buckets.join(small_side(large.select("_key")), "_key", "left_semi")
+    order = Window.partitionBy("_key").orderBy("_bucket")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    marked = kept.withColumn("_pause", F.coalesce(F.col("_first") - F.max("_reach").over(earlier) >= gap, F.lit(True)))
+    marked = marked.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    begun = marked.withColumn("_begin", F.max(F.when(F.col("_pause"), F.col("_before"))).over(upto))
+    return begun.select(
+        "_key", "_bucket", F.floor(F.col("_begin") / block_rows).alias("_block"),
+        F.floor((F.col("_before") - F.col("_begin")) / block_rows).cast("int").alias("_round"),
+    )
+
+
+def _fold(rows: DataFrame, make: Callable[[], RateLimit | Expiry]) -> DataFrame:
+    """Decide every row of sorted blocks; a row without id carries the state a block left."""
+    key_type = rows.schema["_key"].dataType.simpleString()
+    id_type = rows.schema["_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold, at = make(), None
+
+        def left() -> pd.DataFrame:
+            return pd.DataFrame({"_key": [at[0]], "_block": [at[1]], "_id": [None], "_ok": [None], "_carry": [fold.state()]})
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys, blocks = pdf["_key"].to_numpy(), pdf["_block"].to_numpy()
+            t, store = pdf["_t"].to_numpy(), pdf["_store"].to_numpy()
+            changes = np.flatnonzero((keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+            edges = [0, *changes.tolist(), len(pdf)]
+            ok, states = np.zeros(len(pdf), dtype=bool), []
+            for i, j in zip(edges, edges[1:]):
+                if at != (keys[i], blocks[i]):
+                    if at is not None and at[1] is not None and at[1] >= 0:
+                        states.append(left())
+                    at = (keys[i], blocks[i])
+                    carry = pdf["_carry"].iat[i]
+                    fold.begin(carry if carry is not None else [])
+                ok[i:j] = fold.decide(t[i:j], store[i:j])
+            yield pdf[["_key", "_block", "_id"]].assign(_ok=ok, _carry=None)
+            yield from states
+        if at is not None and at[1] >= 0:
+            yield left()
+
+    schema = f"_key {key_type}, _block bigint, _id {id_type}, _ok boolean, _carry array<bigint>"
+    return rows.mapInPandas(run, schema)
+
+
+def _replay(
+    events: DataFrame, key: str, ts: str, event_id: str, latency: Column | None, gap: int,
+    make: Callable[[], RateLimit | Expiry], name: str, block_rows: int,
+) -> DataFrame:
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    store = t if latency is None else t + (latency * 1000).cast("bigint")
+    rows = events.select(
+        F.col(key).alias("_key"), F.col(event_id).alias("_id"), t.alias("_t"), store.alias("_store")
+    )
+    bucket = max(gap // 4, 1)
+    blocks = cut_lineage(_blocks(rows, gap, bucket, block_rows))
+    rounds = blocks.agg(F.max("_round")).first()[0]
+    placed = rows.withColumn("_bucket", F.floor(F.col("_t") / bucket))
+    if rounds is None:  # no key is large: every key is one block
+        placed = placed.select("*", F.lit(-1).cast("bigint").alias("_block"), F.lit(0).alias("_round"))
+        rounds = 0
+    else:
+        placed = placed.join(small_side(blocks), ["_key", "_bucket"], "left").fillna({"_block": -1, "_round": 0})
+    if rounds > 0:
+        placed = cut_lineage(placed)
+    parts, carried = [], None
+    for turn in range(rounds + 1):
+        now = placed.filter(F.col("_round") == turn)
+        if carried is None:
+            now = now.withColumn("_carry", F.lit(None).cast("array<bigint>"))
+        else:
+            now = now.join(small_side(carried), ["_key", "_block"], "left")
+        ordered = now.repartition("_key", "_block").sortWithinPartitions("_key", "_block", "_t", "_id")
+        decided = _fold(ordered, make)
+        if rounds > 0:
+            decided = cut_lineage(decided)
+            carried = decided.filter("_carry IS NOT NULL").select("_key", "_block", "_carry")
+        parts.append(decided.filter("_ok IS NOT NULL"))
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part)
+    return merged.select(F.col("_key").alias(key), F.col("_id").alias(event_id), F.col("_ok").alias(name))
+
+
+def replay_rate_limit(
+    events: DataFrame, key: str = "user_id", ts: str = "ts", event_id: str = "event_id", limit: int = 30,
+    window_seconds: int = 60, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """T8. (key, id, accepted). Only accepted requests count, and one exactly a window old does not."""
+    window = window_seconds * SECOND
+    return _replay(events, key, ts, event_id, None, window, lambda: RateLimit(limit, window), "accepted", block_rows)
+
+
+def replay_cache(
+    events: DataFrame, key: str = "user_id", ts: str = "ts", event_id: str = "event_id", ttl_seconds: int = 3600,
+    latency_ms: Column | None = None, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """T9. (key, id, hit). An answer is stored when it is ready: at the miss, plus its latency if given."""
+    ttl = ttl_seconds * SECOND
+    return _replay(events, key, ts, event_id, latency_ms, ttl, lambda: Expiry(ttl), "hit", block_rows)

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.fixed import scenarios
+from answerloom.fixed import alarms, scenarios
 from answerloom.fixed.rules import TOPIC_TARGETS
 from answerloom.functions import checks, facts, parse, prompts, scores
-from answerloom.operators import curate, evaluate, generate, respond, validate
+from answerloom.operators import (
+    curate, evaluate, generate, knowledge, monitor, replay, requests, respond, validate,
+)
 from answerloom.operators.reports import score_summary, top_counts
 from answerloom.plans import inputs
 
@@ -642,3 +644,363 @@ def g14_u1_assembled_samples(spark, d):
 @query
 def a16_generation_stats(spark, d):
     return generate.generation_stats(assembled(spark, d))
+
+
+# --- requests -----------------------------------------------------------------------------------
+
+
+@query
+def p5_validate_requests(spark, d):
+    checked = requests.validate_requests(inputs.raw_requests(spark, d), required=("symptom",))
+    return checked.select(
+        "req_id", "users", whole(F.col("sites")).alias("sites"), listed(F.col("compliance")).alias("compliance"),
+        "uptime", whole(F.col("max_tokens")).alias("max_tokens"), real(F.col("temperature")).alias("temperature"),
+        "currency", listed(F.col("violations")).alias("violations"),
+    )
+
+
+def reviewed(spark: SparkSession, d: str) -> DataFrame:
+    r = inputs.requests(spark, d)
+    confidence = (F.col("req_id") % 41) / 40
+    priority = F.when(F.col("priority_code") == "1", "high").when(F.col("priority_code") == "5", "low")
+    return r.select("*", confidence.alias("confidence"), priority.alias("priority"))
+
+
+@query
+def p6_review_rules(spark, d):
+    c, s, u = F.col("confidence"), F.col("compliance"), F.col("uptime")
+    return reviewed(spark, d).select(
+        "req_id", requests.api_requires_review(c, s, u).alias("api"),
+        requests.agent_requires_review(c, F.col("priority"), s).alias("agent"),
+        requests.policy_requires_review(c, s, u).alias("policy"),
+    )
+
+
+@query
+def p7_approval_routing(spark, d):
+    rows = reviewed(spark, d).select(
+        "req_id", "confidence",
+        requests.agent_requires_review(F.col("confidence"), F.col("priority"), F.col("compliance")).alias("requires_approval"),
+        F.when(F.col("status") == "P", "device lost").alias("error"),
+    )
+    routed = requests.route(requests.with_error_policy(rows))
+    return routed.groupBy("queue", "status").agg(
+        F.count(F.lit(1)).alias("n"), real(F.sum("confidence")).alias("confidence")
+    )
+
+
+@query
+def p9_normalize_tasks(spark, d):
+    tasks = requests.normalize_tasks(inputs.task_messages(spark, d))
+    return tasks.select("req_id", "task_id", "type", "context", "priority", "requestor", "correlation_id", "error")
+
+
+@query
+def r30_task_prompts(spark, d):
+    tasks = requests.task_prompt(requests.normalize_tasks(inputs.task_messages(spark, d)))
+    named = requests.task_compliance(F.col("context"))
+    return tasks.select("req_id", "type", F.md5("prompt").alias("prompt_md5"), listed(named).alias("compliance"))
+
+
+def prompt_fields(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
+    r, k = inputs.requests(spark, d), F.col("req_id")
+    fields = {
+        "users": F.when(k % 8 != 0, F.col("users")), "sites": F.col("sites"), "compliance": F.col("compliance"),
+        "uptime": F.col("uptime"), "budget": F.lit("moderate"), "data_center": k % 2 == 0, "wireless": k % 3 == 0,
+        "wan_type": F.when(k % 5 == 0, "MPLS"), "cloud_connectivity": k % 4 == 0, "redundancy_level": F.lit("N+2"),
+        "extras": F.create_map(F.lit("racks"), (k % 10).cast("string"), F.lit("order"), F.col("status")),
+        "device": F.concat(F.lit("r"), F.col("sites").cast("string")), "symptom": F.concat(F.lit("status "), F.col("status")),
+        "protocol": F.when(k % 3 == 0, "BGP"), "logs": F.when(k % 2 == 0, F.repeat(F.col("status"), 700)),
+        "currency": F.lit("EUR"), "include_opex": k % 2 == 0,
+    }
+    return r, fields
+
+
+@query
+def r30_w9_request_prompts(spark, d):
+    r, f = prompt_fields(spark, d)
+    return r.select(
+        "req_id",
+        F.md5(prompts.design_prompt(f, "api")).alias("design_api"),
+        F.md5(prompts.design_prompt(f, "tool")).alias("design_tool"),
+        F.md5(prompts.troubleshoot_prompt(f, "api")).alias("troubleshoot_api"),
+        F.md5(prompts.troubleshoot_prompt(f, "tool")).alias("troubleshoot_tool"),
+        F.md5(prompts.estimate_prompt(f, "api")).alias("estimate_api"),
+        F.md5(prompts.estimate_prompt(f, "tool")).alias("estimate_tool"),
+    )
+
+
+@query
+def r27_r31_cache_keys(spark, d):
+    docs = inputs.table(spark, d, "documents")
+    system = F.concat(F.lit("Answer in "), F.col("lang"))
+    return docs.select(
+        "doc_id", F.md5(prompts.single_turn_prompt(system, F.col("text"))).alias("prompt_md5"),
+        prompts.cache_key(system, F.col("text")).alias("cache_key"),
+    )
+
+
+@query
+def r29_downtime(spark, d):
+    return inputs.requests(spark, d).select("req_id", "uptime", prompts.downtime(F.col("uptime")).alias("downtime"))
+
+
+# --- knowledge ----------------------------------------------------------------------------------
+
+
+def leaves(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.flatten(inputs.knowledge_documents(spark, d))
+
+
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.build_index(leaves(spark, d))
+
+
+TOPIC = "The nation, (user) AFRICA; estion or one"
+
+
+@query
+def k1_flatten(spark, d):
+    rows = leaves(spark, d)
+    return rows.select("category", "doc_no", "path", F.md5(knowledge.leaf_text(F.col("node"))).alias("value_md5"), "is_text")
+
+
+@query
+def k2_index_terms(spark, d):
+    """A19: postings and distinct paths per term."""
+    p = postings(spark, d)
+    per_path = p.groupBy("term", "category", "doc_no", "path").agg(F.count(F.lit(1)).alias("n"))
+    return per_path.groupBy("term").agg(F.sum("n").alias("postings"), F.count(F.lit(1)).alias("paths"))
+
+
+@query
+def k3_j9_topic_matches(spark, d):
+    return knowledge.topic_matches(postings(spark, d), TOPIC, ("doc_no", "path"))
+
+
+@query
+def k3_topic_sections(spark, d):
+    known = knowledge.sections(inputs.knowledge_documents(spark, d))
+    return knowledge.topic_sections(postings(spark, d), TOPIC, known)
+
+
+@query
+def k4_slices(spark, d):
+    slices = [("texts", f"src{i}", "body") for i in range(20)] + [("properties", "click", "props"), ("members", "AFRICA", "nations")]
+    rows = knowledge.slice_leaves(leaves(spark, d), slices)
+    return rows.groupBy("slice", "category").agg(F.count(F.lit(1)).alias("leaves"))
+
+
+@query
+def a15_k5_coverage(spark, d):
+    return knowledge.coverage(inputs.knowledge_documents(spark, d))
+
+
+@query
+def a15_coverage_score(spark, d):
+    required = ["AFRICA", "ASIA", "EUROPE", "click", "src0", "src999"]
+    covered = knowledge.coverage(inputs.knowledge_documents(spark, d))
+    return knowledge.coverage_score(covered, postings(spark, d), required)
+
+
+@query
+def k6_upsert(spark, d):
+    return knowledge.upsert(inputs.base_entries(spark, d), inputs.new_entries(spark, d))
+
+
+@query
+def k6_rejected(spark, d):
+    return knowledge.rejected(inputs.new_entries(spark, d)).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def k7_extraction_entries(spark, d):
+    """Documents as extraction answers: the latest per source and language stays."""
+    docs = inputs.table(spark, d, "documents")
+    entry = knowledge.extraction_entry(F.col("text"), F.col("lang"), F.col("doc_id"))
+    new = docs.select(
+        F.col("source").alias("category"), F.lit("live").alias("section"), F.col("lang").alias("key"),
+        entry.alias("entry"), F.lit("extraction").alias("source"), (F.col("doc_id") % 97).alias("added"),
+        F.col("doc_id").alias("seq"),
+    )
+    merged = knowledge.upsert(new.limit(0), new, [f"src{i}" for i in range(20)])
+    return merged.select(
+        "category", "key", "versions", "added",
+        F.length(F.get_json_object("entry", "$.description")).cast("bigint").alias("description_chars"),
+        F.md5(F.get_json_object("entry", "$.full_content")).alias("content_md5"),
+    )
+
+
+@query
+def k7_refresh_metadata(spark, d):
+    base = inputs.base_entries(spark, d).groupBy("category").agg(
+        F.max("added").alias("last_updated"), F.count(F.lit(1)).alias("live_extractions")
+    )
+    return knowledge.refresh_metadata(base, inputs.new_entries(spark, d))
+
+
+@query
+def k8_extraction_counts(spark, d):
+    docs = inputs.table(spark, d, "documents")
+    return knowledge.extraction_counts(
+        docs.select(F.col("source").alias("category"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("answer"))
+    )
+
+
+# --- monitoring ---------------------------------------------------------------------------------
+
+
+def metrics(spark: SparkSession, d: str) -> DataFrame:
+    return monitor.derive_metrics(inputs.service_events(spark, d))
+
+
+def machine_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Disk and processor readings, one pair per event."""
+    e = inputs.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value")
+    pair = F.array(
+        F.struct(F.lit("disk_used_percent").alias("metric"), (60 + F.col("value") % 40).alias("value")),
+        F.struct(F.lit("CPUUtilization").alias("metric"), (F.col("value") % 8).alias("value")),
+    )
+    return e.select("ts", F.inline(pair))
+
+
+@query
+def t2_metric_counts(spark, d):
+    rows = metrics(spark, d)
+    return rows.groupBy("metric", "endpoint").agg(F.count(F.lit(1)).alias("n"), real(F.sum("value")).alias("total"))
+
+
+@query
+def t1_metric_windows(spark, d):
+    windows = monitor.metric_windows(metrics(spark, d), 300)
+    return windows.select(
+        "metric", "window_start", "n", *[real(F.col(c)).alias(c) for c in ("sum", "average", "least", "greatest")]
+    )
+
+
+@query
+def t1_percentiles(spark, d):
+    rows = monitor.metric_percentiles(metrics(spark, d), 3600, [0.5, 0.95, 0.99])
+    return rows.select("metric", "window_start", *[real(F.col(c)).alias(c) for c in ("p50", "p95", "p99")])
+
+
+@query
+def t1_percentiles_overall(spark, d):
+    """One large group per task type."""
+    events = inputs.service_events(spark, d)
+    rows = monitor.exact_percentiles(events, ["task_type"], "latency_ms", [0.5, 0.95, 0.99])
+    return rows.select("task_type", *[real(F.col(c)).alias(c) for c in ("p50", "p95", "p99")])
+
+
+@query
+def t3_labelled_counts(spark, d):
+    events = inputs.service_events(spark, d).withColumn("approval", F.col("confidence") < 0.8)
+    return monitor.labelled_counts(events, ["task_type", "status_code", "has_think", "approval"])
+
+
+@query
+def t4_histograms(spark, d):
+    events = inputs.service_events(spark, d)
+    seconds = F.col("latency_ms") / 1000
+    parts = [
+        monitor.histogram(events, seconds, alarms.REQUEST_SECONDS_BOUNDS, ["task_type"]).withColumn("name", F.lit("request")),
+        monitor.histogram(events, seconds, alarms.INFERENCE_SECONDS_BOUNDS, ["task_type"]).withColumn("name", F.lit("inference")),
+        monitor.histogram(events, F.col("confidence"), alarms.CONFIDENCE_BOUNDS, ["task_type"]).withColumn("name", F.lit("confidence")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def t5_histogram_quantiles(spark, d):
+    rows = monitor.histogram_wide(
+        inputs.service_events(spark, d), F.col("latency_ms") / 1000, alarms.INFERENCE_SECONDS_BOUNDS,
+        ["task_type", monitor.window_start(F.col("ts"), 600).alias("window_start")],
+    )
+    return rows.select(
+        "task_type", "window_start",
+        *[
+            real(monitor.histogram_quantile(F.col("cumulative"), alarms.INFERENCE_SECONDS_BOUNDS, q)).alias(f"q{round(q * 100)}")
+            for q in (0.5, 0.95)
+        ],
+    )
+
+
+@query
+def t6_error_rate(spark, d):
+    rates = monitor.error_rate(inputs.service_events(spark, d))
+    return rates.select("window_end", real(F.col("value")).alias("value"), (F.col("value") > 0.1).alias("high"))
+
+
+@query
+def t6_think_ratio(spark, d):
+    return monitor.think_ratio(inputs.service_events(spark, d)).select("window_end", real(F.col("value")).alias("value"))
+
+
+def fired(spark: SparkSession, d: str) -> DataFrame:
+    return monitor.threshold_alarms(monitor.window_statistics(metrics(spark, d)), monitor.threshold_rules(spark))
+
+
+@query
+def w5_j11_threshold_alarms(spark, d):
+    return fired(spark, d).select(
+        "alarm", "severity", "window_start", real(F.col("value")).alias("value"), whole(F.col("run")).alias("run"), "firing"
+    )
+
+
+@query
+def t7_notifications(spark, d):
+    sent = monitor.notifications(fired(spark, d).filter("firing"))
+    return sent.groupBy("alarm", "severity", "channel").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def t12_machine_alarms(spark, d):
+    statistics = monitor.window_statistics(machine_metrics(spark, d))
+    rows = monitor.threshold_alarms(statistics, monitor.threshold_rules(spark))
+    return rows.select(
+        "alarm", "window_start", real(F.col("value")).alias("value"), whole(F.col("run")).alias("run"), "firing"
+    )
+
+
+@query
+def w6_duration_alarms(spark, d):
+    signals = monitor.service_signals(
+        inputs.service_events(spark, d), alarms.INFERENCE_SECONDS_BOUNDS, alarms.CONFIDENCE_BOUNDS
+    )
+    rows = monitor.duration_alarms(signals, monitor.duration_rules(spark))
+    return rows.select("alarm", "severity", "window_end", real(F.col("value")).alias("value"), "since", "state")
+
+
+@query
+def t11_active_requests(spark, d):
+    return monitor.active_requests(inputs.service_events(spark, d)).select(
+        "minute", whole(F.col("change")).alias("change"), whole(F.col("active")).alias("active")
+    )
+
+
+# --- replays ------------------------------------------------------------------------------------
+
+
+@query
+def t8_rate_limit(spark, d):
+    events = inputs.service_events(spark, d)
+    return replay.replay_rate_limit(events, limit=2, window_seconds=86400)
+
+
+@query
+def t9_cache_replay(spark, d):
+    return replay.replay_cache(inputs.service_events(spark, d), ttl_seconds=3600)
+
+
+@query
+def t9_cache_with_latency(spark, d):
+    """One key per task type: stored when the answer is ready, one day to live."""
+    events = inputs.service_events(spark, d)
+    return replay.replay_cache(events, key="task_type", ttl_seconds=7200, latency_ms=F.col("latency_ms"))
+
+
+@query
+def t9_hit_counts(spark, d):
+    """T3: cache hits and misses."""
+    hits = replay.replay_cache(inputs.service_events(spark, d), ttl_seconds=3600)
+    return hits.groupBy("hit").agg(F.count(F.lit(1)).alias("n"))

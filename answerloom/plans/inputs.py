@@ -174,3 +174,64 @@ def knowledge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json(F.struct(F.struct("text", "lang").alias("body"))).alias("doc"),
     )
     return by_region.unionByName(by_event).unionByName(by_text)
+
+
+def task_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One queue message per service request, in five forms."""
+    r, form = requests(spark, sf_dir), F.col("req_id") % 5
+    users, sites = F.col("users").cast("string"), F.col("sites").cast("string")
+    listed = F.when(F.size("compliance") > 0, F.concat(F.lit('["'), F.array_join("compliance", '","'), F.lit('"]'))).otherwise("[]")
+    body = (
+        F.when(form == 0, F.concat(
+            F.lit('{"task_type":"design","context":{"requirements":{"users":'), users, F.lit(',"sites":'), sites,
+            F.lit(',"compliance":'), listed, F.lit(',"uptime":'), F.col("uptime").cast("string"),
+            F.lit(',"region":"emea"}},"priority":"high"}')))
+        .when(form == 1, F.concat(
+            F.lit('{"type":"troubleshoot","context":{"device":"r'), sites, F.lit('","symptom":"link '), users, F.lit(' down"}}')))
+        .when(form == 2, F.concat(
+            F.lit('{"task_type":"estimate","context":{"users":'), users, F.lit(',"compliance":'), listed, F.lit('},"priority":"low"}')))
+        .when(form == 3, F.concat(F.lit('{"users":'), users, F.lit(',"budget":"tight"}')))
+        .otherwise(F.concat(F.lit('{"task_type":"review","context":{"note":"'), sites, F.lit('"}}')))
+    )
+    task = F.when(form == 3, "").otherwise(F.concat(F.lit('"task_id":"t'), F.col("req_id").cast("string"), F.lit('",')))
+    value = F.concat(
+        F.lit('{"message_id":"m'), F.col("req_id").cast("string"), F.lit('",'), task,
+        F.when(form == 1, '"from_agent":"planner",').otherwise(""), F.lit('"payload":'), body, F.lit("}"),
+    )
+    return r.select("req_id", value.alias("value"))
+
+
+def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as they arrive, with gaps and values out of range."""
+    r, k = requests(spark, sf_dir), F.col("req_id")
+    return r.select(
+        "req_id", "users", F.when(k % 4 != 0, F.col("sites")).alias("sites"),
+        F.when(k % 5 != 0, F.col("compliance")).alias("compliance"), F.when(k % 6 != 0, F.col("uptime")).alias("uptime"),
+        F.when(k % 3 != 0, 128 + k % 5000).alias("max_tokens"), ((k % 13) / 10).alias("temperature"),
+        F.when(k % 7 != 0, F.substring(F.concat(F.lit("status "), F.col("status"), F.lit(" seen")), 1, (5 + k % 10).cast("int"))).alias("symptom"),
+        F.when(k % 2 == 0, "USD").when(k % 9 == 0, "eur").alias("currency"),
+    )
+
+
+def base_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Knowledge entries: one per nation under one of six categories."""
+    return table(spark, sf_dir, "nation").select(
+        _category(F.col("n_regionkey")).alias("category"), F.lit("base").alias("section"), F.col("n_name").alias("key"),
+        F.col("n_name").alias("entry"), F.lit("file").alias("source"), F.lit(0).cast("bigint").alias("added"),
+        F.col("n_nationkey").cast("bigint").alias("seq"),
+    )
+
+
+def _category(number: F.Column) -> F.Column:
+    names = ["design_patterns", "troubleshooting_trees", "compliance_requirements", "vendor_specifics", "cost_benchmarks", "unlisted"]
+    return F.array(*[F.lit(n) for n in names])[(number % 6).cast("int")]
+
+
+def new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates: one per customer, to the key of its nation; every sixth category does not exist."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        _category(F.col("n_regionkey") + F.col("c_custkey") % 6).alias("category"), F.lit("base").alias("section"),
+        F.col("n_name").alias("key"), F.col("c_name").alias("entry"), F.lit("update").alias("source"),
+        (F.col("c_custkey") % 100).cast("bigint").alias("added"), F.col("c_custkey").alias("seq"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from answerloom.fixed import alarms as al
 from answerloom.fixed import chain_text as ct
 from answerloom.fixed import scenarios as sc
 from answerloom.fixed.claims import CLAIMS
@@ -733,3 +734,255 @@ ORACLE["g14_u1_assembled_samples"] = f"""{_ASSEMBLED} SELECT o_orderkey, kind, C
   CASE WHEN answer IS NOT NULL THEN steps END AS reasoning_steps, CASE WHEN answer IS NOT NULL THEN src END AS first_source
 FROM both_kinds LEFT JOIN a USING (o_orderkey)"""
 ORACLE["a16_generation_stats"] = f"""WITH {_KINDS} SELECT kind, CASE WHEN o_orderkey % 13 = 0 THEN 'error' ELSE 'ok' END AS status, count(*) AS n FROM kinds GROUP BY 1, 2"""
+
+
+# --- requests -----------------------------------------------------------------------------------
+
+_RAW = """raw0 AS (SELECT req_id, users, CASE WHEN req_id % 4 <> 0 THEN sites ELSE 1 END AS sites,
+  CASE WHEN req_id % 5 <> 0 THEN compliance ELSE []::VARCHAR[] END AS compliance, CASE WHEN req_id % 6 <> 0 THEN uptime ELSE 99.9 END AS uptime,
+  CASE WHEN req_id % 3 <> 0 THEN 128 + req_id % 5000 ELSE 2048 END AS max_tokens, (req_id % 13) / 10.0::DOUBLE AS temperature,
+  CASE WHEN req_id % 7 <> 0 THEN substr(concat('status ', status, ' seen'), 1, (5 + req_id % 10)::INT) END AS symptom,
+  CASE WHEN req_id % 2 = 0 THEN 'USD' WHEN req_id % 9 = 0 THEN 'eur' ELSE 'USD' END AS currency FROM requests)"""
+ORACLE["p5_validate_requests"] = f"""WITH {REQUESTS}, {_RAW}
+SELECT req_id, users, sites, {joined('compliance')} AS compliance, uptime, max_tokens::BIGINT AS max_tokens, round(temperature, 6) AS temperature, currency,
+  concat_ws('|', CASE WHEN symptom IS NULL THEN 'symptom: required' END, CASE WHEN uptime < 90 OR uptime > 100 THEN 'uptime: not in 90.0..100.0' END,
+    CASE WHEN max_tokens < 256 OR max_tokens > 4096 THEN 'max_tokens: not in 256..4096' END, CASE WHEN temperature > 1 THEN 'temperature: not in 0.0..1.0' END,
+    CASE WHEN length(symptom) < 10 THEN 'symptom: shorter than 10' END, CASE WHEN NOT regexp_full_match(currency, '[A-Z]{{3}}') THEN 'currency: not three capital letters' END) AS violations
+FROM raw0"""
+
+_REVIEW = f"""{REQUESTS}, rv AS (SELECT *, (req_id % 41) / 40.0::DOUBLE AS confidence, CASE priority_code WHEN '1' THEN 'high' WHEN '5' THEN 'low' ELSE 'medium' END AS priority FROM requests)"""
+ORACLE["p6_review_rules"] = f"""WITH {_REVIEW} SELECT req_id, confidence < 0.8 OR len(compliance) > 0 OR uptime >= 99.99 AS api,
+  confidence < 0.8 OR priority = 'high' OR len(compliance) > 0 AS agent,
+  list_has_any(compliance, ['PCI-DSS', 'HIPAA']) OR uptime >= 99.99 OR confidence < 0.8 AS policy FROM rv"""
+ORACLE["p7_approval_routing"] = f"""WITH {_REVIEW}, e AS (SELECT *, status = 'P' AS failed FROM rv)
+SELECT CASE WHEN failed OR confidence < 0.8 OR priority = 'high' OR len(compliance) > 0 THEN 'approval' ELSE 'done' END AS queue,
+  CASE WHEN failed THEN 'error' ELSE 'success' END AS status, count(*) AS n, round(sum(CASE WHEN failed THEN 0 ELSE confidence END), 6) AS confidence
+FROM e GROUP BY 1, 2"""
+
+_LISTED = "CASE WHEN len(compliance) > 0 THEN concat('[\"', array_to_string(compliance, '\",\"'), '\"]') ELSE '[]' END"
+_MSG = f"""{REQUESTS}, msg AS (SELECT *, req_id % 5 AS form, concat('{{"users":', users, ',"sites":', sites, ',"compliance":', {_LISTED}, ',"uptime":', uptime, ',"region":"emea"}}') AS reqs FROM requests),
+tasks AS (SELECT *, CASE WHEN form = 3 THEN 'm' ELSE 't' END || req_id AS task_id,
+  CASE form WHEN 0 THEN 'design' WHEN 1 THEN 'troubleshoot' WHEN 2 THEN 'estimate' WHEN 3 THEN 'design' ELSE 'review' END AS type,
+  CASE form WHEN 0 THEN concat('{{"requirements":', reqs, '}}') WHEN 1 THEN concat('{{"device":"r', sites, '","symptom":"link ', users, ' down"}}')
+    WHEN 2 THEN concat('{{"users":', users, ',"compliance":', {_LISTED}, '}}') WHEN 3 THEN concat('{{"users":', users, ',"budget":"tight"}}')
+    ELSE concat('{{"note":"', sites, '"}}') END AS context,
+  CASE form WHEN 0 THEN 'high' WHEN 2 THEN 'low' ELSE 'medium' END AS priority, CASE WHEN form = 1 THEN 'planner' ELSE 'team_leader' END AS requestor FROM msg)"""
+ORACLE["p9_normalize_tasks"] = f"""WITH {_MSG} SELECT req_id, task_id, type, context, priority, requestor, task_id AS correlation_id, NULL::VARCHAR AS error FROM tasks"""
+
+
+def downtime_sql(u: str) -> str:
+    m = f"((100.0::DOUBLE - {u}) / 100 * 525600)"
+    return f"CASE WHEN {m} < 60 THEN printf('%.1f min/year', {m}) ELSE printf('%.1f hours/year', {m} / 60) END"
+
+
+_CLOSE = """
+Provide topology selection rationale, redundancy design, routing protocol selection,
+security architecture, and implementation roadmap. Include configuration examples."""
+_AGENT_DESIGN = f"""concat('Design a complete enterprise network architecture for:', chr(10), '- Users/endpoints: ', users, chr(10), '- Sites/locations: ',
+  CASE WHEN form = 0 THEN sites ELSE 1 END, chr(10), '- Required compliance: ', CASE WHEN form = 0 AND len(compliance) > 0 THEN array_to_string(compliance, ', ') ELSE 'none specified' END,
+  chr(10), '- Uptime requirement: ', up, '% (', {downtime_sql('up')}, ')', chr(10), '- Budget: ', CASE WHEN form = 0 THEN 'flexible' ELSE 'tight' END, chr(10), {q(_CLOSE)},
+  CASE WHEN form = 0 THEN concat(chr(10), 'Additional requirement — region: emea') ELSE '' END)"""
+ORACLE["r30_task_prompts"] = f"""WITH {_MSG}, t AS (SELECT *, CASE WHEN form = 0 THEN uptime ELSE 99.9::DOUBLE END AS up FROM tasks)
+SELECT req_id, type, md5(CASE type WHEN 'design' THEN {_AGENT_DESIGN}
+  WHEN 'troubleshoot' THEN concat('Troubleshoot this network issue:', chr(10), chr(10), 'Device: r', sites, chr(10), 'Symptom: link ', users, ' down', chr(10), 'Protocol: unknown', chr(10), 'Impact: unknown', chr(10))
+  WHEN 'estimate' THEN concat('Provide a detailed cost estimate for:', chr(10), chr(10), context, chr(10), chr(10), 'Break down CAPEX and annual OPEX. Include hardware, licensing, and implementation.')
+  ELSE context END) AS prompt_md5, CASE WHEN form IN (0, 2) THEN {joined('compliance')} ELSE '' END AS compliance FROM t"""
+
+_NL = "chr(10)"
+_TF = lambda c: f"CASE WHEN {c} THEN 'True' ELSE 'False' END"
+_U = "CASE WHEN req_id % 8 <> 0 THEN users::VARCHAR ELSE {} END"
+_COMP = "CASE WHEN len(compliance) > 0 THEN array_to_string(compliance, ', ') ELSE 'none' END"
+_TOOL_CLOSE = """
+Provide: topology selection, routing design, redundancy, security segmentation,
+hardware recommendations, and phased implementation plan."""
+_LOGS = "CASE WHEN req_id % 2 = 0 THEN concat(chr(10), '{}:', chr(10), repeat(status, 500)) ELSE '' END"
+_BGP = "CASE WHEN req_id % 3 = 0 THEN 'BGP' ELSE 'unknown' END"
+ORACLE["r30_w9_request_prompts"] = f"""WITH {REQUESTS} SELECT req_id,
+  md5(concat('Design a complete enterprise network architecture:', {_NL}, '- Users/endpoints: ', {_U.format("'not specified'")}, {_NL}, '- Sites: ', sites, {_NL}, '- Compliance: ', {_COMP}, {_NL},
+    '- Uptime SLA: ', uptime, '%', {_NL}, '- Budget: moderate', {_NL}, '- Data center: ', {_TF('req_id % 2 = 0')}, {_NL}, '- WAN type: ', CASE WHEN req_id % 5 = 0 THEN 'MPLS' ELSE 'not specified' END, {_NL},
+    '- Cloud connectivity: ', {_TF('req_id % 4 = 0')}, {_NL}, '- Redundancy level: N+2', {_NL}, '- racks: ', req_id % 10, {_NL}, '- order: ', status, {_NL})) AS design_api,
+  md5(concat('Design a complete enterprise network architecture:', {_NL}, 'Users: ', {_U.format("'not specified'")}, {_NL}, 'Sites: ', sites, {_NL}, 'Compliance: ', {_COMP}, {_NL}, 'Uptime SLA: ', uptime, '%', {_NL},
+    'Budget: moderate', {_NL}, 'Data center needed: ', {_TF('req_id % 2 = 0')}, {_NL}, 'Wireless coverage: ', {_TF('req_id % 3 = 0')}, {_NL}, {q(_TOOL_CLOSE)})) AS design_tool,
+  md5(concat('Troubleshoot: status ', status, {_NL}, 'Device: r', sites, {_NL}, 'Protocol: ', {_BGP}, {_LOGS.format('Logs')})) AS troubleshoot_api,
+  md5(concat('Troubleshoot network design issue:', {_NL}, 'Device: r', sites, {_NL}, 'Symptom: status ', status, {_NL}, 'Protocol: ', {_BGP}, {_NL}, {_LOGS.format('Relevant logs')})) AS troubleshoot_tool,
+  md5(concat('Cost estimate for ', {_U.format("'?'")}, ' users, ', sites, ' sites, compliance=[', coalesce(array_to_string(list_transform(compliance, lambda s: concat('''', s, '''')), ', '), ''), ']')) AS estimate_api,
+  md5(concat('Provide detailed cost estimate (EUR):', {_NL}, 'Users: ', {_U.format("'unspecified'")}, ', Sites: ', sites, {_NL}, 'Compliance: ', {_COMP}, {_NL}, 'Include: CAPEX itemization, ',
+    CASE WHEN req_id % 2 = 0 THEN 'annual OPEX, ' ELSE '' END, 'hardware, licensing, implementation labor')) AS estimate_tool FROM requests"""
+ORACLE["r27_r31_cache_keys"] = """SELECT doc_id, md5(concat('<|system|>', chr(10), 'Answer in ', lang, '<|end|>', chr(10), '<|user|>', chr(10), text, '<|end|>', chr(10), '<|assistant|>', chr(10))) AS prompt_md5,
+  substr(sha256(concat('Answer in ', lang, chr(10), text)), 1, 16) AS cache_key FROM documents"""
+ORACLE["r29_downtime"] = f"WITH {REQUESTS} SELECT req_id, uptime, {downtime_sql('uptime')} AS downtime FROM requests"
+
+
+# --- knowledge: the leaves are written down directly, no document is parsed ------------------------
+
+KB = """leaf AS (
+  SELECT r_name AS category, NULL::BIGINT AS doc_no, r_name || '.name' AS path, r_name AS v, true AS is_text FROM region
+  UNION ALL SELECT r_name, NULL, concat(r_name, '.nations[', i, '].', f), CASE f WHEN 'key' THEN n_nationkey::VARCHAR ELSE n_name END, true
+    FROM (SELECT r_name, n_nationkey, n_name, row_number() OVER (PARTITION BY r_name ORDER BY concat('{"key":"', n_nationkey, '","name":"', n_name, '"}')) - 1 AS i
+      FROM region JOIN nation ON n_regionkey = r_regionkey), (VALUES ('key'), ('name')) f(f)
+  UNION ALL SELECT event_type, event_id, event_type || '.props.k', json_extract_string(props, '$.k'), false FROM events
+  UNION ALL SELECT event_type, event_id, event_type || '.who[0]', 'user', true FROM events
+  UNION ALL SELECT event_type, event_id, event_type || '.who[1]', user_id::VARCHAR, false FROM events
+  UNION ALL SELECT source, doc_id, source || '.body.text', text, true FROM documents
+  UNION ALL SELECT source, doc_id, source || '.body.lang', lang, true FROM documents),
+post AS (SELECT category, doc_no, path, term FROM (SELECT category, doc_no, path, trim(unnest(string_split_regex(lower(v), '\\s+')), '.,;:()[]{}"''') AS term FROM leaf WHERE is_text)
+  WHERE length(term) > 3)"""
+_TERMS = "['the', 'nation', 'user', 'africa', 'estion', 'one']"
+ORACLE["k1_flatten"] = f"WITH {KB} SELECT category, doc_no, path, md5(v) AS value_md5, is_text FROM leaf"
+ORACLE["k2_index_terms"] = f"""WITH {KB} SELECT term, count(*) AS postings, count(DISTINCT (category, doc_no, path)) AS paths FROM post GROUP BY 1"""
+ORACLE["k3_j9_topic_matches"] = f"""WITH {KB} SELECT category, count(DISTINCT (doc_no, path)) AS match_count FROM post WHERE list_contains({_TERMS}, term) GROUP BY 1"""
+ORACLE["k3_topic_sections"] = f"""WITH {KB} SELECT DISTINCT category, string_split(path, '.')[2] AS section FROM post
+WHERE list_contains({_TERMS}, term) AND string_split(path, '.')[2] IN ('name', 'props', 'who', 'body', 'nations', 'empty')"""
+ORACLE["k4_slices"] = f"""WITH {KB} SELECT CASE WHEN path LIKE 'AFRICA.nations%' THEN 'members' WHEN path LIKE 'click.props%' THEN 'properties' ELSE 'texts' END AS slice, category, count(*) AS leaves
+FROM leaf WHERE path LIKE 'AFRICA.nations%' OR path LIKE 'click.props%' OR regexp_matches(path, '^src[0-9]+[.]body') GROUP BY 1, 2"""
+_COVER = """cover AS (SELECT r_name AS category, 3::BIGINT AS section_count, 1 + count(n_name) AS total_entries, false AS has_metadata FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1
+  UNION ALL SELECT event_type, 2, count(*) * 3, false FROM events GROUP BY 1 UNION ALL SELECT source, 1, count(*) * 2, false FROM documents GROUP BY 1)"""
+ORACLE["a15_k5_coverage"] = f"WITH {_COVER} SELECT category, section_count, total_entries::BIGINT AS total_entries, has_metadata FROM cover"
+ORACLE["a15_coverage_score"] = f"""WITH {KB}, {_COVER}, n AS (SELECT (SELECT count(*) FROM cover WHERE category IN ('AFRICA', 'ASIA', 'EUROPE', 'click', 'src0', 'src999')) AS present,
+  (SELECT count(DISTINCT term) FROM post) AS total_terms)
+SELECT present, total_terms, round(present::DOUBLE / 6 * 60 + least(40.0, total_terms::DOUBLE / 100), 1) AS coverage_score FROM n"""
+
+_NAMES = "['design_patterns', 'troubleshooting_trees', 'compliance_requirements', 'vendor_specifics', 'cost_benchmarks', 'unlisted']"
+_ENTRIES = f"""base AS (SELECT ({_NAMES})[n_regionkey % 6 + 1] AS category, n_name AS key, n_name AS entry, 'file' AS source, 0::BIGINT AS added, n_nationkey::BIGINT AS seq FROM nation),
+fresh AS (SELECT ({_NAMES})[(n_regionkey + c_custkey % 6) % 6 + 1] AS category, n_name AS key, c_name AS entry, 'update' AS source, c_custkey % 100 AS added, c_custkey AS seq
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+ORACLE["k6_upsert"] = f"""WITH {_ENTRIES}, u AS (SELECT * FROM base UNION ALL SELECT * FROM fresh WHERE category <> 'unlisted')
+SELECT category, 'base' AS section, key, entry, source, added, versions FROM (SELECT *, count(*) OVER (PARTITION BY category, key) AS versions,
+  row_number() OVER (PARTITION BY category, key ORDER BY added DESC, seq DESC) AS rn FROM u) WHERE rn = 1"""
+ORACLE["k6_rejected"] = f"WITH {_ENTRIES} SELECT category, count(*) AS n FROM fresh WHERE category = 'unlisted' GROUP BY 1"
+ORACLE["k7_extraction_entries"] = """SELECT source AS category, lang AS key, versions, added, least(2000, length(text))::BIGINT AS description_chars, md5(text) AS content_md5
+FROM (SELECT *, doc_id % 97 AS added, count(*) OVER (PARTITION BY source, lang) AS versions,
+  row_number() OVER (PARTITION BY source, lang ORDER BY doc_id % 97 DESC, doc_id DESC) AS rn FROM documents) WHERE rn = 1"""
+ORACLE["k7_refresh_metadata"] = f"""WITH {_ENTRIES}, b AS (SELECT category, max(added) AS last_updated, count(*) AS n FROM base GROUP BY 1),
+f AS (SELECT category, max(added) AS updated, count(*) AS m FROM fresh GROUP BY 1)
+SELECT category, greatest(last_updated, updated) AS last_updated, n + coalesce(m, 0) AS live_extractions FROM b LEFT JOIN f USING (category)"""
+ORACLE["k8_extraction_counts"] = """SELECT source AS category, count(*) FILTER (doc_id % 9 <> 0 AND text <> '') AS success,
+  count(*) FILTER (doc_id % 9 = 0 OR text = '') AS failed FROM documents GROUP BY 1"""
+
+
+# --- monitoring ---------------------------------------------------------------------------------
+
+SERVED = """served AS (SELECT event_id, ts, user_id, event_type AS task_type, value * 100 AS latency_ms, least(1.0::DOUBLE, 0.5 + value / 300) AS confidence,
+  event_id % 5 <> 0 AS has_think, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code FROM events)"""
+METRICS = f"""{SERVED}, metrics AS (SELECT ts, task_type AS endpoint, 'InferenceLatency' AS metric, latency_ms AS value FROM served
+  UNION ALL SELECT ts, task_type, 'ConfidenceScore', confidence FROM served UNION ALL SELECT ts, task_type, 'ThinkBlockPresent', has_think::INT FROM served
+  UNION ALL SELECT ts, task_type, 'RequestCount', 1 FROM served UNION ALL SELECT ts, task_type, 'ErrorCount', 1 FROM served WHERE status_code >= 400)"""
+
+
+def win(seconds: int) -> str:
+    return f"(epoch_us(ts) // {seconds * 1000000} * {seconds})"
+
+
+ORACLE["t2_metric_counts"] = f"WITH {METRICS} SELECT metric, endpoint, count(*) AS n, round(sum(value), 6) AS total FROM metrics GROUP BY 1, 2"
+ORACLE["t1_metric_windows"] = f"""WITH {METRICS} SELECT metric, {win(300)} AS window_start, count(*) AS n, round(sum(value), 6) AS sum, round(avg(value), 6) AS average,
+  round(min(value), 6) AS least, round(max(value), 6) AS greatest FROM metrics GROUP BY 1, 2"""
+_P = "round(quantile_cont({v}, 0.5), 6) AS p50, round(quantile_cont({v}, 0.95), 6) AS p95, round(quantile_cont({v}, 0.99), 6) AS p99"
+ORACLE["t1_percentiles"] = f"WITH {METRICS} SELECT metric, {win(3600)} AS window_start, {_P.format(v='value')} FROM metrics GROUP BY 1, 2"
+ORACLE["t1_percentiles_overall"] = f"WITH {SERVED} SELECT task_type, {_P.format(v='latency_ms')} FROM served GROUP BY 1"
+ORACLE["t3_labelled_counts"] = f"WITH {SERVED} SELECT task_type, status_code, has_think, confidence < 0.8 AS approval, count(*) AS n FROM served GROUP BY 1, 2, 3, 4"
+
+
+def hist(name: str, value: str, bounds) -> str:
+    rows = ", ".join(f"({q(str(b))}, {b}::DOUBLE)" for b in bounds) + ", ('+Inf', 'inf'::DOUBLE)"
+    return f"SELECT {q(name)} AS name, task_type, le, count(*) FILTER ({value} <= b) AS n FROM served, (VALUES {rows}) t(le, b) GROUP BY 2, 3"
+
+
+ORACLE["t4_histograms"] = f"""WITH {SERVED} {hist('request', 'latency_ms / 1000', al.REQUEST_SECONDS_BOUNDS)} UNION ALL
+{hist('inference', 'latency_ms / 1000', al.INFERENCE_SECONDS_BOUNDS)} UNION ALL {hist('confidence', 'confidence', al.CONFIDENCE_BOUNDS)}"""
+
+
+def quantile_rows(source: str, keys: str, value: str, bounds, qs) -> str:
+    """Interpolated quantile of bucket counts: the first bucket whose count reaches the rank."""
+    lows = ", ".join(f"({i}, {0.0 if i == 0 else bounds[i - 1]}::DOUBLE, {b}::DOUBLE)" for i, b in enumerate(bounds))
+    parts = []
+    for p in qs:
+        parts.append(f"""SELECT {keys}, {p}::DOUBLE AS q, coalesce(arg_min(lo + (hi - lo) * (({p}::DOUBLE * n - below) / (c - below)), i) FILTER (c >= {p}::DOUBLE * n), {float(bounds[-1])}) AS value
+FROM (SELECT {keys}, i, lo, hi, count(*) FILTER ({value} <= hi) AS c, count(*) FILTER ({value} <= lo AND i > 0) AS below, count(*) AS n
+  FROM {source}, (VALUES {lows}) b(i, lo, hi) GROUP BY {keys}, i, lo, hi) GROUP BY {keys}""")
+    return " UNION ALL ".join(parts)
+
+
+ORACLE["t5_histogram_quantiles"] = f"""WITH {SERVED}, w AS (SELECT *, {win(600)} AS window_start FROM served),
+x AS ({quantile_rows('w', 'task_type, window_start', 'latency_ms / 1000', al.INFERENCE_SECONDS_BOUNDS, [0.5, 0.95])})
+SELECT task_type, window_start, round(max(value) FILTER (q = 0.5), 6) AS q50, round(max(value) FILTER (q = 0.95), 6) AS q95 FROM x GROUP BY 1, 2"""
+
+
+def slide(source: str, seconds: int) -> str:
+    return f"(SELECT *, unnest(range({win(60)} + 60, {win(60)} + {seconds} + 1, 60)) AS window_end FROM {source})"
+
+
+_ERR = f"SELECT window_end, count(*) FILTER (status_code >= 500) / 300.0::DOUBLE AS value FROM {slide('served', 300)} GROUP BY 1"
+_RATIO = f"""SELECT window_end, (count(*) FILTER (has_think) / 900.0::DOUBLE) / (count(*) / 900.0::DOUBLE + 1e-9) AS value FROM {slide('served', 900)} GROUP BY 1"""
+ORACLE["t6_error_rate"] = f"WITH {SERVED} SELECT window_end, round(value, 6) AS value, value > 0.1 AS high FROM ({_ERR})"
+ORACLE["t6_think_ratio"] = f"WITH {SERVED} SELECT window_end, round(value, 6) AS value FROM ({_RATIO})"
+
+_CMP = "CASE WHEN comparison IN ('GreaterThanThreshold', '>') THEN value > threshold WHEN comparison IN ('LessThanThreshold', '<') THEN value < threshold ELSE value = threshold END"
+
+
+def alarm_sql(base: str) -> str:
+    rules = ", ".join(f"({q(a)}, {q(m)}, {q(s)}, {p}, {k}, {t}::DOUBLE, {q(c)}, {q(v)})" for a, m, s, p, k, t, c, v in al.THRESHOLD_ALARMS)
+    stats = " UNION ALL ".join(
+        f"SELECT {q(a)} AS alarm, {win(p)} AS window_start, "
+        + {"Average": "avg(value)", "Sum": "sum(value)"}.get(s, f"quantile_cont(value, {int(s[1:]) / 100 if s[0] == 'p' else 0})")
+        + f" AS value FROM metrics WHERE metric = {q(m)} GROUP BY 2"
+        for a, m, s, p, *_ in al.THRESHOLD_ALARMS
+    )
+    return f"""{base}, rules(alarm, metric, stat, period, periods, threshold, comparison, severity) AS (VALUES {rules}), stats AS ({stats}),
+bad AS (SELECT *, window_start // period AS slot FROM stats JOIN rules USING (alarm) WHERE {_CMP}),
+isl AS (SELECT *, slot - row_number() OVER (PARTITION BY alarm ORDER BY slot) AS island FROM bad),
+fired AS (SELECT alarm, severity, window_start, value, row_number() OVER (PARTITION BY alarm, island ORDER BY slot) AS run,
+  row_number() OVER (PARTITION BY alarm, island ORDER BY slot) >= periods AS firing FROM isl)"""
+
+
+ORACLE["w5_j11_threshold_alarms"] = f"WITH {alarm_sql(METRICS)} SELECT alarm, severity, window_start, round(value, 6) AS value, run, firing FROM fired"
+_CHAN = ", ".join(f"({q(s)}, {q(c)})" for s, names in al.CHANNELS.items() for c in names)
+ORACLE["t7_notifications"] = f"""WITH {alarm_sql(METRICS)} SELECT alarm, severity, channel, count(*) AS n FROM fired JOIN (VALUES {_CHAN}) c(severity, channel) USING (severity)
+WHERE firing GROUP BY 1, 2, 3"""
+_MACHINE = """metrics AS (SELECT ts, 'disk_used_percent' AS metric, 60 + value % 40 AS value FROM events UNION ALL SELECT ts, 'CPUUtilization', value % 8 FROM events)"""
+ORACLE["t12_machine_alarms"] = f"WITH {alarm_sql(_MACHINE)} SELECT alarm, window_start, round(value, 6) AS value, run, firing FROM fired"
+
+_ACTIVE = """moves AS (SELECT epoch_us(ts) // 60000000 * 60 AS minute, 1 AS change FROM served
+  UNION ALL SELECT (epoch_us(ts) + trunc(latency_ms * 1000)::BIGINT) // 60000000 * 60, -1 FROM served),
+net AS (SELECT minute, sum(change)::BIGINT AS change FROM moves GROUP BY 1),
+active AS (SELECT minute, change, sum(change) OVER (ORDER BY minute)::BIGINT AS active FROM net)"""
+ORACLE["t11_active_requests"] = f"WITH {SERVED}, {_ACTIVE} SELECT * FROM active"
+_DUR = ", ".join(
+    f"({q(a)}, {q(s)}, {w}, {t}::DOUBLE, {q(c)}, {h}, {q(v)})" for a, s, _, w, t, c, h, v in al.DURATION_ALARMS
+)
+_SLIDE_Q = f"""qi AS ({quantile_rows(slide('served', 300), 'window_end', 'latency_ms / 1000', al.INFERENCE_SECONDS_BOUNDS, [0.95])}),
+qc AS ({quantile_rows(slide('served', 600), 'window_end', 'confidence', al.CONFIDENCE_BOUNDS, [0.5])})"""
+ORACLE["w6_duration_alarms"] = f"""WITH {SERVED}, {_ACTIVE}, {_SLIDE_Q},
+sig AS (SELECT 'inference_seconds' AS signal, window_end, value FROM qi UNION ALL SELECT 'confidence', window_end, value FROM qc
+  UNION ALL SELECT 'errors_per_second', window_end, value FROM ({_ERR}) UNION ALL SELECT 'think_ratio', window_end, value FROM ({_RATIO})
+  UNION ALL SELECT 'up', {win(60)} + 60, max((status_code < 500)::INT)::DOUBLE FROM served GROUP BY 2
+  UNION ALL SELECT 'active_requests', minute + 60, active::DOUBLE FROM active),
+rules(alarm, signal, seconds, threshold, comparison, hold, severity) AS (VALUES {_DUR}),
+bad AS (SELECT *, window_end // 60 AS slot FROM sig JOIN rules USING (signal) WHERE {_CMP}),
+isl AS (SELECT *, slot - row_number() OVER (PARTITION BY alarm ORDER BY slot) AS island FROM bad),
+since AS (SELECT *, min(window_end) OVER (PARTITION BY alarm, island) AS since FROM isl)
+SELECT alarm, severity, window_end, round(value, 6) AS value, since, CASE WHEN window_end - since >= hold THEN 'firing' ELSE 'pending' END AS state FROM since"""
+
+
+# --- replays: one decision after the other --------------------------------------------------------
+
+_ORDERED = f"""{SERVED}, o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM served)"""
+ORACLE["t8_rate_limit"] = f"""WITH RECURSIVE {_ORDERED}, r AS (
+  SELECT user_id, event_id, rn, true AS accepted, [t] AS live FROM o WHERE rn = 1
+  UNION ALL SELECT o.user_id, o.event_id, o.rn, len(list_filter(r.live, lambda x: o.t - x < 86400000000)) < 2,
+    CASE WHEN len(list_filter(r.live, lambda x: o.t - x < 86400000000)) < 2 THEN list_append(list_filter(r.live, lambda x: o.t - x < 86400000000), o.t)
+      ELSE list_filter(r.live, lambda x: o.t - x < 86400000000) END
+  FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
+SELECT user_id, event_id, accepted FROM r"""
+
+
+def cache_sql(key: str, ttl: int, latency: str) -> str:
+    return f"""WITH RECURSIVE {SERVED}, o AS (SELECT {key} AS k, event_id, epoch_us(ts) AS t, trunc({latency})::BIGINT AS lat,
+  row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM served),
+r AS (SELECT k, event_id, rn, false AS hit, t + lat AS stored FROM o WHERE rn = 1
+  UNION ALL SELECT o.k, o.event_id, o.rn, o.t - r.stored < {ttl * 1000000}, CASE WHEN o.t - r.stored < {ttl * 1000000} THEN r.stored ELSE o.t + o.lat END
+  FROM r JOIN o ON o.k = r.k AND o.rn = r.rn + 1)"""
+
+
+ORACLE["t9_cache_replay"] = f"{cache_sql('user_id', 3600, '0')} SELECT k AS user_id, event_id, hit FROM r"
+ORACLE["t9_cache_with_latency"] = f"{cache_sql('task_type', 7200, 'latency_ms * 1000')} SELECT k AS task_type, event_id, hit FROM r"
+ORACLE["t9_hit_counts"] = f"{cache_sql('user_id', 3600, '0')} SELECT hit, count(*) AS n FROM r GROUP BY 1"
