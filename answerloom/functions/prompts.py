@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.functions.text import WHITESPACE, cut
+from answerloom.functions.text import WHITESPACE, cut, one_decimal
 
 # Chat marks.
 SYSTEM, USER, ASSISTANT, END = "<|system|>", "<|user|>", "<|assistant|>", "<|end|>"
@@ -97,8 +97,8 @@ def span_weights(text: Column, weight: float = 2.0) -> Column:
 def downtime(uptime: Column) -> Column:
     """R29."""
     minutes = (F.lit(100.0) - uptime) / 100 * 525600
-    return F.when(minutes < 60, F.format_string("%.1f min/year", minutes)).otherwise(
-        F.format_string("%.1f hours/year", minutes / 60)
+    return F.when(minutes < 60, F.concat(one_decimal(minutes), F.lit(" min/year"))).otherwise(
+        F.concat(one_decimal(minutes / 60), F.lit(" hours/year"))
     )
 
 

@@ -58,19 +58,37 @@ def join_lines(parts: list[Column]) -> Column:
     return F.concat_ws("\n", *parts)
 
 
-def round_exact(x: Column, digits: int = 3) -> Column:
-    """Round a double in [0, 4) half-even on its binary value, as Python's round() does.
-
-    ``x * 2**60`` is a whole number for every double from 2**-8 on, so the remainder of the
-    scaled integer decides without a second rounding error.
-    """
+def _round_scaled(x: Column, digits: int, bits: int) -> Column:
     scale = 10 ** digits
-    whole = (x * float(2 ** 60)).cast("bigint")
-    mask = (1 << 30) - 1
+    whole = (x * float(2 ** bits)).cast("bigint")
+    mask, rest_bits = (1 << 30) - 1, bits - 30
     low = whole.bitwiseAND(F.lit(mask)) * scale
     high = F.shiftright(whole, 30) * scale + F.shiftright(low, 30)
-    quotient = F.shiftright(high, 30)
-    rest = F.shiftleft(high.bitwiseAND(F.lit(mask)), 30) + low.bitwiseAND(F.lit(mask))
-    half = 1 << 59
+    quotient = F.shiftright(high, rest_bits)
+    rest = F.shiftleft(high.bitwiseAND(F.lit((1 << rest_bits) - 1)), 30) + low.bitwiseAND(F.lit(mask))
+    half = 1 << (bits - 1)
     up = (rest > half) | ((rest == half) & (quotient % 2 == 1))
     return (quotient + up.cast("bigint")) / F.lit(float(scale))
+
+
+def round_exact(x: Column, digits: int = 3, below: float = 4.0) -> Column:
+    """Round a double half-even on its binary value, as Python's round() does.
+
+    A double times a power of two is exact, so the remainder of the scaled whole number decides
+    without a second rounding error. Exact for values from 2**-8 up to ``below``, which is 4 or
+    16384; larger ones are rounded on their decimal form.
+    """
+    unit = _round_scaled(x, digits, 60)
+    if below <= 4:
+        return unit
+    return (
+        F.when(x < 4, unit)
+        .when(x < 64, _round_scaled(x, digits, 56))
+        .when(x < 1024, _round_scaled(x, digits, 52))
+        .when(x < 16384, _round_scaled(x, digits, 48))
+        .otherwise(F.bround(x, digits))
+    )
+
+
+def one_decimal(x: Column) -> Column:
+    return F.format_string("%.1f", round_exact(x, 1, 16384))

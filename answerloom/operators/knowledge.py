@@ -184,12 +184,14 @@ def coverage(docs: DataFrame, category: str = "category", doc: str = "doc") -> D
 def coverage_score(coverage_rows: DataFrame, postings: DataFrame, required: list[str]) -> DataFrame:
     """A15. 60 points for present categories, up to 40 for index terms; A19 counts the terms."""
     present = coverage_rows.filter(F.col("category").isin(required) & (F.col("section_count") > 0)).agg(
-        F.count(F.lit(1)).alias("present")
+        F.count(F.lit(1)).alias("present"), F.lit(0).cast("bigint").alias("total_terms")
     )
-    terms = postings.select("term").distinct().agg(F.count(F.lit(1)).alias("total_terms"))
+    terms = postings.select("term").distinct().agg(
+        F.lit(0).cast("bigint").alias("present"), F.count(F.lit(1)).alias("total_terms")
+    )
+    both = present.unionByName(terms).agg(F.sum("present").alias("present"), F.sum("total_terms").alias("total_terms"))
     score = F.col("present") / len(required) * 60 + F.least(F.lit(40.0), F.col("total_terms") / 100)
-    # Two single-row aggregates side by side.
-    return present.crossJoin(F.broadcast(terms)).select("present", "total_terms", F.round(score, 1).alias("coverage_score"))
+    return both.select("present", "total_terms", F.round(score, 1).alias("coverage_score"))
 
 
 def upsert(base: DataFrame, new: DataFrame, known: list[str] | None = None) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerloom.fixed.alarms import CHANNELS, DURATION_ALARMS, THRESHOLD_ALARMS
 from answerloom.operators.joins import small_side
+from answerloom.session import cut_lineage
 
 INFINITY = "+Inf"
 
@@ -160,38 +162,48 @@ def minute(ts: Column) -> Column:
     return window_start(ts, 60)
 
 
-def error_rate(events: DataFrame, seconds: int = 300) -> DataFrame:
-    """T6. Server errors per second over the sliding window."""
-    per_minute = events.groupBy(minute(F.col("ts")).alias("minute")).agg(
-        F.count_if(F.col("status_code") >= 500).alias("errors")
+def minute_profile(
+    events: DataFrame, inference_bounds: list[float], confidence_bounds: list[float], by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Everything the sliding signals need, counted per minute in one pass over the events."""
+    seconds, confidence = F.col("latency_ms") / 1000, F.col("confidence")
+    return events.groupBy(*by, minute(F.col("ts")).alias("minute")).agg(
+        F.count(F.lit(1)).alias("answers"),
+        F.count_if("has_think").alias("thinking"),
+        F.count_if(F.col("status_code") >= 500).alias("errors"),
+        *[F.count_if(seconds <= b).alias(f"inference_{i}") for i, b in enumerate(inference_bounds)],
+        F.count(seconds).alias(f"inference_{len(inference_bounds)}"),
+        *[F.count_if(confidence <= b).alias(f"confidence_{i}") for i, b in enumerate(confidence_bounds)],
+        F.count(confidence).alias(f"confidence_{len(confidence_bounds)}"),
     )
-    return sliding(per_minute, seconds, ["errors"]).select(
+
+
+def error_rate(profile: DataFrame, seconds: int = 300) -> DataFrame:
+    """T6. Server errors per second over the sliding window, from the minute profile."""
+    return sliding(profile, seconds, ["errors"]).select(
         "window_end", (F.col("errors") / float(seconds)).alias("value")
     )
 
 
-def think_ratio(events: DataFrame, seconds: int = 900) -> DataFrame:
+def think_ratio(profile: DataFrame, seconds: int = 900) -> DataFrame:
     """T6. Share of answers with a reasoning block, as a ratio of rates."""
-    per_minute = events.groupBy(minute(F.col("ts")).alias("minute")).agg(
-        F.count_if("has_think").alias("thinking"), F.count(F.lit(1)).alias("answers")
-    )
-    rate = lambda c: F.col(c) / float(seconds)
-    return sliding(per_minute, seconds, ["thinking", "answers"]).select(
+
+    def rate(name: str) -> Column:
+        return F.col(name) / float(seconds)
+
+    return sliding(profile, seconds, ["thinking", "answers"]).select(
         "window_end", (rate("thinking") / (rate("answers") + F.lit(1e-9))).alias("value")
     )
 
 
 def sliding_quantile(
-    events: DataFrame, value: Column, bounds: list[float], q: float, seconds: int, by: tuple[str, ...] = ()
+    profile: DataFrame, name: str, bounds: list[float], q: float, seconds: int, by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """T5. Histogram quantile over the sliding window."""
-    names = [f"_b{i}" for i in range(len(bounds) + 1)]
-    per_minute = events.withColumn("_v", value).groupBy(*by, minute(F.col("ts")).alias("minute")).agg(
-        *[F.count_if(F.col("_v") <= b).alias(n) for b, n in zip(bounds, names)], F.count("_v").alias(names[-1])
-    )
-    windows = sliding(per_minute, seconds, names, by)
+    """T5. Histogram quantile over the sliding window; ``name`` is inference or confidence."""
+    counts = [f"{name}_{i}" for i in range(len(bounds) + 1)]
+    windows = sliding(profile, seconds, counts, by)
     return windows.select(
-        *by, "window_end", histogram_quantile(F.array(*names), bounds, q).alias("value")
+        *by, "window_end", histogram_quantile(F.array(*counts), bounds, q).alias("value")
     ).filter("value IS NOT NULL")
 
 
@@ -226,7 +238,12 @@ def active_requests(events: DataFrame) -> DataFrame:
 
 
 def service_signals(events: DataFrame, inference_bounds: list[float], confidence_bounds: list[float]) -> DataFrame:
-    """The signals the duration rules watch: (signal, quantile, seconds, window_end, value)."""
+    """The signals the duration rules watch: (signal, quantile, seconds, window_end, value).
+
+    The events are read twice, once for the minute profile and once for the requests in
+    progress; all signals come from those per-minute rows.
+    """
+    profile = cut_lineage(minute_profile(events, inference_bounds, confidence_bounds))
 
     def named(df: DataFrame, signal: str, seconds: int, quantile: float | None = None) -> DataFrame:
         return df.select(
@@ -234,14 +251,14 @@ def service_signals(events: DataFrame, inference_bounds: list[float], confidence
             F.lit(seconds).alias("seconds"), "window_end", F.col("value").cast("double").alias("value"),
         )
 
-    up = events.groupBy(minute(F.col("ts")).alias("m")).agg(F.max((F.col("status_code") < 500).cast("int")).alias("value"))
+    up = profile.select((F.col("minute") + 60).alias("window_end"), (F.col("errors") < F.col("answers")).cast("int").alias("value"))
     active = active_requests(events).select((F.col("minute") + 60).alias("window_end"), F.col("active").alias("value"))
     parts = [
-        named(sliding_quantile(events, F.col("latency_ms") / 1000, inference_bounds, 0.95, 300), "inference_seconds", 300, 0.95),
-        named(sliding_quantile(events, F.col("confidence"), confidence_bounds, 0.50, 600), "confidence", 600, 0.50),
-        named(error_rate(events, 300), "errors_per_second", 300),
-        named(think_ratio(events, 900), "think_ratio", 900),
-        named(up.select((F.col("m") + 60).alias("window_end"), "value"), "up", 60),
+        named(sliding_quantile(profile, "inference", inference_bounds, 0.95, 300), "inference_seconds", 300, 0.95),
+        named(sliding_quantile(profile, "confidence", confidence_bounds, 0.50, 600), "confidence", 600, 0.50),
+        named(error_rate(profile, 300), "errors_per_second", 300),
+        named(think_ratio(profile, 900), "think_ratio", 900),
+        named(up, "up", 60),
         named(active, "active_requests", 60),
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -273,23 +290,41 @@ def _breaches(value: Column, comparison: Column, threshold: Column) -> Column:
 
 
 def window_statistics(metrics: DataFrame, rules: list[tuple] = THRESHOLD_ALARMS) -> DataFrame:
-    """(metric, period, stat, window_start, value) for every statistic the rules ask for."""
+    """(metric, period, stat, window_start, value) for every statistic the rules ask for.
+
+    Sums and averages of all periods add up from one set of small windows, so the raw rows are
+    aggregated once whatever the number of periods.
+    """
+    plain = [r for r in rules if r[2] in ("Average", "Sum")]
     parts = []
-    for period in sorted({r[3] for r in rules}):
-        asked = [r for r in rules if r[3] == period]
-        plain = sorted({r[1] for r in asked if r[2] in ("Average", "Sum")})
-        if plain:
-            windows = metric_windows(metrics.filter(F.col("metric").isin(plain)), period)
-            parts.append(
-                windows.unpivot(["metric", "window_start"], [F.col("average").alias("Average"), F.col("sum").alias("Sum")], "stat", "value")
-                .withColumn("period", F.lit(period))
-            )
-        points = sorted({int(r[2][1:]) / 100 for r in asked if r[2].startswith("p")})
-        if points:
-            named = sorted({r[1] for r in asked if r[2].startswith("p")})
-            wide = metric_percentiles(metrics.filter(F.col("metric").isin(named)), period, points)
-            columns = [f"p{round(p * 100)}" for p in points]
-            parts.append(wide.unpivot(["metric", "window_start"], columns, "stat", "value").withColumn("period", F.lit(period)))
+    if plain:
+        unit = gcd(*[r[3] for r in plain])
+        named = metrics.filter(F.col("metric").isin(sorted({r[1] for r in plain})))
+        small = named.groupBy("metric", window_start(F.col("ts"), unit).alias("start")).agg(
+            F.sum("value").alias("sum"), F.count("value").alias("n")
+        )
+        asked = F.create_map(
+            *[
+                x for m in sorted({r[1] for r in plain})
+                for x in (F.lit(m), F.array(*[F.lit(p) for p in sorted({r[3] for r in plain if r[1] == m})]))
+            ]
+        )
+        per_period = small.withColumn("period", F.explode(asked[F.col("metric")]))
+        begin = F.floor(F.col("start") / F.col("period")) * F.col("period")
+        windows = per_period.groupBy("metric", "period", begin.alias("window_start")).agg(
+            F.sum("sum").alias("Sum"), (F.sum("sum") / F.sum("n")).alias("Average")
+        )
+        parts.append(windows.unpivot(["metric", "period", "window_start"], ["Sum", "Average"], "stat", "value"))
+    ranked = [r for r in rules if r[2].startswith("p")]
+    for period in sorted({r[3] for r in ranked}):
+        asked_here = [r for r in ranked if r[3] == period]
+        points = sorted({int(r[2][1:]) / 100 for r in asked_here})
+        named = metrics.filter(F.col("metric").isin(sorted({r[1] for r in asked_here})))
+        wide = metric_percentiles(named, period, points)
+        columns = [f"p{round(p * 100)}" for p in points]
+        parts.append(
+            wide.unpivot(["metric", "window_start"], columns, "stat", "value").withColumn("period", F.lit(period))
+        )
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -9,17 +9,22 @@ without a pause between them run in rounds, each starting from the state the las
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerloom.operators.joins import small_side
 from answerloom.session import cut_lineage
 
+# The folds travel to the executors with the job; these need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 2_000_000
 SECOND = 1_000_000
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.functions.checks import accuracy_checks, sample_checks, score_checks
+from answerloom.functions.text import one_decimal
 from answerloom.operators.reports import top_counts
 
 __all__ = [
@@ -52,7 +53,7 @@ def recommendations(rates: DataFrame) -> DataFrame:
     """P8."""
     return rates.filter("pass_rate < 80.0").select(
         "check",
-        F.format_string("Improve '%s': currently %.1f%% pass rate", "check", "pass_rate").alias("recommendation"),
+        F.format_string("Improve '%s': currently %s%% pass rate", "check", one_decimal(F.col("pass_rate"))).alias("recommendation"),
     )
 
 

@@ -14,7 +14,7 @@ from answerloom.operators import (
     curate, evaluate, generate, knowledge, monitor, replay, requests, respond, validate,
 )
 from answerloom.operators.reports import score_summary, top_counts
-from answerloom.plans import inputs
+from answerloom.plans import datasets, inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -416,11 +416,9 @@ def a6_accuracy_report(spark, d):
 
 def scored_cases(spark: SparkSession, d: str) -> DataFrame:
     """Every response is an answer to the case its conversation number falls on."""
-    cases = inputs.test_cases(spark, d)
-    answered = suite_confidence(parsed(spark, d, "suite"))
-    size = inputs.table(spark, d, "benchmark").agg(F.count(F.lit(1)).alias("n_cases"))
-    numbered = answered.crossJoin(F.broadcast(size)).withColumn("case_id", F.col("conv_id") % F.col("n_cases"))
-    return scores.keyword_score(evaluate.with_cases(numbered, cases))
+    n_cases = inputs.table(spark, d, "benchmark").count()
+    numbered = inputs.responses(spark, d).withColumn("case_id", F.col("conv_id") % n_cases)
+    return datasets.score_suite(numbered, inputs.test_cases(spark, d))
 
 
 @query
@@ -448,10 +446,7 @@ def a13_missing_keywords(spark, d):
 
 
 def evaluated(spark: SparkSession, d: str) -> DataFrame:
-    rows = parsed(spark, d, "basic")
-    rows = rows.withColumn("full_text", F.concat_ws(" ", "answer", "reasoning"))
-    rows = scores.alignment_score(facts.check_facts(rows, "full_text", "category"), "full_text")
-    return rows.withColumn("reasoning_score", scores.reasoning_score(F.concat_ws("\n", "reasoning", "answer")))
+    return datasets.evaluate_responses(inputs.responses(spark, d))
 
 
 @query
@@ -522,8 +517,7 @@ def a14_evaluation_metrics(spark, d):
 
 @query
 def q1_gates(spark, d):
-    metrics = evaluate.metrics_long(evaluate.evaluation_metrics(evaluated(spark, d)))
-    gates = evaluate.evaluate_gates(metrics, evaluate.gate_targets(spark))
+    gates = datasets.gate_report(inputs.responses(spark, d))
     return gates.withColumn("value", real(F.col("value")))
 
 
@@ -925,15 +919,21 @@ def t5_histogram_quantiles(spark, d):
     )
 
 
+def profile(spark: SparkSession, d: str) -> DataFrame:
+    return monitor.minute_profile(
+        inputs.service_events(spark, d), alarms.INFERENCE_SECONDS_BOUNDS, alarms.CONFIDENCE_BOUNDS
+    )
+
+
 @query
 def t6_error_rate(spark, d):
-    rates = monitor.error_rate(inputs.service_events(spark, d))
+    rates = monitor.error_rate(profile(spark, d))
     return rates.select("window_end", real(F.col("value")).alias("value"), (F.col("value") > 0.1).alias("high"))
 
 
 @query
 def t6_think_ratio(spark, d):
-    return monitor.think_ratio(inputs.service_events(spark, d)).select("window_end", real(F.col("value")).alias("value"))
+    return monitor.think_ratio(profile(spark, d)).select("window_end", real(F.col("value")).alias("value"))
 
 
 def fired(spark: SparkSession, d: str) -> DataFrame:

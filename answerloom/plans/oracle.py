@@ -534,8 +534,8 @@ SELECT count(*) AS total, count(*) FILTER (done) AS completed, count(*) FILTER (
   round(max(latency_ms) FILTER (done), 6) AS max_latency_ms,
   round(count(*) FILTER (done AND has_think_block)::DOUBLE / count(*) FILTER (done), 6) AS think_block_rate FROM d"""
 
-_EVAL = f"""WITH {PARSED_BASIC}, ev AS (SELECT *, concat(answer, ' ', reasoning) AS full_text FROM basic),
-{fact_check('ev', 'full_text', 'category')}, {aligned('fc', 'full_text')},
+_EVAL = f"""WITH {PARSED_BASIC}, ev AS (SELECT *, concat(answer, ' ', reasoning) AS full_text, concat(reasoning, ' ', answer) AS claim_text FROM basic),
+{fact_check('ev', 'full_text', 'category')}, {aligned('fc', 'claim_text')},
 mx AS (SELECT avg(fact_score) AS technical_accuracy, avg(alignment_score) AS knowledge_alignment,
   avg({reasoning_score("concat(reasoning, chr(10), answer)")}) AS reasoning_quality,
   avg(has_think_block::INT) AS think_block_present, avg((reasoning_steps >= 5)::INT) AS steps_sufficient,

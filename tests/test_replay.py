@@ -1,0 +1,95 @@
+"""Replays against plain Python, with blocks small enough to need several rounds."""
+
+import random
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from answerloom.operators import replay
+
+START = datetime(2024, 1, 1, tzinfo=timezone.utc)
+
+
+def events(spark, rows):
+    """(id, key, seconds, latency ms)."""
+    data = [(i, k, START + timedelta(seconds=s), float(ms)) for i, k, s, ms in rows]
+    return spark.createDataFrame(data, "event_id bigint, user_id string, ts timestamp, ms double").repartition(5)
+
+
+def in_order(rows):
+    by_key = {}
+    for i, k, s, ms in sorted(rows, key=lambda r: (r[2], r[0])):
+        by_key.setdefault(k, []).append((i, round(s * 1e6), round(ms * 1000)))
+    return by_key
+
+
+def limit_model(rows, limit, window):
+    out = {}
+    for events_of_key in in_order(rows).values():
+        passed = []
+        for i, t, _ in events_of_key:
+            passed = [p for p in passed if t - p < window * 1e6]
+            out[i] = len(passed) < limit
+            if out[i]:
+                passed.append(t)
+    return out
+
+
+def cache_model(rows, ttl, latency):
+    out = {}
+    for events_of_key in in_order(rows).values():
+        stored = None
+        for i, t, ms in events_of_key:
+            out[i] = stored is not None and t - stored < ttl * 1e6
+            if not out[i]:
+                stored = t + (ms if latency else 0)
+    return out
+
+
+def hot_rows(seed):
+    rng = random.Random(seed)
+    rows, clock = [], 0.0
+    for i in range(1500):  # one key with most rows, bursts and a few long pauses
+        clock += rng.choice([0, 0.5, 1, 2, 7]) if rng.random() > 0.01 else rng.choice([60, 61, 500])
+        rows.append((i, "hot", clock, rng.randrange(5000)))
+    return rows + [(2000 + i, f"k{i % 40}", rng.randrange(4000), 100) for i in range(400)]
+
+
+@pytest.mark.parametrize("block", [60, 1_000_000])
+@pytest.mark.parametrize("limit", [1, 5])
+def test_rate_limit(spark, block, limit):
+    rows = hot_rows(limit)
+    got = replay.replay_rate_limit(events(spark, rows), limit=limit, block_rows=block).collect()
+    assert {r.event_id: r.accepted for r in got} == limit_model(rows, limit, 60)
+
+
+@pytest.mark.parametrize("block", [60, 1_000_000])
+@pytest.mark.parametrize("latency", [False, True])
+def test_cache(spark, block, latency):
+    rows = hot_rows(9)
+    ms = F.col("ms") if latency else None
+    got = replay.replay_cache(events(spark, rows), ttl_seconds=20, latency_ms=ms, block_rows=block).collect()
+    assert {r.event_id: r.hit for r in got} == cache_model(rows, 20, latency)
+
+
+def test_blocks_are_bounded_and_need_rounds(spark):
+    rows = hot_rows(5)
+    t = F.unix_micros("ts")
+    df = events(spark, rows).select(F.col("user_id").alias("_key"), t.alias("_t"), t.alias("_store"))
+    blocks = replay._blocks(df, 60_000_000, 15_000_000, 60)
+    assert blocks.filter("_key <> 'hot'").count() == 0
+    assert blocks.agg(F.max("_round")).first()[0] > 2
+    assert blocks.select("_block").distinct().count() > 2
+
+
+def test_exact_ages(spark):
+    rows = [(1, "a", 0, 0), (2, "a", 59.999999, 0), (3, "a", 60, 0), (4, "a", 60, 0)]
+    got = replay.replay_rate_limit(events(spark, rows), limit=1).collect()
+    assert {r.event_id: r.accepted for r in got} == {1: True, 2: False, 3: True, 4: False}
+    got = replay.replay_cache(events(spark, rows), ttl_seconds=60).collect()
+    assert {r.event_id: r.hit for r in got} == {1: False, 2: True, 3: False, 4: True}
+
+
+def test_no_events(spark):
+    assert replay.replay_cache(events(spark, [])).count() == 0
