@@ -222,81 +222,98 @@ def _tier(users: Column, position: int) -> Column:
 # --- chains -------------------------------------------------------------------------------------
 
 
-def design_chain() -> Column:
-    """G10, G11 on scenario columns: six fixed steps, plus PCI, HIPAA and WAN where they apply."""
+def with_design_chain(df: DataFrame) -> DataFrame:
+    """G10, G11. Adds ``chain``: six fixed steps, plus PCI, HIPAA and WAN where they apply.
+
+    Choices and figures are columns first, so that each is worked out once per row.
+    """
+    users, sites, compliance = F.col("user_count"), F.col("site_count"), F.col("compliance")
+    chosen = df.select(
+        "*",
+        F.array_contains(compliance, "PCI-DSS").alias("_pci"),
+        F.array_contains(compliance, "HIPAA").alias("_hipaa"),
+        scale_label(users).alias("_label"),
+        select_topology(users, F.col("is_datacenter")).alias("_topology"),
+        select_wan(sites, F.col("cloud_heavy"), compliance).alias("_wan"),
+        wan_sizing(users, sites).alias("_size"),
+        cost_model(users, compliance).alias("_cost"),
+    )
+    return chosen.select(*df.columns, _design_steps().alias("chain"))
+
+
+def _if(condition: Column, step: Column) -> Column:
+    return F.when(condition, F.array(step)).otherwise(F.array().cast(STEP_TYPE))
+
+
+def _design_steps() -> Column:
     users, sites, uptime = F.col("user_count"), F.col("site_count"), F.col("uptime_requirement")
-    compliance, datacenter = F.col("compliance"), F.col("is_datacenter")
-    pci, hipaa = F.array_contains(compliance, "PCI-DSS"), F.array_contains(compliance, "HIPAA")
-    topology = select_topology(users, datacenter)
+    datacenter, topology, wan = F.col("is_datacenter"), F.col("_topology"), F.col("_wan")
+    pci, hipaa, size, cost = F.col("_pci"), F.col("_hipaa"), F.col("_size"), F.col("_cost")
     ranges = [x for pair in fixed.TOPOLOGY_USERS.items() for x in pair]
     user_range = F.coalesce(F.create_map(*[F.lit(x) for x in ranges])[topology], F.lit("N/A"))
     notes = [x for pair in text.UPTIME_NOTES.items() for x in pair]
     note = F.coalesce(F.create_map(*[F.lit(x) for x in notes])[uptime], F.lit(text.UPTIME_DEFAULT_NOTE))
-    wan = select_wan(sites, F.col("cloud_heavy"), compliance)
-    size, cost = wan_sizing(users, sites), cost_model(users, compliance)
     large = (users > 10000) | (sites > 10)
-    steps = F.array(
-        _step(
-            text.SCALE_TITLE, text.SCALE_SOURCE,
-            _say("- User count: ", users, " → '", scale_label(users), "' category\n- Recommended topology: ",
-                 F.initcap(_spoken(topology)), "\n- Decision basis: ", user_range, " user range"),
-            F.array(
-                _say("Alternative 1 considered: collapsed core - ",
-                     F.when(users > 2000, "Rejected: exceeds 2000-user threshold").otherwise("Viable option")),
-                _say("Alternative 2 considered: spine-leaf - ",
-                     F.when(datacenter, "Applicable").otherwise("Rejected: data center topology only")),
-            ),
-        ),
-        F.when(pci, _step(text.PCI_TITLE, text.PCI_SOURCE, text.PCI_BODY, _texts(text.PCI_SUB))),
-        F.when(hipaa, _step(text.HIPAA_TITLE, text.HIPAA_SOURCE, text.HIPAA_BODY, _texts(text.HIPAA_SUB))),
-        _step(
-            _say("High Availability Design for ", uptime, " Uptime"), text.HA_SOURCE,
-            _say("- Uptime target: ", uptime, " = ", note, "\n" + text.UPTIME_TAIL),
-            F.when(F.contains(uptime, F.lit("99.99")), _texts(text.HA_SUB + text.HA_SUB_STRICT)).otherwise(_texts(text.HA_SUB)),
-        ),
-        F.when(
-            sites > 1,
-            _step(
-                text.WAN_TITLE, text.WAN_SOURCE,
-                _say("- Site count: ", sites, " → ", F.upper(_spoken(wan)), "\n- Average users per site: ",
-                     size["users_per_site"], "\n- Bandwidth calculation: ", size["users_per_site"],
-                     " users × 2 Mbps = ", size["mbps"], " Mbps minimum\n- Recommended: ", size["recommended"],
-                     " Mbps with 20% headroom"),
-                F.when(wan == "sd_wan", _texts(text.WAN_SUB["sd_wan"])).when(wan == "mpls", _texts(text.WAN_SUB["mpls"])).otherwise(_texts([])),
-            ),
-        ),
-        _step(
-            text.SECURITY_TITLE, text.SECURITY_SOURCE,
-            _say(text.SECURITY_HEAD + "\n- Compliance-driven segmentation: ",
-                 F.when(pci, "CDE isolation required").otherwise("Standard VLAN segmentation"),
-                 "\n- PHI data isolation: ",
-                 F.when(hipaa, "HIPAA-compliant separate VLAN required").otherwise("Not required"),
-                 "\n" + text.SECURITY_TAIL),
-            F.concat(
-                _texts(text.SECURITY_SUB),
-                F.when(pci, _texts([text.SECURITY_PCI])).otherwise(_texts([])),
-                F.when(hipaa, _texts([text.SECURITY_HIPAA])).otherwise(_texts([])),
-            ),
-        ),
-        _step(
-            text.VENDOR_TITLE, text.VENDOR_SOURCE,
-            _say("- Core: ", _tier(users, 1), "\n- Distribution: ", _tier(users, 2), "\n- Access: ", _tier(users, 3),
-                 "\n" + text.HARDWARE_TAIL),
-        ),
-        _step(
-            text.COST_TITLE, text.COST_SOURCE,
-            _say("- Scale: ", cost["scale"], " (", users, " users) → $", _thousands(cost["per_user"]),
-                 "/user benchmark\n- Base CapEx: $", _thousands(cost["base_capex"]),
-                 "\n- Compliance premium: ", F.bround((cost["multiplier"] - 1) * 100, 0).cast("int"),
-                 "%\n- Estimated total CapEx: $", _thousands(cost["capex"]), "\n- Annual OpEx estimate: $",
-                 _thousands(cost["opex"]), " (15% of CapEx)\n- 3-Year TCO: $", _thousands(cost["tco"])),
+    scale = _step(
+        text.SCALE_TITLE, text.SCALE_SOURCE,
+        _say("- User count: ", users, " → '", F.col("_label"), "' category\n- Recommended topology: ",
+             F.initcap(_spoken(topology)), "\n- Decision basis: ", user_range, " user range"),
+        F.array(
+            _say("Alternative 1 considered: collapsed core - ",
+                 F.when(users > 2000, "Rejected: exceeds 2000-user threshold").otherwise("Viable option")),
+            _say("Alternative 2 considered: spine-leaf - ",
+                 F.when(datacenter, "Applicable").otherwise("Rejected: data center topology only")),
         ),
-        _step(
-            text.PHASE_TITLE, text.PHASE_SOURCE,
-            F.when(large, text.PHASES_LARGE).when(users > 1000, text.PHASES_MEDIUM).otherwise(text.PHASES_SMALL),
+    )
+    availability = _step(
+        _say("High Availability Design for ", uptime, " Uptime"), text.HA_SOURCE,
+        _say("- Uptime target: ", uptime, " = ", note, "\n" + text.UPTIME_TAIL),
+        F.when(F.contains(uptime, F.lit("99.99")), _texts(text.HA_SUB + text.HA_SUB_STRICT)).otherwise(_texts(text.HA_SUB)),
+    )
+    transport = _step(
+        text.WAN_TITLE, text.WAN_SOURCE,
+        _say("- Site count: ", sites, " → ", F.upper(_spoken(wan)), "\n- Average users per site: ",
+             size["users_per_site"], "\n- Bandwidth calculation: ", size["users_per_site"],
+             " users × 2 Mbps = ", size["mbps"], " Mbps minimum\n- Recommended: ", size["recommended"],
+             " Mbps with 20% headroom"),
+        F.when(wan == "sd_wan", _texts(text.WAN_SUB["sd_wan"])).when(wan == "mpls", _texts(text.WAN_SUB["mpls"])).otherwise(_texts([])),
+    )
+    security = _step(
+        text.SECURITY_TITLE, text.SECURITY_SOURCE,
+        _say(text.SECURITY_HEAD + "\n- Compliance-driven segmentation: ",
+             F.when(pci, "CDE isolation required").otherwise("Standard VLAN segmentation"),
+             "\n- PHI data isolation: ",
+             F.when(hipaa, "HIPAA-compliant separate VLAN required").otherwise("Not required"),
+             "\n" + text.SECURITY_TAIL),
+        F.concat(
+            _texts(text.SECURITY_SUB),
+            F.when(pci, _texts([text.SECURITY_PCI])).otherwise(_texts([])),
+            F.when(hipaa, _texts([text.SECURITY_HIPAA])).otherwise(_texts([])),
         ),
     )
-    return F.filter(steps, lambda s: s.isNotNull())
+    hardware = _step(
+        text.VENDOR_TITLE, text.VENDOR_SOURCE,
+        _say("- Core: ", _tier(users, 1), "\n- Distribution: ", _tier(users, 2), "\n- Access: ", _tier(users, 3),
+             "\n" + text.HARDWARE_TAIL),
+    )
+    money = _step(
+        text.COST_TITLE, text.COST_SOURCE,
+        _say("- Scale: ", cost["scale"], " (", users, " users) → $", _thousands(cost["per_user"]),
+             "/user benchmark\n- Base CapEx: $", _thousands(cost["base_capex"]),
+             "\n- Compliance premium: ", F.bround((cost["multiplier"] - 1) * 100, 0).cast("int"),
+             "%\n- Estimated total CapEx: $", _thousands(cost["capex"]), "\n- Annual OpEx estimate: $",
+             _thousands(cost["opex"]), " (15% of CapEx)\n- 3-Year TCO: $", _thousands(cost["tco"])),
+    )
+    phases = _step(
+        text.PHASE_TITLE, text.PHASE_SOURCE,
+        F.when(large, text.PHASES_LARGE).when(users > 1000, text.PHASES_MEDIUM).otherwise(text.PHASES_SMALL),
+    )
+    return F.concat(
+        F.array(scale),
+        _if(pci, _step(text.PCI_TITLE, text.PCI_SOURCE, text.PCI_BODY, _texts(text.PCI_SUB))),
+        _if(hipaa, _step(text.HIPAA_TITLE, text.HIPAA_SOURCE, text.HIPAA_BODY, _texts(text.HIPAA_SUB))),
+        F.array(availability), _if(sites > 1, transport), F.array(security, hardware, money, phases),
+    )
 
 
 def diagnostic_routes(spark: SparkSession) -> DataFrame:

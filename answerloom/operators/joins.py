@@ -1,4 +1,4 @@
-"""Joins against a side whose size is looked up before it is broadcast."""
+"""Sizes looked up before they matter: what is broadcast, and how far a scan is spread."""
 
 from __future__ import annotations
 
@@ -18,3 +18,13 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     stored = cut_lineage(df)
     return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of few splits one partition per core, for work that is heavy per row.
+
+    An input with at least as many splits as the cluster has cores is left as it is, so nothing
+    is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

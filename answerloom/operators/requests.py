@@ -125,11 +125,6 @@ def normalize_tasks(messages: DataFrame, value: str = "value") -> DataFrame:
 PROMPT_FIELDS = ["users", "sites", "compliance", "uptime", "budget"]
 
 
-def task_requirements(context: Column) -> Column:
-    """The requirements a design task speaks of: ``context.requirements``, else the context."""
-    return F.coalesce(F.get_json_object(context, "$.requirements"), context)
-
-
 def task_compliance(context: Column) -> Column:
     """Compliance named in the context or in its requirements."""
     return F.coalesce(
@@ -140,9 +135,11 @@ def task_compliance(context: Column) -> Column:
 
 
 def task_prompt(tasks: DataFrame) -> DataFrame:
-    """R30 for normalised tasks: adds ``prompt`` by task type."""
-    fields = tasks.withColumn("_r", F.from_json(task_requirements(F.col("context")), "map<string,string>"))
-    fields = fields.withColumn("_c", F.from_json("context", "map<string,string>"))
+    """R30 for normalised tasks: adds ``prompt`` by task type. The context is parsed once."""
+    parsed = tasks.withColumn("_c", F.from_json("context", "map<string,string>"))
+    nested = parsed.withColumn(
+        "_r", F.coalesce(F.from_json(F.col("_c")["requirements"], "map<string,string>"), F.col("_c"))
+    )
     r, c = F.col("_r"), F.col("_c")
     design = {
         "users": r["users"], "sites": r["sites"], "uptime": r["uptime"].try_cast("double"), "budget": r["budget"],
@@ -156,4 +153,4 @@ def task_prompt(tasks: DataFrame) -> DataFrame:
         .when(F.col("type") == "estimate", estimate_prompt({"context_json": F.col("context")}, "agent"))
         .otherwise(F.col("context"))
     )
-    return fields.withColumn("prompt", prompt).drop("_r", "_c")
+    return nested.withColumn("prompt", prompt).drop("_r", "_c")

@@ -254,7 +254,7 @@ def r11_technical_facts(spark, d):
 @query
 def r11_facts_on_documents(spark, d):
     """Facts over whole documents, no category."""
-    checked = facts.check_facts(inputs.table(spark, d, "documents").select("doc_id", "text"), "text")
+    checked = facts.check_facts(inputs.texts(spark, d, "documents").select("doc_id", "text"), "text")
     return checked.select(
         "doc_id", listed(F.col("failed_facts")).alias("failed"), real(F.col("fact_score")).alias("score")
     )
@@ -393,7 +393,7 @@ def r18_r21_accuracy_checks(spark, d):
 @query
 def r19_public_addresses(spark, d):
     """Every public IPv4 occurrence in the documents."""
-    docs = inputs.table(spark, d, "documents")
+    docs = inputs.texts(spark, d, "documents")
     return docs.select("doc_id", F.inline(checks.address_checks(F.col("text")))).select("doc_id", "name", "evidence")
 
 
@@ -525,11 +525,11 @@ def q1_gates(spark, d):
 
 
 def design_rows(spark: SparkSession, d: str) -> DataFrame:
-    return generate.design_scenarios(inputs.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return generate.design_scenarios(inputs.texts(spark, d, "orders").select("o_orderkey"), "o_orderkey")
 
 
 def fault_rows(spark: SparkSession, d: str) -> DataFrame:
-    return generate.fault_scenarios(inputs.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return generate.fault_scenarios(inputs.texts(spark, d, "orders").select("o_orderkey"), "o_orderkey")
 
 
 @query
@@ -587,7 +587,7 @@ def j6_cost_benchmark(spark, d):
 
 @query
 def g11_design_chains(spark, d):
-    rows = design_rows(spark, d).select("o_orderkey", generate.design_chain().alias("chain"))
+    rows = generate.with_design_chain(design_rows(spark, d))
     return rows.select(
         "o_orderkey", whole(F.size("chain")).alias("steps"),
         F.md5(generate.render_chain(F.col("chain"))).alias("think_md5"),
@@ -605,16 +605,13 @@ def g12_fault_chains(spark, d):
 
 def assembled(spark: SparkSession, d: str) -> DataFrame:
     """Both kinds of samples; the supplied answer is an order's clerk-like note, some are missing."""
-    kinds = generate.plan_kinds(
-        inputs.table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), "o_orderkey"
-    )
+    kinds = generate.plan_kinds(inputs.texts(spark, d, "orders").select("o_orderkey"), "o_orderkey")
     answers = inputs.table(spark, d, "orders").filter("o_orderkey % 13 <> 0").select(
         "o_orderkey", F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("answer")
     )
     key = F.col("o_orderkey")
-    design = generate.design_scenarios(kinds.filter("kind = 'design'").select("o_orderkey"), "o_orderkey").select(
-        "*", generate.design_question(key).alias("question"), generate.design_chain().alias("chain")
-    )
+    design = generate.design_scenarios(kinds.filter("kind = 'design'").select("o_orderkey"), "o_orderkey")
+    design = generate.with_design_chain(design.withColumn("question", generate.design_question(key)))
     faults = generate.fault_scenarios(kinds.filter("kind <> 'design'").select("o_orderkey"), "o_orderkey")
     faults = generate.with_fault_chain(
         faults.withColumn("question", generate.fault_question(key)), generate.diagnostic_routes(spark)

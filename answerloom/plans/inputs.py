@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerloom.operators.joins import spread
+
 # Sentences that give the rules something to find; one is added to every assistant turn.
 REMARKS = [
     "Use three-tier for 50000 endpoints; BGP peers over TCP 179 with next-hop-self on iBGP.",
@@ -26,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows take long to work on."""
+    return spread(table(spark, sf_dir, name))
+
+
 def raw_text() -> F.Column:
     """The text of an assistant turn, wrapped as a model response."""
     steps = F.expr(
@@ -48,7 +55,7 @@ def raw_text() -> F.Column:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per assistant turn: conv_id, turn, raw, category, latency_ms."""
-    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    turns = texts(spark, sf_dir, "conversations").filter("role = 'assistant'")
     category = F.element_at(
         F.array(F.lit(""), F.lit("bgp"), F.lit("qos"), F.lit("topology"), F.lit("ha")),
         (F.col("conv_id") % 5 + 1).cast("int"),
@@ -61,7 +68,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations with assistant turns wrapped as responses, still one row per message."""
     text = F.when(F.col("role") == "assistant", raw_text()).otherwise(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("text"))
+    return texts(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("text"))
 
 
 def with_metadata(digest: DataFrame) -> DataFrame:
@@ -84,7 +91,7 @@ def with_metadata(digest: DataFrame) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One service request per order."""
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    orders, customer = texts(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     segment = F.col("c_mktsegment")
     standards = (
         F.when(segment == "BUILDING", F.array(F.lit("PCI-DSS")))
@@ -163,13 +170,13 @@ def knowledge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit('{"name":"'), F.col("r_name"), F.lit('","empty":[],"nations":['), F.col("n"), F.lit("]}")).alias("doc"),
         )
     )
-    by_event = table(spark, sf_dir, "events").select(
+    by_event = texts(spark, sf_dir, "events").select(
         F.col("event_type").alias("category"), F.col("event_id").alias("doc_no"),
         F.concat(
             F.lit('{"props":'), F.col("props"), F.lit(',"who":["user", '), F.col("user_id").cast("string"), F.lit("]}")
         ).alias("doc"),
     )
-    by_text = table(spark, sf_dir, "documents").select(
+    by_text = texts(spark, sf_dir, "documents").select(
         F.col("source").alias("category"), F.col("doc_id").alias("doc_no"),
         F.to_json(F.struct(F.struct("text", "lang").alias("body"))).alias("doc"),
     )

@@ -19,7 +19,7 @@ def test_same_rows_for_any_partitioning(spark):
 
 
 def test_chains_have_the_stated_length(spark):
-    rows = generate.design_scenarios(spark.range(400), "id").withColumn("chain", generate.design_chain())
+    rows = generate.with_design_chain(generate.design_scenarios(spark.range(400), "id"))
     for r in rows.collect():
         want = 6 + ("PCI-DSS" in r.compliance) + ("HIPAA" in r.compliance) + (r.site_count > 1)
         assert len(r.chain) == want
@@ -45,8 +45,8 @@ def test_cost_and_wan(spark):
 
 
 def test_missing_answers_are_counted(spark):
-    rows = generate.design_scenarios(spark.range(20), "id").select(
-        "*", generate.design_question(F.col("id")).alias("question"), generate.design_chain().alias("chain")
+    rows = generate.with_design_chain(
+        generate.design_scenarios(spark.range(20), "id").withColumn("question", generate.design_question(F.col("id")))
     )
     answers = spark.range(15).select("id", F.when(F.col("id") < 12, "done").otherwise("").alias("answer"))
     stats = generate.generation_stats(generate.assemble_samples(rows, answers, "id", "design"))
