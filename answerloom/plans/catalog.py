@@ -15,6 +15,9 @@ from answerloom.operators import (
 )
 from answerloom.operators.reports import score_summary, top_counts
 from answerloom.plans import datasets, inputs
+from answerloom.session import work_folder
+from answerloom.sources import files
+from answerloom.streaming import service
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -604,11 +607,10 @@ def g12_fault_chains(spark, d):
 
 
 def assembled(spark: SparkSession, d: str) -> DataFrame:
-    """Both kinds of samples; the supplied answer is an order's clerk-like note, some are missing."""
+    """Both kinds of samples; the supplied answer is a short note on the order, some are blank."""
     kinds = generate.plan_kinds(inputs.texts(spark, d, "orders").select("o_orderkey"), "o_orderkey")
-    answers = inputs.table(spark, d, "orders").filter("o_orderkey % 13 <> 0").select(
-        "o_orderkey", F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("answer")
-    )
+    note = F.when(F.col("o_orderkey") % 13 != 0, F.concat_ws(" ", "o_orderpriority", "o_orderstatus")).otherwise("")
+    answers = inputs.table(spark, d, "orders").select("o_orderkey", note.alias("answer"))
     key = F.col("o_orderkey")
     design = generate.design_scenarios(kinds.filter("kind = 'design'").select("o_orderkey"), "o_orderkey")
     design = generate.with_design_chain(design.withColumn("question", generate.design_question(key)))
@@ -644,7 +646,7 @@ def a16_generation_stats(spark, d):
 def p5_validate_requests(spark, d):
     checked = requests.validate_requests(inputs.raw_requests(spark, d), required=("symptom",))
     return checked.select(
-        "req_id", "users", whole(F.col("sites")).alias("sites"), listed(F.col("compliance")).alias("compliance"),
+        "req_id", whole(F.col("users")).alias("users"), whole(F.col("sites")).alias("sites"), listed(F.col("compliance")).alias("compliance"),
         "uptime", whole(F.col("max_tokens")).alias("max_tokens"), real(F.col("temperature")).alias("temperature"),
         "currency", listed(F.col("violations")).alias("violations"),
     )
@@ -847,7 +849,7 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def machine_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Disk and processor readings, one pair per event."""
-    e = inputs.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value")
+    e = inputs.table(spark, d, "events").select(inputs.utc("ts").alias("ts"), "value")
     pair = F.array(
         F.struct(F.lit("disk_used_percent").alias("metric"), (60 + F.col("value") % 40).alias("value")),
         F.struct(F.lit("CPUUtilization").alias("metric"), (F.col("value") % 8).alias("value")),
@@ -1001,3 +1003,120 @@ def t9_hit_counts(spark, d):
     """T3: cache hits and misses."""
     hits = replay.replay_cache(inputs.service_events(spark, d), ttl_seconds=3600)
     return hits.groupBy("hit").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- files, task intake, streams ------------------------------------------------------------------
+
+
+@query
+def u4_merge_checks(spark, d):
+    """Check rows of two passes; where both have a check, the strict pass wins."""
+    digest = sample_digest(spark, d)
+
+    def rows(strict: bool) -> DataFrame:
+        return validate.validate(digest, strict).select("sample_id", F.inline("checks"))
+
+    return validate.merge_checks(rows(False), rows(True))
+
+
+@query
+def s1_s2_sample_files(spark, d):
+    """Documents written as sample lines among lines that are no JSON, read back by the reader."""
+    docs = inputs.table(spark, d, "documents")
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    line = F.to_json(
+        F.struct(
+            F.array(turn("user", F.col("source")), turn("assistant", F.col("text"))).alias("messages"),
+            F.struct(F.col("lang").alias("type"), F.col("doc_id").cast("int").alias("reasoning_steps")).alias("metadata"),
+        )
+    )
+    path = work_folder(spark)
+    docs.select(F.explode(F.array(line, F.concat(F.lit("{"), F.col("source")), F.lit("  "))).alias("value")).write.text(path)
+    good, bad = files.read_samples(spark, path)
+    good = good.select(
+        F.col("metadata.reasoning_steps").cast("bigint").alias("doc_id"), F.col("metadata.type").alias("lang"),
+        F.md5(F.col("messages")[1]["content"]).alias("text_md5"), F.lit("sample").alias("kind"),
+    )
+    bad = bad.groupBy("value").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("n").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.md5("value").alias("text_md5"),
+        F.lit("rejected").alias("kind"),
+    )
+    return good.unionByName(bad)
+
+
+@query
+def s3_prompt_files(spark, d):
+    """Prompts as JSON lines of two forms, one of them without an id."""
+    turns = inputs.table(spark, d, "conversations")
+    key = F.concat_ws("-", "conv_id", "turn")
+    message = F.struct(F.col("role"), F.col("text").alias("content"))
+    line = F.when(F.col("role") == "user", F.to_json(F.struct(key.alias("id"), F.lit("asked").alias("category"), F.col("text").alias("prompt")))).otherwise(
+        F.to_json(F.struct(key.alias("id"), F.array(message).alias("messages")))
+    )
+    path = work_folder(spark)
+    turns.select(line.alias("value")).write.text(path)
+    return files.read_prompts_json(spark, path).select("id", "category", F.md5("prompt").alias("prompt_md5"))
+
+
+@query
+def s5_test_case_files(spark, d):
+    """Test cases written as lines and read back for one category, whatever its case."""
+    cases = inputs.test_cases(spark, d)
+    path = work_folder(spark)
+    files.write_samples(
+        cases.select(
+            F.col("case_id").cast("string").alias("id"), F.col("case_category").alias("category"),
+            "expected_key_facts", "sources_required",
+        ),
+        path,
+    )
+    rows = files.read_test_cases(spark, path, category="BGP")
+    return rows.select("id", "category", listed(F.col("expected_key_facts")).alias("keywords"), listed(F.col("sources_required")).alias("sources"))
+
+
+@query
+def t10_x2_task_intake(spark, d):
+    """Queue messages through prompt, responder, parsing, review and routing."""
+
+    def responder(prompt: str) -> str:
+        if "Symptom: link" in prompt:
+            raise RuntimeError("device lost")
+        return f"<think>Step 1: read.</think>{prompt}"
+
+    answers = service.answer_tasks(inputs.task_messages(spark, d).select("value"), responder)
+    return answers.select(
+        "task_id", "type", "requestor", "status", "queue", "error", F.md5("answer").alias("answer_md5"),
+        listed(F.col("sources")).alias("sources"), real(F.col("confidence")).alias("confidence"), "requires_approval",
+    )
+
+
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = inputs.table(spark, d, "events").schema
+    return inputs.as_served(spark.readStream.schema(schema).parquet(f"{d}/events*.parquet"))
+
+
+@query
+def t1_stream_windows(spark, d):
+    """Metric windows as a stream over the event files, written per trigger as a whole."""
+    out, marks = work_folder(spark), work_folder(spark)
+    windows = service.windowed_metrics(monitor.derive_metrics(event_stream(spark, d)), 3600)
+    running = (
+        windows.writeStream.outputMode("complete").option("checkpointLocation", marks).trigger(availableNow=True)
+        .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(out)).start()
+    )
+    running.awaitTermination()
+    rows = spark.read.parquet(out)
+    return rows.select("metric", "window_start", "n", real(F.col("sum")).alias("sum"), real(F.col("average")).alias("average"))
+
+
+@query
+def t9_stream_cache(spark, d):
+    """The cache replay as a keyed stream with state."""
+    out, marks = work_folder(spark), work_folder(spark)
+    hits = service.cache_stream(event_stream(spark, d), ttl_seconds=3600)
+    running = (
+        hits.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks)
+        .trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    return spark.read.schema("user_id bigint, event_id bigint, hit boolean").parquet(out)

@@ -118,10 +118,18 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def service_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as served requests."""
-    e = table(spark, sf_dir, "events")
-    return e.select(
+    return as_served(table(spark, sf_dir, "events"))
+
+
+def utc(ts: str) -> F.Column:
+    """A time without zone read as UTC, whatever zone the session has."""
+    return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})"))
+
+
+def as_served(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        utc("ts").alias("ts"),
         F.col("user_id"),
         F.col("event_type").alias("task_type"),
         (F.col("value") * 100).alias("latency_ms"),

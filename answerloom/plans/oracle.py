@@ -724,7 +724,7 @@ FAULT_CHAINS = f"""{FAULTS}, fault_chains AS (SELECT *, list_concat(
              f"CASE protocol WHEN 'bgp' THEN {arr(ct.VERIFY['bgp'])} WHEN 'ospf' THEN {arr(ct.VERIFY['ospf'])} WHEN 'interface' THEN {arr(ct.VERIFY['interface'])} ELSE {arr(ct.VERIFY_DEFAULT)} END")}]) AS chain FROM fault)"""
 ORACLE["g12_fault_chains"] = f"WITH {FAULT_CHAINS} SELECT o_orderkey, len(chain)::BIGINT AS steps, md5({RENDERED}) AS think_md5 FROM fault_chains"
 _ASSEMBLED = f"""WITH {_KINDS}, {DESIGN_CHAINS}, {FAULT_CHAINS},
-a AS (SELECT o_orderkey, concat(o_orderpriority, ' ', o_orderstatus) AS answer FROM orders WHERE o_orderkey % 13 <> 0),
+a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN concat(o_orderpriority, ' ', o_orderstatus) END AS answer FROM orders),
 both_kinds AS (SELECT o_orderkey, kind, {_QUESTION} AS question, {RENDERED} AS think, len(chain)::BIGINT AS steps,
     {q(sc.DESIGN_SOURCES[0])} AS src FROM chains JOIN kinds USING (o_orderkey) WHERE kind = 'design'
   UNION ALL SELECT o_orderkey, kind, {_FAULT_QUESTION}, {RENDERED}, len(chain)::BIGINT, concat({_PROTO}, ' Troubleshooting Decision Tree')
@@ -986,3 +986,29 @@ r AS (SELECT k, event_id, rn, false AS hit, t + lat AS stored FROM o WHERE rn =
 ORACLE["t9_cache_replay"] = f"{cache_sql('user_id', 3600, '0')} SELECT k AS user_id, event_id, hit FROM r"
 ORACLE["t9_cache_with_latency"] = f"{cache_sql('task_type', 7200, 'latency_ms * 1000')} SELECT k AS task_type, event_id, hit FROM r"
 ORACLE["t9_hit_counts"] = f"{cache_sql('user_id', 3600, '0')} SELECT hit, count(*) AS n FROM r GROUP BY 1"
+
+
+# --- files, task intake, streams ------------------------------------------------------------------
+
+ORACLE["u4_merge_checks"] = f"WITH {DIGEST}, {check_rows(True)} SELECT * FROM checks"
+ORACLE["s1_s2_sample_files"] = """SELECT doc_id, lang, md5(text) AS text_md5, 'sample' AS kind FROM documents
+UNION ALL SELECT count(*), NULL, md5('{' || source), 'rejected' FROM documents GROUP BY source"""
+ORACLE["s3_prompt_files"] = """SELECT concat(conv_id, '-', turn) AS id, CASE WHEN role = 'user' THEN 'asked' ELSE 'general' END AS category, md5(text) AS prompt_md5
+FROM conversations"""
+ORACLE["s5_test_case_files"] = f"""WITH {SCORED} SELECT case_id::VARCHAR AS id, case_category AS category, array_to_string(expected, '|') AS keywords,
+  array_to_string(required, '|') AS sources FROM cases WHERE case_category = 'bgp'"""
+
+_TASK_RAW = f"""{_MSG}, t AS (SELECT *, CASE WHEN form = 0 THEN uptime ELSE 99.9::DOUBLE END AS up FROM tasks),
+prompted AS (SELECT *, CASE type WHEN 'design' THEN {_AGENT_DESIGN}
+  WHEN 'estimate' THEN concat('Provide a detailed cost estimate for:', chr(10), chr(10), context, chr(10), chr(10), 'Break down CAPEX and annual OPEX. Include hardware, licensing, and implementation.')
+  WHEN 'review' THEN context END AS prompt FROM t),
+responses AS (SELECT *, coalesce('<think>Step 1: read.</think>' || prompt, '') AS raw FROM prompted)"""
+ORACLE["t10_x2_task_intake"] = f"""WITH {PARSED_STRICT.replace(RESP, _TASK_RAW)}, f AS (SELECT *, type = 'troubleshoot' AS failed,
+  CASE WHEN type = 'troubleshoot' THEN 0 ELSE least(0.5::DOUBLE + 0.15 + CASE WHEN len(sources) > 0 THEN 0.1 ELSE 0 END + CASE WHEN len(sources) > 2 THEN 0.05 ELSE 0 END
+    + CASE WHEN length(answer) > 200 THEN 0.05 ELSE 0 END + least(({_HITS}) * 0.02::DOUBLE, 0.1), 1.0) END AS confidence FROM strict),
+g AS (SELECT *, failed OR confidence < 0.8 OR priority = 'high' OR (form IN (0, 2) AND len(compliance) > 0) AS approval FROM f)
+SELECT task_id, type, requestor, CASE WHEN failed THEN 'error' ELSE 'success' END AS status, CASE WHEN approval THEN 'approval' ELSE 'done' END AS queue,
+  CASE WHEN failed THEN 'device lost' END AS error, md5(answer) AS answer_md5, {joined('sources')} AS sources, round(confidence, 6) AS confidence, approval AS requires_approval FROM g"""
+ORACLE["t1_stream_windows"] = f"""WITH {METRICS} SELECT metric, {win(3600)} AS window_start, count(*) AS n, round(sum(value), 6) AS sum, round(avg(value), 6) AS average
+FROM metrics GROUP BY 1, 2"""
+ORACLE["t9_stream_cache"] = ORACLE["t9_cache_replay"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +26,11 @@ def get_session(app: str = "answerloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder the cluster names.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``, read from the session.
 
-    ``spark.checkpoint.dir`` is read from the session. Only a session without it
-    (a local test) gets a folder of its own.
+    Only a local session without that setting (a test) gets a folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,4 +39,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             named = tempfile.mkdtemp(prefix="answerloom-checkpoint-")
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder name beside the checkpoints, for tables a run writes and reads back."""
+    return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and go on from there."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()

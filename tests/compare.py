@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -54,8 +55,9 @@ def difference(spark, con, sf_dir, fn, sql) -> str:
     if got[0] != want[0]:
         return f"columns {got[0]} != {want[0]}"
     if got[1] != want[1]:
-        a = [r for r in got[1] if r not in set(want[1])][:3]
-        b = [r for r in want[1] if r not in set(got[1])][:3]
+        spark_rows, sql_rows = set(got[1]), set(want[1])
+        a = [r for r in got[1] if r not in sql_rows][:3]
+        b = [r for r in want[1] if r not in spark_rows][:3]
         return f"{len(got[1])} rows / {len(want[1])} rows\n  spark {a}\n  sql   {b}\n  cols {got[0]}"
     return ""
 
@@ -68,7 +70,11 @@ def main():
     sf_dir = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     spark = get_session(
         master="local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+        **{
+            "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.sql.session.timeZone": os.environ.get("COMPARE_TZ", "UTC"),
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = duck(sf_dir), entry.oracle_sql(), 0

@@ -14,14 +14,7 @@ SF = "/root/testdata/sf0.001"
 def event_stream(spark):
     schema = spark.read.parquet(f"{SF}/events.parquet").schema
     e = spark.readStream.schema(schema).parquet(f"{SF}/events*.parquet")
-    batch = inputs.service_events(spark, SF)
-    named = e.select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("task_type"),
-        (F.col("value") * 100).alias("latency_ms"), F.least(F.lit(1.0), F.lit(0.5) + F.col("value") / 300).alias("confidence"),
-        (F.col("event_id") % 5 != 0).alias("has_think"),
-        F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"),
-    )
-    return named, batch
+    return inputs.as_served(e), inputs.service_events(spark, SF)
 
 
 def run(spark, df, name, mode, tmp_path):
