@@ -1,10 +1,11 @@
 """Clean, describe and split chat samples.
 
-A *sample digest* has one row per sample with what the rules need and no message array:
-``sample_id, n_messages, first_content, last_content, assistant_content, has_user,
-total_chars`` plus metadata columns. It is built from an array column or, for samples kept one
-message per row, by aggregates that combine on the map side, so that a conversation of any
-length passes through without being collected.
+A *sample digest* has one row per sample with the few values the rules need instead of its
+messages: ``sample_id, n_messages, has_user, first_print, first_given, last_chars, thinks,
+steps, citations, total_chars`` and metadata columns, and ``assistant_content`` where rules read
+the answer. It is built from an array column or, for samples kept one message per row, by
+aggregates that combine on the map side: a conversation of any length is never collected, and
+its texts are shuffled only when ``assistant_content`` is asked for.
 """
 
 from __future__ import annotations
@@ -40,22 +41,52 @@ def has_role(messages: Column, role: str) -> Column:
     return F.coalesce(F.exists(messages, lambda m: m["role"] == role), F.lit(False))
 
 
-def digest_messages(samples: DataFrame, sample_id: str = "seq") -> DataFrame:
-    """Digest of samples with a ``messages`` array and a ``metadata`` struct."""
+def fingerprint(prompt: Column) -> Column:
+    """W1: the first 200 characters, cut first, then lower-cased and stripped."""
+    return strip(F.lower(cut(prompt, 200)))
+
+
+def _first_facts(content: Column) -> Column:
+    given = text_or_empty(content)
+    return F.struct(fingerprint(given).alias("first_print"), (given != "").alias("first_given"))
+
+
+def _last_facts(content: Column) -> Column:
+    """Steps count only where the last message opens a reasoning block."""
+    given = text_or_empty(content)
+    thinks = F.contains(given, F.lit("<think>"))
+    return F.struct(
+        F.length(given).alias("last_chars"), thinks.alias("thinks"),
+        F.when(thinks, count_matches(given, STEP_LINE)).otherwise(0).alias("steps"),
+    )
+
+
+def _citations(content: Column) -> Column:
+    return count_matches(text_or_empty(content), CITATIONS_SHORT)
+
+
+def digest_messages(samples: DataFrame, sample_id: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Digest of samples with a ``messages`` array and a ``metadata`` struct; ``keep`` passes columns on."""
     m, meta = F.col("messages"), F.col("metadata")
     scenario = meta["scenario"]
-    return samples.select(
-        F.col(sample_id).alias("sample_id"),
-        F.greatest(F.coalesce(F.size(m), F.lit(0)), F.lit(0)).alias("n_messages"),
-        first_message(m)["content"].alias("first_content"),
-        last_message(m)["content"].alias("last_content"),
+    picked = samples.select(
+        F.col(sample_id).alias("sample_id"), "metadata", "messages", *keep,
+        _first_facts(first_message(m)["content"]).alias("_first"),
+        _last_facts(last_message(m)["content"]).alias("_last"),
         first_of_role(m, "assistant")["content"].alias("assistant_content"),
+    )
+    return picked.select(
+        "sample_id", *keep,
+        F.greatest(F.coalesce(F.size(m), F.lit(0)), F.lit(0)).alias("n_messages"),
         has_role(m, "user").alias("has_user"),
+        "_first.first_print", "_first.first_given", "_last.last_chars", "_last.thinks", "_last.steps",
+        _citations(F.col("assistant_content")).alias("citations"),
         F.aggregate(
             F.coalesce(m, F.array().cast(samples.schema["messages"].dataType)),
             F.lit(0).cast("bigint"),
             lambda acc, x: acc + F.length(text_or_empty(x["content"])),
         ).alias("total_chars"),
+        "assistant_content",
         meta["type"].alias("type"),
         meta["category"].alias("category"),
         scenario["user_count"].cast("bigint").alias("user_count"),
@@ -66,25 +97,48 @@ def digest_messages(samples: DataFrame, sample_id: str = "seq") -> DataFrame:
 
 
 def digest_turns(
-    turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text"
+    turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text",
+    assistant_text: bool = False,
 ) -> DataFrame:
     """Digest of samples stored one message per row; partial aggregates, nothing collected."""
+    is_assistant = F.col(role) == "assistant"
+    rows = turns.select(
+        F.col(key).alias("sample_id"), F.col(order).alias("_order"), F.col(role).alias("_role"),
+        F.length(text_or_empty(F.col(text))).alias("_chars"),
+        _first_facts(F.col(text)).alias("_f"), _last_facts(F.col(text)).alias("_l"),
+        F.when(is_assistant, _citations(F.col(text))).alias("_c"),
+        *([F.when(is_assistant, F.col(text)).alias("_a")] if assistant_text else []),
+    )
+    at_assistant = F.when(F.col("_role") == "assistant", F.col("_order"))
+    merged = rows.groupBy("sample_id").agg(
+        F.count(F.lit(1)).cast("int").alias("n_messages"),
+        F.bool_or(F.col("_role") == "user").alias("has_user"),
+        F.min_by("_f", "_order").alias("_first"),
+        F.max_by("_l", "_order").alias("_last"),
+        F.coalesce(F.min_by("_c", at_assistant), F.lit(0)).alias("citations"),
+        F.sum("_chars").cast("bigint").alias("total_chars"),
+        *([F.min_by("_a", at_assistant).alias("assistant_content")] if assistant_text else []),
+    )
+    return merged.select(
+        "sample_id", "n_messages", "has_user", "_first.first_print", "_first.first_given", "_last.last_chars",
+        "_last.thinks", "_last.steps", "citations", "total_chars",
+        *(["assistant_content"] if assistant_text else []),
+    )
+
+
+def pick_turns(
+    turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text"
+) -> DataFrame:
+    """P1 for samples stored one message per row: first, last and first assistant text."""
     by_assistant = F.when(F.col(role) == "assistant", F.col(order))
     return turns.groupBy(F.col(key).alias("sample_id")).agg(
-        F.count(F.lit(1)).cast("int").alias("n_messages"),
         F.min_by(text, order).alias("first_content"),
         F.max_by(text, order).alias("last_content"),
         F.min_by(F.col(text), by_assistant).alias("assistant_content"),
         F.bool_or(F.col(role) == "user").alias("has_user"),
-        F.sum(F.length(text_or_empty(F.col(text)))).cast("bigint").alias("total_chars"),
     )
 
 
-def fingerprint(prompt: Column) -> Column:
-    """W1: the first 200 characters, cut first, then lower-cased and stripped."""
-    return strip(F.lower(cut(prompt, 200)))
-
-
 def duplicate_groups(df: DataFrame, prompt: Column, order: str) -> DataFrame:
     """Fingerprints that occur more than once, with the row to keep and the number of rows."""
     return (
@@ -108,9 +162,8 @@ def deduplicate(df: DataFrame, prompt: Column, order: str) -> DataFrame:
 
 
 def is_valid_sample() -> Column:
-    """P2 on a digest."""
-    first, last = text_or_empty(F.col("first_content")), text_or_empty(F.col("last_content"))
-    return (F.col("n_messages") >= 2) & (first != "") & (F.length(last) >= 100)
+    """P2 on a digest: two messages, something asked, an answer of 100 characters."""
+    return (F.col("n_messages") >= 2) & F.col("first_given") & (F.col("last_chars") >= 100)
 
 
 def validate_samples(digest: DataFrame) -> DataFrame:
@@ -126,18 +179,11 @@ def count_valid(digest: DataFrame) -> DataFrame:
 
 
 def dataset_stats(digest: DataFrame) -> DataFrame:
-    """A1. Steps count only where the last message opens a reasoning block."""
-    last = text_or_empty(F.col("last_content"))
-    thinks = F.contains(last, F.lit("<think>"))
-    per_row = digest.select(
-        thinks.cast("bigint").alias("t"),
-        F.when(thinks, count_matches(last, STEP_LINE)).otherwise(0).alias("s"),
-        "total_chars",
-    )
-    totals = per_row.agg(
+    """A1."""
+    totals = digest.agg(
         F.count(F.lit(1)).alias("total"),
-        F.coalesce(F.sum("t"), F.lit(0)).alias("t"),
-        F.coalesce(F.sum("s"), F.lit(0)).alias("s"),
+        F.count_if("thinks").alias("t"),
+        F.coalesce(F.sum("steps"), F.lit(0)).alias("s"),
         F.coalesce(F.sum("total_chars"), F.lit(0)).alias("chars"),
     )
     n = F.greatest(F.col("total"), F.lit(1))
@@ -259,10 +305,8 @@ def split_random(
 
 def dataset_gates(digest: DataFrame, gates: dict = DATASET_GATES) -> DataFrame:
     """A17. Citations, step range and duplicate ratio against the declared limits."""
-    body = text_or_empty(F.col("assistant_content"))
     rows = digest.select(
-        fingerprint(text_or_empty(F.col("first_content"))).alias("fp"),
-        count_matches(body, CITATIONS_SHORT).alias("cites"),
+        F.col("first_print").alias("fp"), F.col("citations").alias("cites"),
         F.coalesce("reasoning_steps", F.lit(0)).alias("steps"),
     )
     enough = F.col("cites") >= gates["min_citations_per_sample"]

@@ -79,20 +79,23 @@ class Expiry:
         return [] if self.stored is None else [self.stored]
 
 
-def _blocks(rows: DataFrame, gap: int, bucket: int, block_rows: int) -> DataFrame:
+def _blocks(rows: DataFrame, gap: int, bucket: int, block_rows: int) -> DataFrame | None:
     """Buckets of keys with more than ``block_rows`` rows: (_key, _bucket, _block, _round).
 
-    ``_block`` numbers independent stretches, ``_round`` the parts of one stretch.
+    ``_block`` numbers independent stretches, ``_round`` the parts of one stretch. None when no
+    key is that large, which one counting pass tells.
     """
-    buckets = rows.groupBy("_key", F.floor(F.col("_t") / bucket).alias("_bucket")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_first"), F.max("_store").alias("_reach")
-    )
-    large = buckets.groupBy("_key").agg(F.sum("_n").alias("_total")).filter(F.col("_total") > block_rows)
-    kept = buckets.join(small_side(large.select("_key")), "_key", "left_semi")
+    counted = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_total"))
+    large = cut_lineage(counted.filter(F.col("_total") > block_rows).select("_key"))
+    if large.isEmpty():
+        return None
+    buckets = rows.join(small_side(large), "_key", "left_semi").groupBy(
+        "_key", F.floor(F.col("_t") / bucket).alias("_bucket")
+    ).agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_first"), F.max("_store").alias("_reach"))
     order = Window.partitionBy("_key").orderBy("_bucket")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    marked = kept.withColumn("_pause", F.coalesce(F.col("_first") - F.max("_reach").over(earlier) >= gap, F.lit(True)))
+    marked = buckets.withColumn("_pause", F.coalesce(F.col("_first") - F.max("_reach").over(earlier) >= gap, F.lit(True)))
     marked = marked.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     begun = marked.withColumn("_begin", F.max(F.when(F.col("_pause"), F.col("_before"))).over(upto))
     return begun.select(
@@ -147,13 +150,14 @@ def _replay(
         F.col(key).alias("_key"), F.col(event_id).alias("_id"), t.alias("_t"), store.alias("_store")
     )
     bucket = max(gap // 4, 1)
-    blocks = cut_lineage(_blocks(rows, gap, bucket, block_rows))
-    rounds = blocks.agg(F.max("_round")).first()[0]
-    placed = rows.withColumn("_bucket", F.floor(F.col("_t") / bucket))
-    if rounds is None:  # no key is large: every key is one block
-        placed = placed.select("*", F.lit(-1).cast("bigint").alias("_block"), F.lit(0).alias("_round"))
+    blocks = _blocks(rows, gap, bucket, block_rows)
+    if blocks is None:  # every key is one block
+        placed = rows.select("*", F.lit(-1).cast("bigint").alias("_block"), F.lit(0).alias("_round"))
         rounds = 0
     else:
+        blocks = cut_lineage(blocks)
+        rounds = blocks.agg(F.max("_round")).first()[0]
+        placed = rows.withColumn("_bucket", F.floor(F.col("_t") / bucket))
         placed = placed.join(small_side(blocks), ["_key", "_bucket"], "left").fillna({"_block": -1, "_round": 0})
     if rounds > 0:
         placed = cut_lineage(placed)

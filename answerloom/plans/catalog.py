@@ -39,8 +39,8 @@ def whole(c: Column) -> Column:
     return c.cast("bigint")
 
 
-def sample_digest(spark: SparkSession, d: str) -> DataFrame:
-    return inputs.with_metadata(curate.digest_turns(inputs.turns(spark, d)))
+def sample_digest(spark: SparkSession, d: str, assistant_text: bool = True) -> DataFrame:
+    return inputs.with_metadata(curate.digest_turns(inputs.turns(spark, d), assistant_text=assistant_text))
 
 
 # --- curation ---------------------------------------------------------------------------------
@@ -50,7 +50,7 @@ def sample_digest(spark: SparkSession, d: str) -> DataFrame:
 def curate_statistics(spark, d):
     """W1, P2, A1 end to end: conversations to the statistics of the cleaned set."""
     digest = curate.digest_turns(inputs.turns(spark, d))
-    unique = curate.deduplicate(digest, F.col("first_content"), "sample_id")
+    unique = curate.deduplicate(digest, F.col("first_print"), "sample_id")
     stats = curate.dataset_stats(curate.validate_samples(unique))
     return stats.select(
         whole(F.col("total")).alias("total"),
@@ -60,11 +60,20 @@ def curate_statistics(spark, d):
 
 @query
 def p1_message_pickers(spark, d):
+    picked = curate.pick_turns(inputs.turns(spark, d))
+    return picked.select(
+        "sample_id", F.md5("first_content").alias("first_md5"), F.md5("last_content").alias("last_md5"),
+        F.md5("assistant_content").alias("assistant_md5"), "has_user",
+    )
+
+
+@query
+def p1_sample_digest(spark, d):
+    """What the curation rules read of a sample; its texts stay where they are."""
     digest = curate.digest_turns(inputs.turns(spark, d))
     return digest.select(
-        "sample_id", whole(F.col("n_messages")).alias("n_messages"),
-        F.md5("first_content").alias("first_md5"), F.md5("last_content").alias("last_md5"),
-        F.md5("assistant_content").alias("assistant_md5"), "has_user", "total_chars",
+        "sample_id", whole(F.col("n_messages")).alias("n_messages"), "has_user", F.md5("first_print").alias("print_md5"),
+        "first_given", *[whole(F.col(c)).alias(c) for c in ("last_chars", "steps", "citations", "total_chars")], "thinks",
     )
 
 
@@ -81,7 +90,7 @@ def p3_first_rows(spark, d):
 
 @query
 def a1_dataset_stats(spark, d):
-    stats = curate.dataset_stats(sample_digest(spark, d))
+    stats = curate.dataset_stats(sample_digest(spark, d, False))
     return stats.select(
         whole(F.col("total")).alias("total"),
         *[real(F.col(c)).alias(c) for c in ("think_block_rate", "avg_response_chars", "avg_reasoning_steps")],
@@ -90,7 +99,7 @@ def a1_dataset_stats(spark, d):
 
 @query
 def a2_types(spark, d):
-    return curate.count_by_type(sample_digest(spark, d))
+    return curate.count_by_type(sample_digest(spark, d, False))
 
 
 @query
@@ -114,7 +123,7 @@ def w2_split_stratified(spark, d):
 
 @query
 def w2_split_samples(spark, d):
-    split = curate.split_stratified(sample_digest(spark, d), "sample_id", curate.stratum_of(), seed=7)
+    split = curate.split_stratified(sample_digest(spark, d, False), "sample_id", curate.stratum_of(), seed=7)
     return split.groupBy(curate.stratum_of().alias("stratum"), "split").agg(
         F.count(F.lit(1)).alias("n"), F.min("sample_id").alias("first_id"), F.max("sample_id").alias("last_id")
     )
@@ -142,7 +151,7 @@ def w8_seeded_shuffle(spark, d):
 
 @query
 def a17_dataset_gates(spark, d):
-    gates = curate.dataset_gates(sample_digest(spark, d))
+    gates = curate.dataset_gates(sample_digest(spark, d, False))
     return gates.withColumn("duplicate_ratio", real(F.col("duplicate_ratio")))
 
 

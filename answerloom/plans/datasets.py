@@ -9,38 +9,56 @@ from answerloom.functions.facts import check_facts
 from answerloom.functions.parse import parse_responses
 from answerloom.functions.scores import alignment_score, confidence_suite, keyword_score, reasoning_score
 from answerloom.operators import curate, evaluate, validate
+from answerloom.session import cut_lineage, work_folder
 from answerloom.sources import files
 
 
 def curate_file(spark: SparkSession, source: str, target: str, seed: int = 42, stratified: bool = True) -> DataFrame:
-    """Read, deduplicate, filter, split and write samples; returns the statistics of what was kept."""
+    """Read, deduplicate, filter, split and write samples; returns the statistics of what was kept.
+
+    The lines are parsed once into a columnar table. Every later step reads the few digest
+    columns it needs; whole samples are read again only to be written.
+    """
     samples, _ = files.read_samples(spark, source)
-    first = F.try_element_at("messages", F.lit(1))["content"]
-    prompt = F.coalesce(first, F.to_json(F.struct("messages", "metadata")))
-    unique = curate.deduplicate(samples, prompt, "seq")
-    digest = curate.digest_messages(unique)
-    valid = digest.filter(curate.is_valid_sample())
+    # Without messages the whole sample is its own fingerprint.
+    prompt = F.coalesce(
+        curate.first_message(F.col("messages"))["content"], F.to_json(F.struct("messages", "metadata"))
+    )
+    parsed = samples.withColumn("print", curate.fingerprint(prompt))
+    path, digest_path = work_folder(spark), work_folder(spark)
+    parsed.write.parquet(path)
+    stored = spark.read.parquet(path)
+    digest = curate.digest_messages(stored, keep=("print",))
+    digest.drop("assistant_content", "compliance", "sources_used").write.parquet(digest_path)
+    digest = spark.read.parquet(digest_path)
+    unique = curate.deduplicate(digest, F.col("print"), "sample_id")
+    valid = curate.validate_samples(unique)
     if stratified:
         split = curate.split_stratified(valid, "sample_id", curate.stratum_of(), seed=seed)
     else:
         split = curate.split_random(valid, "sample_id", seed=seed)
-    kept = unique.join(split.select(F.col("sample_id").alias("seq"), "split"), "seq")
-    files.write_samples(kept.drop("seq", "line"), target, split="split")
+    kept = stored.join(split.select(F.col("sample_id").alias("seq"), "split"), "seq")
+    files.write_samples(kept.drop("seq", "line", "print"), target, split="split")
     return curate.dataset_stats(valid)
 
 
 def validate_file(spark: SparkSession, source: str, strict: bool = False, limit: int | None = None) -> dict[str, DataFrame]:
-    """The validation reports of one file; ``limit`` counts input lines, blank ones included (P3)."""
+    """The validation reports of one file; ``limit`` counts input lines, blank ones included (P3).
+
+    The checks run once; the reports read their stored results.
+    """
     samples, _ = files.read_samples(spark, source)
     if limit is not None:
         samples = samples.filter(F.col("seq") <= limit)
-    digest = curate.digest_messages(samples)
-    checked, accuracy = validate.validate(digest, strict), validate.check_accuracy(digest)
-    report, rates = validate.validation_report(checked), validate.check_rates(checked)
+    both = validate.check_accuracy(validate.validate(curate.digest_messages(samples), strict))
+    results = cut_lineage(
+        both.select("sample_id", "checks", "score", "passed", "errors", "accuracy_score", "critical_failures")
+    )
+    report, rates = validate.validation_report(results), validate.check_rates(results)
     return {
         "report": report, "gate": validate.passes_rate_gate(report), "rates": rates,
-        "recommendations": validate.recommendations(rates), "errors": validate.frequent_errors(checked),
-        "accuracy": validate.accuracy_report(accuracy),
+        "recommendations": validate.recommendations(rates), "errors": validate.frequent_errors(results),
+        "accuracy": validate.accuracy_report(results),
     }
 
 

@@ -86,8 +86,14 @@ valid AS (SELECT * FROM uniq WHERE n_messages >= 2 AND first_content <> '' AND l
 {stats_of('valid')}"""
 
 ORACLE["p1_message_pickers"] = f"""WITH {DIGEST}
-SELECT sample_id, n_messages, md5(first_content) AS first_md5, md5(last_content) AS last_md5,
-  md5(assistant_content) AS assistant_md5, has_user, total_chars FROM digest"""
+SELECT sample_id, md5(first_content) AS first_md5, md5(last_content) AS last_md5, md5(assistant_content) AS assistant_md5, has_user FROM digest"""
+
+ORACLE["p1_sample_digest"] = f"""WITH {DIGEST}
+SELECT sample_id, n_messages, has_user, md5({fp('first_content')}) AS print_md5, first_content <> '' AS first_given,
+  length(last_content) AS last_chars, contains(last_content, '<think>') AS thinks,
+  CASE WHEN contains(last_content, '<think>') THEN len(regexp_extract_all(last_content, '(?m)^Step\\s+\\d+:')) ELSE 0 END AS steps,
+  coalesce(len(regexp_extract_all(assistant_content, '(?i)\\[Source:|Source:|from .{{3,30}} chapter|per .{{3,30}} §')), 0) AS citations,
+  total_chars FROM digest"""
 
 ORACLE["p2_valid_samples"] = f"""WITH {DIGEST},
 v AS (SELECT n_messages >= 2 AND first_content <> '' AND length(last_content) >= 100 AS ok FROM digest)

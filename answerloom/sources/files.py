@@ -41,9 +41,23 @@ def numbered(df: DataFrame) -> DataFrame:
     )
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """S1. (rows, rejected lines). Blank lines are skipped, lines that are no JSON are set aside."""
-    lines = numbered(spark.read.text(path)).withColumn("value", strip(F.col("value"))).filter("value <> ''")
+def read_json_lines(
+    spark: SparkSession, path: str, schema: str, line_numbers: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """S1. (rows, rejected lines). Blank lines are skipped, lines that are no JSON are set aside.
+
+    Line numbers cost a counting pass over the files. Without them ``seq`` is a unique row id
+    that rises within a file block, and ``line`` is null.
+    """
+    raw = spark.read.text(path)
+    if line_numbers:
+        lines = numbered(raw)
+    else:
+        lines = raw.select(
+            "value", F.col("_metadata.file_path").alias("file"), F.lit(None).cast("bigint").alias("line"),
+            F.monotonically_increasing_id().alias("seq"),
+        )
+    lines = lines.withColumn("value", strip(F.col("value"))).filter("value <> ''")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = lines.withColumn("_r", F.from_json("value", schema + ", _corrupt string", options))
     fields = [f for f in parsed.schema["_r"].dataType.names if f != "_corrupt"]
@@ -52,9 +66,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFr
     return good, bad
 
 
-def read_samples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_samples(spark: SparkSession, path: str, line_numbers: bool = True) -> tuple[DataFrame, DataFrame]:
     """S1."""
-    return read_json_lines(spark, path, schemas.SAMPLE)
+    return read_json_lines(spark, path, schemas.SAMPLE, line_numbers)
 
 
 def write_samples(df: DataFrame, path: str, split: str | None = None) -> None:
@@ -80,7 +94,10 @@ def read_prompts_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_prompts_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S4. Prompt from the first of prompt, query, question that is a column."""
+    """S4. Prompt from the first of prompt, query, question that is a column.
+
+    Quoted line ends are allowed, so one file is read by one task: give large input as many files.
+    """
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     raw = reader.csv(path)
     rows = numbered(raw)

@@ -87,6 +87,7 @@ def test_digest_and_rules(spark):
     got = {r.sample_id: r for r in digest.collect()}
     assert [got[i].n_messages for i in range(1, 7)] == [2, 1, 0, 2, 2, 0]
     assert got[1].assistant_content == long and got[1].has_user and not got[3].has_user
+    assert got[1].last_chars == 100 and got[1].first_print == "q" and not got[4].first_given
     assert sorted(r.sample_id for r in curate.validate_samples(digest).collect()) == [1, 5]
     assert tuple(curate.count_valid(digest).first()) == (2, 4)
     stats = curate.dataset_stats(digest).first()
@@ -100,7 +101,7 @@ def test_digest_and_rules(spark):
 def test_turn_digest_equals_message_digest(spark):
     chats = {1: [("system", "s"), ("user", "u"), ("assistant", "a")], 2: [("assistant", "x"), ("assistant", "y")]}
     turns = [(k, i, r, t) for k, m in chats.items() for i, (r, t) in enumerate(m)]
-    long = curate.digest_turns(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(3))
+    long = curate.digest_turns(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(3), assistant_text=True)
     wide = curate.digest_messages(samples(spark, [(k, m, None) for k, m in chats.items()])).select(long.columns)
     assert sorted(map(tuple, long.collect())) == sorted(map(tuple, wide.collect()))
 

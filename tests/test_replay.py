@@ -79,6 +79,7 @@ def test_blocks_are_bounded_and_need_rounds(spark):
     df = events(spark, rows).select(F.col("user_id").alias("_key"), t.alias("_t"), t.alias("_store"))
     blocks = replay._blocks(df, 60_000_000, 15_000_000, 60)
     assert blocks.filter("_key <> 'hot'").count() == 0
+    assert replay._blocks(df, 60_000_000, 15_000_000, 10_000) is None
     assert blocks.agg(F.max("_round")).first()[0] > 2
     assert blocks.select("_block").distinct().count() > 2
 
