@@ -34,7 +34,8 @@ def derive_metrics(events: DataFrame, endpoint: str = "task_type") -> DataFrame:
 
 def window_start(ts: Column, seconds: int) -> Column:
     """Start of the tumbling window, as epoch seconds."""
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)) * seconds
+    micros = F.unix_micros(ts)
+    return ((micros - F.pmod(micros, F.lit(seconds * 1_000_000))) / 1_000_000).cast("bigint")
 
 
 def metric_windows(metrics: DataFrame, seconds: int, by: tuple[str, ...] = ("metric",)) -> DataFrame:
@@ -81,9 +82,9 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, points: list[flo
     targets = small_side(
         counted.filter(F.size(inside) > 0).select(*by, "_bin", "_begin", inside.alias("_wanted"))
     )
-    near = binned.join(targets, [*by, "_bin"]).groupBy(*by, "_bin", "_v").agg(
-        F.count(F.lit(1)).alias("_n"), F.first("_begin").alias("_begin"), F.first("_wanted").alias("_wanted")
-    )
+    bin_key = [*by, "_bin"]
+    asked = binned.join(targets, bin_key, "left_semi").groupBy(*bin_key, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    near = asked.join(targets, bin_key)
     in_bin = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = near.withColumn("_to", F.col("_begin") + F.sum("_n").over(in_bin))
     hits = placed.select(
@@ -310,7 +311,7 @@ def window_statistics(metrics: DataFrame, rules: list[tuple] = THRESHOLD_ALARMS)
             ]
         )
         per_period = small.withColumn("period", F.explode(asked[F.col("metric")]))
-        begin = F.floor(F.col("start") / F.col("period")) * F.col("period")
+        begin = F.col("start") - F.pmod("start", "period")
         windows = per_period.groupBy("metric", "period", begin.alias("window_start")).agg(
             F.sum("sum").alias("Sum"), (F.sum("sum") / F.sum("n")).alias("Average")
         )
