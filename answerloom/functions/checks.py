@@ -1,4 +1,7 @@
-"""Rule checks of one sample. A check that does not apply is not emitted."""
+"""Rule checks of one sample. A check that does not apply is not emitted.
+
+Names and messages of the checks, and the numbers they compare with, are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Chat rendering, prompts, cache keys and loss weights."""
+"""Chat rendering, prompts, cache keys and loss weights.
+
+The wording of the prompts below is made of fixed values: it must come out letter by letter.
+"""
 
 from __future__ import annotations
 

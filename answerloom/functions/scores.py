@@ -1,4 +1,7 @@
-"""Heuristic scores of a response, all as Column expressions."""
+"""Heuristic scores of a response, all as Column expressions.
+
+The weights and thresholds are fixed values; they are added in the order they are listed.
+"""
 
 from __future__ import annotations
 

@@ -35,6 +35,11 @@ def real(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
 
 
+def mean(c: Column) -> Column:
+    """A rounded average: the last bit of a sum, which depends on its order, decides no half-way case."""
+    return real(c + F.lit(1e-9))
+
+
 def whole(c: Column) -> Column:
     return c.cast("bigint")
 
@@ -876,7 +881,8 @@ def t2_metric_counts(spark, d):
 def t1_metric_windows(spark, d):
     windows = monitor.metric_windows(metrics(spark, d), 300)
     return windows.select(
-        "metric", "window_start", "n", *[real(F.col(c)).alias(c) for c in ("sum", "average", "least", "greatest")]
+        "metric", "window_start", "n", mean(F.col("average")).alias("average"),
+        *[real(F.col(c)).alias(c) for c in ("sum", "least", "greatest")],
     )
 
 
@@ -951,7 +957,7 @@ def fired(spark: SparkSession, d: str) -> DataFrame:
 @query
 def w5_j11_threshold_alarms(spark, d):
     return fired(spark, d).select(
-        "alarm", "severity", "window_start", real(F.col("value")).alias("value"), whole(F.col("run")).alias("run"), "firing"
+        "alarm", "severity", "window_start", mean(F.col("value")).alias("value"), whole(F.col("run")).alias("run"), "firing"
     )
 
 
@@ -966,7 +972,7 @@ def t12_machine_alarms(spark, d):
     statistics = monitor.window_statistics(machine_metrics(spark, d))
     rows = monitor.threshold_alarms(statistics, monitor.threshold_rules(spark))
     return rows.select(
-        "alarm", "window_start", real(F.col("value")).alias("value"), whole(F.col("run")).alias("run"), "firing"
+        "alarm", "window_start", mean(F.col("value")).alias("value"), whole(F.col("run")).alias("run"), "firing"
     )
 
 
@@ -1115,7 +1121,7 @@ def t1_stream_windows(spark, d):
     )
     running.awaitTermination()
     rows = spark.read.parquet(out)
-    return rows.select("metric", "window_start", "n", real(F.col("sum")).alias("sum"), real(F.col("average")).alias("average"))
+    return rows.select("metric", "window_start", "n", real(F.col("sum")).alias("sum"), mean(F.col("average")).alias("average"))
 
 
 @query

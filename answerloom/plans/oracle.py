@@ -880,7 +880,7 @@ def win(seconds: int) -> str:
 
 
 ORACLE["t2_metric_counts"] = f"WITH {METRICS} SELECT metric, endpoint, count(*) AS n, round(sum(value), 6) AS total FROM metrics GROUP BY 1, 2"
-ORACLE["t1_metric_windows"] = f"""WITH {METRICS} SELECT metric, {win(300)} AS window_start, count(*) AS n, round(sum(value), 6) AS sum, round(avg(value), 6) AS average,
+ORACLE["t1_metric_windows"] = f"""WITH {METRICS} SELECT metric, {win(300)} AS window_start, count(*) AS n, round(sum(value), 6) AS sum, round(avg(value) + 1e-9, 6) AS average,
   round(min(value), 6) AS least, round(max(value), 6) AS greatest FROM metrics GROUP BY 1, 2"""
 _P = "round(quantile_cont({v}, 0.5), 6) AS p50, round(quantile_cont({v}, 0.95), 6) AS p95, round(quantile_cont({v}, 0.99), 6) AS p99"
 ORACLE["t1_percentiles"] = f"WITH {METRICS} SELECT metric, {win(3600)} AS window_start, {_P.format(v='value')} FROM metrics GROUP BY 1, 2"
@@ -940,12 +940,12 @@ fired AS (SELECT alarm, severity, window_start, value, row_number() OVER (PARTIT
   row_number() OVER (PARTITION BY alarm, island ORDER BY slot) >= periods AS firing FROM isl)"""
 
 
-ORACLE["w5_j11_threshold_alarms"] = f"WITH {alarm_sql(METRICS)} SELECT alarm, severity, window_start, round(value, 6) AS value, run, firing FROM fired"
+ORACLE["w5_j11_threshold_alarms"] = f"WITH {alarm_sql(METRICS)} SELECT alarm, severity, window_start, round(value + 1e-9, 6) AS value, run, firing FROM fired"
 _CHAN = ", ".join(f"({q(s)}, {q(c)})" for s, names in al.CHANNELS.items() for c in names)
 ORACLE["t7_notifications"] = f"""WITH {alarm_sql(METRICS)} SELECT alarm, severity, channel, count(*) AS n FROM fired JOIN (VALUES {_CHAN}) c(severity, channel) USING (severity)
 WHERE firing GROUP BY 1, 2, 3"""
 _MACHINE = """metrics AS (SELECT ts, 'disk_used_percent' AS metric, 60 + value % 40 AS value FROM events UNION ALL SELECT ts, 'CPUUtilization', value % 8 FROM events)"""
-ORACLE["t12_machine_alarms"] = f"WITH {alarm_sql(_MACHINE)} SELECT alarm, window_start, round(value, 6) AS value, run, firing FROM fired"
+ORACLE["t12_machine_alarms"] = f"WITH {alarm_sql(_MACHINE)} SELECT alarm, window_start, round(value + 1e-9, 6) AS value, run, firing FROM fired"
 
 _ACTIVE = """moves AS (SELECT epoch_us(ts) // 60000000 * 60 AS minute, 1 AS change FROM served
   UNION ALL SELECT (epoch_us(ts) + trunc(latency_ms * 1000)::BIGINT) // 60000000 * 60, -1 FROM served),
@@ -1015,6 +1015,6 @@ ORACLE["t10_x2_task_intake"] = f"""WITH {PARSED_STRICT.replace(RESP, _TASK_RAW)}
 g AS (SELECT *, failed OR confidence < 0.8 OR priority = 'high' OR (form IN (0, 2) AND len(compliance) > 0) AS approval FROM f)
 SELECT task_id, type, requestor, CASE WHEN failed THEN 'error' ELSE 'success' END AS status, CASE WHEN approval THEN 'approval' ELSE 'done' END AS queue,
   CASE WHEN failed THEN 'device lost' END AS error, md5(answer) AS answer_md5, {joined('sources')} AS sources, round(confidence, 6) AS confidence, approval AS requires_approval FROM g"""
-ORACLE["t1_stream_windows"] = f"""WITH {METRICS} SELECT metric, {win(3600)} AS window_start, count(*) AS n, round(sum(value), 6) AS sum, round(avg(value), 6) AS average
+ORACLE["t1_stream_windows"] = f"""WITH {METRICS} SELECT metric, {win(3600)} AS window_start, count(*) AS n, round(sum(value), 6) AS sum, round(avg(value) + 1e-9, 6) AS average
 FROM metrics GROUP BY 1, 2"""
 ORACLE["t9_stream_cache"] = ORACLE["t9_cache_replay"]
