@@ -72,14 +72,17 @@ def batch_stats(results: DataFrame) -> DataFrame:
 
 
 def evaluation_metrics(evaluated: DataFrame) -> DataFrame:
-    """A14 with A7, A8 and A10 in one pass over rows that carry all scores.
+    """A14 with A7 and A8 in one pass over rows that carry all scores.
 
-    The syntax rate counts only answers with a fenced block and is 1 without any.
+    The syntax rate counts only answers with a fenced block and is 1 without any. The reasoning
+    quality is the mean of ``judge_score`` over judged rows; without that column its gate is
+    skipped. The heuristic ``reasoning_score`` does not stand in for a judge.
     """
     fenced = F.contains("answer", F.lit("```"))
     syntax = F.when(fenced, config_syntax_ok(F.col("answer")).cast("double"))
     rows = evaluated.withColumn("_syntax", syntax)
-    reasoning = F.avg("reasoning_score") if "reasoning_score" in evaluated.columns else F.lit(None).cast("double")
+    judged = "judge_score" in evaluated.columns
+    reasoning = F.avg("judge_score") if judged else F.lit(None).cast("double")
     return rows.agg(
         F.count(F.lit(1)).alias("test_samples"),
         F.avg("fact_score").alias("technical_accuracy"),

@@ -181,11 +181,10 @@ def coverage(docs: DataFrame, category: str = "category", doc: str = "doc") -> D
     )
 
 
-def coverage_score(coverage_rows: DataFrame, postings: DataFrame, required: list[str]) -> DataFrame:
-    """A15. 60 points for present categories, up to 40 for index terms; A19 counts the terms."""
-    present = coverage_rows.filter(F.col("category").isin(required) & (F.col("section_count") > 0)).agg(
-        F.count(F.lit(1)).alias("present"), F.lit(0).cast("bigint").alias("total_terms")
-    )
+def coverage_score(known: DataFrame, postings: DataFrame, required: list[str]) -> DataFrame:
+    """A15. 60 points for categories with any section, up to 40 for index terms; A19 counts the terms."""
+    filled = known.filter(F.col("category").isin(required)).select("category").distinct()
+    present = filled.agg(F.count(F.lit(1)).alias("present"), F.lit(0).cast("bigint").alias("total_terms"))
     terms = postings.select("term").distinct().agg(
         F.lit(0).cast("bigint").alias("present"), F.count(F.lit(1)).alias("total_terms")
     )
@@ -194,6 +193,19 @@ def coverage_score(coverage_rows: DataFrame, postings: DataFrame, required: list
     return both.select("present", "total_terms", F.round(score, 1).alias("coverage_score"))
 
 
+def place_entries(new: DataFrame, known: DataFrame) -> DataFrame:
+    """K6. The section a new entry goes to: its category's default, or the top level without it.
+
+    ``known`` is the output of ``sections``; the top level is an empty section name.
+    """
+    pairs = [F.lit(x) for pair in CATEGORY_SECTIONS.items() for x in pair]
+    wanted = new.withColumn("section", F.create_map(*pairs)[F.col("category")])
+    found = known.select("category", "section", F.lit(True).alias("_found")).distinct()
+    return wanted.join(found, ["category", "section"], "left").withColumn(
+        "section", F.when(F.col("_found"), F.col("section")).otherwise("")
+    ).drop("_found")
+
+
 def upsert(base: DataFrame, new: DataFrame, known: list[str] | None = None) -> DataFrame:
     """K6, K7. Latest entry per (category, section, key) of base and new rows, by ``added``.
 

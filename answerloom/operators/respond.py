@@ -6,10 +6,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from answerloom.fixed import wording
 from answerloom.functions.parse import parse_judgement, parse_responses
 from answerloom.functions.text import cut
 
@@ -62,15 +63,21 @@ def batch_records(answered: DataFrame, flavor: str = "basic") -> DataFrame:
     return good.unionByName(bad, allowMissingColumns=True)
 
 
+def judge_form(question: Column, reasoning: Column, answer: Column) -> Column:
+    """X3, W9. The form shows 500 and 3000 characters, the lengths it is made for."""
+    response = F.concat_ws("\n\n", reasoning, answer)
+    return F.concat(
+        F.lit(wording.JUDGE_HEAD), cut(question, 500), F.lit(wording.JUDGE_MIDDLE), cut(response, 3000),
+        F.lit(wording.JUDGE_TAIL),
+    )
+
+
 def judge(
     df: DataFrame, fn: Callable[[str], str], question: str = "prompt", reasoning: str = "reasoning",
     answer: str = "answer",
 ) -> DataFrame:
-    """X3, R25. Judge input shows 500 and 3000 characters, the lengths its form asks for (W9)."""
-    response = F.concat_ws("\n\n", F.col(reasoning), F.col(answer))
-    form = F.concat(
-        F.lit("Question:\n"), cut(F.col(question), 500), F.lit("\n\nResponse:\n"), cut(response, 3000)
-    )
+    """X3, R25. Adds ``score`` and ``rationale``; ``fn`` fills in the form of ``judge_form``."""
+    form = judge_form(F.col(question), F.col(reasoning), F.col(answer))
     judged = respond(df.drop("raw", "latency_ms", "error").withColumn("judge_prompt", form), fn, "judge_prompt")
     failed = F.struct(F.lit(3.0).alias("score"), F.concat(F.lit("Error: "), cut(F.col("error"), 50)).alias("rationale"))
     verdict = F.when(F.col("error").isNotNull(), failed).otherwise(parse_judgement(F.coalesce("raw", F.lit(""))))

@@ -333,6 +333,14 @@ def a9_judge_report(spark, d):
     return report.withColumn("avg_score", real(F.col("avg_score")))
 
 
+@query
+def x3_w9_judge_forms(spark, d):
+    """What a judge would read of every response, in the lengths its form shows."""
+    rows = parsed(spark, d, "basic")
+    form = respond.judge_form(F.col("raw"), F.col("reasoning"), F.col("answer"))
+    return rows.select("conv_id", "turn", F.md5(form).alias("form_md5"), whole(F.length(form)).alias("chars"))
+
+
 @query
 def r26_chat_template(spark, d):
     pieces = prompts.chat_pieces(inputs.table(spark, d, "conversations"))
@@ -462,8 +470,10 @@ def a13_missing_keywords(spark, d):
     return evaluate.missing_keywords(scored_cases(spark, d))
 
 
-def evaluated(spark: SparkSession, d: str) -> DataFrame:
-    return datasets.evaluate_responses(inputs.responses(spark, d))
+def judged_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Responses with a recorded judgement each."""
+    verdict = F.concat(F.lit('{"score": '), (F.col("turn") % 6).cast("string"), F.lit("}"))
+    return inputs.responses(spark, d).withColumn("judge_score", parse.parse_judgement(verdict)["score"])
 
 
 @query
@@ -528,13 +538,14 @@ def a11_batch_stats(spark, d):
 
 @query
 def a14_evaluation_metrics(spark, d):
-    long = evaluate.metrics_long(evaluate.evaluation_metrics(evaluated(spark, d)))
+    scored = datasets.evaluate_responses(judged_responses(spark, d))
+    long = evaluate.metrics_long(evaluate.evaluation_metrics(scored))
     return long.select("metric", real(F.col("value")).alias("value"))
 
 
 @query
 def q1_gates(spark, d):
-    gates = datasets.gate_report(inputs.responses(spark, d))
+    gates = datasets.gate_report(judged_responses(spark, d))
     return gates.withColumn("value", real(F.col("value")))
 
 
@@ -806,8 +817,8 @@ def a15_k5_coverage(spark, d):
 @query
 def a15_coverage_score(spark, d):
     required = ["AFRICA", "ASIA", "EUROPE", "click", "src0", "src999"]
-    covered = knowledge.coverage(inputs.knowledge_documents(spark, d))
-    return knowledge.coverage_score(covered, postings(spark, d), required)
+    known = knowledge.sections(inputs.knowledge_documents(spark, d))
+    return knowledge.coverage_score(known, postings(spark, d), required)
 
 
 @query
@@ -815,6 +826,14 @@ def k6_upsert(spark, d):
     return knowledge.upsert(inputs.base_entries(spark, d), inputs.new_entries(spark, d))
 
 
+@query
+def k6_place_entries(spark, d):
+    """Sections of new entries where the knowledge base has some of the default sections."""
+    held = spark.createDataFrame([("design_patterns", "topology_patterns"), ("cost_benchmarks", "tco_models")], "category string, section string")
+    placed = knowledge.place_entries(inputs.new_entries(spark, d), held)
+    return placed.groupBy("category", "section").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def k6_rejected(spark, d):
     return knowledge.rejected(inputs.new_entries(spark, d)).groupBy("category").agg(F.count(F.lit(1)).alias("n"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from answerloom.fixed import alarms as al
 from answerloom.fixed import chain_text as ct
 from answerloom.fixed import scenarios as sc
+from answerloom.fixed import wording
 from answerloom.fixed.claims import CLAIMS
 from answerloom.fixed.rules import (
     CONTROL_PREFIX, CONTROLS, EIGRP_WORDS, GATE_TARGETS, NON_PUBLIC_BLOCKS, OTHER_VENDORS,
     OVERLAY_CONTEXT, OVERLAY_WORDS, PUBLIC_EXCEPTIONS, SPINE_LEAF_CONTEXT, SPINE_LEAF_REQUIRED,
     TOPIC_TARGETS,
 )
+from answerloom.fixed.wording import TASK_SYSTEM
 from answerloom.fixed.sources import CITABLE_NAMES, DOMAIN_TITLES, STANDARD_VERSIONS, TECHNICAL_TERMS
 from answerloom.plans.inputs import REMARKS
 
@@ -367,6 +369,9 @@ ORACLE["a9_judge_report"] = f"""WITH {JUDGED} SELECT count(*) AS num_evaluated,
   {', '.join(f'count(*) FILTER (floor(score) = {i}) AS score_{i}' for i in range(1, 6))},
   count(*) FILTER (score >= 4) AS samples_above_4, count(*) FILTER (score < 3) AS samples_below_3 FROM judgement"""
 
+_FORM = f"concat({q(wording.JUDGE_HEAD)}, substr(raw, 1, 500), {q(wording.JUDGE_MIDDLE)}, substr(concat(reasoning, chr(10), chr(10), answer), 1, 3000), {q(wording.JUDGE_TAIL)})"
+ORACLE["x3_w9_judge_forms"] = f"WITH {PARSED_BASIC} SELECT conv_id, turn, md5({_FORM}) AS form_md5, length({_FORM})::BIGINT AS chars FROM basic"
+
 ORACLE["r26_chat_template"] = """WITH t AS (SELECT *, max(turn) OVER w AS last,
   min(turn) FILTER (role = 'system') OVER w AS sys FROM conversations WINDOW w AS (PARTITION BY conv_id)),
 p AS (SELECT conv_id, CASE WHEN role = 'system' THEN -1 ELSE turn END AS position,
@@ -543,7 +548,7 @@ SELECT count(*) AS total, count(*) FILTER (done) AS completed, count(*) FILTER (
 _EVAL = f"""WITH {PARSED_BASIC}, ev AS (SELECT *, concat(answer, ' ', reasoning) AS full_text, concat(reasoning, ' ', answer) AS claim_text FROM basic),
 {fact_check('ev', 'full_text', 'category')}, {aligned('fc', 'claim_text')},
 mx AS (SELECT avg(fact_score) AS technical_accuracy, avg(alignment_score) AS knowledge_alignment,
-  avg({reasoning_score("concat(reasoning, chr(10), answer)")}) AS reasoning_quality,
+  avg(greatest(1, turn % 6)) AS reasoning_quality,
   avg(has_think_block::INT) AS think_block_present, avg((reasoning_steps >= 5)::INT) AS steps_sufficient,
   coalesce(avg(CASE WHEN contains(answer, '```') THEN {syntax_ok('answer')}::INT END), 1.0) AS config_syntax_valid,
   avg(latency_ms) AS avg_latency_ms FROM al),
@@ -855,6 +860,8 @@ fresh AS (SELECT ({_NAMES})[(n_regionkey + c_custkey % 6) % 6 + 1] AS category,
 ORACLE["k6_upsert"] = f"""WITH {_ENTRIES}, u AS (SELECT * FROM base UNION ALL SELECT * FROM fresh WHERE category <> 'unlisted')
 SELECT category, 'base' AS section, key, entry, source, added, versions FROM (SELECT *, count(*) OVER (PARTITION BY category, key) AS versions,
   row_number() OVER (PARTITION BY category, key ORDER BY added DESC, seq DESC) AS rn FROM u) WHERE rn = 1"""
+ORACLE["k6_place_entries"] = f"""WITH {_ENTRIES} SELECT category, CASE WHEN category = 'design_patterns' THEN 'topology_patterns' ELSE '' END AS section, count(*) AS n
+FROM fresh GROUP BY 1, 2"""
 ORACLE["k6_rejected"] = f"WITH {_ENTRIES} SELECT category, count(*) AS n FROM fresh WHERE category = 'unlisted' GROUP BY 1"
 ORACLE["k7_extraction_entries"] = """SELECT source AS category, lang AS key, versions, added, least(2000, length(text))::BIGINT AS description_chars, md5(text) AS content_md5
 FROM (SELECT *, doc_id % 97 AS added, count(*) OVER (PARTITION BY source, lang) AS versions,
@@ -1008,7 +1015,9 @@ _TASK_RAW = f"""{_MSG}, t AS (SELECT *, CASE WHEN form = 0 THEN uptime ELSE 99.9
 prompted AS (SELECT *, CASE type WHEN 'design' THEN {_AGENT_DESIGN}
   WHEN 'estimate' THEN concat('Provide a detailed cost estimate for:', chr(10), chr(10), context, chr(10), chr(10), 'Break down CAPEX and annual OPEX. Include hardware, licensing, and implementation.')
   WHEN 'review' THEN context END AS prompt FROM t),
-responses AS (SELECT *, coalesce('<think>Step 1: read.</think>' || prompt, '') AS raw FROM prompted)"""
+responses AS (SELECT *, coalesce(concat('<think>Step 1: read.</think>', '<|system|>', chr(10), {case_map('type', {'estimate': TASK_SYSTEM['estimate']}, TASK_SYSTEM['design'])},
+  '<|end|>', chr(10), '<|user|>', chr(10), nullif(prompt, ''), '<|end|>', chr(10), '<|assistant|>', chr(10)), '') AS raw FROM prompted WHERE type <> 'troubleshoot'
+  UNION ALL SELECT *, '' FROM prompted WHERE type = 'troubleshoot')"""
 ORACLE["t10_x2_task_intake"] = f"""WITH {PARSED_STRICT.replace(RESP, _TASK_RAW)}, f AS (SELECT *, type = 'troubleshoot' AS failed,
   CASE WHEN type = 'troubleshoot' THEN 0 ELSE least(0.5::DOUBLE + 0.15 + CASE WHEN len(sources) > 0 THEN 0.1 ELSE 0 END + CASE WHEN len(sources) > 2 THEN 0.05 ELSE 0 END
     + CASE WHEN length(answer) > 200 THEN 0.05 ELSE 0 END + least(({_HITS}) * 0.02::DOUBLE, 0.1), 1.0) END AS confidence FROM strict),

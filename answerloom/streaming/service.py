@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from answerloom.fixed.wording import TASK_SYSTEM
 from answerloom.functions.parse import parse_responses
+from answerloom.functions.prompts import single_turn_prompt
 from answerloom.functions.scores import confidence_strict
 from answerloom.operators.replay import SECOND, Expiry, RateLimit
 from answerloom.operators.requests import (
@@ -34,14 +36,22 @@ def read_tasks(spark: SparkSession, path: str, files_per_trigger: int | None = N
     return reader.text(path)
 
 
+def system_text(task_type: Column) -> Column:
+    """The system text of a task type, design's for an unknown one."""
+    pairs = [F.lit(x) for pair in TASK_SYSTEM.items() for x in pair]
+    return F.coalesce(F.create_map(*pairs)[task_type], F.lit(TASK_SYSTEM["design"]))
+
+
 def answer_tasks(messages: DataFrame, responder: Callable[[str], str], threshold: float = 0.80) -> DataFrame:
-    """T10. P9, R30, X2, R2, R4, P6, P7 in one projection chain, batch or stream.
+    """T10. P9, R30, R27, X2, R2, R4, P6, P7 in one projection chain, batch or stream.
 
     A message that cannot be read and a prompt that fails become error rows.
     """
     tasks = task_prompt(normalize_tasks(messages).withColumnRenamed("error", "message_error"))
-    asked = tasks.withColumn("prompt", F.when(F.col("message_error").isNull(), F.col("prompt")))
-    parsed = parse_responses(respond(asked, responder).withColumn("raw", F.coalesce("raw", F.lit(""))), "strict")
+    whole = single_turn_prompt(system_text(F.col("type")), F.col("prompt"))
+    asked = tasks.withColumn("model_prompt", F.when(F.col("message_error").isNull(), whole))
+    answered = respond(asked, responder, "model_prompt")
+    parsed = parse_responses(answered.withColumn("raw", F.coalesce("raw", F.lit(""))), "strict")
     confidence = confidence_strict(
         F.col("reasoning"), F.col("answer"), F.col("reasoning_steps"), F.size("sources")
     )

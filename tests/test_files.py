@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from answerloom.fixed import wording
 from answerloom.operators import knowledge, respond
 from answerloom.plans import datasets
 from answerloom.sources import files
@@ -150,5 +151,5 @@ def test_judge(spark):
         return json.dumps({"score": 4.5, "rationale": str(len(text))})
 
     got = {r.prompt[:4]: r for r in respond.judge(df, fn).collect()}
-    assert got["qqqq"].score == 4.5 and got["qqqq"].rationale == str(500 + 3000 + len("Question:\n") + len("\n\nResponse:\n"))
+    assert got["qqqq"].score == 4.5 and got["qqqq"].rationale == str(500 + 3000 + len(wording.JUDGE_HEAD + wording.JUDGE_MIDDLE + wording.JUDGE_TAIL))
     assert got["fail"].score == 3.0 and got["fail"].rationale == "Error: " + "x" * 50
