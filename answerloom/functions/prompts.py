@@ -38,25 +38,21 @@ def chat_pieces(
 ) -> DataFrame:
     """R26 for samples stored one message per row: the lines of the template in ``position`` order.
 
-    Only two aggregates per sample travel; a sample of any length stays spread over its rows.
+    Every turn renders where it is. Only system texts and, per sample, the last role meet in an
+    aggregate, so no text of the conversation itself is shuffled.
     """
     is_system = F.col(role) == "system"
-    ends = turns.groupBy(key).agg(
-        F.min(F.when(is_system, F.col(order))).alias("_system"),
-        F.max(order).alias("_last"),
-        F.max_by(role, order).alias("_last_role"),
+    spoken = turns.filter(~is_system | F.col(role).isNull()).select(
+        F.col(key), F.col(order).cast("bigint").alias("position"), render_turn(F.col(role), F.col(text)).alias("piece")
     )
-    joined = turns.join(ends, key).filter(~is_system | (F.col(order) == F.col("_system")))
-    own = F.struct(
-        F.when(is_system, F.lit(-1)).otherwise(F.col(order)).cast("bigint").alias("position"),
-        render_turn(F.col(role), F.col(text)).alias("piece"),
+    system = turns.filter(is_system).groupBy(key).agg(F.min_by(text, order).alias("_t")).select(
+        F.col(key), F.lit(-1).cast("bigint").alias("position"), render_turn(F.lit("system"), F.col("_t")).alias("piece")
     )
-    invite = F.struct(
-        (F.col("_last") + 1).cast("bigint").alias("position"), F.lit(ASSISTANT).alias("piece")
+    ends = turns.groupBy(key).agg(F.max(order).alias("_last"), F.max_by(role, order).alias("_role"))
+    invite = ends.filter("_role = 'user'").select(
+        F.col(key), (F.col("_last") + 1).cast("bigint").alias("position"), F.lit(ASSISTANT).alias("piece")
     )
-    open_end = (F.col(order) == F.col("_last")) & (F.col("_last_role") == "user")
-    pieces = F.when(open_end, F.array(own, invite)).otherwise(F.array(own))
-    return joined.select(F.col(key), F.inline(pieces))
+    return spoken.unionByName(system).unionByName(invite)
 
 
 def single_turn_prompt(system: Column, user: Column) -> Column:

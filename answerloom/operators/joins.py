@@ -10,14 +10,14 @@ from answerloom.session import cut_lineage
 BROADCAST_ROWS = 100_000
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame) -> DataFrame:
     """Store ``df`` once, count it, and mark it for broadcast only when it is small.
 
-    Beyond ``max_rows`` the join stays a shuffle join, which adaptive execution splits at hot
-    keys. Use it for a few narrow columns computed from a large input.
+    Beyond ``BROADCAST_ROWS`` the join stays a shuffle join, which adaptive execution splits at
+    hot keys. Use it for a few narrow columns computed from a large input.
     """
     stored = cut_lineage(df)
-    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
+    return F.broadcast(stored) if stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else stored
 
 
 def spread(df: DataFrame) -> DataFrame:

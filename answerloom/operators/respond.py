@@ -49,18 +49,20 @@ def answer_from(df: DataFrame, answers: DataFrame, on: str) -> DataFrame:
     return joined.withColumn("error", F.when(F.col("raw").isNull(), "no recorded answer"))
 
 
-RECORD = ["id", "category", "prompt", "reasoning", "answer", "sources", "latency_ms",
-          "has_think_block", "reasoning_steps"]
-
-
 def batch_records(answered: DataFrame, flavor: str = "basic") -> DataFrame:
-    """S8, U2. Result records and error records in one table; empty prompts write nothing."""
+    """S8, U2. Result records and error records in one table; empty prompts write nothing.
+
+    One projection tells them apart, so a responder behind ``answered`` is asked once per row.
+    """
     asked = answered.filter(F.coalesce(F.col("prompt"), F.lit("")) != "")
-    good = parse_responses(asked.filter("error IS NULL"), flavor).select(*RECORD)
-    bad = asked.filter("error IS NOT NULL").select(
-        "id", "category", "prompt", "error", F.lit("").alias("answer"), F.lit("").alias("reasoning")
+    parsed = parse_responses(asked.withColumn("raw", F.coalesce("raw", F.lit(""))), flavor)
+    good = F.col("error").isNull()
+    return parsed.select(
+        "id", "category", "prompt",
+        *[F.when(good, F.col(c)).otherwise("").alias(c) for c in ("reasoning", "answer")],
+        *[F.when(good, F.col(c)).alias(c) for c in ("sources", "latency_ms", "has_think_block", "reasoning_steps")],
+        "error",
     )
-    return good.unionByName(bad, allowMissingColumns=True)
 
 
 def judge_form(question: Column, reasoning: Column, answer: Column) -> Column:

@@ -142,6 +142,22 @@ def test_responder_isolates_failures(spark):
     assert records["2"].error == "device lost" and records["2"].answer == "" and records["2"].latency_ms is None
 
 
+def test_responder_is_asked_once_per_row(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def fn(text):
+        asked.add(1)
+        if text.endswith("3"):
+            raise RuntimeError("no")
+        return text
+
+    df = spark.range(20).select(
+        F.col("id").cast("string").alias("id"), F.lit("c").alias("category"), F.concat(F.lit("p"), "id").alias("prompt")
+    )
+    records = respond.batch_records(respond.respond(df, fn)).collect()
+    assert len(records) == 20 and sum(r.error is not None for r in records) == 2 and asked.value == 20
+
+
 def test_judge(spark):
     df = spark.createDataFrame([("q" * 900, "r", "a" * 9000), ("fail", "r", "a")], "prompt string, reasoning string, answer string")
 
