@@ -2,9 +2,10 @@
 
 A rate limiter and a cache with expiry decide request after request. Rows of a key are
 streamed in time order through a small state, and never gathered: a task holds one Arrow batch
-and the state. A key with many rows is cut into blocks of bounded size. A pause after which no
-earlier request matters starts an independent block, so such blocks run side by side; blocks
-without a pause between them run in rounds, each starting from the state the last one left.
+and the state. A key with many rows is cut into blocks of bounded size. Where no earlier request
+can matter (a long pause, or for a rate limit a stretch so quiet that everything in it passes) an
+independent block starts, so such blocks run side by side. Blocks without such a place between
+them run in rounds, each starting from the state the last one left.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerloom.operators.joins import small_side
-from answerloom.session import cut_lineage
+from answerloom.session import cut_lineage, work_folder
 
 # The folds travel to the executors with the job; these need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_ROWS = 2_000_000
+# Bounds what one task sorts; the rows themselves are streamed.
+BLOCK_ROWS = 20_000_000
 SECOND = 1_000_000
 
 
@@ -35,6 +37,17 @@ class RateLimit:
     def __init__(self, limit: int, window: int) -> None:
         self.limit, self.window, self.passed = limit, window, deque()
 
+    def quiet(self, bucket: int) -> Column:
+        """Over buckets in order: from here on, for one window, fewer requests than the limit.
+
+        All of them pass whatever came before, and after them only they count: a replay that
+        starts here without any state decides everything alike.
+        """
+        span = -(-self.window // bucket)
+        order = Window.partitionBy("_key").orderBy("_bucket")
+        load = F.sum("_n").over(order.rangeBetween(-span, 0))
+        return F.max(load).over(order.rangeBetween(0, span - 1)) <= self.limit
+
     def begin(self, carry) -> None:
         self.passed = deque(carry)
 
@@ -61,6 +74,10 @@ class Expiry:
     def __init__(self, ttl: int) -> None:
         self.ttl, self.stored = ttl, None
 
+    def quiet(self, bucket: int) -> Column:
+        """Nothing but a pause makes a stored answer irrelevant."""
+        return F.lit(False)
+
     def begin(self, carry) -> None:
         self.stored = int(carry[0]) if len(carry) else None
 
@@ -79,7 +96,13 @@ class Expiry:
         return [] if self.stored is None else [self.stored]
 
 
-def _blocks(rows: DataFrame, gap: int, bucket: int, block_rows: int) -> DataFrame | None:
+def _with_quiet(buckets: DataFrame, fold: RateLimit | Expiry, bucket: int) -> DataFrame:
+    return buckets.withColumn("_quiet", fold.quiet(bucket))
+
+
+def _blocks(
+    rows: DataFrame, gap: int, bucket: int, block_rows: int, fold: RateLimit | Expiry
+) -> DataFrame | None:
     """Buckets of keys with more than ``block_rows`` rows: (_key, _bucket, _block, _round).
 
     ``_block`` numbers independent stretches, ``_round`` the parts of one stretch. None when no
@@ -95,8 +118,9 @@ def _blocks(rows: DataFrame, gap: int, bucket: int, block_rows: int) -> DataFram
     order = Window.partitionBy("_key").orderBy("_bucket")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    marked = buckets.withColumn("_pause", F.coalesce(F.col("_first") - F.max("_reach").over(earlier) >= gap, F.lit(True)))
-    marked = marked.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    paused = F.coalesce(F.col("_first") - F.max("_reach").over(earlier) >= gap, F.lit(True))
+    marked = buckets.select("*", paused.alias("_paused"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    marked = _with_quiet(marked, fold, bucket).withColumn("_pause", F.col("_paused") | F.col("_quiet"))
     begun = marked.withColumn("_begin", F.max(F.when(F.col("_pause"), F.col("_before"))).over(upto))
     return begun.select(
         "_key", "_bucket", F.floor(F.col("_begin") / block_rows).alias("_block"),
@@ -150,7 +174,7 @@ def _replay(
         F.col(key).alias("_key"), F.col(event_id).alias("_id"), t.alias("_t"), store.alias("_store")
     )
     bucket = max(gap // 4, 1)
-    blocks = _blocks(rows, gap, bucket, block_rows)
+    blocks = _blocks(rows, gap, bucket, block_rows, make())
     if blocks is None:  # every key is one block
         placed = rows.select("*", F.lit(-1).cast("bigint").alias("_block"), F.lit(0).alias("_round"))
         rounds = 0
@@ -159,8 +183,10 @@ def _replay(
         rounds = blocks.agg(F.max("_round")).first()[0]
         placed = rows.withColumn("_bucket", F.floor(F.col("_t") / bucket))
         placed = placed.join(small_side(blocks), ["_key", "_bucket"], "left").fillna({"_block": -1, "_round": 0})
-    if rounds > 0:
-        placed = cut_lineage(placed)
+    if rounds > 0:  # every round reads its own part only
+        path = work_folder(events.sparkSession)
+        placed.write.partitionBy("_round").parquet(path)
+        placed = events.sparkSession.read.schema(placed.schema).parquet(path)
     parts, carried = [], None
     for turn in range(rounds + 1):
         now = placed.filter(F.col("_round") == turn)

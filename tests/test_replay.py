@@ -77,9 +77,10 @@ def test_blocks_are_bounded_and_need_rounds(spark):
     rows = hot_rows(5)
     t = F.unix_micros("ts")
     df = events(spark, rows).select(F.col("user_id").alias("_key"), t.alias("_t"), t.alias("_store"))
-    blocks = replay._blocks(df, 60_000_000, 15_000_000, 60)
+    fold = replay.Expiry(60_000_000)
+    blocks = replay._blocks(df, 60_000_000, 15_000_000, 60, fold)
     assert blocks.filter("_key <> 'hot'").count() == 0
-    assert replay._blocks(df, 60_000_000, 15_000_000, 10_000) is None
+    assert replay._blocks(df, 60_000_000, 15_000_000, 10_000, fold) is None
     assert blocks.agg(F.max("_round")).first()[0] > 2
     assert blocks.select("_block").distinct().count() > 2
 
@@ -94,3 +95,27 @@ def test_exact_ages(spark):
 
 def test_no_events(spark):
     assert replay.replay_cache(events(spark, [])).count() == 0
+
+
+def test_quiet_stretches_start_blocks(spark):
+    """Bursts with quiet traffic between them, but never a pause of a whole window."""
+    rng, rows, clock = random.Random(8), [], 0.0
+    for burst in range(20):
+        for _ in range(rng.randrange(5, 60)):
+            rows.append((len(rows), "hot", clock, 0))
+            clock += rng.choice([0, 0.1, 1, 3])
+        for _ in range(rng.randrange(0, 15)):
+            clock += rng.uniform(15, 30)
+            rows.append((len(rows), "hot", clock, 0))
+        clock += 5
+    t = F.unix_micros("ts")
+    for limit, window in ((5, 60), (4, 61)):
+        df = events(spark, rows)
+        got = replay.replay_rate_limit(df, limit=limit, window_seconds=window, block_rows=40).collect()
+        assert {r.event_id: r.accepted for r in got} == limit_model(rows, limit, window)
+        keyed = df.select(F.col("user_id").alias("_key"), t.alias("_t"), t.alias("_store"))
+        fold = replay.RateLimit(limit, window * replay.SECOND)
+        by_quiet = replay._blocks(keyed, window * replay.SECOND, window * replay.SECOND // 4, 40, fold)
+        by_pause = replay._blocks(keyed, window * replay.SECOND, window * replay.SECOND // 4, 40, replay.Expiry(1))
+        rounds = [b.agg(F.max("_round")).first()[0] for b in (by_quiet, by_pause)]
+        assert rounds[0] < rounds[1]
