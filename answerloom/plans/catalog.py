@@ -298,7 +298,6 @@ def r23_extract_cost(spark, d):
 
 @query
 def r24_remediation_steps(spark, d):
-    """Java has the lookahead this pattern needs, the SQL engine has not: checked in the tests."""
     rows = inputs.responses(spark, d)
     steps = parse.remediation_steps(F.col("raw"))
     return rows.select("conv_id", "turn", F.posexplode(steps).alias("step", "text")).select(
@@ -1092,6 +1091,16 @@ def s3_prompt_files(spark, d):
     return files.read_prompts_json(spark, path).select("id", "category", F.md5("prompt").alias("prompt_md5"))
 
 
+@query
+def s4_prompt_tables(spark, d):
+    """Prompts as CSV under one of the other column names, with line ends and quotes inside."""
+    docs = inputs.table(spark, d, "documents")
+    path = work_folder(spark)
+    shown = F.concat(F.lit('say "'), F.col("text"), F.lit('", please'))
+    docs.select(F.col("doc_id").alias("id"), shown.alias("question")).write.option("header", True).option("escape", '"').csv(path)
+    return files.read_prompts_csv(spark, path).select("id", "category", F.md5("prompt").alias("prompt_md5"))
+
+
 @query
 def s5_test_case_files(spark, d):
     """Test cases written as lines and read back for one category, whatever its case."""
@@ -1129,28 +1138,52 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
     return inputs.as_served(spark.readStream.schema(schema).parquet(f"{d}/events*.parquet"))
 
 
-@query
-def t1_stream_windows(spark, d):
-    """Metric windows as a stream over the event files, written per trigger as a whole."""
+def whole_result(df: DataFrame) -> DataFrame:
+    """Run a stream over the files there are; its complete result is written anew per trigger."""
+    spark = df.sparkSession
     out, marks = work_folder(spark), work_folder(spark)
-    windows = service.windowed_metrics(monitor.derive_metrics(event_stream(spark, d)), 3600)
     running = (
-        windows.writeStream.outputMode("complete").option("checkpointLocation", marks).trigger(availableNow=True)
+        df.writeStream.outputMode("complete").option("checkpointLocation", marks).trigger(availableNow=True)
         .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(out)).start()
     )
     running.awaitTermination()
-    rows = spark.read.parquet(out)
-    return rows.select("metric", "window_start", "n", real(F.col("sum")).alias("sum"), mean(F.col("average")).alias("average"))
+    return spark.read.parquet(out)
 
 
-@query
-def t9_stream_cache(spark, d):
-    """The cache replay as a keyed stream with state."""
+def appended_result(df: DataFrame) -> DataFrame:
+    """Run a stream over the files there are; its rows are appended to a table."""
+    spark = df.sparkSession
     out, marks = work_folder(spark), work_folder(spark)
-    hits = service.cache_stream(event_stream(spark, d), ttl_seconds=3600)
     running = (
-        hits.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks)
+        df.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks)
         .trigger(availableNow=True).start()
     )
     running.awaitTermination()
-    return spark.read.schema("user_id bigint, event_id bigint, hit boolean").parquet(out)
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@query
+def t1_stream_windows(spark, d):
+    rows = whole_result(service.windowed_metrics(monitor.derive_metrics(event_stream(spark, d)), 3600))
+    return rows.select("metric", "window_start", "n", real(F.col("sum")).alias("sum"), mean(F.col("average")).alias("average"))
+
+
+@query
+def t3_stream_counters(spark, d):
+    return whole_result(service.counters(event_stream(spark, d), ["task_type", "status_code", "has_think"]))
+
+
+@query
+def t6_stream_error_rate(spark, d):
+    rates = whole_result(service.sliding_error_rate(event_stream(spark, d)))
+    return rates.select("window_end", real(F.col("value")).alias("value"), (F.col("value") > 0.1).alias("high"))
+
+
+@query
+def t8_stream_rate_limit(spark, d):
+    return appended_result(service.rate_limit_stream(event_stream(spark, d), limit=2, window_seconds=86400))
+
+
+@query
+def t9_stream_cache(spark, d):
+    return appended_result(service.cache_stream(event_stream(spark, d), ttl_seconds=3600))

@@ -1027,3 +1027,11 @@ SELECT task_id, type, requestor, CASE WHEN failed THEN 'error' ELSE 'success' EN
 ORACLE["t1_stream_windows"] = f"""WITH {METRICS} SELECT metric, {win(3600)} AS window_start, count(*) AS n, round(sum(value), 6) AS sum, round(avg(value) + 1e-9, 6) AS average
 FROM metrics GROUP BY 1, 2"""
 ORACLE["t9_stream_cache"] = ORACLE["t9_cache_replay"]
+ORACLE["t3_stream_counters"] = f"WITH {SERVED} SELECT task_type, status_code, has_think, count(*) AS n FROM served GROUP BY 1, 2, 3"
+ORACLE["t6_stream_error_rate"] = ORACLE["t6_error_rate"]
+ORACLE["t8_stream_rate_limit"] = ORACLE["t8_rate_limit"]
+ORACLE["s4_prompt_tables"] = """SELECT doc_id::VARCHAR AS id, 'general' AS category, md5(concat('say "', text, '", please')) AS prompt_md5 FROM documents"""
+ORACLE["r24_remediation_steps"] = f"""WITH {RESP}, s AS (SELECT conv_id, turn, raw, list_filter(list_transform(
+  string_split(regexp_replace(raw, '\\n(Step\\s+\\d)', chr(1) || '\\1', 'g'), chr(1)), lambda p: regexp_extract(p, '(?s)Step\\s+\\d+.*')), lambda p: p <> '') AS steps FROM responses),
+parts AS (SELECT conv_id, turn, CASE WHEN len(steps) > 0 THEN steps ELSE [raw] END AS parts FROM s)
+SELECT conv_id, turn, unnest(range(len(parts))) AS step, md5(unnest(parts)) AS text_md5 FROM parts"""
