@@ -36,56 +36,59 @@ def _add_when(parts: list[tuple[Column, float]], start: float) -> Column:
     return score
 
 
-def confidence_strict(
-    reasoning: Column, answer: Column, steps: Column, source_count: Column
-) -> Column:
-    """R4."""
+def with_confidence_strict(df: DataFrame) -> DataFrame:
+    """R4 on strictly parsed columns: adds ``confidence``."""
+    reasoning, answer, steps, sources = F.col("reasoning"), F.col("answer"), F.col("reasoning_steps"), F.size("sources")
+    hits = sum(
+        (F.contains(answer, F.lit(t)) | F.contains(reasoning, F.lit(t))).cast("int")
+        for t in TECHNICAL_TERMS
+    )
     score = _add_when(
         [
             (reasoning != "", 0.15),
             (steps >= 3, 0.10),
             (steps >= 5, 0.05),
-            (source_count > 0, 0.10),
-            (source_count > 2, 0.05),
+            (sources > 0, 0.10),
+            (sources > 2, 0.05),
             (F.length(answer) > 200, 0.05),
         ],
         0.5,
     )
-    hits = sum(
-        (F.contains(answer, F.lit(t)) | F.contains(reasoning, F.lit(t))).cast("int")
-        for t in TECHNICAL_TERMS
+    return df.withColumn(
+        "confidence", F.least(score + F.least(hits * F.lit(0.02), F.lit(0.10)), F.lit(1.0))
     )
-    return F.least(score + F.least(hits * F.lit(0.02), F.lit(0.10)), F.lit(1.0))
 
 
-def confidence_suite(answer: Column, has_think: Column, steps: Column, sources: Column) -> Column:
-    """R5."""
-    words = word_count(answer)
-    score = F.lit(0.35) + F.when(has_think, 0.20).otherwise(0.0)
+def with_confidence_suite(df: DataFrame) -> DataFrame:
+    """R5 on columns of the suite flavour: adds ``confidence``. Words are counted once."""
+    counted = df.withColumn("_words", word_count(F.col("answer")))
+    steps, words = F.col("reasoning_steps"), F.col("_words")
+    score = F.lit(0.35) + F.when(F.col("has_think_block"), 0.20).otherwise(0.0)
     score = score + F.when(steps >= 3, 0.15).when(steps >= 1, 0.08).otherwise(0.0)
-    score = score + F.when(F.size(sources) > 0, 0.15).otherwise(0.0)
+    score = score + F.when(F.size("sources") > 0, 0.15).otherwise(0.0)
     score = score + F.when(words >= 200, 0.10).when(words >= 80, 0.05).otherwise(0.0)
-    return F.least(round_exact(score, 2), F.lit(1.0))
+    summed = counted.withColumn("_sum", score)
+    return summed.withColumn("confidence", F.least(round_exact(F.col("_sum"), 2), F.lit(1.0))).drop("_words", "_sum")
 
 
-def reasoning_score(response: Column) -> Column:
-    """R6. 1 to 5 from structure alone."""
-    lowered = F.lower(response)
-    steps = count_matches(response, STEP_LINE)
-    citations = count_matches(response, CITATIONS_SHORT)
-    score = F.lit(1.0) + F.when(response.rlike("(?iu)<think>"), 1.0).otherwise(0.0)
-    score = score + F.when(steps >= 8, 1.0).when(steps >= 5, 0.7).when(steps >= 3, 0.4).otherwise(0.0)
-    score = score + (
-        F.when(citations >= 5, 1.0).when(citations >= 3, 0.6).when(citations >= 1, 0.3).otherwise(0.0)
+def with_reasoning_score(df: DataFrame, response: Column, name: str = "reasoning_score") -> DataFrame:
+    """R6. 1 to 5 from structure alone; every pattern runs once over the text."""
+    staged = df.withColumn("_text", response)
+    c = F.col("_text")
+    seen = staged.select(
+        "*", F.lower(c).alias("_low"), count_matches(c, STEP_LINE).alias("_steps"),
+        count_matches(c, CITATIONS_SHORT).alias("_cites"), c.rlike(VERSIONS_SHORT).alias("_version"),
     )
-    score = score + F.when(response.rlike(VERSIONS_SHORT), 0.5).otherwise(0.0)
+    low, steps, cites = F.col("_low"), F.col("_steps"), F.col("_cites")
     shows_config = (
-        F.contains(response, F.lit("```"))
-        | F.contains(lowered, F.lit("interface "))
-        | F.contains(lowered, F.lit("router bgp"))
+        F.contains(low, F.lit("```")) | F.contains(low, F.lit("interface ")) | F.contains(low, F.lit("router bgp"))
     )
+    score = F.lit(1.0) + F.when(F.contains(low, F.lit("<think>")), 1.0).otherwise(0.0)
+    score = score + F.when(steps >= 8, 1.0).when(steps >= 5, 0.7).when(steps >= 3, 0.4).otherwise(0.0)
+    score = score + F.when(cites >= 5, 1.0).when(cites >= 3, 0.6).when(cites >= 1, 0.3).otherwise(0.0)
+    score = score + F.when(F.col("_version"), 0.5).otherwise(0.0)
     score = score + F.when(shows_config, 0.5).otherwise(0.0)
-    return F.least(F.lit(5.0), score)
+    return seen.withColumn(name, F.least(F.lit(5.0), score)).drop("_text", "_low", "_steps", "_cites", "_version")
 
 
 def band(score: Column, good: float = 0.70, fair: float = 0.45) -> Column:
@@ -129,20 +132,21 @@ def keyword_score(
         + F.lit(0.20) * F.col(confidence)
         + F.when(F.col(has_think), 0.10).otherwise(0.0)
     )
-    return scored.withColumn("overall_score", round_exact(total, 3)).withColumn(
-        "pass_fail", band(F.col("overall_score"))
-    )
+    summed = scored.withColumn("_total", total)
+    rounded = summed.withColumn("overall_score", round_exact(F.col("_total"), 3)).drop("_total")
+    return rounded.withColumn("pass_fail", band(F.col("overall_score")))
 
 
 def source_attribution(df: DataFrame, text: str) -> DataFrame:
     """R8. Domains cited, citation count, version strings."""
-    c, lowered = F.col(text), F.lower(F.col(text))
+    staged = df.withColumn("_lower", F.lower(F.col(text)))
+    c, lowered = F.col(text), F.col("_lower")
     cited = F.filter(
         F.array(*[F.when(contains_any(lowered, t), d) for d, t in DOMAIN_TITLES.items()]),
         lambda d: d.isNotNull(),
     )
-    return df.select(
-        "*",
+    return staged.select(
+        *df.columns,
         cited.alias("domains_cited"),
         count_matches(c, CITATIONS_LONG).alias("citation_count"),
         all_matches(c, VERSIONS_LONG).alias("compliance_versions"),

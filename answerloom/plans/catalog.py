@@ -198,40 +198,22 @@ def r3_parse_suite(spark, d):
     return parse_columns(parsed(spark, d, "suite"))
 
 
-def strict_confidence(df: DataFrame) -> DataFrame:
-    return df.withColumn(
-        "confidence",
-        scores.confidence_strict(
-            F.col("reasoning"), F.col("answer"), F.col("reasoning_steps"), F.size("sources")
-        ),
-    )
-
-
-def suite_confidence(df: DataFrame) -> DataFrame:
-    return df.withColumn(
-        "confidence",
-        scores.confidence_suite(
-            F.col("answer"), F.col("has_think_block"), F.col("reasoning_steps"), F.col("sources")
-        ),
-    )
-
-
 @query
 def r4_confidence_strict(spark, d):
-    scored = strict_confidence(parsed(spark, d, "strict"))
+    scored = scores.with_confidence_strict(parsed(spark, d, "strict"))
     return scored.select("conv_id", "turn", real(F.col("confidence")).alias("confidence"))
 
 
 @query
 def r5_confidence_suite(spark, d):
-    scored = suite_confidence(parsed(spark, d, "suite"))
+    scored = scores.with_confidence_suite(parsed(spark, d, "suite"))
     return scored.select("conv_id", "turn", real(F.col("confidence")).alias("confidence"))
 
 
 @query
 def r6_reasoning_score(spark, d):
-    scored = inputs.responses(spark, d).select("conv_id", "turn", scores.reasoning_score(F.col("raw")).alias("s"))
-    return scored.select("conv_id", "turn", real(F.col("s")).alias("score"))
+    scored = scores.with_reasoning_score(inputs.responses(spark, d), F.col("raw"))
+    return scored.select("conv_id", "turn", real(F.col("reasoning_score")).alias("score"))
 
 
 @query
@@ -499,8 +481,8 @@ def a8_failed_claims(spark, d):
 
 @query
 def a10_reasoning_report(spark, d):
-    rows = inputs.responses(spark, d).select(scores.reasoning_score(F.col("raw")).alias("s"))
-    report = score_summary(rows, "s")
+    rows = scores.with_reasoning_score(inputs.responses(spark, d), F.col("raw"))
+    report = score_summary(rows, "reasoning_score")
     return report.select(F.col("num_samples"), *[real(F.col(c)).alias(c) for c in ("avg_score", "min_score", "max_score")])
 
 

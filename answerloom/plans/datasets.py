@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from answerloom.functions.facts import check_facts
 from answerloom.functions.parse import parse_responses
-from answerloom.functions.scores import alignment_score, confidence_suite, keyword_score, reasoning_score
+from answerloom.functions.scores import (
+    alignment_score, keyword_score, with_confidence_suite, with_reasoning_score,
+)
 from answerloom.operators import curate, evaluate, validate
 from answerloom.session import cut_lineage, work_folder
 from answerloom.sources import files
@@ -69,7 +71,7 @@ def evaluate_responses(responses: DataFrame, category: str = "category") -> Data
         "*", F.concat_ws(" ", "answer", "reasoning").alias("_facts"), F.concat_ws(" ", "reasoning", "answer").alias("_claims")
     )
     rows = alignment_score(check_facts(rows, "_facts", category), "_claims")
-    scored = rows.withColumn("reasoning_score", reasoning_score(F.concat_ws("\n", "reasoning", "answer")))
+    scored = with_reasoning_score(rows, F.concat_ws("\n", "reasoning", "answer"))
     return scored.drop("_facts", "_claims")
 
 
@@ -81,8 +83,5 @@ def gate_report(responses: DataFrame, category: str = "category") -> DataFrame:
 
 def score_suite(responses: DataFrame, cases: DataFrame, on: str = "case_id") -> DataFrame:
     """Parse, confidence, keyword score and band of responses joined with their cases."""
-    rows = parse_responses(responses, "suite")
-    confidence = confidence_suite(
-        F.col("answer"), F.col("has_think_block"), F.col("reasoning_steps"), F.col("sources")
-    )
-    return keyword_score(evaluate.with_cases(rows.withColumn("confidence", confidence), cases, on))
+    rows = with_confidence_suite(parse_responses(responses, "suite"))
+    return keyword_score(evaluate.with_cases(rows, cases, on))

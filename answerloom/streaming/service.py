@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from answerloom.fixed.wording import TASK_SYSTEM
 from answerloom.functions.parse import parse_responses
 from answerloom.functions.prompts import single_turn_prompt
-from answerloom.functions.scores import confidence_strict
+from answerloom.functions.scores import with_confidence_strict
 from answerloom.operators.replay import SECOND, Expiry, RateLimit
 from answerloom.operators.requests import (
     agent_requires_review, normalize_tasks, route, task_compliance, task_prompt, with_error_policy,
@@ -52,10 +52,7 @@ def answer_tasks(messages: DataFrame, responder: Callable[[str], str], threshold
     asked = tasks.withColumn("model_prompt", F.when(F.col("message_error").isNull(), whole))
     answered = respond(asked, responder, "model_prompt")
     parsed = parse_responses(answered.withColumn("raw", F.coalesce("raw", F.lit(""))), "strict")
-    confidence = confidence_strict(
-        F.col("reasoning"), F.col("answer"), F.col("reasoning_steps"), F.size("sources")
-    )
-    scored = parsed.withColumn("confidence", confidence).withColumn("error", F.coalesce("message_error", "error"))
+    scored = with_confidence_strict(parsed).withColumn("error", F.coalesce("message_error", "error"))
     reviewed = scored.withColumn(
         "requires_approval",
         agent_requires_review(F.col("confidence"), F.col("priority"), task_compliance(F.col("context")), threshold),

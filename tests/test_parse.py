@@ -24,8 +24,7 @@ def test_strict_golden(spark):
     assert r.sources == ["CCNP Enterprise Design ENSLD", "RFC 4271"]
     assert r.answer.startswith("Three-tier") and r.reasoning.startswith("Step 1")
     df = parse.parse_strict(spark.createDataFrame([(GOLDEN,)], "raw string"))
-    c = scores.confidence_strict(F.col("reasoning"), F.col("answer"), F.col("reasoning_steps"), F.size("sources"))
-    assert df.select(c).first()[0] == pytest.approx(0.75)
+    assert scores.with_confidence_strict(df).first().confidence == pytest.approx(0.75)
 
 
 def test_strict_edges(spark):
