@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from answerloom.plans.catalog import QUERIES as CATALOG
 from compare import difference, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = CATALOG, entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
