@@ -67,6 +67,7 @@ class Words:
     length: np.ndarray
     row: np.ndarray
     first: np.ndarray  # n rows + 1
+    hash: np.ndarray | None = None
 
     @classmethod
     def of(cls, column: pa.Array) -> Words:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerloom.llm.tables import stored, text_or_empty
+from answerloom.llm.tables import rest, stored, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,8 +23,9 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(BLANKS)))
 
 
-def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """One row per document: (doc_id, n_lines, n_dropped, dropped_bits, kept_text).
+def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: (doc_id, n_lines, n_dropped, dropped_bits, kept_text) and, as
+    the struct ``rest``, the columns named in ``carry``.
 
     A key of at least ``min_chars`` characters that ``min_docs`` documents or more contain loses
     all its lines. Hashes of keys (128 bits) are range-partitioned together with the document, so
@@ -35,7 +38,7 @@ def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     without an id counts for no key, but loses its lines. Other columns are ignored; an empty table
     gives an empty result.
     """
-    source = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("digest", F.xxhash64("text"))
+    source = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"), *rest(carry)).withColumn("digest", F.xxhash64("text"))
     lines = stored(
         source.select("doc_id", "digest", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         .select("doc_id", "digest", "pos", line_key(F.col("line")).alias("key"))
@@ -68,5 +71,5 @@ def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         (F.char_length("s.text") - F.char_length(F.translate("s.text", "\n", "")) + 1).cast("long").alias("n_lines"),
         F.coalesce("b.n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
         F.col("b.dropped").alias("dropped_bits"),
-        F.when(F.col("b.dropped").isNull(), F.col("s.text")).otherwise(kept).alias("kept_text"),
+        F.when(F.col("b.dropped").isNull(), F.col("s.text")).otherwise(kept).alias("kept_text"), *(["s.rest"] if carry else []),
     )

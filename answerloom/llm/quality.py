@@ -50,6 +50,11 @@ def labelled_matrix(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
     return x, np.array(rows.column("label").to_pylist(), float)
 
 
+def fitted(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_rows: int) -> discriminant.Discriminant:
+    """The discriminant of labelled rows that aren't held out."""
+    return discriminant.fit(*labelled_matrix(docs, labels.filter(~held_out(F.col(doc_id).cast("long"))), doc_id, text, label, max_rows))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.7, max_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: (doc_id, held_out, score, predicted); score is the probability of label 1.
 
@@ -58,8 +63,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     scored like any other. Repeated rows are scored alike; a row without an id has null ``held_out``.
     Without labelled rows all scores are 0.5. Other columns are ignored; an empty table gives an empty result.
     """
-    x, y = labelled_matrix(docs, labels.filter(~held_out(F.col(doc_id).cast("long"))), doc_id, text, label, max_rows)
-    model = discriminant.fit(x, y)
+    model = fitted(docs, labels, doc_id, text, label, max_rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, stats in with_statistics(batches, "text"):
@@ -69,3 +73,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), text_or_empty(text).alias("text"))
     return rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.7, max_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs``, whole, that ``quality_scores`` predicts as label 1; nothing is shuffled."""
+    model = fitted(docs, labels, doc_id, text, label, max_rows)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, stats in with_statistics(batches, text):
+            yield part.filter(pa.array(model.score(matrix(stats)) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

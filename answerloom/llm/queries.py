@@ -12,13 +12,20 @@ from answerloom.llm.bytebpe import encode_documents
 from answerloom.llm.exact import exact_groups
 from answerloom.llm.licenses import scan_licenses
 from answerloom.llm.lines import drop_shared_lines
+from answerloom.llm.neardup import near_duplicates
 from answerloom.llm.packing import pack_documents
 from answerloom.llm.quality import quality_scores
 from answerloom.llm.rules import quality_rules
+from answerloom.llm.substring import remove_repeated_passages
 from answerloom.llm.tables import table
 from answerloom.llm.warc import read_archives, write_archives
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_repeated_passages(table(spark, sf_dir, "documents"), window=20)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -57,11 +64,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "step")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_quality_rules, op3_exact_dedup, op4_quality_classifier, op5_license_scan, op6_warc,
-        op7_line_dedup, op8_byte_bpe, op9_packing,
+        op1_substring_dedup, op2_quality_rules, op3_exact_dedup, op4_quality_classifier, op5_license_scan,
+        op6_warc, op7_line_dedup, op8_byte_bpe, op9_packing, op10_minhash_near_dedup,
     )
 }
 
@@ -99,4 +110,18 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM h
 """
 
-ORACLE: dict[str, str] = {"op3_exact_dedup": _EXACT, "op6_warc": _WARC, "op7_line_dedup": _LINES}
+# Windows of 20 words by their text; a word goes if one of the 20 windows around it has an earlier place.
+_PASSAGES = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS pos, words FROM w WHERE len(words) >= 20),
+g AS (SELECT doc_id, pos, array_to_string(words[pos : pos + 19], ' ') AS passage FROM p),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY passage ORDER BY doc_id, pos) AS nth FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM r WHERE nth > 1),
+gone AS (SELECT doc_id, list(pos) AS gone FROM c GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE
+         list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(gone, i)), lambda i: words[i]) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op1_substring_dedup": _PASSAGES, "op3_exact_dedup": _EXACT, "op6_warc": _WARC, "op7_line_dedup": _LINES}

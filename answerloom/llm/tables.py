@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +37,14 @@ def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
-def in_shards(docs: DataFrame, doc_id: str, text: str, shards: int) -> DataFrame:
-    """(shard, doc_id, text) of the documents that have an id. Called twice with the same arguments it is one exchange in a plan."""
+def rest(columns: Sequence[str]) -> list[Column]:
+    """Columns that an operator carries along, in a struct so that no name clashes; none: nothing."""
+    return [F.struct(*columns).alias("rest")] if columns else []
+
+
+def in_shards(docs: DataFrame, doc_id: str, text: str, shards: int, carry: Sequence[str] = ()) -> DataFrame:
+    """(shard, doc_id, text) and ``rest`` of the documents that have an id. Called twice with the same arguments it is one exchange in a plan."""
     return docs.filter(F.col(doc_id).isNotNull()).select(
         F.pmod(F.xxhash64(F.col(doc_id)), F.lit(shards)).cast("int").alias("shard"),
-        F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"),
+        F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), *rest(carry),
     )
