@@ -42,14 +42,14 @@ class Windows:
         return cls(words, hashes, anchors, inside, least)
 
     def chosen_anchors(self) -> np.ndarray:
-        """Anchors that are the least of some window, once for each place."""
+        """Anchors that are the least of some window, once for each place; mixed anew, as least hashes crowd at the low end of their range."""
         n, spare = len(self.least), len(self.anchors) - len(self.least)
         if not n:
             return np.empty(0, np.uint64)
         around = np.zeros(n + 2 * spare, np.uint64)
         around[spare : spare + n] = np.where(self.inside, self.least, 0)
         most = sliding(around, spare + 1, np.maximum)
-        return self.anchors[(self.anchors == most) & (most > 0)]
+        return mix(self.anchors[(self.anchors == most) & (most > 0)])
 
     def digests(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """64 and 32 bits for each window."""
@@ -117,7 +117,7 @@ def _window_rows(window: int, anchor: int, buckets: int):
         for part in _slices(docs) if len(recurring) else ():
             found = Windows.of(part.column("text"), window, anchor)
             at = np.flatnonzero(found.inside)
-            at = at[positions_in(recurring, found.least[at]) >= 0]
+            at = at[positions_in(recurring, mix(found.least[at])) >= 0]
             high, low = found.digests(window)
             ids = part.column("doc_id").to_numpy()
             parts.append((high[at], low[at], ids[found.words.row[at]], found.position()[at].astype(np.int32)))
