@@ -62,6 +62,11 @@ def inverse_frequency(df: np.ndarray, n_docs: int) -> np.ndarray:
     return 1 + IDF_SHARE * np.log((1 + n_docs) / (1 + np.minimum(df, n_docs))) / np.log(1 + max(n_docs, 1))
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    """Two numbers of the open unit interval from each 64-bit hash."""
+    return (x.view(np.uint32).reshape(-1, 2) >> np.uint32(8)).astype(np.int32).astype(np.float32) * np.float32(2**-24) + np.float32(2**-26)
+
+
 def weighted_samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, n_rows: int, n_samples: int) -> np.ndarray:
     """Improved consistent weighted sampling: for each row and sample 32 bits of the (shingle, level) drawn.
 
@@ -80,11 +85,11 @@ def weighted_samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, n_row
         place = np.arange(z - a, dtype=np.uint64)
         for s in range(n_samples):
             x = mix(k + np.uint64((s + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-            y = mix(x)
-            unit = lambda v, bits: (v.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-bits)
-            r = -np.log(unit(x >> np.uint64(32), 32) * unit(x & _LIMIT, 32))
-            c = -np.log1p(-(unit(y >> np.uint64(40), 24) * np.float32(1 - 2**-24))) - np.log1p(-(unit((y >> np.uint64(16)) & np.uint64(0xFFFFFF), 24) * np.float32(1 - 2**-24)))
-            b = unit(y & np.uint64(0xFFFF), 16)
+            u, v = _units(x).T, _units(mix(x)).T
+            r = -np.log(u[0] * u[1])
+            # The low 8 bits of each half are in no unit number; 16 of them make b.
+            c = np.maximum(-np.log(v[0] * v[1]), np.float32(1e-9))
+            b = (((x >> np.uint64(24)) & np.uint64(0xFF00)) | (x & np.uint64(0xFF))).astype(np.int32).astype(np.float32) * np.float32(2**-16)
             t = np.floor(log_w / r + b)
             score = np.log(c) - r * (t - b + 1)
             bits = score.astype(np.float32).view(np.uint32)
