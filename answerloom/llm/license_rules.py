@@ -19,12 +19,12 @@ class Rule(NamedTuple):
 STEMS = (
     "licen", "gpl", "copyright", "copyleft", "public domain", "publicdomain", "permission", "redistribut", "spdx", "rights reserved", "warrant", "cc0",
     "creative commons", "cc by", "liable", " bsd", "substantial portions", "endorse", "advertising", "remotely", "misrepresented", "you want to", "reserved font",
-    "openssl", "beer", "for good", "proprietary", "commercial use", "derivative",
+    "openssl", "beer", "for good", "proprietary", "commercial use", "derivative", "no attribution",
 )
 
 #: Label, keyword, and how the licence is named in running text.
 NAMES = (
-    ("mit", "mit", "(?:mit|x11|expat) licen[cs]e"),
+    ("mit", "licen", "(?:mit|x11|expat) licen[cs]e"),
     ("mit-0", "no attribution", "mit no attribution(?: licen[cs]e)?"),
     ("apache-1.0", "apache", "apache(?: software)? licen[cs]e(?: version)? 1 0"),
     ("apache-1.1", "apache", "apache(?: software)? licen[cs]e(?: version)? 1 1"),
@@ -161,7 +161,7 @@ SENTENCES = (
     ("openssl", "openssl", "this product includes software developed by the openssl project"),
     ("beerware", "beer", "you can buy me a beer in return"),
     ("json", "for good", "the software shall be used for good not evil"),
-    ("w3c", "w3c", "this work is being provided by the copyright holders under the following licen[cs]e"),
+    ("w3c", "being provided", "this work is being provided by the copyright holders under the following licen[cs]e"),
     ("warranty-disclaimer", "as is", "(?:software|work|program|file) is provided as is without warrant(?:y|ies) of any kind"),
     ("warranty-disclaimer", "merchantability", "implied warrant(?:y|ies) of merchantability"),
     ("warranty-disclaimer", "liable", "in no event shall .{1,80} be liable for any"),
@@ -175,7 +175,7 @@ SENTENCES = (
     ("eula", "end user", "end user licen[cs]e agreement"),
     ("dual", "dual licen", "dual licen[cs]ed"),
     ("copyleft", "copyleft", "(?:strong |weak )?copyleft"),
-    ("see-license", "licen", "(?:see|read) (?:the )?(?:licen[cs]e|licen[cs]ing|copying)(?: file| txt| md| terms| information| for details)+"),
+    ("see-license", "licen", "(?:see|read) (?:the )?licen(?:[cs]e|[cs]ing)(?: file| txt| md| terms| information| for details)+"),
     ("redistribution", "redistribut", "may (?:not )?be (?:freely )?redistributed"),
     ("no-derivatives", "derivative", "no derivative works"),
 )
