@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from answerloom.fixed.rules import DATASET_GATES, TOPIC_TARGETS
 from answerloom.functions.scores import CITATIONS_SHORT
 from answerloom.functions.text import count_matches, cut, strip, text_or_empty
-from answerloom.operators.joins import small_side
 
 STEP_LINE = r"(?dmU)^Step\s+\d+:"
 
@@ -41,9 +40,13 @@ def has_role(messages: Column, role: str) -> Column:
     return F.coalesce(F.exists(messages, lambda m: m["role"] == role), F.lit(False))
 
 
-def fingerprint(prompt: Column) -> Column:
-    """W1: the first 200 characters, cut first, then lower-cased and stripped."""
-    return strip(F.lower(cut(prompt, 200)))
+def fingerprint(prompt: Column, prefix_chars: int | None = None) -> Column:
+    """W1: SHA-256 of the whole text, lower-cased and stripped; null counts as empty.
+
+    ``prefix_chars`` compares beginnings instead, cut before they are stripped; 200 is the original's choice.
+    """
+    given = text_or_empty(prompt)
+    return F.sha2(strip(F.lower(given if prefix_chars is None else cut(given, prefix_chars))), 256)
 
 
 def _first_facts(content: Column) -> Column:
@@ -139,25 +142,27 @@ def pick_turns(
     )
 
 
-def duplicate_groups(df: DataFrame, prompt: Column, order: str) -> DataFrame:
+def duplicate_groups(df: DataFrame, prompt: Column, order: str, prefix_chars: int | None = None) -> DataFrame:
     """Fingerprints that occur more than once, with the row to keep and the number of rows."""
+    # The second key follows from the first. It keeps the result from being partitioned as a later join by
+    # fingerprint wants it, so both sides of that join are plain exchanges, which Spark splits at hot keys.
     return (
-        df.select(fingerprint(prompt).alias("_fp"), F.col(order))
-        .groupBy("_fp")
+        df.select(fingerprint(prompt, prefix_chars).alias("_fp"), F.col(order))
+        .groupBy("_fp", F.substring("_fp", 1, 1))
         .agg(F.min(order).alias("_keep"), F.count(F.lit(1)).alias("_n"))
-        .filter("_n > 1")
+        .filter("_n > 1").select("_fp", "_keep", "_n")
     )
 
 
-def deduplicate(df: DataFrame, prompt: Column, order: str) -> DataFrame:
+def deduplicate(df: DataFrame, prompt: Column, order: str, prefix_chars: int | None = None) -> DataFrame:
     """W1. Keep the first row of every fingerprint in ``order`` (unique per row).
 
-    Only fingerprints and order keys are shuffled: the aggregate combines copies on the map
-    side, and the whole rows meet nothing but the list of repeated fingerprints, broadcast
-    while it is small. Pass ``to_json(struct(*))`` as prompt for rows without messages.
+    Copies combine on the map side, and the whole rows meet nothing but the list of repeated
+    fingerprints; how they meet is Spark's choice by size. Pass ``to_json(struct(*))`` as prompt for
+    rows without messages.
     """
-    groups = small_side(duplicate_groups(df, prompt, order).select("_fp", "_keep"))
-    marked = df.withColumn("_fp", fingerprint(prompt)).join(groups, "_fp", "left")
+    groups = duplicate_groups(df, prompt, order, prefix_chars).select("_fp", "_keep")
+    marked = df.withColumn("_fp", fingerprint(prompt, prefix_chars)).join(groups, "_fp", "left")
     return marked.filter(F.col("_keep").isNull() | (F.col(order) == F.col("_keep"))).drop("_fp", "_keep")
 
 
@@ -254,7 +259,7 @@ def _split_points(
         | ((F.col("_begin") < F.col("_val_end")) & (F.col("_val_end") <= F.col("_end")))
     )
     # Only the one or two buckets per stratum that hold a cut are ranked.
-    near = keyed.join(small_side(holding), ["_stratum", "_bucket"])
+    near = keyed.join(holding, ["_stratum", "_bucket"])
     place = F.col("_begin") + F.row_number().over(
         Window.partitionBy("_stratum", "_bucket").orderBy("_hash", "_key")
     )
@@ -270,14 +275,18 @@ def _split_points(
 
 
 def _split(
-    df: DataFrame, key: str, stratum: Column, train: float, val: float, seed: int, stratified: bool,
+    df: DataFrame, key: str, stratum: Column | None, train: float, val: float, seed: int, stratified: bool,
     hex_digits: int,
 ) -> DataFrame:
-    points = _split_points(df, key, stratum, train, val, seed, stratified, hex_digits)
+    """Without a stratum both marks are single values, read as subqueries: there is nothing to join on."""
+    points = _split_points(df, key, F.lit("all") if stratum is None else stratum, train, val, seed, stratified, hex_digits)
     mark = F.struct(
         seeded_order(seed, F.col(key)).alias("_hash"), F.col(key).alias("_key")
     )
-    placed = df.withColumn("_stratum", stratum).join(small_side(points), "_stratum", "left")
+    if stratum is None:
+        placed = df.withColumns({name: points.select(name).scalar() for name in ("_train_mark", "_val_mark")})
+    else:
+        placed = df.withColumn("_stratum", stratum).join(points, "_stratum", "left")
     return placed.withColumn(
         "split",
         F.when(mark <= F.col("_train_mark"), "train").when(mark <= F.col("_val_mark"), "val").otherwise("test"),
@@ -300,7 +309,7 @@ def split_random(
     df: DataFrame, key: str, train: float = 0.8, val: float = 0.1, seed: int = 42, hex_digits: int = 4
 ) -> DataFrame:
     """W3. One stratum, plain cut points."""
-    return _split(df, key, F.lit("all"), train, val, seed, False, hex_digits)
+    return _split(df, key, None, train, val, seed, False, hex_digits)
 
 
 def dataset_gates(digest: DataFrame, gates: dict = DATASET_GATES) -> DataFrame:

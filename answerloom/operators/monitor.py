@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerloom.fixed.alarms import CHANNELS, DURATION_ALARMS, THRESHOLD_ALARMS
-from answerloom.operators.joins import small_side
 from answerloom.session import cut_lineage
 
 INFINITY = "+Inf"
@@ -79,9 +78,7 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, points: list[flo
         ]
     )
     inside = F.filter(wanted, lambda w: (w["_rank"] > F.col("_begin")) & (w["_rank"] <= F.col("_end")))
-    targets = small_side(
-        counted.filter(F.size(inside) > 0).select(*by, "_bin", "_begin", inside.alias("_wanted"))
-    )
+    targets = counted.filter(F.size(inside) > 0).select(*by, "_bin", "_begin", inside.alias("_wanted"))
     bin_key = [*by, "_bin"]
     asked = binned.join(targets, bin_key, "left_semi").groupBy(*bin_key, "_v").agg(F.count(F.lit(1)).alias("_n"))
     near = asked.join(targets, bin_key)

@@ -11,7 +11,7 @@ from answerloom.fixed import alarms, scenarios
 from answerloom.fixed.rules import TOPIC_TARGETS
 from answerloom.functions import checks, facts, parse, prompts, scores
 from answerloom.operators import (
-    curate, evaluate, generate, knowledge, monitor, replay, requests, respond, validate,
+    curate, evaluate, generate, knowledge, monitor, requests, respond, validate,
 )
 from answerloom.operators.reports import score_summary, top_counts
 from answerloom.plans import datasets, inputs
@@ -117,7 +117,7 @@ def w1_deduplicate(spark, d):
 def w1_duplicate_groups(spark, d):
     docs = inputs.table(spark, d, "documents")
     groups = curate.duplicate_groups(docs, F.col("text"), "doc_id")
-    return groups.select(F.md5("_fp").alias("fingerprint"), F.col("_keep").alias("kept"), F.col("_n").alias("copies"))
+    return groups.select(F.col("_fp").alias("fingerprint"), F.col("_keep").alias("kept"), F.col("_n").alias("copies"))
 
 
 @query
@@ -253,7 +253,7 @@ def r11_technical_facts(spark, d):
 @query
 def r11_facts_on_documents(spark, d):
     """Facts over whole documents, no category."""
-    checked = facts.check_facts(inputs.texts(spark, d, "documents").select("doc_id", "text"), "text")
+    checked = facts.check_facts(inputs.table(spark, d, "documents").select("doc_id", "text"), "text")
     return checked.select(
         "doc_id", listed(F.col("failed_facts")).alias("failed"), real(F.col("fact_score")).alias("score")
     )
@@ -399,7 +399,7 @@ def r18_r21_accuracy_checks(spark, d):
 @query
 def r19_public_addresses(spark, d):
     """Every public IPv4 occurrence in the documents."""
-    docs = inputs.texts(spark, d, "documents")
+    docs = inputs.table(spark, d, "documents")
     return docs.select("doc_id", F.inline(checks.address_checks(F.col("text")))).select("doc_id", "name", "evidence")
 
 
@@ -534,11 +534,11 @@ def q1_gates(spark, d):
 
 
 def design_rows(spark: SparkSession, d: str) -> DataFrame:
-    return generate.design_scenarios(inputs.texts(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return generate.design_scenarios(inputs.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
 
 
 def fault_rows(spark: SparkSession, d: str) -> DataFrame:
-    return generate.fault_scenarios(inputs.texts(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return generate.fault_scenarios(inputs.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
 
 
 @query
@@ -614,7 +614,7 @@ def g12_fault_chains(spark, d):
 
 def assembled(spark: SparkSession, d: str) -> DataFrame:
     """Both kinds of samples; the supplied answer is a short note on the order, some are blank."""
-    kinds = generate.plan_kinds(inputs.texts(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    kinds = generate.plan_kinds(inputs.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
     note = F.when(F.col("o_orderkey") % 13 != 0, F.concat_ws(" ", "o_orderpriority", "o_orderstatus")).otherwise("")
     answers = inputs.table(spark, d, "orders").select("o_orderkey", note.alias("answer"))
     key = F.col("o_orderkey")
@@ -992,34 +992,6 @@ def t11_active_requests(spark, d):
     )
 
 
-# --- replays ------------------------------------------------------------------------------------
-
-
-@query
-def t8_rate_limit(spark, d):
-    events = inputs.service_events(spark, d)
-    return replay.replay_rate_limit(events, limit=2, window_seconds=86400)
-
-
-@query
-def t9_cache_replay(spark, d):
-    return replay.replay_cache(inputs.service_events(spark, d), ttl_seconds=3600)
-
-
-@query
-def t9_cache_with_latency(spark, d):
-    """One key per task type: stored when the answer is ready, one day to live."""
-    events = inputs.service_events(spark, d)
-    return replay.replay_cache(events, key="task_type", ttl_seconds=7200, latency_ms=F.col("latency_ms"))
-
-
-@query
-def t9_hit_counts(spark, d):
-    """T3: cache hits and misses."""
-    hits = replay.replay_cache(inputs.service_events(spark, d), ttl_seconds=3600)
-    return hits.groupBy("hit").agg(F.count(F.lit(1)).alias("n"))
-
-
 # --- files, task intake, streams ------------------------------------------------------------------
 
 
@@ -1159,13 +1131,3 @@ def t3_stream_counters(spark, d):
 def t6_stream_error_rate(spark, d):
     rates = whole_result(service.sliding_error_rate(event_stream(spark, d)))
     return rates.select("window_end", real(F.col("value")).alias("value"), (F.col("value") > 0.1).alias("high"))
-
-
-@query
-def t8_stream_rate_limit(spark, d):
-    return appended_result(service.rate_limit_stream(event_stream(spark, d), limit=2, window_seconds=86400))
-
-
-@query
-def t9_stream_cache(spark, d):
-    return appended_result(service.cache_stream(event_stream(spark, d), ttl_seconds=3600))

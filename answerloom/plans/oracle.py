@@ -79,7 +79,7 @@ FROM (SELECT total_chars, (contains(last_content, '<think>'))::INT AS t,
 
 
 def fp(x: str) -> str:
-    return trim(f"lower(substr({x}, 1, 200))")
+    return f"sha256({trim(f"lower(coalesce({x}, ''))")})"
 
 
 ORACLE["curate_statistics"] = f"""WITH {DIGEST},
@@ -108,7 +108,7 @@ SELECT coalesce(type, 'unknown') AS type, count(*) AS n FROM samples GROUP BY 1"
 
 ORACLE["w1_deduplicate"] = f"""SELECT doc_id, source FROM documents
 QUALIFY row_number() OVER (PARTITION BY {fp('text')} ORDER BY doc_id) = 1"""
-ORACLE["w1_duplicate_groups"] = f"""SELECT md5({fp('text')}) AS fingerprint, min(doc_id) AS kept, count(*) AS copies
+ORACLE["w1_duplicate_groups"] = f"""SELECT {fp('text')} AS fingerprint, min(doc_id) AS kept, count(*) AS copies
 FROM documents GROUP BY {fp('text')} HAVING count(*) > 1"""
 
 
@@ -976,31 +976,6 @@ since AS (SELECT *, min(window_end) OVER (PARTITION BY alarm, island) AS since F
 SELECT alarm, severity, window_end, round(value, 6) AS value, since, CASE WHEN window_end - since >= hold THEN 'firing' ELSE 'pending' END AS state FROM since"""
 
 
-# --- replays: one decision after the other --------------------------------------------------------
-
-_ORDERED = f"""{SERVED}, o AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM served)"""
-ORACLE["t8_rate_limit"] = f"""WITH RECURSIVE {_ORDERED}, r AS (
-  SELECT user_id, event_id, rn, true AS accepted, [t] AS live FROM o WHERE rn = 1
-  UNION ALL SELECT o.user_id, o.event_id, o.rn, len(list_filter(r.live, lambda x: o.t - x < 86400000000)) < 2,
-    CASE WHEN len(list_filter(r.live, lambda x: o.t - x < 86400000000)) < 2 THEN list_append(list_filter(r.live, lambda x: o.t - x < 86400000000), o.t)
-      ELSE list_filter(r.live, lambda x: o.t - x < 86400000000) END
-  FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
-SELECT user_id, event_id, accepted FROM r"""
-
-
-def cache_sql(key: str, ttl: int, latency: str) -> str:
-    return f"""WITH RECURSIVE {SERVED}, o AS (SELECT {key} AS k, event_id, epoch_us(ts) AS t, trunc({latency})::BIGINT AS lat,
-  row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM served),
-r AS (SELECT k, event_id, rn, false AS hit, t + lat AS stored FROM o WHERE rn = 1
-  UNION ALL SELECT o.k, o.event_id, o.rn, o.t - r.stored < {ttl * 1000000}, CASE WHEN o.t - r.stored < {ttl * 1000000} THEN r.stored ELSE o.t + o.lat END
-  FROM r JOIN o ON o.k = r.k AND o.rn = r.rn + 1)"""
-
-
-ORACLE["t9_cache_replay"] = f"{cache_sql('user_id', 3600, '0')} SELECT k AS user_id, event_id, hit FROM r"
-ORACLE["t9_cache_with_latency"] = f"{cache_sql('task_type', 7200, 'latency_ms * 1000')} SELECT k AS task_type, event_id, hit FROM r"
-ORACLE["t9_hit_counts"] = f"{cache_sql('user_id', 3600, '0')} SELECT hit, count(*) AS n FROM r GROUP BY 1"
-
-
 # --- files, task intake, streams ------------------------------------------------------------------
 
 ORACLE["u4_merge_checks"] = f"WITH {DIGEST}, {check_rows(True)} SELECT * FROM checks"
@@ -1026,10 +1001,8 @@ SELECT task_id, type, requestor, CASE WHEN failed THEN 'error' ELSE 'success' EN
   CASE WHEN failed THEN 'device lost' END AS error, md5(answer) AS answer_md5, {joined('sources')} AS sources, round(confidence, 6) AS confidence, approval AS requires_approval FROM g"""
 ORACLE["t1_stream_windows"] = f"""WITH {METRICS} SELECT metric, {win(3600)} AS window_start, count(*) AS n, round(sum(value), 6) AS sum, round(avg(value) + 1e-9, 6) AS average
 FROM metrics GROUP BY 1, 2"""
-ORACLE["t9_stream_cache"] = ORACLE["t9_cache_replay"]
 ORACLE["t3_stream_counters"] = f"WITH {SERVED} SELECT task_type, status_code, has_think, count(*) AS n FROM served GROUP BY 1, 2, 3"
 ORACLE["t6_stream_error_rate"] = ORACLE["t6_error_rate"]
-ORACLE["t8_stream_rate_limit"] = ORACLE["t8_rate_limit"]
 ORACLE["s4_prompt_tables"] = """SELECT doc_id::VARCHAR AS id, 'general' AS category, md5(concat('say "', text, '", please')) AS prompt_md5 FROM documents"""
 ORACLE["r24_remediation_steps"] = f"""WITH {RESP}, s AS (SELECT conv_id, turn, raw, list_filter(list_transform(
   string_split(regexp_replace(raw, '\\n(Step\\s+\\d)', chr(1) || '\\1', 'g'), chr(1)), lambda p: regexp_extract(p, '(?s)Step\\s+\\d+.*')), lambda p: p <> '') AS steps FROM responses),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,13 +30,13 @@ def get_session(app: str = "answerloom", master: str | None = None, **conf: str)
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``, read from the session.
 
-    Only a local session without that setting (a test) gets a folder of its own.
+    Only a session that runs inside the driver (a test) gets a folder of its own where it is unset.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            if not sc.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             named = tempfile.mkdtemp(prefix="answerloom-checkpoint-")
         sc.setCheckpointDir(named)

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerloom.functions.text import strip
-from answerloom.operators.joins import small_side
 from answerloom.operators.knowledge import CATEGORY_SECTIONS
 from answerloom.sources import schemas
 
@@ -20,8 +19,8 @@ def numbered(df: DataFrame) -> DataFrame:
     """Adds ``line`` (from 1 within the file) and ``seq`` (from 1 over all files by path).
 
     ``df`` comes straight from a file reader. Rows of one file block are consecutive, so a block
-    needs only its row count and first row id; the running counts of the blocks are a small
-    table. The rows themselves are neither sorted nor shuffled.
+    needs only its row count and first row id. The rows are not sorted, and not shuffled either while
+    Spark broadcasts the table of blocks. A block that the counting pass cut otherwise raises an error.
     """
     marked = df.select(
         "*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
@@ -34,8 +33,9 @@ def numbered(df: DataFrame) -> DataFrame:
         "file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_lines"),
     )
-    placed = marked.join(small_side(offsets), ["file", "_block"])
-    at = F.col("_row") - F.col("_first") + 1
+    placed = marked.join(offsets, ["file", "_block"], "left")
+    lost = F.raise_error(F.concat(F.lit("file block changed between passes: "), F.col("file"))).cast("bigint")
+    at = F.col("_row") - F.coalesce("_first", lost) + 1
     return placed.select(
         *df.columns, "file", (F.col("_lines") + at).alias("line"), (F.col("_before") + at).alias("seq")
     )
@@ -113,8 +113,8 @@ def read_prompts_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_test_cases(
     spark: SparkSession, path: str, category: str | None = None, case_id: str | None = None
 ) -> DataFrame:
-    """S5."""
-    rows, _ = read_json_lines(spark, path, schemas.TEST_CASE)
+    """S5. Cases have ids of their own, so lines aren't numbered."""
+    rows, _ = read_json_lines(spark, path, schemas.TEST_CASE, line_numbers=False)
     if category is not None:
         rows = rows.filter(F.lower("category") == category.lower())
     if case_id is not None:

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: task intake, metric windows, counters, keyed replays.
+"""Structured Streaming forms: task intake, metric windows, counters.
 
 A bounded input gives the same rows as the batch operators. Event time carries a watermark
 only to let Spark drop old state; rows later than that are dropped.
@@ -6,20 +6,16 @@ only to let Spark drop old state; rows later than that are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from answerloom.fixed.wording import TASK_SYSTEM
 from answerloom.functions.parse import parse_responses
 from answerloom.functions.prompts import single_turn_prompt
 from answerloom.functions.scores import with_confidence_strict
-from answerloom.operators.replay import SECOND, Expiry, RateLimit
 from answerloom.operators.requests import (
     agent_requires_review, normalize_tasks, route, task_compliance, task_prompt, with_error_policy,
 )
@@ -109,43 +105,3 @@ def sliding_error_rate(events: DataFrame, seconds: int = 300, lateness: str = LA
 def counters(events: DataFrame, labels: list[str]) -> DataFrame:
     """T3 as a stream, for update mode."""
     return events.groupBy(*labels).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _keyed(
-    events: DataFrame, key: str, ts: str, event_id: str, latency: Column | None, make: Callable, name: str
-) -> DataFrame:
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    store = t if latency is None else t + (latency * 1000).cast("bigint")
-    rows = events.select(key, event_id, t.alias("_t"), store.alias("_store"))
-    types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-
-    def step(group, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # One key of one micro-batch; the trigger's input limit bounds it.
-        pdf = pd.concat(list(pdfs)).sort_values(["_t", event_id])
-        fold = make()
-        fold.begin(state.get[0] if state.exists else [])
-        decided = fold.decide(pdf["_t"].to_numpy(np.int64), pdf["_store"].to_numpy(np.int64))
-        state.update((fold.state(),))
-        yield pdf[[key, event_id]].assign(**{name: decided})
-
-    return rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} {types[key]}, {event_id} {types[event_id]}, {name} boolean", "carry array<bigint>",
-        "append", GroupStateTimeout.NoTimeout,
-    )
-
-
-def rate_limit_stream(
-    events: DataFrame, key: str = "user_id", ts: str = "ts", event_id: str = "event_id", limit: int = 30,
-    window_seconds: int = 60,
-) -> DataFrame:
-    """T8 as a stream. Micro-batches must come in time order per key; inside one, order is restored."""
-    window = window_seconds * SECOND
-    return _keyed(events, key, ts, event_id, None, lambda: RateLimit(limit, window), "accepted")
-
-
-def cache_stream(
-    events: DataFrame, key: str = "user_id", ts: str = "ts", event_id: str = "event_id", ttl_seconds: int = 3600,
-    latency_ms: Column | None = None,
-) -> DataFrame:
-    """T9 as a stream."""
-    return _keyed(events, key, ts, event_id, latency_ms, lambda: Expiry(ttl_seconds * SECOND), "hit")

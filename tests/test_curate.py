@@ -57,12 +57,26 @@ def test_deduplicate_hot_group(spark):
     same = "A" * 199 + "b"
     rows = [(i, " " + same[1:] + str(i)) for i in range(300)] + [(1000 + i, f"own {i}") for i in range(50)]
     df = spark.createDataFrame(rows, "id bigint, t string").repartition(5)
-    assert sorted(r.id for r in curate.deduplicate(df, F.col("t"), "id").collect()) == [0] + list(range(1000, 1050))
+    assert sorted(r.id for r in curate.deduplicate(df, F.col("t"), "id", prefix_chars=200).collect()) == [0] + list(range(1000, 1050))
 
 
 def test_fingerprint_cuts_before_it_strips(spark):
     df = spark.createDataFrame([(" " * 200 + "x",)], "t string")
-    assert df.select(curate.fingerprint(F.col("t"))).first()[0] == ""
+    whole, cut, empty = df.select(curate.fingerprint(F.col("t")), curate.fingerprint(F.col("t"), 200), curate.fingerprint(F.lit(None))).first()
+    assert whole != cut == empty
+
+
+def test_deduplicate_compares_whole_texts_and_nulls(spark):
+    rows = [(1, "p" * 200 + "one"), (2, "p" * 200 + "two"), (3, None), (4, None), (5, " P" + "p" * 199 + "ONE ")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    assert sorted(r.id for r in curate.deduplicate(df, F.col("t"), "id").collect()) == [1, 2, 3]
+    assert sorted(r.id for r in curate.deduplicate(df, F.col("t"), "id", prefix_chars=200).collect()) == [1, 3, 5]
+
+
+def test_random_split_has_no_nested_loop(spark):
+    df = curate.split_random(spark.range(100).withColumnRenamed("id", "k"), "k")
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r["split"]: r["count"] for r in df.groupBy("split").count().collect()} == {"train": 80, "val": 10, "test": 10}
 
 
 def samples(spark, rows):
@@ -87,7 +101,7 @@ def test_digest_and_rules(spark):
     got = {r.sample_id: r for r in digest.collect()}
     assert [got[i].n_messages for i in range(1, 7)] == [2, 1, 0, 2, 2, 0]
     assert got[1].assistant_content == long and got[1].has_user and not got[3].has_user
-    assert got[1].last_chars == 100 and got[1].first_print == "q" and not got[4].first_given
+    assert got[1].last_chars == 100 and got[1].first_print == hashlib.sha256(b"q").hexdigest() and not got[4].first_given
     assert sorted(r.sample_id for r in curate.validate_samples(digest).collect()) == [1, 5]
     assert tuple(curate.count_valid(digest).first()) == (2, 4)
     stats = curate.dataset_stats(digest).first()

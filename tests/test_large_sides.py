@@ -5,15 +5,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from answerloom.operators import curate, joins, monitor, replay
+from answerloom.operators import curate, monitor
 from answerloom.plans import inputs
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
-def no_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+def no_broadcast(spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield
@@ -26,31 +25,16 @@ def rows_of(df):
 
 def results(spark):
     docs = inputs.table(spark, SF, "documents").select("doc_id", "source", "text")
-    events = inputs.service_events(spark, SF)
     rng = random.Random(4)
     skewed = spark.createDataFrame([(rng.choice("aaab"), rng.lognormvariate(2, 2)) for _ in range(500)], "g string, v double")
     yield curate.deduplicate(docs, F.col("text"), "doc_id").select("doc_id")
     yield curate.split_stratified(docs, "doc_id", F.col("source")).select("doc_id", "split")
     yield monitor.exact_percentiles(skewed, ["g"], "v", [0.5, 0.95])
-    yield replay.replay_cache(events, key="task_type", ttl_seconds=7200, block_rows=40)
 
 
 def test_shuffle_joins_give_the_same(spark, no_broadcast):
     slow = [rows_of(df) for df in results(spark)]
     plan = curate.deduplicate(inputs.table(spark, SF, "documents"), F.col("text"), "doc_id")._jdf.queryExecution()
     assert "BroadcastHashJoin" not in plan.executedPlan().toString()
-    joins.BROADCAST_ROWS = 100_000
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
     assert [rows_of(df) for df in results(spark)] == slow
-
-
-def test_large_sides_carry_no_hint(spark, no_broadcast):
-    plan = joins.small_side(spark.range(5))._jdf.queryExecution().logical().toString()
-    assert "strategy=broadcast" not in plan
-
-
-def test_spread_leaves_wide_inputs_alone(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert joins.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == cores
-    wide = spark.range(0, 1000, 1, cores * 3)
-    assert joins.spread(wide) is wide
