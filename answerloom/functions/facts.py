@@ -29,9 +29,14 @@ def names_number(topic: list[str], number: int) -> Callable[[Column, Column], Co
     return lambda t, low: ~contains_any(low, topic) | t.rlike(rf"(?U)\b0*{number}\b")
 
 
-def names_number_like(topic: list[str], pattern: str) -> Callable[[Column, Column], Column]:
-    """R12. When the topic comes up, a three to five digit number of this form is given."""
-    return lambda t, low: ~contains_any(low, topic) | t.rlike(rf"(?U)\b(?:{pattern})\b")
+def names_number_between(topic: list[str], least: int, most: int) -> Callable[[Column, Column], Column]:
+    """R12. When the topic comes up, a number of three to five digits between both limits is given."""
+
+    def holds(t: Column, low: Column) -> Column:
+        numbers = F.regexp_extract_all(t, F.lit(r"(?U)\b([0-9]{3,5})\b"), F.lit(1))
+        return ~contains_any(low, topic) | F.exists(numbers, lambda n: n.cast("int").between(least, most))
+
+    return holds
 
 
 def only_if(word: str, holds: Callable) -> Callable[[Column, Column], Column]:
@@ -59,7 +64,7 @@ def _llq(t: Column, low: Column) -> Column:
 # Names, categories, sources, words and numbers of the facts.
 FACTS = [
     Fact("collapsed_core_max_users", "topology", "Campus Network HA Design Guide",
-         names_number_like(["collapsed core", "two-tier"], r"0?(?:1[89]\d\d|2[01]\d\d|2200)")),
+         names_number_between(["collapsed core", "two-tier"], 1800, 2200)),
     Fact("spine_leaf_64port_max_servers", "topology", "CCNP DCCOR - Data Center Core",
          names_number(["spine", "leaf", "spine-leaf"], 2048)),
     Fact("three_tier_max_endpoints", "topology", "CCNP Enterprise Design ENSLD",

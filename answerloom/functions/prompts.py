@@ -133,14 +133,14 @@ def _extra_lines(extras: Column, prefix: str, suffix: str = "") -> Column:
 
 
 def design_prompt(r: dict[str, Column], flavor: str = "agent") -> Column:
-    """R30. ``r`` maps requirement names to columns."""
+    """R30. ``r`` maps requirement names to columns; ``uptime_shown`` is the uptime as it was sent."""
     if flavor == "agent":
         return F.concat(
             F.lit("Design a complete enterprise network architecture for:\n- Users/endpoints: "),
             _or(r["users"], "unspecified"),
             F.lit("\n- Sites/locations: "), _or(r["sites"], "1"),
             F.lit("\n- Required compliance: "), _listed(r["compliance"], "none specified"),
-            F.lit("\n- Uptime requirement: "), _number(r["uptime"]), F.lit("% ("),
+            F.lit("\n- Uptime requirement: "), F.coalesce(r.get("uptime_shown", F.lit(None)), _number(r["uptime"])), F.lit("% ("),
             downtime(F.coalesce(r["uptime"], F.lit(99.9))), F.lit(")\n- Budget: "),
             _or(r["budget"], "flexible"),
             F.lit(

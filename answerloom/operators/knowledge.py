@@ -89,8 +89,10 @@ def leaf_text(node: Column) -> Column:
     return F.try_variant_get(node, "$", "string")
 
 
-def build_index(leaves: DataFrame) -> DataFrame:
-    """K2. Postings (..., term, path), one row per occurrence; string leaves only.
+def build_index(leaves: DataFrame, min_chars: int = 4) -> DataFrame:
+    """K2. Postings (..., term, path), one row per occurrence of ``min_chars`` characters or more; string leaves only.
+
+    The original indexes words of more than three characters. Pass 1 to find shorter ones, such as protocol names.
 
     Postings stay rows. A term in every document is many rows, never one long list.
     """
@@ -100,7 +102,7 @@ def build_index(leaves: DataFrame) -> DataFrame:
     return (
         postings.withColumn("term", F.btrim("_word", F.lit(INDEX_TRIM)))
         .drop("_word")
-        .filter(F.length("term") > 3)
+        .filter(F.length("term") >= min_chars)
     )
 
 

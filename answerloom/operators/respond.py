@@ -65,11 +65,11 @@ def batch_records(answered: DataFrame, flavor: str = "basic") -> DataFrame:
     )
 
 
-def judge_form(question: Column, reasoning: Column, answer: Column) -> Column:
-    """X3, W9. The form shows 500 and 3000 characters, the lengths it is made for."""
+def judge_form(question: Column, reasoning: Column, answer: Column, question_chars: int = 500, response_chars: int = 3000) -> Column:
+    """X3, W9. The form shows beginnings, by default of the lengths it was made for."""
     response = F.concat_ws("\n\n", reasoning, answer)
     return F.concat(
-        F.lit(wording.JUDGE_HEAD), cut(question, 500), F.lit(wording.JUDGE_MIDDLE), cut(response, 3000),
+        F.lit(wording.JUDGE_HEAD), cut(question, question_chars), F.lit(wording.JUDGE_MIDDLE), cut(response, response_chars),
         F.lit(wording.JUDGE_TAIL),
     )
 

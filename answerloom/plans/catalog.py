@@ -530,6 +530,11 @@ def q1_gates(spark, d):
     return gates.withColumn("value", real(F.col("value")))
 
 
+@query
+def q1_overall(spark, d):
+    return evaluate.overall_pass(datasets.gate_report(judged_responses(spark, d)))
+
+
 # --- generation ---------------------------------------------------------------------------------
 
 

@@ -559,6 +559,9 @@ _GATES = ", ".join(f"({q(k)}, {v}::DOUBLE)" for k, v in GATE_TARGETS.items())
 ORACLE["q1_gates"] = f"""{_EVAL}, t(metric, target) AS (VALUES {_GATES})
 SELECT metric, target, round(value, 6) AS value, coalesce(value >= target, true) AS passed, value IS NULL AS skipped
 FROM t LEFT JOIN metrics USING (metric)"""
+ORACLE["q1_overall"] = f"""{_EVAL}, t(metric, target) AS (VALUES {_GATES})
+SELECT bool_and(coalesce(value >= target, true)) AS overall_pass, count(*) FILTER (value IS NULL) AS skipped_gates
+FROM t LEFT JOIN metrics USING (metric)"""
 
 
 # --- generation ---------------------------------------------------------------------------------
@@ -793,10 +796,12 @@ _AGENT_DESIGN = f"""concat('Design a complete enterprise network architecture fo
   CASE WHEN form = 0 THEN sites ELSE 1 END, chr(10), '- Required compliance: ', CASE WHEN form = 0 AND len(compliance) > 0 THEN array_to_string(compliance, ', ') ELSE 'none specified' END,
   chr(10), '- Uptime requirement: ', up, '% (', {downtime_sql('up')}, ')', chr(10), '- Budget: ', CASE WHEN form = 0 THEN 'flexible' ELSE 'tight' END, chr(10), {q(_CLOSE)},
   CASE WHEN form = 0 THEN concat(chr(10), 'Additional requirement — region: emea') ELSE '' END)"""
+_INDENTED = """concat('{', chr(10), '  "users": ', users, ',', chr(10), '  "compliance": ', CASE WHEN len(compliance) = 0 THEN '[]' ELSE
+  concat('[', chr(10), '    "', array_to_string(compliance, concat('",', chr(10), '    "')), '"', chr(10), '  ]') END, chr(10), '}')"""
 ORACLE["r30_task_prompts"] = f"""WITH {_MSG}, t AS (SELECT *, CASE WHEN form = 0 THEN uptime ELSE 99.9::DOUBLE END AS up FROM tasks)
 SELECT req_id, type, md5(CASE type WHEN 'design' THEN {_AGENT_DESIGN}
   WHEN 'troubleshoot' THEN concat('Troubleshoot this network issue:', chr(10), chr(10), 'Device: r', sites, chr(10), 'Symptom: link ', users, ' down', chr(10), 'Protocol: unknown', chr(10), 'Impact: unknown', chr(10))
-  WHEN 'estimate' THEN concat('Provide a detailed cost estimate for:', chr(10), chr(10), context, chr(10), chr(10), 'Break down CAPEX and annual OPEX. Include hardware, licensing, and implementation.')
+  WHEN 'estimate' THEN concat('Provide a detailed cost estimate for:', chr(10), chr(10), {_INDENTED}, chr(10), chr(10), 'Break down CAPEX and annual OPEX. Include hardware, licensing, and implementation.')
   ELSE context END) AS prompt_md5, CASE WHEN form IN (0, 2) THEN {joined('compliance')} ELSE '' END AS compliance FROM t"""
 
 _NL = "chr(10)"
@@ -988,7 +993,7 @@ ORACLE["s5_test_case_files"] = f"""WITH {SCORED} SELECT case_id::VARCHAR AS id,
 
 _TASK_RAW = f"""{_MSG}, t AS (SELECT *, CASE WHEN form = 0 THEN uptime ELSE 99.9::DOUBLE END AS up FROM tasks),
 prompted AS (SELECT *, CASE type WHEN 'design' THEN {_AGENT_DESIGN}
-  WHEN 'estimate' THEN concat('Provide a detailed cost estimate for:', chr(10), chr(10), context, chr(10), chr(10), 'Break down CAPEX and annual OPEX. Include hardware, licensing, and implementation.')
+  WHEN 'estimate' THEN concat('Provide a detailed cost estimate for:', chr(10), chr(10), {_INDENTED}, chr(10), chr(10), 'Break down CAPEX and annual OPEX. Include hardware, licensing, and implementation.')
   WHEN 'review' THEN context END AS prompt FROM t),
 responses AS (SELECT *, coalesce(concat('<think>Step 1: read.</think>', '<|system|>', chr(10), {case_map('type', {'estimate': TASK_SYSTEM['estimate']}, TASK_SYSTEM['design'])},
   '<|end|>', chr(10), '<|user|>', chr(10), nullif(prompt, ''), '<|end|>', chr(10), '<|assistant|>', chr(10)), '') AS raw FROM prompted WHERE type <> 'troubleshoot'

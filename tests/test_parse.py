@@ -178,3 +178,13 @@ def test_span_weights(spark):
 def test_downtime(spark):
     df = spark.createDataFrame([(99.99,), (99.9,), (100.0,)], "u double")
     assert [r[0] for r in df.select(prompts.downtime(F.col("u"))).collect()] == ["52.6 min/year", "8.8 hours/year", "0.0 min/year"]
+
+
+def test_prompts_show_what_was_sent(spark):
+    """An integer uptime stays one; an estimate's context is indented by two."""
+    from answerloom.operators.requests import task_prompt
+
+    rows = [("design", '{"requirements":{"uptime":100,"users":5}}'), ("design", "{}"), ("estimate", '{"users":5,"compliance":["HIPAA"]}')]
+    got = [r.prompt for r in task_prompt(spark.createDataFrame(rows, "type string, context string")).collect()]
+    assert "- Uptime requirement: 100% (" in got[0] and "- Uptime requirement: 99.9% (" in got[1]
+    assert '\n\n{\n  "users": 5,\n  "compliance": [\n    "HIPAA"\n  ]\n}\n\n' in got[2]
