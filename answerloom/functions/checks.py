@@ -43,31 +43,68 @@ def _emitted(checks: list[Column]) -> Column:
     return F.filter(F.array(*checks), lambda c: c.isNotNull())
 
 
+def _texts(df: DataFrame, text: str) -> DataFrame:
+    """The forms of an answer that the rules read, derived once."""
+    body = text_or_empty(F.col(text))
+    return df.select("*", body.alias("_body"), F.lower(body).alias("_low"), F.regexp_extract(body, THINK, 1).alias("_think"))
+
+
+def _sample_facts(body: Column, low: Column, think: Column) -> Column:
+    return F.struct(
+        (body != "").alias("answered"),
+        (F.contains(body, F.lit("<think>")) & F.contains(body, F.lit("</think>"))).alias("tags"),
+        F.length(strip(F.substring_index(body, "</think>", -1))).alias("tail"),
+        count_matches(think, STEP_ANY_CASE).alias("steps"),
+        count_present(F.lower(think), [n.lower() for n in CITABLE_NAMES]).alias("refs"),
+        count_matches(think, EXPLICIT_CITATION).alias("cites"),
+        contains_any(low, ["spine-leaf", "spine leaf"]).alias("spine_leaf"),
+        contains_any(low, SPINE_LEAF_CONTEXT).alias("spine_leaf_context"),
+        F.array(*[contains_any(low, [name]) for name in STANDARD_VERSIONS]).alias("standards"),
+        F.array(*[contains_any(low, versions) for versions in STANDARD_VERSIONS.values()]).alias("versions"),
+        contains_any(low, ["tls", "ssl"]).alias("tls"),
+        low.rlike(TLS_VERSION).alias("tls_version"),
+        F.contains(low, F.lit("ebgp")).alias("ebgp"),
+    )
+
+
+def _accuracy_facts(body: Column, low: Column) -> Column:
+    return F.struct(
+        contains_any(low, OVERLAY_WORDS).alias("overlay"),
+        contains_any(low, OVERLAY_CONTEXT).alias("overlay_context"),
+        (contains_any(low, EIGRP_WORDS) & contains_any(low, OTHER_VENDORS)).alias("eigrp_mixed"),
+        public_addresses(body).alias("addresses"),
+        contains_any(low, ["spine-leaf", "spine leaf"]).alias("spine_leaf"),
+        contains_any(low, SPINE_LEAF_REQUIRED).alias("in_dc"),
+        contains_any(low, ["three-tier", "three tier"]).alias("three_tier"),
+        contains_any(low, ["collapsed core"]).alias("collapsed_core"),
+        F.array(*[contains_any(low, words) for _, _, words in CONTROLS]).alias("controls"),
+    )
+
+
+def with_answer_facts(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``sample_facts`` and ``accuracy_facts``, the few values that R14 to R22 read of the answer in ``text``.
+
+    They are taken where the answer is, so that no answer has to travel to its sample's other values.
+    A query that reads one of the two computes only that one.
+    """
+    body, low, think = F.col("_body"), F.col("_low"), F.col("_think")
+    return _texts(df, text).select(
+        *df.columns, _sample_facts(body, low, think).alias("sample_facts"), _accuracy_facts(body, low).alias("accuracy_facts")
+    )
+
+
 def sample_checks(df: DataFrame, strict: bool = False) -> DataFrame:
     """R14, R15, R16 on a sample digest (see ``operators.curate``).
 
-    Adds ``checks`` array<struct<name, passed, message>> and ``warnings``. All texts are
-    derived once, before the checks read them.
+    Adds ``checks`` array<struct<name, passed, message>> and ``warnings``. A sample without an
+    answer is judged as one with an empty answer.
     """
     min_sources, min_answer, min_steps = (3, 500, 5) if strict else (2, 200, 5)
-    body = text_or_empty(F.col("assistant_content"))
-    texts = df.select(
-        "*",
-        F.lower(body).alias("_low"),
-        F.regexp_extract(body, THINK, 1).alias("_think"),
-        (F.contains(body, F.lit("<think>")) & F.contains(body, F.lit("</think>"))).alias("_tags"),
-        F.length(strip(F.substring_index(body, "</think>", -1))).alias("_tail"),
-    )
-    think, low = F.col("_think"), F.col("_low")
-    counted = texts.select(
-        "*",
-        count_matches(think, STEP_ANY_CASE).alias("_steps"),
-        count_present(F.lower(think), [n.lower() for n in CITABLE_NAMES]).alias("_refs"),
-        count_matches(think, EXPLICIT_CITATION).alias("_cites"),
-    )
-    enough = F.col("n_messages") >= 2
-    answered = text_or_empty(F.col("assistant_content")) != ""
-    steps, refs, cites, tail = F.col("_steps"), F.col("_refs"), F.col("_cites"), F.col("_tail")
+    nothing = F.lit("")
+    facts = df.withColumn("_facts", F.coalesce("sample_facts", _sample_facts(nothing, nothing, nothing)))
+    f = F.col("_facts")
+    steps, refs, cites, tail = f["steps"], f["refs"], f["cites"], f["tail"]
+    enough, answered = F.col("n_messages") >= 2, f["answered"]
     in_chain = enough & answered
     chain = [
         F.when(~enough, _check("has_messages", F.lit(False), "Sample must have at least 2 messages")),
@@ -75,7 +112,7 @@ def sample_checks(df: DataFrame, strict: bool = False) -> DataFrame:
             enough & ~answered,
             _check("has_assistant_message", F.lit(False), "No assistant message found"),
         ),
-        F.when(in_chain, _check("has_think_tags", F.col("_tags"),
+        F.when(in_chain, _check("has_think_tags", f["tags"],
                                 "Missing <think>...</think> tags in assistant response")),
         F.when(in_chain, _check("min_reasoning_steps", steps >= min_steps,
                                 _text("Only ", steps, f" steps found (minimum {min_steps})"))),
@@ -84,18 +121,17 @@ def sample_checks(df: DataFrame, strict: bool = False) -> DataFrame:
         F.when(in_chain, _check("has_answer_content", tail >= min_answer,
                                 _text("Answer section too short: ", tail, f" chars (min {min_answer})"))),
     ]
-    spine_leaf = contains_any(low, ["spine-leaf", "spine leaf"])
     technical = [
-        F.when(spine_leaf, _check("spine_leaf_context", contains_any(low, SPINE_LEAF_CONTEXT),
-                                  "Spine-leaf topology mentioned without data center context")),
+        F.when(f["spine_leaf"], _check("spine_leaf_context", f["spine_leaf_context"],
+                                       "Spine-leaf topology mentioned without data center context")),
         *[
-            F.when(contains_any(low, [standard]),
-                   _check(f"compliance_version_{standard}", contains_any(low, versions),
+            F.when(f["standards"][i],
+                   _check(f"compliance_version_{standard}", f["versions"][i],
                           f"{standard} mentioned without version number"))
-            for standard, versions in STANDARD_VERSIONS.items()
+            for i, standard in enumerate(STANDARD_VERSIONS)
         ],
-        F.when(contains_any(low, ["tls", "ssl"]),
-               _check("tls_version_specified", low.rlike(TLS_VERSION),
+        F.when(f["tls"],
+               _check("tls_version_specified", f["tls_version"],
                       "TLS mentioned without version (should specify TLS 1.2 or 1.3)")),
         _check("has_user_question", F.coalesce(F.col("has_user"), F.lit(False)), "No user question found"),
     ]
@@ -109,11 +145,11 @@ def sample_checks(df: DataFrame, strict: bool = False) -> DataFrame:
                _text("metadata.reasoning_steps = ", declared, f" (min {min_steps})")),
     ]
     users = F.col("user_count")
-    small_ebgp = F.contains(low, F.lit("ebgp")) & (users > 0) & (users < 500)
+    small_ebgp = f["ebgp"] & (users > 0) & (users < 500)
     warned = F.when(
         small_ebgp, F.lit("eBGP used for small network (<500 users) - verify this is intentional")
     )
-    return counted.select(
+    return facts.select(
         *df.columns,
         _emitted(chain + technical + attribution).alias("checks"),
         F.array_compact(F.array(warned)).alias("warnings"),
@@ -145,15 +181,14 @@ def _graded(name: Column | str, passed: Column, failed_as: str, bad, good, evide
     )
 
 
-def protocol_checks(low: Column) -> list[Column]:
+def protocol_checks(facts: Column) -> list[Column]:
     """R18."""
-    in_context = contains_any(low, OVERLAY_CONTEXT)
     return [
-        F.when(contains_any(low, OVERLAY_WORDS),
-               _graded("vxlan_context", in_context, "warning",
+        F.when(facts["overlay"],
+               _graded("vxlan_context", facts["overlay_context"], "warning",
                        "VXLAN/EVPN mentioned without clear data center context",
                        "VXLAN/EVPN used appropriately in DC context")),
-        F.when(contains_any(low, EIGRP_WORDS) & contains_any(low, OTHER_VENDORS),
+        F.when(facts["eigrp_mixed"],
                _graded("eigrp_multi_vendor", F.lit(False), "warning",
                        "EIGRP mentioned alongside non-Cisco vendors (EIGRP is Cisco proprietary)", "")),
     ]
@@ -180,10 +215,15 @@ def is_public_ipv4(quad: Column) -> Column:
     return ~quad.rlike(r"(?:^|\.)0\d") & ~listed
 
 
-def address_checks(text: Column) -> Column:
-    """R19. One failed warning per public address occurrence."""
+def public_addresses(text: Column) -> Column:
+    """R19. Every occurrence of a public address, in order."""
+    return F.filter(all_matches(text, IPV4), is_public_ipv4)
+
+
+def address_checks(addresses: Column) -> Column:
+    """R19. One failed warning per occurrence of ``public_addresses``."""
     return F.transform(
-        F.filter(all_matches(text, IPV4), is_public_ipv4),
+        addresses,
         lambda ip: _graded(
             F.concat(F.lit("public_ip_in_design_"), ip), F.lit(False), "warning",
             F.concat(F.lit("Public IP "), ip, F.lit(" used - verify if intentional (internet-facing)")),
@@ -192,23 +232,22 @@ def address_checks(text: Column) -> Column:
     )
 
 
-def topology_checks(low: Column, users: Column) -> list[Column]:
+def topology_checks(facts: Column, users: Column) -> list[Column]:
     """R20. The two size rules need a user count."""
-    in_dc = contains_any(low, SPINE_LEAF_REQUIRED)
     big = users >= THREE_TIER_MIN_USERS
     small = users <= COLLAPSED_CORE_MAX_USERS
     evidence = users.cast("string")
     return [
-        F.when(contains_any(low, ["spine-leaf", "spine leaf"]),
-               _graded("spine_leaf_appropriate", in_dc, "error",
+        F.when(facts["spine_leaf"],
+               _graded("spine_leaf_appropriate", facts["in_dc"], "error",
                        "Spine-leaf is a DC topology, not campus/branch",
                        "Spine-leaf correctly used in DC context")),
-        F.when(contains_any(low, ["three-tier", "three tier"]) & users.isNotNull(),
+        F.when(facts["three_tier"] & users.isNotNull(),
                _graded("three_tier_scale", big, "warning",
                        _text("Three-tier for ", users,
                              f" users is oversized (recommended: {THREE_TIER_MIN_USERS}+ users)"),
                        _text("Three-tier correctly sized for ", users, " users"), evidence)),
-        F.when(contains_any(low, ["collapsed core"]) & users.isNotNull(),
+        F.when(facts["collapsed_core"] & users.isNotNull(),
                _graded("collapsed_core_scale", small, "warning",
                        _text("Collapsed core for ", users,
                              f" users exceeds recommended max ({COLLAPSED_CORE_MAX_USERS} users)"),
@@ -216,14 +255,14 @@ def topology_checks(low: Column, users: Column) -> list[Column]:
     ]
 
 
-def control_checks(low: Column, compliance: Column) -> list[Column]:
+def control_checks(facts: Column, compliance: Column) -> list[Column]:
     """R21 with J7: the control list is compiled to columns, no join."""
     checks = []
-    for standard, control, words in CONTROLS:
+    for i, (standard, control, _) in enumerate(CONTROLS):
         spoken = control.replace("_", " ")
         checks.append(
             F.when(F.array_contains(compliance, standard),
-                   _graded(f"{CONTROL_PREFIX[standard]}_{control}", contains_any(low, words), "error",
+                   _graded(f"{CONTROL_PREFIX[standard]}_{control}", facts["controls"][i], "error",
                            f"{standard} {spoken} not addressed", f"{standard} {spoken} addressed"))
         )
     return checks
@@ -231,18 +270,18 @@ def control_checks(low: Column, compliance: Column) -> list[Column]:
 
 def accuracy_checks(df: DataFrame) -> DataFrame:
     """R18 to R22 on a sample digest: ``accuracy_checks``, score and critical failures."""
-    texts = df.select(
+    given = df.select(
         "*",
-        F.lower(text_or_empty(F.col("assistant_content"))).alias("_low"),
+        F.coalesce("accuracy_facts", _accuracy_facts(F.lit(""), F.lit(""))).alias("_facts"),
         F.coalesce(F.col("compliance"), F.array().cast("array<string>")).alias("_std"),
     )
-    low = F.col("_low")
+    facts = F.col("_facts")
     found = F.concat(
-        _emitted(protocol_checks(low)),
-        address_checks(text_or_empty(F.col("assistant_content"))),
-        _emitted(topology_checks(low, F.col("user_count")) + control_checks(low, F.col("_std"))),
+        _emitted(protocol_checks(facts)),
+        address_checks(facts["addresses"]),
+        _emitted(topology_checks(facts, F.col("user_count")) + control_checks(facts, F.col("_std"))),
     )
-    checked = texts.select(*df.columns, found.alias("accuracy_checks"))
+    checked = given.select(*df.columns, found.alias("accuracy_checks"))
     total = F.size("accuracy_checks")
     passed = F.size(F.filter("accuracy_checks", lambda c: c.passed))
     critical = F.filter("accuracy_checks", lambda c: ~c.passed & (c.severity == "error"))

@@ -2,10 +2,10 @@
 
 A *sample digest* has one row per sample with the few values the rules need instead of its
 messages: ``sample_id, n_messages, has_user, first_print, first_given, last_chars, thinks,
-steps, citations, total_chars`` and metadata columns, and ``assistant_content`` where rules read
-the answer. It is built from an array column or, for samples kept one message per row, by
-aggregates that combine on the map side: a conversation of any length is never collected, and
-its texts are shuffled only when ``assistant_content`` is asked for.
+steps, citations, total_chars``, metadata columns, and ``sample_facts`` and ``accuracy_facts``, what
+the rules read of the first answer. It is built from an array column or, for samples kept one
+message per row, by aggregates that combine on the map side: a conversation of any length is
+never collected, and its texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerloom.fixed.rules import DATASET_GATES, TOPIC_TARGETS
+from answerloom.functions.checks import with_answer_facts
 from answerloom.functions.scores import CITATIONS_SHORT
 from answerloom.functions.text import count_matches, cut, strip, text_or_empty
 
@@ -76,20 +77,20 @@ def digest_messages(samples: DataFrame, sample_id: str = "seq", keep: tuple[str,
         F.col(sample_id).alias("sample_id"), "metadata", "messages", *keep,
         _first_facts(first_message(m)["content"]).alias("_first"),
         _last_facts(last_message(m)["content"]).alias("_last"),
-        first_of_role(m, "assistant")["content"].alias("assistant_content"),
+        first_of_role(m, "assistant")["content"].alias("_a"),
     )
-    return picked.select(
+    return with_answer_facts(picked, "_a").select(
         "sample_id", *keep,
         F.greatest(F.coalesce(F.size(m), F.lit(0)), F.lit(0)).alias("n_messages"),
         has_role(m, "user").alias("has_user"),
         "_first.first_print", "_first.first_given", "_last.last_chars", "_last.thinks", "_last.steps",
-        _citations(F.col("assistant_content")).alias("citations"),
+        _citations(F.col("_a")).alias("citations"),
         F.aggregate(
             F.coalesce(m, F.array().cast(samples.schema["messages"].dataType)),
             F.lit(0).cast("bigint"),
             lambda acc, x: acc + F.length(text_or_empty(x["content"])),
         ).alias("total_chars"),
-        "assistant_content",
+        "sample_facts", "accuracy_facts",
         meta["type"].alias("type"),
         meta["category"].alias("category"),
         scenario["user_count"].cast("bigint").alias("user_count"),
@@ -100,17 +101,15 @@ def digest_messages(samples: DataFrame, sample_id: str = "seq", keep: tuple[str,
 
 
 def digest_turns(
-    turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text",
-    assistant_text: bool = False,
+    turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
     """Digest of samples stored one message per row; partial aggregates, nothing collected."""
     is_assistant = F.col(role) == "assistant"
-    rows = turns.select(
+    rows = with_answer_facts(turns.withColumn("_a", F.when(is_assistant, F.col(text))), "_a").select(
         F.col(key).alias("sample_id"), F.col(order).alias("_order"), F.col(role).alias("_role"),
         F.length(text_or_empty(F.col(text))).alias("_chars"),
         _first_facts(F.col(text)).alias("_f"), _last_facts(F.col(text)).alias("_l"),
-        F.when(is_assistant, _citations(F.col(text))).alias("_c"),
-        *([F.when(is_assistant, F.col(text)).alias("_a")] if assistant_text else []),
+        F.when(is_assistant, _citations(F.col(text))).alias("_c"), "sample_facts", "accuracy_facts",
     )
     at_assistant = F.when(F.col("_role") == "assistant", F.col("_order"))
     merged = rows.groupBy("sample_id").agg(
@@ -120,12 +119,11 @@ def digest_turns(
         F.max_by("_l", "_order").alias("_last"),
         F.coalesce(F.min_by("_c", at_assistant), F.lit(0)).alias("citations"),
         F.sum("_chars").cast("bigint").alias("total_chars"),
-        *([F.min_by("_a", at_assistant).alias("assistant_content")] if assistant_text else []),
+        *[F.min_by(name, at_assistant).alias(name) for name in ("sample_facts", "accuracy_facts")],
     )
     return merged.select(
         "sample_id", "n_messages", "has_user", "_first.first_print", "_first.first_given", "_last.last_chars",
-        "_last.thinks", "_last.steps", "citations", "total_chars",
-        *(["assistant_content"] if assistant_text else []),
+        "_last.thinks", "_last.steps", "citations", "total_chars", "sample_facts", "accuracy_facts",
     )
 
 

@@ -37,10 +37,16 @@ def window_start(ts: Column, seconds: int) -> Column:
     return ((micros - F.pmod(micros, F.lit(seconds * 1_000_000))) / 1_000_000).cast("bigint")
 
 
+def exact_sum(value: str) -> Column:
+    """A sum that no order of its rows changes: nine decimals, values below 10^19 (others raise an error)."""
+    return F.sum(F.col(value).cast("decimal(28,9)"))
+
+
 def metric_windows(metrics: DataFrame, seconds: int, by: tuple[str, ...] = ("metric",)) -> DataFrame:
     """T1. Tumbling windows with count, sum, average, least and greatest value."""
+    total = exact_sum("value").cast("double")
     return metrics.groupBy(*by, window_start(F.col("ts"), seconds).alias("window_start")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("value").alias("sum"), F.avg("value").alias("average"),
+        F.count(F.lit(1)).alias("n"), total.alias("sum"), (total / F.count("value")).alias("average"),
         F.min("value").alias("least"), F.max("value").alias("greatest"),
     )
 
@@ -118,11 +124,29 @@ def histogram_wide(df: DataFrame, value: Column, bounds: list[float], by: list)
     )
 
 
+def histograms(df: DataFrame, measured: dict[str, tuple[Column, list[float]]], by: list[str]) -> DataFrame:
+    """T4. Long form (..., name, le, n) of several histograms, ``measured`` as name: (value, bounds), in one pass.
+
+    Every row adds to counts, none is multiplied.
+    """
+    values = df.withColumns({f"_v{i}": value for i, (value, _) in enumerate(measured.values())})
+    counts = values.groupBy(*by).agg(*[
+        F.array(*[F.count_if(F.col(f"_v{i}") <= b) for b in bounds], F.count(f"_v{i}")).alias(f"_c{i}")
+        for i, (_, bounds) in enumerate(measured.values())
+    ])
+    rows = [
+        F.arrays_zip(
+            F.array_repeat(F.lit(name), len(bounds) + 1).alias("name"),
+            F.array(*[F.lit(str(b)) for b in bounds], F.lit(INFINITY)).alias("le"), F.col(f"_c{i}").alias("n"),
+        )
+        for i, (name, (_, bounds)) in enumerate(measured.items())
+    ]
+    return counts.select(*by, F.inline(F.concat(*rows)))
+
+
 def histogram(df: DataFrame, value: Column, bounds: list[float], by: list[str]) -> DataFrame:
-    """T4. Long form (..., le, n); every row adds to counts, none is multiplied."""
-    names = F.array(*[F.lit(str(b)) for b in bounds], F.lit(INFINITY))
-    wide = histogram_wide(df, value, bounds, by)
-    return wide.select(*by, F.inline(F.arrays_zip(names.alias("le"), F.col("cumulative").alias("n"))))
+    """T4. Long form (..., le, n) of one."""
+    return histograms(df, {"": (value, bounds)}, by).drop("name")
 
 
 def histogram_quantile(cumulative: Column, bounds: list[float], q: float) -> Column:
@@ -299,7 +323,7 @@ def window_statistics(metrics: DataFrame, rules: list[tuple] = THRESHOLD_ALARMS)
         unit = gcd(*[r[3] for r in plain])
         named = metrics.filter(F.col("metric").isin(sorted({r[1] for r in plain})))
         small = named.groupBy("metric", window_start(F.col("ts"), unit).alias("start")).agg(
-            F.sum("value").alias("sum"), F.count("value").alias("n")
+            exact_sum("value").alias("sum"), F.count("value").alias("n")
         )
         asked = F.create_map(
             *[
@@ -309,8 +333,9 @@ def window_statistics(metrics: DataFrame, rules: list[tuple] = THRESHOLD_ALARMS)
         )
         per_period = small.withColumn("period", F.explode(asked[F.col("metric")]))
         begin = F.col("start") - F.pmod("start", "period")
+        total = F.sum("sum").cast("double")
         windows = per_period.groupBy("metric", "period", begin.alias("window_start")).agg(
-            F.sum("sum").alias("Sum"), (F.sum("sum") / F.sum("n")).alias("Average")
+            total.alias("Sum"), (total / F.sum("n")).alias("Average")
         )
         parts.append(windows.unpivot(["metric", "period", "window_start"], ["Sum", "Average"], "stat", "value"))
     ranked = [r for r in rules if r[2].startswith("p")]

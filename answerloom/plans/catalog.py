@@ -16,7 +16,7 @@ from answerloom.operators import (
 from answerloom.operators.reports import score_summary, top_counts
 from answerloom.plans import datasets, inputs
 from answerloom.session import work_folder
-from answerloom.sources import files
+from answerloom.sources import files, schemas
 from answerloom.streaming import service
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,17 +35,12 @@ def real(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
 
 
-def mean(c: Column) -> Column:
-    """A rounded average: the last bit of a sum, which depends on its order, decides no half-way case."""
-    return real(c + F.lit(1e-9))
-
-
 def whole(c: Column) -> Column:
     return c.cast("bigint")
 
 
-def sample_digest(spark: SparkSession, d: str, assistant_text: bool = True) -> DataFrame:
-    return inputs.with_metadata(curate.digest_turns(inputs.turns(spark, d), assistant_text=assistant_text))
+def sample_digest(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.with_metadata(curate.digest_turns(inputs.turns(spark, d)))
 
 
 # --- curation ---------------------------------------------------------------------------------
@@ -95,7 +90,7 @@ def p3_first_rows(spark, d):
 
 @query
 def a1_dataset_stats(spark, d):
-    stats = curate.dataset_stats(sample_digest(spark, d, False))
+    stats = curate.dataset_stats(sample_digest(spark, d))
     return stats.select(
         whole(F.col("total")).alias("total"),
         *[real(F.col(c)).alias(c) for c in ("think_block_rate", "avg_response_chars", "avg_reasoning_steps")],
@@ -104,7 +99,7 @@ def a1_dataset_stats(spark, d):
 
 @query
 def a2_types(spark, d):
-    return curate.count_by_type(sample_digest(spark, d, False))
+    return curate.count_by_type(sample_digest(spark, d))
 
 
 @query
@@ -128,7 +123,7 @@ def w2_split_stratified(spark, d):
 
 @query
 def w2_split_samples(spark, d):
-    split = curate.split_stratified(sample_digest(spark, d, False), "sample_id", curate.stratum_of(), seed=7)
+    split = curate.split_stratified(sample_digest(spark, d), "sample_id", curate.stratum_of(), seed=7)
     return split.groupBy(curate.stratum_of().alias("stratum"), "split").agg(
         F.count(F.lit(1)).alias("n"), F.min("sample_id").alias("first_id"), F.max("sample_id").alias("last_id")
     )
@@ -156,7 +151,7 @@ def w8_seeded_shuffle(spark, d):
 
 @query
 def a17_dataset_gates(spark, d):
-    gates = curate.dataset_gates(sample_digest(spark, d, False))
+    gates = curate.dataset_gates(sample_digest(spark, d))
     return gates.withColumn("duplicate_ratio", real(F.col("duplicate_ratio")))
 
 
@@ -328,6 +323,30 @@ def r26_chat_template(spark, d):
     return pieces.select("conv_id", "position", F.md5("piece").alias("piece_md5"))
 
 
+def chat_samples(spark: SparkSession, d: str) -> DataFrame:
+    """One sample per document: its source asks, its text answers; every third has a system message, every fifth is open."""
+    docs, k = inputs.table(spark, d, "documents"), F.col("doc_id")
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    system = F.when(k % 3 == 0, F.array(turn("system", F.col("lang")))).otherwise(none)
+    said = F.when(k % 5 == 0, none).otherwise(F.array(turn("assistant", F.coalesce("text", F.lit("")))))
+    return docs.select("doc_id", F.concat(F.array(turn("user", F.col("source"))), said, system).alias("messages"))
+
+
+@query
+def r26_rendered_samples(spark, d):
+    """Whole samples as the text a model is trained on."""
+    rows = chat_samples(spark, d).select("doc_id", prompts.chat_template(F.col("messages")).alias("rendered"))
+    return rows.select("doc_id", F.md5("rendered").alias("rendered_md5"), whole(F.length("rendered")).alias("chars"))
+
+
+@query
+def w4_calibration_texts(spark, d):
+    """The seeded calibration sample as rendered texts; samples are drawn before they are rendered."""
+    drawn = curate.seeded_sample(chat_samples(spark, d), "doc_id", 128)
+    return drawn.select("doc_id", prompts.chat_template(F.col("messages")).alias("rendered"))
+
+
 @query
 def r28_span_weights(spark, d):
     rows = inputs.responses(spark, d).select("conv_id", "turn", prompts.span_weights(F.col("raw")).alias("w"))
@@ -400,7 +419,7 @@ def r18_r21_accuracy_checks(spark, d):
 def r19_public_addresses(spark, d):
     """Every public IPv4 occurrence in the documents."""
     docs = inputs.table(spark, d, "documents")
-    return docs.select("doc_id", F.inline(checks.address_checks(F.col("text")))).select("doc_id", "name", "evidence")
+    return docs.select("doc_id", F.inline(checks.address_checks(checks.public_addresses(F.col("text"))))).select("doc_id", "name", "evidence")
 
 
 @query
@@ -422,7 +441,7 @@ def a6_accuracy_report(spark, d):
 
 def scored_cases(spark: SparkSession, d: str) -> DataFrame:
     """Every response is an answer to the case its conversation number falls on."""
-    n_cases = inputs.table(spark, d, "benchmark").count()
+    n_cases = inputs.table(spark, d, "benchmark").agg(F.count(F.lit(1)).alias("n")).scalar()
     numbered = inputs.responses(spark, d).withColumn("case_id", F.col("conv_id") % n_cases)
     return datasets.score_suite(numbered, inputs.test_cases(spark, d))
 
@@ -886,7 +905,7 @@ def t2_metric_counts(spark, d):
 def t1_metric_windows(spark, d):
     windows = monitor.metric_windows(metrics(spark, d), 300)
     return windows.select(
-        "metric", "window_start", "n", mean(F.col("average")).alias("average"),
+        "metric", "window_start", "n", "average",
         *[real(F.col(c)).alias(c) for c in ("sum", "least", "greatest")],
     )
 
@@ -915,12 +934,11 @@ def t3_labelled_counts(spark, d):
 def t4_histograms(spark, d):
     events = inputs.service_events(spark, d)
     seconds = F.col("latency_ms") / 1000
-    parts = [
-        monitor.histogram(events, seconds, alarms.REQUEST_SECONDS_BOUNDS, ["task_type"]).withColumn("name", F.lit("request")),
-        monitor.histogram(events, seconds, alarms.INFERENCE_SECONDS_BOUNDS, ["task_type"]).withColumn("name", F.lit("inference")),
-        monitor.histogram(events, F.col("confidence"), alarms.CONFIDENCE_BOUNDS, ["task_type"]).withColumn("name", F.lit("confidence")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    measured = {
+        "request": (seconds, alarms.REQUEST_SECONDS_BOUNDS), "inference": (seconds, alarms.INFERENCE_SECONDS_BOUNDS),
+        "confidence": (F.col("confidence"), alarms.CONFIDENCE_BOUNDS),
+    }
+    return monitor.histograms(events, measured, ["task_type"])
 
 
 @query
@@ -962,7 +980,7 @@ def fired(spark: SparkSession, d: str) -> DataFrame:
 @query
 def w5_j11_threshold_alarms(spark, d):
     return fired(spark, d).select(
-        "alarm", "severity", "window_start", mean(F.col("value")).alias("value"), whole(F.col("run")).alias("run"), "firing"
+        "alarm", "severity", "window_start", real(F.col("value")).alias("value"), whole(F.col("run")).alias("run"), "firing"
     )
 
 
@@ -977,7 +995,7 @@ def t12_machine_alarms(spark, d):
     statistics = monitor.window_statistics(machine_metrics(spark, d))
     rows = monitor.threshold_alarms(statistics, monitor.threshold_rules(spark))
     return rows.select(
-        "alarm", "window_start", mean(F.col("value")).alias("value"), whole(F.col("run")).alias("run"), "firing"
+        "alarm", "window_start", "value", whole(F.col("run")).alias("run"), "firing"
     )
 
 
@@ -1076,6 +1094,25 @@ def s5_test_case_files(spark, d):
     return rows.select("id", "category", listed(F.col("expected_key_facts")).alias("keywords"), listed(F.col("sources_required")).alias("sources"))
 
 
+@query
+def s7_result_files(spark, d):
+    """Scored answers written as the stored report keeps them, and read again."""
+    path = work_folder(spark)
+    scored = scored_cases(spark, d).withColumn("test_id", F.concat_ws("-", "conv_id", "turn"))
+    files.write_results(scored.withColumns({"category": F.col("case_category"), "has_think": F.col("has_think_block")}), path)
+    rows = spark.read.schema(schemas.RESULT).json(path)
+    return rows.select(
+        "test_id", "category", "overall_score", "pass_fail", "has_think", whole(F.col("reasoning_steps")).alias("reasoning_steps"),
+        *[real(F.col(c)).alias(c) for c in ("keyword_score", "source_score", "confidence", "latency_ms")],
+        listed(F.col("keywords_missing")).alias("missing"),
+    )
+
+
+@query
+def s9_enough_rows(spark, d):
+    return files.enough(inputs.table(spark, d, "documents"))
+
+
 @query
 def t10_x2_task_intake(spark, d):
     """Queue messages through prompt, responder, parsing, review and routing."""
@@ -1124,7 +1161,7 @@ def appended_result(df: DataFrame) -> DataFrame:
 @query
 def t1_stream_windows(spark, d):
     rows = whole_result(service.windowed_metrics(monitor.derive_metrics(event_stream(spark, d)), 3600))
-    return rows.select("metric", "window_start", "n", real(F.col("sum")).alias("sum"), mean(F.col("average")).alias("average"))
+    return rows.select("metric", "window_start", "n", "average", *[real(F.col(c)).alias(c) for c in ("sum", "p50", "p95", "p99")])
 
 
 @query

@@ -31,7 +31,7 @@ def curate_file(spark: SparkSession, source: str, target: str, seed: int = 42, s
     parsed.write.parquet(path)
     stored = spark.read.parquet(path)
     digest = curate.digest_messages(stored, keep=("print",))
-    digest.drop("assistant_content", "compliance", "sources_used").write.parquet(digest_path)
+    digest.drop("sample_facts", "accuracy_facts", "compliance", "sources_used").write.parquet(digest_path)
     digest = spark.read.parquet(digest_path)
     unique = curate.deduplicate(digest, F.col("print"), "sample_id")
     valid = curate.validate_samples(unique)

@@ -380,6 +380,11 @@ p AS (SELECT conv_id, CASE WHEN role = 'system' THEN -1 ELSE turn END AS positio
   UNION ALL SELECT conv_id, turn + 1, '<|assistant|>' FROM t WHERE turn = last AND role = 'user')
 SELECT conv_id, position, md5(piece) AS piece_md5 FROM p"""
 
+_RENDERED = """SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN concat('<|system|>', chr(10), lang, '<|end|>', chr(10)) ELSE '' END,
+  '<|user|>', chr(10), source, '<|end|>', CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat(chr(10), '<|assistant|>', chr(10), text, '<|end|>') END,
+  CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 0 THEN concat(chr(10), '<|assistant|>') ELSE '' END) AS rendered FROM documents"""
+ORACLE["r26_rendered_samples"] = f"SELECT doc_id, md5(rendered) AS rendered_md5, length(rendered)::BIGINT AS chars FROM ({_RENDERED})"
+ORACLE["w4_calibration_texts"] = f"SELECT * FROM ({_RENDERED}) ORDER BY md5(concat('42|', doc_id)), doc_id LIMIT 128"
 ORACLE["r28_span_weights"] = f"""WITH {RESP}, m AS (SELECT conv_id, turn, replace(replace(raw, '<think>', ' <think> '), '</think>', ' </think> ') AS s FROM responses),
 n AS (SELECT *, {n_matches('s', r'\S+')} AS tokens, {n_matches("regexp_extract(s, '(?s)<think>.*?</think>')", r'\S+')} AS heavy FROM m)
 SELECT conv_id, turn, tokens::BIGINT AS tokens, (tokens + heavy)::DOUBLE AS weight FROM n"""
@@ -498,7 +503,7 @@ _ROUND3 = """(SELECT (w * 1000 // h + CASE WHEN (w * 1000 % h) * 2 > h OR ((w *
 SCORED = f"""{PARSED_SUITE}, words AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda v: length(v) > 4) AS w FROM benchmark),
 cases AS (SELECT item_id AS case_id, (['topology', 'bgp', 'qos', 'ha'])[item_id % 4 + 1] AS case_category,
   list_concat(kw, ['TLS 1.3', 'Step 3', 'BGP']) AS expected, ['Source list', concat('RFC ', item_id + 2000), 'Campus ' || kw[1]] AS required
-  FROM (SELECT item_id, ({distinct_in_order('w')})[1:4] AS kw FROM words)),
+  FROM (SELECT item_id, {distinct_in_order('w')} AS kw FROM words)),
 k0 AS (SELECT s.*, c.*, lower(raw) AS low FROM suite s JOIN cases c ON s.conv_id % (SELECT count(*) FROM benchmark) = c.case_id),
 k1 AS (SELECT *, list_filter(expected, lambda v: contains(low, lower(v))) AS kfound,
   list_filter(expected, lambda v: NOT contains(low, lower(v))) AS kmissing,
@@ -891,8 +896,10 @@ def win(seconds: int) -> str:
     return f"(epoch_us(ts) // {seconds * 1000000} * {seconds})"
 
 
+#: Sums by decimals, as the order of a sum of doubles would show in the last digit.
+EXACT_AVG = "sum(value::DECIMAL(28, 9))::DOUBLE / count(value)"
 ORACLE["t2_metric_counts"] = f"WITH {METRICS} SELECT metric, endpoint, count(*) AS n, round(sum(value), 6) AS total FROM metrics GROUP BY 1, 2"
-ORACLE["t1_metric_windows"] = f"""WITH {METRICS} SELECT metric, {win(300)} AS window_start, count(*) AS n, round(sum(value), 6) AS sum, round(avg(value) + 1e-9, 6) AS average,
+ORACLE["t1_metric_windows"] = f"""WITH {METRICS} SELECT metric, {win(300)} AS window_start, count(*) AS n, round(sum(value), 6) AS sum, {EXACT_AVG} AS average,
   round(min(value), 6) AS least, round(max(value), 6) AS greatest FROM metrics GROUP BY 1, 2"""
 _P = "round(quantile_cont({v}, 0.5), 6) AS p50, round(quantile_cont({v}, 0.95), 6) AS p95, round(quantile_cont({v}, 0.99), 6) AS p99"
 ORACLE["t1_percentiles"] = f"WITH {METRICS} SELECT metric, {win(3600)} AS window_start, {_P.format(v='value')} FROM metrics GROUP BY 1, 2"
@@ -941,7 +948,7 @@ def alarm_sql(base: str) -> str:
     rules = ", ".join(f"({q(a)}, {q(m)}, {q(s)}, {p}, {k}, {t}::DOUBLE, {q(c)}, {q(v)})" for a, m, s, p, k, t, c, v in al.THRESHOLD_ALARMS)
     stats = " UNION ALL ".join(
         f"SELECT {q(a)} AS alarm, {win(p)} AS window_start, "
-        + {"Average": "avg(value)", "Sum": "sum(value)"}.get(s, f"quantile_cont(value, {int(s[1:]) / 100 if s[0] == 'p' else 0})")
+        + {"Average": EXACT_AVG, "Sum": "sum(value::DECIMAL(28, 9))::DOUBLE"}.get(s, f"quantile_cont(value, {int(s[1:]) / 100 if s[0] == 'p' else 0})")
         + f" AS value FROM metrics WHERE metric = {q(m)} GROUP BY 2"
         for a, m, s, p, *_ in al.THRESHOLD_ALARMS
     )
@@ -952,12 +959,12 @@ fired AS (SELECT alarm, severity, window_start, value, row_number() OVER (PARTIT
   row_number() OVER (PARTITION BY alarm, island ORDER BY slot) >= periods AS firing FROM isl)"""
 
 
-ORACLE["w5_j11_threshold_alarms"] = f"WITH {alarm_sql(METRICS)} SELECT alarm, severity, window_start, round(value + 1e-9, 6) AS value, run, firing FROM fired"
+ORACLE["w5_j11_threshold_alarms"] = f"WITH {alarm_sql(METRICS)} SELECT alarm, severity, window_start, round(value, 6) AS value, run, firing FROM fired"
 _CHAN = ", ".join(f"({q(s)}, {q(c)})" for s, names in al.CHANNELS.items() for c in names)
 ORACLE["t7_notifications"] = f"""WITH {alarm_sql(METRICS)} SELECT alarm, severity, channel, count(*) AS n FROM fired JOIN (VALUES {_CHAN}) c(severity, channel) USING (severity)
 WHERE firing GROUP BY 1, 2, 3"""
 _MACHINE = """metrics AS (SELECT ts, 'disk_used_percent' AS metric, 60 + value % 40 AS value FROM events UNION ALL SELECT ts, 'CPUUtilization', value % 8 FROM events)"""
-ORACLE["t12_machine_alarms"] = f"WITH {alarm_sql(_MACHINE)} SELECT alarm, window_start, round(value + 1e-9, 6) AS value, run, firing FROM fired"
+ORACLE["t12_machine_alarms"] = f"WITH {alarm_sql(_MACHINE)} SELECT alarm, window_start, value, run, firing FROM fired"
 
 _ACTIVE = """moves AS (SELECT epoch_us(ts) // 60000000 * 60 AS minute, 1 AS change FROM served
   UNION ALL SELECT (epoch_us(ts) + trunc(latency_ms * 1000)::BIGINT) // 60000000 * 60, -1 FROM served),
@@ -986,6 +993,11 @@ SELECT alarm, severity, window_end, round(value, 6) AS value, since, CASE WHEN w
 ORACLE["u4_merge_checks"] = f"WITH {DIGEST}, {check_rows(True)} SELECT * FROM checks"
 ORACLE["s1_s2_sample_files"] = """SELECT doc_id, lang, md5(text) AS text_md5, 'sample' AS kind FROM documents
 UNION ALL SELECT count(*), NULL, md5('{' || source), 'rejected' FROM documents GROUP BY source"""
+_SCORE = lambda c: f"round({c}, 6) AS {c}"
+ORACLE["s7_result_files"] = f"""WITH {SCORED} SELECT concat(conv_id, '-', turn) AS test_id, case_category AS category, overall_score, pass_fail,
+  has_think_block AS has_think, reasoning_steps::BIGINT AS reasoning_steps, {_SCORE('keyword_score')}, {_SCORE('source_score')}, {_SCORE('confidence')},
+  {_SCORE('latency_ms')}, {joined('kmissing')} AS missing FROM scored"""
+ORACLE["s9_enough_rows"] = "SELECT least(count(*), 9000) AS rows_seen, count(*) >= 9000 AS enough FROM documents"
 ORACLE["s3_prompt_files"] = """SELECT concat(conv_id, '-', turn) AS id, CASE WHEN role = 'user' THEN 'asked' ELSE 'general' END AS category, md5(text) AS prompt_md5
 FROM conversations"""
 ORACLE["s5_test_case_files"] = f"""WITH {SCORED} SELECT case_id::VARCHAR AS id, case_category AS category, array_to_string(expected, '|') AS keywords,
@@ -1004,7 +1016,8 @@ ORACLE["t10_x2_task_intake"] = f"""WITH {PARSED_STRICT.replace(RESP, _TASK_RAW)}
 g AS (SELECT *, failed OR confidence < 0.8 OR priority = 'high' OR (form IN (0, 2) AND len(compliance) > 0) AS approval FROM f)
 SELECT task_id, type, requestor, CASE WHEN failed THEN 'error' ELSE 'success' END AS status, CASE WHEN approval THEN 'approval' ELSE 'done' END AS queue,
   CASE WHEN failed THEN 'device lost' END AS error, md5(answer) AS answer_md5, {joined('sources')} AS sources, round(confidence, 6) AS confidence, approval AS requires_approval FROM g"""
-ORACLE["t1_stream_windows"] = f"""WITH {METRICS} SELECT metric, {win(3600)} AS window_start, count(*) AS n, round(sum(value), 6) AS sum, round(avg(value) + 1e-9, 6) AS average
+ORACLE["t1_stream_windows"] = f"""WITH {METRICS} SELECT metric, {win(3600)} AS window_start, count(*) AS n, round(sum(value), 6) AS sum, {EXACT_AVG} AS average,
+  round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.99), 6) AS p99
 FROM metrics GROUP BY 1, 2"""
 ORACLE["t3_stream_counters"] = f"WITH {SERVED} SELECT task_type, status_code, has_think, count(*) AS n FROM served GROUP BY 1, 2, 3"
 ORACLE["t6_stream_error_rate"] = ORACLE["t6_error_rate"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -135,8 +134,8 @@ def read_knowledge(
 
 
 def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """S11. A scenario file of a few cases, YAML (or JSON, which YAML contains)."""
-    text = Path(path).read_text(encoding="utf-8")
+    """S11. A scenario file of a few cases, YAML (or JSON, which YAML contains), wherever Spark can read it."""
+    text = spark.read.option("wholetext", True).text(path).first()["value"]
     try:
         import yaml
     except ImportError:
@@ -174,6 +173,11 @@ def write_batch(records: DataFrame, path: str) -> None:
     records.write.mode("errorifexists").option("ignoreNullFields", True).json(path)
 
 
+def enough(df: DataFrame, rows: int = ENOUGH_ROWS) -> DataFrame:
+    """S9. One row (rows_seen, enough); reading stops at ``rows``."""
+    return df.limit(rows).agg(F.count(F.lit(1)).alias("rows_seen")).withColumn("enough", F.col("rows_seen") >= rows)
+
+
 def has_enough(df: DataFrame, rows: int = ENOUGH_ROWS) -> bool:
-    """S9. Stops reading at ``rows``."""
-    return df.limit(rows).count() >= rows
+    """S9."""
+    return enough(df, rows).first()["enough"]

@@ -27,3 +27,9 @@ SCENARIO_CASE = (
     "id string, name string, type string, input map<string,string>, expected_keywords array<string>, "
     "min_confidence double, requires_human_review boolean"
 )
+
+#: S7. A row of the stored report.
+RESULT = (
+    "test_id string, category string, overall_score double, keyword_score double, source_score double, confidence double, "
+    "has_think boolean, reasoning_steps bigint, latency_ms double, pass_fail string, keywords_missing array<string>"
+)

@@ -16,6 +16,7 @@ from answerloom.fixed.wording import TASK_SYSTEM
 from answerloom.functions.parse import parse_responses
 from answerloom.functions.prompts import single_turn_prompt
 from answerloom.functions.scores import with_confidence_strict
+from answerloom.operators.monitor import exact_sum
 from answerloom.operators.requests import (
     agent_requires_review, normalize_tasks, route, task_compliance, task_prompt, with_error_policy,
 )
@@ -78,11 +79,12 @@ def write_routed(answers: DataFrame, path: str, checkpoint: str, **trigger) -> S
 
 def windowed_metrics(metrics: DataFrame, seconds: int = 300, lateness: str = LATENESS) -> DataFrame:
     """T1 as a stream: counts, sums, averages and approximate percentiles per tumbling window."""
+    total = exact_sum("value").cast("double")
     return (
         metrics.withWatermark("ts", lateness)
         .groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "metric")
         .agg(
-            F.count(F.lit(1)).alias("n"), F.sum("value").alias("sum"), F.avg("value").alias("average"),
+            F.count(F.lit(1)).alias("n"), total.alias("sum"), (total / F.count("value")).alias("average"),
             F.percentile_approx("value", [0.5, 0.95, 0.99], 10_000).alias("p"),
         )
         .select(

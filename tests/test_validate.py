@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from answerloom.functions.checks import address_checks
+from answerloom.functions.checks import address_checks, public_addresses
 from answerloom.operators import curate, validate
 from answerloom.sources import schemas
 
@@ -71,7 +71,7 @@ def test_reports(spark):
 def test_addresses(spark):
     text = "8.8.8.8 10.1.2.3 8.8.8.8 192.0.2.5 100.64.0.1 224.0.0.1 08.8.8.8 300.1.1.1 172.32.0.1 172.31.0.1 192.0.0.9 1.2.3"
     df = spark.createDataFrame([(text,)], "t string")
-    got = [c.evidence for c in df.select(address_checks(F.col("t"))).first()[0]]
+    got = [c.evidence for c in df.select(address_checks(public_addresses(F.col("t")))).first()[0]]
     assert got == ["8.8.8.8", "8.8.8.8", "100.64.0.1", "224.0.0.1", "172.32.0.1", "192.0.0.9"]
 
 
@@ -97,3 +97,21 @@ def test_merge_checks(spark):
     b = spark.createDataFrame([(1, "x", False, "later")], schema)
     got = {(r.name, r.passed) for r in validate.merge_checks(a, b).collect()}
     assert got == {("x", False), ("y", True)}
+
+
+def test_answers_are_not_shuffled(spark):
+    """What travels to a sample's other values is what the rules found, not the text they read."""
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id bigint, turn bigint, role string, text string")
+    digest = curate.digest_turns(turns).selectExpr("*", "1L AS user_count", "array('SOX') AS compliance", "array('x') AS sources_used", "1 AS reasoning_steps")
+    for checked in (validate.validate(digest), validate.check_accuracy(digest)):
+        plan = checked._jdf.queryExecution().executedPlan().toString()
+        lines = plan.splitlines()
+        sent = [lines[i + 1] for i, line in enumerate(lines) if "Exchange" in line]
+        assert sent and not any("text#" in line or "_a#" in line or "_body#" in line for line in sent)
+
+
+def test_sample_without_an_answer_counts_as_empty(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "user", "r")], "conv_id bigint, turn bigint, role string, text string")
+    digest = curate.digest_turns(turns).selectExpr("*", "1L AS user_count", "array('SOX') AS compliance", "array('x') AS sources_used", "1 AS reasoning_steps")
+    assert checks_of(validate.validate(digest))[0]["has_assistant_message"] is False
+    assert validate.check_accuracy(digest).first().critical_failures > 0
