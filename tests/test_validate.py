@@ -112,6 +112,6 @@ def test_answers_are_not_shuffled(spark):
 
 def test_sample_without_an_answer_counts_as_empty(spark):
     turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "user", "r")], "conv_id bigint, turn bigint, role string, text string")
-    digest = curate.digest_turns(turns).selectExpr("*", "1L AS user_count", "array('SOX') AS compliance", "array('x') AS sources_used", "1 AS reasoning_steps")
+    digest = curate.digest_turns(turns).selectExpr("*", "1L AS user_count", "array('PCI-DSS') AS compliance", "array('x') AS sources_used", "1 AS reasoning_steps")
     assert checks_of(validate.validate(digest))[0]["has_assistant_message"] is False
     assert validate.check_accuracy(digest).first().critical_failures > 0
