@@ -100,7 +100,7 @@ def test_digest_and_rules(spark):
     digest = curate.digest_messages(samples(spark, rows))
     got = {r.sample_id: r for r in digest.collect()}
     assert [got[i].n_messages for i in range(1, 7)] == [2, 1, 0, 2, 2, 0]
-    assert got[1].assistant_content == long and got[1].has_user and not got[3].has_user
+    assert got[1].sample_facts.tail == 100 and got[5].sample_facts.tags and got[1].has_user and not got[3].has_user
     assert got[1].last_chars == 100 and got[1].first_print == hashlib.sha256(b"q").hexdigest() and not got[4].first_given
     assert sorted(r.sample_id for r in curate.validate_samples(digest).collect()) == [1, 5]
     assert tuple(curate.count_valid(digest).first()) == (2, 4)
