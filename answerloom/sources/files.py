@@ -127,7 +127,7 @@ def read_knowledge(
     """S6. (category, doc): one JSON file per category, a missing file is an empty document."""
     categories = categories or list(CATEGORY_SECTIONS)
     names = spark.createDataFrame([(c,) for c in categories], "category string")
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
     docs = files.select(name.alias("category"), F.col("value").alias("doc"))
     return names.join(docs, "category", "left").select("category", F.coalesce("doc", F.lit("{}")).alias("doc"))
@@ -135,7 +135,7 @@ def read_knowledge(
 
 def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
     """S11. A scenario file of a few cases, YAML (or JSON, which YAML contains), wherever Spark can read it."""
-    text = spark.read.option("wholetext", True).text(path).first()["value"]
+    text = spark.read.text(path, wholetext=True).first()["value"]
     try:
         import yaml
     except ImportError:

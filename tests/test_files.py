@@ -169,3 +169,9 @@ def test_judge(spark):
     got = {r.prompt[:4]: r for r in respond.judge(df, fn).collect()}
     assert got["qqqq"].score == 4.5 and got["qqqq"].rationale == str(500 + 3000 + len(wording.JUDGE_HEAD + wording.JUDGE_MIDDLE + wording.JUDGE_TAIL))
     assert got["fail"].score == 3.0 and got["fail"].rationale == "Error: " + "x" * 50
+
+
+def test_knowledge_file_of_several_lines_is_one_document(spark, tmp_path):
+    (tmp_path / "cost_benchmarks.json").write_text('{\n "a": {\n  "b": 1\n }\n}\n')
+    rows = files.read_knowledge(spark, str(tmp_path), ["cost_benchmarks"]).collect()
+    assert len(rows) == 1 and '"b": 1' in rows[0].doc
