@@ -21,6 +21,8 @@ IDF_SHARE = 0.2
 BANDS, ROWS = 14, 4
 #: Documents of a block of a bucket, and the documents every block of a large bucket has in common.
 BLOCK_DOCS, HUBS = 256, 4
+#: Documents of either side that a task compares by one rare shingle.
+SIDE_DOCS = 1024
 #: Share of equal samples from which a pair is verified: the threshold less three standard deviations of the share.
 SLACK = 3 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
 #: Shingles that are sampled together, so that the arrays stay in a core's cache.
@@ -159,9 +161,11 @@ class Frequencies:
                 i, j = int(cuts[bucket]), int(cuts[bucket + 1])
                 self.df[i:j] = _unpack_counts(packed, j - i)
 
+    def of(self, key: np.ndarray) -> np.ndarray:
+        return self.df[np.searchsorted(self.keys, key >> np.uint64(8) << np.uint64(8))]
+
     def weights(self, key: np.ndarray, tf: np.ndarray, n_docs: int) -> np.ndarray:
-        at = np.searchsorted(self.keys, key >> np.uint64(8) << np.uint64(8))
-        return tf * inverse_frequency(self.df[at], n_docs)
+        return tf * inverse_frequency(self.of(key), n_docs)
 
 
 def _signature_rows(k: int, buckets: int, n_docs: int):
@@ -190,9 +194,24 @@ def _signature_rows(k: int, buckets: int, n_docs: int):
     return run
 
 
-def _vector_rows(k: int, buckets: int, n_docs: int):
-    """Wanted documents' shingles: 32 bits of each hash, sorted, and the weight as a logarithm in 16 bits."""
-    schema = pa.schema([("doc_id", pa.int64()), ("vector", pa.binary())])
+def rare_prefix(short: np.ndarray, weight: np.ndarray, df: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of a document, one of which any text as similar as ``threshold`` shares, and how heavy such a text can be.
+
+    All documents order shingles alike, by frequency and hash. If the first one that two have in common
+    stands behind a weight of x in a document of weight w, both share w - x at most. At the threshold they
+    share threshold / (1 + threshold) of the sum of their weights, so the other weighs (w - x) (1 + threshold)
+    / threshold - w at most; and it weighs threshold * w at least.
+    """
+    order = np.lexsort((short, df))
+    w, total = weight[order], weight.sum()
+    reach = (total - np.cumsum(w) + w) * (1 + threshold) / threshold * (1 + 1e-6) - total
+    some = reach >= threshold * total
+    return short[order][some], reach[some]
+
+
+def _vector_rows(k: int, buckets: int, n_docs: int, threshold: float):
+    """Wanted documents' shingles: 32 bits of each hash, sorted, and the weight as a logarithm in 16 bits; with bucket -2 also the rare prefix."""
+    schema = pa.schema([("doc_id", pa.int64()), ("vector", pa.binary()), ("weight", pa.float64()), ("prefix", pa.list_(pa.int32())), ("reach", pa.list_(pa.float64()))])
 
     def run(key: tuple, docs: pa.Table, counts: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
@@ -200,6 +219,7 @@ def _vector_rows(k: int, buckets: int, n_docs: int):
         wanted = pc.unique(counts.column("doc_id").combine_chunks().drop_null())
         if not len(wanted):
             return schema.empty_table()
+        in_large = pc.unique(counts.filter(pc.equal(counts.column("bucket"), -2)).column("doc_id").combine_chunks())
         frequencies, out = Frequencies(docs, counts, k, buckets), []
         chosen = docs.filter(pc.is_in(docs.column("doc_id"), value_set=wanted))
         for part in row_slices(chosen.to_batches(), "text"):
@@ -207,8 +227,15 @@ def _vector_rows(k: int, buckets: int, n_docs: int):
             short = (shingle >> np.uint64(32)).astype("<u4")  # still in order within a row
             weight = np.minimum(np.log2(frequencies.weights(shingle, tf, n_docs)) * 2048, 65535).astype("<u2")
             first = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
-            vectors = [short[a:z].tobytes() + weight[a:z].tobytes() for a, z in zip(first, first[1:], strict=False)]
-            out.append(pa.table({"doc_id": part.column("doc_id"), "vector": pa.array(vectors, pa.binary())}, schema=schema))
+            spans = list(zip(first, first[1:], strict=False))
+            vectors = [short[a:z].tobytes() + weight[a:z].tobytes() for a, z in spans]
+            exact, df = np.exp2(weight / 2048.0), frequencies.of(shingle)
+            large = pc.is_in(part.column("doc_id"), value_set=in_large).to_pylist()
+            rare = [rare_prefix(short[a:z], exact[a:z], df[a:z], threshold) if yes else (None, None) for (a, z), yes in zip(spans, large, strict=True)]
+            out.append(pa.table({
+                "doc_id": part.column("doc_id"), "vector": pa.array(vectors, pa.binary()), "weight": pa.array([float(exact[a:z].sum()) for a, z in spans], pa.float64()),
+                "prefix": pa.array([None if x is None else x.view("<i4") for x, _ in rare], pa.list_(pa.int32())), "reach": pa.array([x for _, x in rare], pa.list_(pa.float64())),
+            }, schema=schema))
         return pa.concat_tables(out)
 
     return run
@@ -289,6 +316,67 @@ def _candidate_pairs(least: float):
     return run
 
 
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, i, j, other, doc_id, label, weight, reach), sorted by the first three, to pairs of other and not other whose weights are in each other's reach."""
+    names, found, held = ["k", "i", "j", "other", "doc_id", "label", "weight", "reach"], [], None
+
+    def emit(rows: list[np.ndarray]) -> None:
+        _, _, _, other, doc, label, weight, reach = rows
+        x, y = np.flatnonzero(other), np.flatnonzero(~other)
+        a, b = np.nonzero((weight[x, None] <= reach[y]) & (weight[y] <= reach[x, None]) & (label[x, None] != label[y]))
+        if len(a):
+            found.append(np.unique(np.sort(np.column_stack([doc[x[a]], doc[y[b]]]), axis=1), axis=0))
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            found.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        rows = [batch.column(name).to_numpy(zero_copy_only=False) for name in names]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        new = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])) + 1
+        cuts = [0, *new.tolist()]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            emit([x[a:z] for x in rows])
+            if sum(map(len, found)) >= 1 << 16:
+                yield from flush()
+        held = [x[cuts[-1] :] for x in rows]
+    if held is not None:
+        emit(held)
+    yield from flush()
+
+
+def prefix_pairs(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b) of different labels that may be links by their rare prefixes: no pair of documents with a prefix is left out.
+
+    Of two such documents the lighter one has the first shared shingle where its reach is its own weight or more.
+    A shingle without such a row, or with one label, needs no look. Of the others, the rows outside the commonest label
+    meet all rows, in blocks.
+    """
+    post = vectors.filter("prefix is not null").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "doc_id", "weight", F.coalesce("label", "doc_id").alias("label"), F.explode(F.arrays_zip("prefix", "reach")).alias("at")
+    )
+    post = stored(post.select(F.col("at.prefix").alias("k"), "doc_id", "label", "weight", F.col("at.reach").alias("reach")))
+    lighter = F.col("reach") >= F.col("weight")
+    limits = stored(post.groupBy("k").agg(
+        F.min(F.when(lighter, F.col("weight"))).alias("least"), F.max(F.when(lighter, F.col("reach"))).alias("most"), F.min("label").alias("l0"), F.max("label").alias("l1")
+    ).filter("least is not null and l0 <> l1").drop("l0", "l1"))
+    live = stored(post.join(limits, "k").filter("reach >= least and weight <= most").drop("least", "most"))
+    counted = live.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n"))
+    tops = stored(counted.groupBy("k").agg(F.max_by("label", "n").alias("top"), F.sum("n").alias("all"), F.max("n").alias("same")).filter("all > same"))
+    blocks = lambda n: F.ceil(n / SIDE_DOCS).cast("int")
+    met = live.join(tops, "k").withColumns({"across": blocks(F.col("all")), "down": blocks(F.col("all") - F.col("same"))})
+    own, dealt = F.array(F.lit(True), F.lit(False)), ["doc_id", "label", "weight", "reach"]
+    met = met.withColumn("other", F.explode(F.when(F.col("label") != F.col("top"), own).otherwise(F.array(F.lit(False)))))
+    met = met.withColumn("i", F.explode(F.when(F.col("other"), F.array(F.pmod(F.xxhash64("k", "doc_id"), "down").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("down") - 1))))
+    met = met.withColumn("j", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), F.col("across") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "k"), "across").cast("int")))))
+    met = stored(met.select("k", "i", "j", "other", *dealt))
+    return met.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(_crossed, "a long, b long").distinct()
+
+
 def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,12 +415,23 @@ def near_duplicate_links(docs: DataFrame, doc_id: str, text: str, threshold: flo
     pairs = sketched.repartition("key", "block").sortWithinPartitions("key", "block", "doc_id").mapInArrow(_candidate_pairs(threshold - SLACK), "a long, b long")
     pairs = stored(pairs.distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = in_shards(ends.withColumn("text", F.lit("")), "doc_id", "text", 2 * buckets).select("shard", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("counts"), "doc_id")
-    asked = counts.withColumn("doc_id", F.lit(None).cast("long")).unionByName(wanted)
-    vectors = stored(grouped.cogroup(asked.groupBy("shard")).applyInArrow(_vector_rows(k, buckets, n_docs), "doc_id long, vector binary").dropDuplicates(["doc_id"]))
-    met = pairs.join(vectors.select(F.col("doc_id").alias("b"), F.col("vector").alias("vb")), "b").join(vectors.select(F.col("doc_id").alias("a"), F.col("vector").alias("va")), "a")
-    links = met.select("a", "b", "va", "vb").mapInArrow(_verified(threshold), "a long, b long, similarity double")
-    return members, stored(links)
+    in_large = keys.join(shared.filter(F.col("n") > BLOCK_DOCS).select("key"), "key").select("doc_id").distinct()
+    asked = counts.withColumn("doc_id", F.lit(None).cast("long"))
+    for mark, ids in ((-1, ends), (-2, in_large)):
+        wanted = in_shards(ids.withColumn("text", F.lit("")), "doc_id", "text", 2 * buckets)
+        asked = asked.unionByName(wanted.select("shard", F.lit(mark).alias("bucket"), F.lit(None).cast("binary").alias("counts"), "doc_id"))
+    vectors = stored(grouped.cogroup(asked.groupBy("shard")).applyInArrow(
+        _vector_rows(k, buckets, n_docs, threshold), "doc_id long, vector binary, weight double, prefix array<int>, reach array<double>"
+    ).dropDuplicates(["doc_id"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(vectors.select(F.col("doc_id").alias("b"), F.col("vector").alias("vb")), "b").join(vectors.select(F.col("doc_id").alias("a"), F.col("vector").alias("va")), "a")
+        return stored(met.select("a", "b", "va", "vb").mapInArrow(_verified(threshold), "a long, b long, similarity double"))
+
+    links = verified(pairs)
+    # What blocks and estimates missed: documents of large buckets meet again by rare shingles unless links connect them already.
+    missed = stored(prefix_pairs(vectors, connected_components(links)).join(pairs, ["a", "b"], "left_anti"))
+    return members, links.unionByName(verified(missed))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE_WORDS) -> DataFrame:
@@ -344,10 +443,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``n_links`` counts verified links to other texts, on the least id of those with the same words, else 0.
 
     Document frequencies cover all documents: shards send packed distinct shingles to ranges of the hash
-    space and get their counts back. Bands of samples make buckets. A bucket is compared in blocks of about
-    ``BLOCK_DOCS`` documents, by estimates, and only the strongest pairs are verified - a spanning forest of
-    the block and each document's two nearest - for these connect what all pairs would. Blocks of a
-    large bucket are drawn anew for each band and have ``HUBS`` documents in common.
+    space and get their counts back. Bands of samples make buckets. A bucket is compared in blocks of about ``BLOCK_DOCS``
+    documents, drawn anew for each band and with ``HUBS`` documents in common, and a spanning forest of the
+    block and each document's two nearest by estimates are verified. That connects most copies but is no proof
+    for the rest, so all documents of buckets of several blocks then meet by their rare shingles (``prefix_pairs``),
+    and every pair of different classes that an exact bound allows is verified.
 
     A text of fewer than ``k`` words has no shingles and is a copy only of the same words; a null text has none
     at all, like an empty one. Repeated rows of one id share a class. Rows without an id are each a class of their

@@ -2,15 +2,17 @@
 
 import hashlib
 import math
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
 
 from answerloom.llm.exact import QuotientFilter, exact_groups
 from answerloom.llm.lines import drop_shared_lines
-from answerloom.llm.neardup import IDF_SHARE, near_duplicates, weighted_samples
+from answerloom.llm.neardup import IDF_SHARE, near_duplicates, rare_prefix, weighted_samples
 from answerloom.llm.substring import _as_text, remove_repeated_passages
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -157,3 +159,50 @@ def test_near_duplicates(documents, rows, nothing):
     assert all(r.class_size == size[r.class_id] and r.kept == (r.doc_id == r.class_id) for r in got if r.doc_id is not None)
     assert [r.kept for r in got if r.doc_id is None] == [True, True]
     assert near_duplicates(nothing).count() == 0
+
+
+def test_near_pairs_in_a_large_bucket(spark):
+    """Texts of one template, about 0.75 alike, with planted pairs of up to 0.9: all share buckets, and only the pairs are copies."""
+    draw, n = random.Random(11), 2400
+    template = [f"t{k}" for k in range(200)]
+    texts = {i: " ".join(template + [f"o{i}x{k}" for k in range(draw.randrange(29, 35))]) for i in range(n)}
+    for i in range(0, 120, 2):
+        own = texts[i].split(" ")[200:]
+        same = draw.randrange(4, 27)
+        texts[i + 1] = " ".join([*template, *own[:same], *[f"p{i}x{k}" for k in range(len(own) - same)]])
+    _, sets = shingle_counts(list(texts.items()))
+    df = Counter(s for c in sets.values() for s in c)
+    weigh = lambda s: 1 + IDF_SHARE * math.log((1 + n) / (1 + df[s])) / math.log(1 + n)
+    total = {i: sum(map(weigh, c)) for i, c in sets.items()}
+    holders, common = defaultdict(list), Counter()
+    for i, c in sets.items():
+        for s in c:
+            if df[s] < n:
+                holders[s].append(i)
+    for s, ids in holders.items():
+        for pair in combinations(sorted(ids), 2):
+            common[pair] += weigh(s)
+    base = sum(weigh(s) for s, f in df.items() if f == n)
+    similar = lambda a, b, c: c / (total[a] + total[b] - c)
+    light = sorted(total.values())[:2]
+    assert 0.7 < base / (sum(light) - base) < 0.79
+    want = {pair for pair, c in common.items() if similar(*pair, base + c) >= 0.8}
+    assert len(want) > 30
+    got = near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    least = {b: a for a, b in want}
+    assert {r.doc_id: r.class_id for r in got} == {i: least.get(i, i) for i in texts}
+
+
+def test_rare_prefixes_leave_out_no_link():
+    draw = np.random.default_rng(4)
+    df = draw.integers(1, 50, 400)
+    for _ in range(300):
+        a = np.sort(draw.choice(400, 120, replace=False))
+        b = np.sort(np.unique(np.concatenate([draw.choice(a, draw.integers(90, 120), replace=False), draw.choice(400, draw.integers(0, 25), replace=False)])))
+        wa, wb = (draw.choice([1.0, 1.2, 2.0], 400, p=[0.8, 0.15, 0.05])[x] for x in (a, b))
+        both, ia, ib = np.intersect1d(a, b, return_indices=True)
+        least = np.minimum(wa[ia], wb[ib]).sum()
+        if least / (wa.sum() + wb.sum() - least) >= 0.8:
+            (pa, ra), (pb, rb) = rare_prefix(a, wa, df[a], 0.8), rare_prefix(b, wb, df[b], 0.8)
+            _, ia, ib = np.intersect1d(pa, pb, return_indices=True)
+            assert ((ra[ia] >= wb.sum()) & (rb[ib] >= wa.sum())).any()
