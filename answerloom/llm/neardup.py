@@ -21,6 +21,8 @@ IDF_SHARE = 0.2
 BANDS, ROWS = 14, 4
 #: Documents of a block of a bucket, and the documents every block of a large bucket has in common.
 BLOCK_DOCS, HUBS = 256, 4
+#: Documents of a bucket up to which all its pairs are verified; those of larger ones are also compared by their rare shingles.
+ALL_PAIRS = 16
 #: Documents of either side that a task compares by one rare shingle.
 SIDE_DOCS = 1024
 #: Share of equal samples from which a pair is verified: the threshold less three standard deviations of the share.
@@ -253,10 +255,12 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
 
 
 def block_links(doc: np.ndarray, sketch: np.ndarray, least: float) -> np.ndarray:
-    """Pairs of a block worth verifying: a spanning forest of the strongest estimates, and each document's two strongest."""
+    """Pairs of a block to verify first: all that may be links if it is small, else a spanning forest of the strongest estimates, and each document's two strongest."""
     n = len(doc)
-    if n == 2:
-        return np.array([[0, 1]]) if (sketch[0] == sketch[1]).mean() >= least else np.empty((0, 2), np.int64)
+    if n <= ALL_PAIRS:
+        a, b = np.triu_indices(n, 1)
+        likely = (sketch[a] == sketch[b]).mean(axis=1) >= least
+        return np.column_stack([a[likely], b[likely]])
     same = np.zeros((n, n), np.float32)
     for s in range(sketch.shape[1]):
         same += sketch[:, s, None] == sketch[None, :, s]
@@ -415,7 +419,7 @@ def near_duplicate_links(docs: DataFrame, doc_id: str, text: str, threshold: flo
     pairs = sketched.repartition("key", "block").sortWithinPartitions("key", "block", "doc_id").mapInArrow(_candidate_pairs(threshold - SLACK), "a long, b long")
     pairs = stored(pairs.distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    in_large = keys.join(shared.filter(F.col("n") > BLOCK_DOCS).select("key"), "key").select("doc_id").distinct()
+    in_large = keys.join(shared.filter(F.col("n") > ALL_PAIRS).select("key"), "key").select("doc_id").distinct()
     asked = counts.withColumn("doc_id", F.lit(None).cast("long"))
     for mark, ids in ((-1, ends), (-2, in_large)):
         wanted = in_shards(ids.withColumn("text", F.lit("")), "doc_id", "text", 2 * buckets)
@@ -440,14 +444,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Texts are sets of ``k``-word shingles (case of A-Z aside), weighted by how often the text has them and by
     how few documents do. A link is a weighted Jaccard similarity of ``threshold`` or more; classes are what
     links and equal word sequences connect, ``class_id`` the least id in one, and that document is kept.
-    ``n_links`` counts verified links to other texts, on the least id of those with the same words, else 0.
+    ``n_links`` counts the links to other texts that were verified to find the classes, on the least id of those with
+    the same words, else 0. In a large class that is fewer than it has: pairs connected already are not looked at.
 
     Document frequencies cover all documents: shards send packed distinct shingles to ranges of the hash
-    space and get their counts back. Bands of samples make buckets. A bucket is compared in blocks of about ``BLOCK_DOCS``
+    space and get their counts back. Bands of samples make buckets. All pairs of a bucket of up to ``ALL_PAIRS``
+    documents are verified if their samples allow a link. A larger one is compared in blocks of about ``BLOCK_DOCS``
     documents, drawn anew for each band and with ``HUBS`` documents in common, and a spanning forest of the
     block and each document's two nearest by estimates are verified. That connects most copies but is no proof
-    for the rest, so all documents of buckets of several blocks then meet by their rare shingles (``prefix_pairs``),
-    and every pair of different classes that an exact bound allows is verified.
+    for the rest, so all documents of such buckets then meet by their rare shingles (``prefix_pairs``), and every
+    pair of different classes that an exact bound allows is verified.
 
     A text of fewer than ``k`` words has no shingles and is a copy only of the same words; a null text has none
     at all, like an empty one. Repeated rows of one id share a class. Rows without an id are each a class of their

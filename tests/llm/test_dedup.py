@@ -12,7 +12,7 @@ import pytest
 
 from answerloom.llm.exact import QuotientFilter, exact_groups
 from answerloom.llm.lines import drop_shared_lines
-from answerloom.llm.neardup import IDF_SHARE, near_duplicates, rare_prefix, weighted_samples
+from answerloom.llm.neardup import ALL_PAIRS, IDF_SHARE, block_links, near_duplicates, rare_prefix, weighted_samples
 from answerloom.llm.substring import _as_text, remove_repeated_passages
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -161,9 +161,10 @@ def test_near_duplicates(documents, rows, nothing):
     assert near_duplicates(nothing).count() == 0
 
 
-def test_near_pairs_in_a_large_bucket(spark):
+@pytest.mark.parametrize("n", [200, 2400])
+def test_near_pairs_in_a_large_bucket(spark, n):
     """Texts of one template, about 0.75 alike, with planted pairs of up to 0.9: all share buckets, and only the pairs are copies."""
-    draw, n = random.Random(11), 2400
+    draw = random.Random(11)
     template = [f"t{k}" for k in range(200)]
     texts = {i: " ".join(template + [f"o{i}x{k}" for k in range(draw.randrange(29, 35))]) for i in range(n)}
     for i in range(0, 120, 2):
@@ -206,3 +207,8 @@ def test_rare_prefixes_leave_out_no_link():
             (pa, ra), (pb, rb) = rare_prefix(a, wa, df[a], 0.8), rare_prefix(b, wb, df[b], 0.8)
             _, ia, ib = np.intersect1d(pa, pb, return_indices=True)
             assert ((ra[ia] >= wb.sum()) & (rb[ib] >= wa.sum())).any()
+
+
+def test_all_likely_pairs_of_a_small_block():
+    links = block_links(np.arange(ALL_PAIRS), np.zeros((ALL_PAIRS, 56), np.uint8), 0.64)
+    assert {tuple(x) for x in links.tolist()} == set(combinations(range(ALL_PAIRS), 2))
