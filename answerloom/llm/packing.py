@@ -51,7 +51,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.merges, self.letters, self.cores = self.tokenizer.model.tokenize, byte_letters(), {}
         self.runs: dict[str, bytes] = {}
         self.end_id = end_id

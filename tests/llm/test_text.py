@@ -9,10 +9,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from answerloom.llm import trees
 from answerloom.llm.bytebpe import LOOK_AHEAD, cut_points, encode_documents, encoder
@@ -207,3 +209,11 @@ def test_packed_documents(documents, rows, nothing):
         own.sort()
         assert [a for a, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
     assert pack_documents(nothing, path).count() == 0
+
+
+def test_packing_ids_equal_the_tokenizer_by_default():
+    path = P.path("word_bpe_49k.json")
+    fresh = Tokenizer.from_file(path)
+    texts = ["a document <|endoftext|> then more", "x<|startoftext|>y.<|endoftext|>", "<|ENDOFTEXT|> <|end oftext|>", "don't<|endoftext|>'s stop!! <|endoftext|>."]
+    ids, lengths = word_ids(path, 2).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [[*fresh.encode(x, add_special_tokens=False).ids, 2] for x in texts]
