@@ -1,8 +1,10 @@
 """Registered queries against their SQL; the pipeline stage by stage against its operators' brute-force versions."""
 
+import public_tokenizers
 import pytest
 
 import corpus_pipeline
+from answerloom.llm.packing import word_ids
 from answerloom.llm.queries import ORACLE, QUERIES
 from compare import difference, duck
 from test_dedup import brute_lines, brute_passages
@@ -42,3 +44,12 @@ def test_stages(spark):
     tokens = {r.doc_id: r.doc_tokens for r in last.collect()}
     assert set(tokens) == set(before)
     assert {r.doc_id: r.doc_tokens for r in corpus_pipeline.run(spark, SF).collect()} == tokens
+
+
+def test_last_stage_returns_tokens(spark):
+    docs = spark.createDataFrame([(1, "one text " * 3000), (2, "another text"), (3, None)], "doc_id long, text string")
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    coder = word_ids(public_tokenizers.path("word_bpe_49k.json"), 2)
+    for r in docs.collect():
+        own = sorted((p.start, bytes(p.ids)) for p in pieces if p.doc_id == r.doc_id)
+        assert b"".join(x for _, x in own) == coder.whole(r.text or "") + (2).to_bytes(4, "little")
