@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.llm.bytebpe import encode_documents
+from answerloom.llm.centroids import cluster_vectors
 from answerloom.llm.exact import exact_groups
 from answerloom.llm.licenses import scan_licenses
 from answerloom.llm.lines import drop_shared_lines
 from answerloom.llm.neardup import near_duplicates
 from answerloom.llm.packing import pack_documents
+from answerloom.llm.prefixes import prefix_trie
 from answerloom.llm.quality import quality_scores
 from answerloom.llm.rules import quality_rules
 from answerloom.llm.substring import remove_repeated_passages
 from answerloom.llm.tables import table
+from answerloom.llm.tokengroups import jaccard_components
 from answerloom.llm.warc import read_archives, write_archives
 
 
@@ -68,11 +71,24 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), dims=64, scale=256, k=40, rounds=5, seed=2)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"), family=20, heads=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_quality_rules, op3_exact_dedup, op4_quality_classifier, op5_license_scan,
         op6_warc, op7_line_dedup, op8_byte_bpe, op9_packing, op10_minhash_near_dedup,
+        op11_ngram_jaccard, op12_centroid_clustering, op13_prefix_trie,
     )
 }
 

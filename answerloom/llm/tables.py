@@ -33,6 +33,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def pieces(df: DataFrame, least: int) -> int:
+    """Number of pieces to cut ``df`` into: ``least``, or more if a piece would then hold over ``spark.answerloom.pieceBytes`` (16 MB) of input.
+
+    The input's size is what Spark's planner knows of the files and tables that ``df`` reads; no job is started.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.length())]
+    piece = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(df.sparkSession.conf.get("spark.answerloom.pieceBytes", "16m"))
+    known = sum(size for size in sizes if size < 1 << 60)  # rows of unknown size count as so many bytes
+    return max(least, -(-known // piece))
+
+
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
