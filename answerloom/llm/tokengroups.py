@@ -17,7 +17,7 @@ from answerloom.llm.tables import partitions, pieces, stored, text_or_empty
 SHINGLE_WORDS, PERCENT = 4, 85
 #: A group ends at so many documents or shingles; queries of a group are dealt into chunks of about so many documents or shingles.
 GROUP_DOCS, GROUP_KEYS = 256, 1 << 20
-CHUNK_DOCS, CHUNK_KEYS = 1024, 1 << 22
+CHUNK_DOCS, CHUNK_KEYS = 256, 1 << 22
 #: (query, member) meetings that are counted together.
 MEETINGS = 1 << 22
 #: Bits of a shingle's hash by which document frequencies are counted. They only put shingles into one order, so collisions cost time, not links.
@@ -100,12 +100,15 @@ def _summed_counts(key: tuple, group: pa.Table) -> pa.Table:
     })
 
 
-def prefix_lengths(sizes: np.ndarray, percent: int) -> np.ndarray:
-    """So many first tokens of a set, in any one order of all tokens: two linked sets share one of them."""
-    return sizes - (percent * sizes + 99) // 100 + 1
+def reach(size: np.ndarray, position: np.ndarray, percent: int) -> np.ndarray:
+    """How large a set can be that links with one of ``size`` and first shares the token at ``position``, in any one order of all tokens.
+
+    They have size - position tokens in common at most, and (100 + percent) times that must be ``percent`` times both sizes.
+    """
+    return (size - position) * (100 + percent) // percent - size
 
 
-SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, places array<long>, tokens array<long>, shared boolean, members binary"
+SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, places array<long>, tokens array<struct<token:long,reach:long>>, shared boolean, members binary"
 
 
 def _signed(k: int, buckets: int, percent: int):
@@ -130,10 +133,12 @@ def _signed(k: int, buckets: int, percent: int):
                 total = np.concatenate([[np.uint64(0)], np.cumsum(mix(keys + np.uint64(seed)), dtype=np.uint64)])
                 digests.append(mix(total[first[1:]] - total[first[:-1]]).view(np.int64))
             by = np.lexsort((keys, df, row))
-            prefix = (np.arange(len(keys)) - first[row] < prefix_lengths(size, percent)[row]) & (df[by] > 1)
+            reaches = reach(size[row], np.arange(len(keys)) - first[row], percent)
+            prefix = (100 * reaches >= percent * size[row]) & (df[by] > 1)
             has_id = ~pc.is_null(part.column("doc_id")).to_numpy(zero_copy_only=False)
             prefix &= has_id[row]
-            chosen, owner = keys[by[prefix]], row[prefix]
+            owner = row[prefix]
+            chosen = pa.StructArray.from_arrays([pa.array(keys[by[prefix]].view(np.int64)), pa.array(reaches[prefix])], ["token", "reach"])
             n_shared = np.bincount(owner, minlength=part.num_rows)
             shared = n_shared > 0
             some = np.flatnonzero(size)
@@ -145,7 +150,7 @@ def _signed(k: int, buckets: int, percent: int):
             out.append(pa.table({
                 "doc_id": part.column("doc_id"), "n_shingles": size, "d1": digests[0], "d2": digests[1],
                 "places": pa.ListArray.from_arrays(ends(shared * SIGNATURES), pa.array(places[shared].ravel().view(np.int64))),
-                "tokens": pa.ListArray.from_arrays(ends(n_shared), pa.array(chosen.view(np.int64))), "shared": shared,
+                "tokens": pa.ListArray.from_arrays(ends(n_shared), chosen), "shared": shared,
                 "members": pa.array([keys[a:z].tobytes() if s else None for a, z, s in zip(first[:-1].tolist(), first[1:].tolist(), shared.tolist(), strict=True)], pa.binary()),
             }))
         return pa.concat_tables(out)
@@ -252,27 +257,29 @@ def opened(groups: DataFrame, asked: DataFrame, percent: int) -> DataFrame:
 
 
 def first_asked(matrix: DataFrame) -> DataFrame:
-    """Every document asks, for each token of its prefix, the group of the least document with that token; its own it has met already."""
-    hubs = matrix.groupBy("token").agg(F.min_by("group", "doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return matrix.join(hubs, "token").filter(F.col("group") != F.col("hub")).select("doc_id", F.col("hub").alias("group")).distinct()
+    """Every document asks, for each token of its prefix, the group of the least document with that token, if their sizes allow a link; its own it has met already."""
+    hub = F.min_by(F.struct("group", "n_shingles", "reach"), "doc_id").alias("hub")
+    hubs = matrix.groupBy("token").agg(hub, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    near = (F.col("hub.n_shingles") <= F.col("reach")) & (F.col("n_shingles") <= F.col("hub.reach"))
+    return matrix.join(hubs, "token").filter((F.col("group") != F.col("hub.group")) & near).select("doc_id", F.col("hub.group").alias("group")).distinct()
 
 
-def last_asked(matrix: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def last_asked(matrix: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, group) left to be asked, so that no link between different labels is missed.
 
-    Linked documents share a token of both prefixes. Tokens whose documents have one label need no look. Of any other, the
-    documents outside its commonest label ask the groups that hold it for documents of another label and of a size that allows a link.
+    The first token that linked documents have in common stands where either one's reach is the other's size or more.
+    Tokens whose documents have one label need no look. Of any other, the documents outside its commonest
+    label ask the groups that hold it for documents of another label within reach.
     """
     named = stored(matrix.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
-    mixed = named.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("token")
-    live = stored(named.join(mixed, "token"))
+    mixed = named.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("n_shingles").alias("least"), F.max("reach").alias("most")).filter("l0 <> l1")
+    live = stored(named.join(mixed, "token").filter("reach >= least and n_shingles <= most").drop("l0", "l1", "least", "most"))
     top = live.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
-    held = live.groupBy("token", "group").agg(*[f(c).alias(f"{name}_{c}") for c in ("label", "n_shingles") for name, f in (("min", F.min), ("max", F.max))])
-    asking = live.join(top, "token").filter("label <> top").select("token", "doc_id", "label", "n_shingles")
-    size = F.col("n_shingles")
-    fits = (F.col("max_n_shingles") * 100 >= size * percent) & (F.col("min_n_shingles") * percent <= size * 100)
-    other = (F.col("min_label") != F.col("label")) | (F.col("max_label") != F.col("label"))
-    return asking.join(held, "token").filter(fits & other).select("doc_id", "group").distinct()
+    held = live.groupBy("token", "group").agg(
+        F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("n_shingles").alias("least"), F.max("reach").alias("most")
+    )
+    asking = live.join(top, "token").filter("label <> top").select("token", "doc_id", "label", "n_shingles", "reach")
+    return asking.join(held, "token").filter("least <= reach and n_shingles <= most and (l0 <> label or l1 <> label)").select("doc_id", "group").distinct()
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -308,11 +315,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     place = [F.col("places")[s] for s in range(SIGNATURES)]
     ranged = own.select("doc_id", "n_shingles", "tokens", "members", "places").repartitionByRange(shards, *place, "doc_id").sortWithinPartitions(*place, "doc_id")
     numbered = ranged.withColumn("place", F.col("places")[0]).drop("places")
-    groups = stored(numbered.mapInArrow(_grouped, "group long, doc_id long, n_shingles long, tokens array<long>, members binary"))
-    matrix = stored(groups.select(F.explode("tokens").alias("token"), "group", "doc_id", "n_shingles"))
+    groups = stored(numbered.mapInArrow(_grouped, "group long, doc_id long, n_shingles long, tokens array<struct<token:long,reach:long>>, members binary"))
+    matrix = stored(groups.select(F.inline("tokens"), "group", "doc_id", "n_shingles"))
     inner = stored(groups.groupBy("group").applyInArrow(_inner_links(percent), "a long, b long"))
     links = inner.union(opened(groups, stored(first_asked(matrix)), percent))
-    links = links.union(opened(groups, stored(last_asked(matrix, connected_components(links), percent)), percent))
+    links = links.union(opened(groups, stored(last_asked(matrix, connected_components(links))), percent))
     labels = connected_components(links).withColumnRenamed("node", "rep")
     known = stored(classes.join(labels, "rep", "left").select(*digest, F.coalesce("label", "rep").alias("component_id")))
     alone = signed.filter("not shared").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
