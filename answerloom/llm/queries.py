@@ -14,6 +14,7 @@ from answerloom.llm.exact import exact_groups
 from answerloom.llm.licenses import scan_licenses
 from answerloom.llm.lines import drop_shared_lines
 from answerloom.llm.neardup import near_duplicates
+from answerloom.llm.oracle import JACCARD, TRIE, clustering
 from answerloom.llm.packing import pack_documents
 from answerloom.llm.prefixes import prefix_trie
 from answerloom.llm.quality import quality_scores
@@ -140,4 +141,7 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone),
 FROM w LEFT JOIN gone USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op1_substring_dedup": _PASSAGES, "op3_exact_dedup": _EXACT, "op6_warc": _WARC, "op7_line_dedup": _LINES}
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": _PASSAGES, "op3_exact_dedup": _EXACT, "op6_warc": _WARC, "op7_line_dedup": _LINES,
+    "op11_ngram_jaccard": JACCARD, "op12_centroid_clustering": clustering(), "op13_prefix_trie": TRIE,
+}
