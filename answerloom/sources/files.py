@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from answerloom.functions.text import strip
 from answerloom.operators.knowledge import CATEGORY_SECTIONS
 from answerloom.sources import schemas
+from answerloom.sources.records import read_csv
 
 ENOUGH_ROWS = 9000
 
@@ -93,18 +94,16 @@ def read_prompts_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_prompts_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S4. Prompt from the first of prompt, query, question that is a column.
+    """S4. Prompt from the first of prompt, query, question that is a column, id else from the record's number.
 
-    Quoted line ends are allowed, so one file is read by one task: give large input as many files.
+    Fields may hold line ends in quotes; large files are read by many tasks all the same.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    raw = reader.csv(path)
-    rows = numbered(raw)
-    named = next((c for c in ("prompt", "query", "question") if c in raw.columns), None)
-    given = F.coalesce(F.col("id"), F.lit("")) if "id" in raw.columns else F.lit(None).cast("string")
+    rows = read_csv(spark, path)
+    named = next((c for c in ("prompt", "query", "question") if c in rows.columns), None)
+    given = F.coalesce(F.col("id"), F.lit("")) if "id" in rows.columns else F.lit(None).cast("string")
     return rows.select(
         _line_id(given).alias("id"),
-        (F.col("category") if "category" in raw.columns else F.lit("general")).alias("category"),
+        (F.col("category") if "category" in rows.columns else F.lit("general")).alias("category"),
         (F.coalesce(F.col(named), F.lit("")) if named else F.lit("")).alias("prompt"),
     )
 
