@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerloom.fixed.alarms import CHANNELS, DURATION_ALARMS, THRESHOLD_ALARMS
+from answerloom.functions import exact
 from answerloom.session import cut_lineage
 
 INFINITY = "+Inf"
@@ -37,18 +38,50 @@ def window_start(ts: Column, seconds: int) -> Column:
     return ((micros - F.pmod(micros, F.lit(seconds * 1_000_000))) / 1_000_000).cast("bigint")
 
 
-def exact_sum(value: str) -> Column:
-    """A sum that no order of its rows changes: nine decimals, values below 10^19 (others raise an error)."""
-    return F.sum(F.col(value).cast("decimal(28,9)"))
+def value_parts(metrics: DataFrame, keys: list, value: str = "value", rank_k: int | None = None) -> DataFrame:
+    """T1. Rows that merge: (keys, bin, n, counted, least, greatest, sums of the bin), one for each group and bin of exponents.
+
+    One map-side aggregate. With ``rank_k`` each also has a KLL sketch of its values, which merge as well; a quantile's rank is off by
+    2.3 / ``rank_k`` ^ 0.97 at most, with 99 % confidence (0.07 % for 4096), and by nothing up to about ``rank_k`` values.
+    """
+    x = F.col("_x")
+    rows = metrics.withColumn("_x", F.col(value).cast("double")).withColumn("bin", exact.exponent_bin(x))
+    rows = rows.withColumn("_whole", exact.scaled(x, F.col("bin")))
+    sketch = [] if rank_k is None else [F.kll_sketch_agg_double(x, F.lit(rank_k)).alias("sketch")]
+    return rows.groupBy(*keys, "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.count(x).alias("counted"), F.min(x).alias("least"), F.max(x).alias("greatest"),
+        *exact.piece_sums(F.col("_whole"), x), *sketch,
+    )
+
+
+def metric_parts(metrics: DataFrame, seconds: int, by: tuple[str, ...] = ("metric",), rank_k: int | None = None) -> DataFrame:
+    """T1. The merging rows of tumbling windows: (by, window_start, bin, ...)."""
+    return value_parts(metrics, [*by, window_start(F.col("ts"), seconds).alias("window_start")], rank_k=rank_k)
+
+
+def longer_windows(start: Column, seconds: int | Column) -> Column:
+    return start - F.pmod(start, F.lit(seconds) if isinstance(seconds, int) else seconds)
+
+
+def combined(parts: DataFrame, keys: list[str], points: list[float] | None = None) -> DataFrame:
+    """T1. Groups of any parts: (keys, n, sum, average, least, greatest) and, from sketches, the quantiles ``points`` as p50, p95, ...
+
+    The sum is that of all values, rounded once, whatever parts they came in. ``counted`` parts have a value; the average is over
+    those, and NaN or infinite as the sum is.
+    """
+    sketch = [] if points is None else [F.kll_merge_agg_double("sketch").alias("sketch")]
+    merge = [F.sum(c).alias(c) for c in ("n", "counted")]
+    one_bin = parts.groupBy(*keys, "bin").agg(*merge, F.min("least").alias("least"), F.max("greatest").alias("greatest"), *exact.merged_sums(), *sketch)
+    bins = F.collect_list(F.struct("bin", *exact.PIECES, *exact.SPECIAL)).alias("_bins")  # a row for each bin that occurs, 270 at most
+    groups = one_bin.groupBy(*keys).agg(*merge, F.min("least").alias("least"), F.max("greatest").alias("greatest"), bins, *sketch)
+    total = F.when(F.col("counted") > 0, exact.exact_total(F.col("_bins")))
+    quantiles = [F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias(f"p{round(p * 100)}") for p in points or []]
+    return groups.withColumn("sum", total).select(*keys, "n", "sum", (F.col("sum") / F.col("counted")).alias("average"), "least", "greatest", *quantiles)
 
 
 def metric_windows(metrics: DataFrame, seconds: int, by: tuple[str, ...] = ("metric",)) -> DataFrame:
     """T1. Tumbling windows with count, sum, average, least and greatest value."""
-    total = exact_sum("value").cast("double")
-    return metrics.groupBy(*by, window_start(F.col("ts"), seconds).alias("window_start")).agg(
-        F.count(F.lit(1)).alias("n"), total.alias("sum"), (total / F.count("value")).alias("average"),
-        F.min("value").alias("least"), F.max("value").alias("greatest"),
-    )
+    return combined(metric_parts(metrics, seconds, by), [*by, "window_start"])
 
 
 def _bin(value: Column) -> Column:
@@ -322,9 +355,7 @@ def window_statistics(metrics: DataFrame, rules: list[tuple] = THRESHOLD_ALARMS)
     if plain:
         unit = gcd(*[r[3] for r in plain])
         named = metrics.filter(F.col("metric").isin(sorted({r[1] for r in plain})))
-        small = named.groupBy("metric", window_start(F.col("ts"), unit).alias("start")).agg(
-            exact_sum("value").alias("sum"), F.count("value").alias("n")
-        )
+        small = metric_parts(named, unit)
         asked = F.create_map(
             *[
                 x for m in sorted({r[1] for r in plain})
@@ -332,11 +363,8 @@ def window_statistics(metrics: DataFrame, rules: list[tuple] = THRESHOLD_ALARMS)
             ]
         )
         per_period = small.withColumn("period", F.explode(asked[F.col("metric")]))
-        begin = F.col("start") - F.pmod("start", "period")
-        total = F.sum("sum").cast("double")
-        windows = per_period.groupBy("metric", "period", begin.alias("window_start")).agg(
-            total.alias("Sum"), (total / F.sum("n")).alias("Average")
-        )
+        placed = per_period.withColumn("window_start", longer_windows(F.col("window_start"), F.col("period")))
+        windows = combined(placed, ["metric", "period", "window_start"]).withColumnsRenamed({"sum": "Sum", "average": "Average"})
         parts.append(windows.unpivot(["metric", "period", "window_start"], ["Sum", "Average"], "stat", "value"))
     ranked = [r for r in rules if r[2].startswith("p")]
     for period in sorted({r[3] for r in ranked}):

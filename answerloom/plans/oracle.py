@@ -896,8 +896,12 @@ def win(seconds: int) -> str:
     return f"(epoch_us(ts) // {seconds * 1000000} * {seconds})"
 
 
-#: Sums by decimals, as the order of a sum of doubles would show in the last digit.
-EXACT_AVG = "sum(value::DECIMAL(28, 9))::DOUBLE / count(value)"
+#: The exact sum of doubles as a whole number of 2^-70, cut to 61 bits with a mark for what was cut, then rounded once.
+_WHOLE = "sum((value * 1180591620717411303424.0::DOUBLE)::HUGEINT)"
+_CUT = f"pow(2::DOUBLE, greatest(0, floor(log2(greatest(abs({_WHOLE}), 1)::DOUBLE))::INT - 60))"
+_TOP = f"({_WHOLE} // {_CUT}::HUGEINT)"
+EXACT_SUM = f"(({_TOP} + CASE WHEN {_TOP} % 2 = 0 AND {_WHOLE} % {_CUT}::HUGEINT <> 0 THEN 1 ELSE 0 END)::BIGINT::DOUBLE * ({_CUT} / 1180591620717411303424.0::DOUBLE))"
+EXACT_AVG = f"{EXACT_SUM} / count(value)"
 ORACLE["t2_metric_counts"] = f"WITH {METRICS} SELECT metric, endpoint, count(*) AS n, round(sum(value), 6) AS total FROM metrics GROUP BY 1, 2"
 ORACLE["t1_metric_windows"] = f"""WITH {METRICS} SELECT metric, {win(300)} AS window_start, count(*) AS n, round(sum(value), 6) AS sum, {EXACT_AVG} AS average,
   round(min(value), 6) AS least, round(max(value), 6) AS greatest FROM metrics GROUP BY 1, 2"""
@@ -948,7 +952,7 @@ def alarm_sql(base: str) -> str:
     rules = ", ".join(f"({q(a)}, {q(m)}, {q(s)}, {p}, {k}, {t}::DOUBLE, {q(c)}, {q(v)})" for a, m, s, p, k, t, c, v in al.THRESHOLD_ALARMS)
     stats = " UNION ALL ".join(
         f"SELECT {q(a)} AS alarm, {win(p)} AS window_start, "
-        + {"Average": EXACT_AVG, "Sum": "sum(value::DECIMAL(28, 9))::DOUBLE"}.get(s, f"quantile_cont(value, {int(s[1:]) / 100 if s[0] == 'p' else 0})")
+        + {"Average": EXACT_AVG, "Sum": EXACT_SUM}.get(s, f"quantile_cont(value, {int(s[1:]) / 100 if s[0] == 'p' else 0})")
         + f" AS value FROM metrics WHERE metric = {q(m)} GROUP BY 2"
         for a, m, s, p, *_ in al.THRESHOLD_ALARMS
     )

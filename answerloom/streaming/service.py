@@ -1,7 +1,7 @@
 """Structured Streaming forms: task intake, metric windows, counters.
 
 A bounded input gives the same rows as the batch operators. Event time carries a watermark
-only to let Spark drop old state; rows later than that are dropped.
+only to let Spark drop old state; rows later than that are dropped there. ``write_windows`` keeps no state and counts late rows.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ from answerloom.fixed.wording import TASK_SYSTEM
 from answerloom.functions.parse import parse_responses
 from answerloom.functions.prompts import single_turn_prompt
 from answerloom.functions.scores import with_confidence_strict
-from answerloom.operators.monitor import exact_sum
+from answerloom.operators.monitor import combined, longer_windows, metric_parts, value_parts, window_start
 from answerloom.operators.requests import (
     agent_requires_review, normalize_tasks, route, task_compliance, task_prompt, with_error_policy,
 )
 from answerloom.operators.respond import respond
 
 LATENESS = "10 minutes"
+#: Size of the quantile sketches, see ``monitor.value_parts``.
+RANK_K = 4096
 
 
 def read_tasks(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -77,21 +79,47 @@ def write_routed(answers: DataFrame, path: str, checkpoint: str, **trigger) -> S
     )
 
 
-def windowed_metrics(metrics: DataFrame, seconds: int = 300, lateness: str = LATENESS) -> DataFrame:
-    """T1 as a stream: counts, sums, averages and approximate percentiles per tumbling window."""
-    total = exact_sum("value").cast("double")
-    return (
-        metrics.withWatermark("ts", lateness)
-        .groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "metric")
-        .agg(
-            F.count(F.lit(1)).alias("n"), total.alias("sum"), (total / F.count("value")).alias("average"),
-            F.percentile_approx("value", [0.5, 0.95, 0.99], 10_000).alias("p"),
-        )
-        .select(
-            "metric", F.unix_seconds("w.start").alias("window_start"), "n", "sum", "average",
-            F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"),
-        )
-    )
+def windowed_parts(metrics: DataFrame, seconds: int = 300, lateness: str = LATENESS, rank_k: int = RANK_K) -> DataFrame:
+    """T1 as a stream with state: the merging rows of tumbling windows. ``combined`` makes windows of any multiple of them."""
+    timed = metrics.withWatermark("ts", lateness)
+    parts = value_parts(timed, [F.window("ts", f"{seconds} seconds").alias("w"), "metric"], rank_k=rank_k)
+    return parts.select("metric", F.unix_seconds("w.start").alias("window_start"), *[c for c in parts.columns if c not in ("w", "metric")])
+
+
+def write_windows(metrics: DataFrame, path: str, checkpoint: str, seconds: int = 60, lateness: str = LATENESS, rank_k: int = RANK_K, **trigger) -> StreamingQuery:
+    """T1 without state: each micro-batch adds its merging rows to ``path/parts/batch=N``.
+
+    A row is late if its time lies more than ``lateness`` before the latest of all earlier micro-batches. Late rows are told
+    apart before anything is added up, and counted in ``path/late/batch=N`` by metric and window: on time and late are all rows. Writing a
+    batch again replaces its own folders, so a restart leaves no copies.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.persist()
+        latest = None
+        if number:
+            latest = spark.read.parquet(f"{path}/marks/batch={number - 1}").first()["latest"]
+        late = F.lit(False) if latest is None else F.coalesce(F.col("ts") < F.lit(latest) - F.expr(f"INTERVAL {lateness}"), F.lit(False))
+        metric_parts(rows.filter(~late), seconds, rank_k=rank_k).write.mode("overwrite").parquet(f"{path}/parts/batch={number}")
+        behind = rows.filter(late).groupBy("metric", window_start(F.col("ts"), seconds).alias("window_start")).agg(F.count(F.lit(1)).alias("n"))
+        behind.write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        now = rows.agg(F.greatest(F.max("ts"), F.lit(latest).cast("timestamp")).alias("latest"))
+        now.write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
+        rows.unpersist()
+
+    return metrics.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(sink).start()
+
+
+def read_windows(spark: SparkSession, path: str, seconds: int, points: list[float]) -> DataFrame:
+    """T1. Windows of ``seconds``, a multiple of those written, from all micro-batches so far."""
+    parts = spark.read.parquet(f"{path}/parts")
+    return combined(parts.withColumn("window_start", longer_windows(F.col("window_start"), seconds)), ["metric", "window_start"], points)
+
+
+def read_late(spark: SparkSession, path: str) -> DataFrame:
+    """T1. Late rows by metric and window."""
+    return spark.read.parquet(f"{path}/late").groupBy("metric", "window_start").agg(F.sum("n").alias("n"))
 
 
 def sliding_error_rate(events: DataFrame, seconds: int = 300, lateness: str = LATENESS) -> DataFrame:

@@ -74,3 +74,46 @@ def test_window_statistics_add_up(spark):
     sums = {r.window_start: r.value for r in stats if r.stat == "Sum" and r.period == 900}
     assert sums == {w: r["sum"] for w, r in direct.items()}
     assert {r.period for r in stats if r.stat == "p50"} == {600}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_exact_sums(spark, seed):
+    """To the last bit, in any order and any parts: tiny, huge, cancelling, special and missing values."""
+    import math
+    import random
+
+    draw = random.Random(seed)
+    groups = {
+        "plain": [draw.gauss(0, 1) for _ in range(500)], "wide": [draw.gauss(0, 1) * 10.0 ** draw.randrange(-300, 290) for _ in range(300)],
+        "cancel": [x for _ in range(60) for x in (lambda v: (v, -v, 1e-10))(draw.uniform(-1e30, 1e30))], "tiny": [1e-10] * 4, "denormal": [5e-324, 2.5e-310, -5e-324, 5e-324],
+        "tie": [1.0, 2.0**-53, 2.0**-106 if seed % 2 else -(2.0**-106)], "powers": [2.0**k for k in range(-1000, 1000, 7)], "zero": [0.0, -0.0], "big": [1e30, 1.0, -1e30, 0.1],
+        "nan": [1.0, float("nan"), 3.0], "up": [1.0, float("inf")], "down": [float("-inf"), 2.0], "both": [float("inf"), float("-inf")], "missing": [None, 4.0], "none": [None, None],
+    }
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    draw.shuffle(rows)
+    parts = monitor.value_parts(spark.createDataFrame(rows, "g string, value double").repartition(5), ["g"])
+    half = monitor.value_parts(spark.createDataFrame(rows[::2], "g string, value double"), ["g"]).unionByName(monitor.value_parts(spark.createDataFrame(rows[1::2], "g string, value double"), ["g"]))
+    for made in (parts, half):
+        got = {r.g: r for r in monitor.combined(made, ["g"]).collect()}
+        for g, values in groups.items():
+            present = [v for v in values if v is not None]
+            if not present:
+                assert got[g]["sum"] is None and got[g].average is None and got[g].n == 2
+                continue
+            try:
+                want = math.fsum(present)
+            except ValueError:  # infinities of both signs
+                want = math.nan
+            assert got[g].n == len(values) and got[g]["sum"] == pytest.approx(want, rel=0, abs=0, nan_ok=True), g
+            assert got[g].average == pytest.approx(want / len(present), rel=0, abs=0, nan_ok=True), g
+
+
+def test_sketches_keep_their_rank_error(spark):
+    rng = np.random.default_rng(5)
+    values = rng.lognormal(3, 2, 60_000)
+    df = spark.createDataFrame([(i % 7, float(v)) for i, v in enumerate(values)], "p int, value double").withColumn("g", F.lit(1))
+    r = monitor.combined(monitor.value_parts(df, ["g", "p"], rank_k=256).drop("p"), ["g"], [0.5, 0.95, 0.99]).first()
+    ordered = np.sort(values)
+    for p in (50, 95, 99):
+        rank = np.searchsorted(ordered, r[f"p{p}"], side="right") / len(values)
+        assert abs(rank - p / 100) < 2.3 / 256**0.97

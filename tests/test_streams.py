@@ -26,14 +26,48 @@ def run(spark, df, name, mode, tmp_path):
     return spark.table(name)
 
 
+def windows_of(df):
+    return sorted((r.metric, r.window_start, r.n, r["sum"], r.average, r.least, r.greatest) for r in df.collect())
+
+
 def test_windows(spark, tmp_path):
     stream, batch = event_stream(spark)
-    got = run(spark, service.windowed_metrics(monitor.derive_metrics(stream), 3600), "w", "complete", tmp_path)
+    got = run(spark, service.windowed_parts(monitor.derive_metrics(stream), 3600), "w", "complete", tmp_path)
     want = monitor.metric_windows(monitor.derive_metrics(batch), 3600)
-    pick = lambda df: sorted((r.metric, r.window_start, r.n, round(r["sum"], 6)) for r in df.collect())
-    assert pick(got) == pick(want)
-    late = run(spark, service.windowed_metrics(monitor.derive_metrics(stream), 3600), "wa", "append", tmp_path)
-    assert 0 < late.count() <= want.count()
+    assert windows_of(monitor.combined(got, ["metric", "window_start"])) == windows_of(want)
+    late = run(spark, service.windowed_parts(monitor.derive_metrics(stream), 3600), "wa", "append", tmp_path)
+    assert 0 < monitor.combined(late, ["metric", "window_start"]).count() <= want.count()
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """Micro-batches one file each: minutes merge to hours exactly, and on time and late are all rows."""
+    import datetime as dt
+    import random
+
+    from answerloom.operators.monitor import metric_windows
+
+    draw, inbox, begin = random.Random(7), tmp_path / "in", dt.datetime(2024, 1, 1, 12, tzinfo=dt.timezone.utc)
+    rows = []
+    for k in range(5):
+        made = [(begin + dt.timedelta(minutes=30 * k + draw.uniform(0, 30) - (60 if draw.random() < 0.2 else 0)), draw.choice("ab"), draw.gauss(0, 10.0 ** draw.randrange(-9, 9))) for _ in range(400)]
+        rows.append(made)
+        spark.createDataFrame(made, "ts timestamp, metric string, value double").coalesce(1).write.mode("append").parquet(str(inbox))
+    stream = spark.readStream.schema("ts timestamp, metric string, value double").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(inbox))
+    out = str(tmp_path / "out")
+    for _ in range(2):  # a second start finds nothing new
+        service.write_windows(stream, out, str(tmp_path / "marks"), 60).awaitTermination()
+    on_time, latest = [], None
+    for made in rows:
+        on_time += [r for r in made if latest is None or r[0] >= latest - dt.timedelta(minutes=10)]
+        latest = max([r[0] for r in made] + ([latest] if latest else []))
+    got = service.read_windows(spark, out, 3600, [0.5, 0.95])
+    n, n_late = got.agg(F.sum("n")).first()[0], service.read_late(spark, out).agg(F.sum("n")).first()[0]
+    assert n == len(on_time) and n + n_late == 2000 and n_late > 50
+    want = metric_windows(spark.createDataFrame(on_time, "ts timestamp, metric string, value double"), 3600)
+    assert windows_of(got) == windows_of(want)
+    for r in got.collect():
+        values = sorted(v for ts, m, v in on_time if m == r.metric and int(ts.timestamp()) // 3600 * 3600 == r.window_start)
+        assert r.p50 == values[-(-len(values) // 2) - 1]
 
 
 def test_error_rate(spark, tmp_path):
