@@ -57,52 +57,102 @@ def parse_documents(docs: DataFrame, doc: str = "doc") -> DataFrame:
     return docs.withColumn("node", F.coalesce(F.try_parse_json(doc), F.parse_json(F.lit("{}")))).drop(doc)
 
 
-def flatten(docs: DataFrame, category: str = "category", doc: str = "doc", max_depth: int = 8) -> DataFrame:
-    """K1, X4. Leaves as (..., path, node): ``category.key[3].key``. One pass, no shuffle.
+def _step(key: Column, pos: Column) -> Column:
+    return F.when(key.isNull(), F.concat(F.lit("["), pos.cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), key))
 
-    Every level is one lateral explode; rows that are leaves already pass through. A document
-    deeper than ``max_depth`` raises instead of losing leaves.
-    """
-    rows = parse_documents(docs, doc).withColumn("path", F.col(category))
-    keep = [c for c in rows.columns if c not in ("node", "path")]
-    for _ in range(max_depth):
-        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(
-            F.concat(F.lit("."), F.col("key"))
-        )
+
+def deeper(doc: Column, levels: int) -> Column:
+    """Whether a JSON text nests more than ``levels`` objects and lists: some brackets are left when innermost pairs are removed so often."""
+    brackets = F.regexp_replace(F.regexp_replace(doc, r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]+", "")
+    for _ in range(levels):
+        brackets = F.regexp_replace(brackets, r"\{\}|\[\]", "")
+    return F.coalesce(brackets != "", F.lit(False))
+
+
+def _shallow_nodes(rows: DataFrame, keep: list[str], levels: int) -> DataFrame:
+    """Every level is one lateral explode; rows that are leaves already pass through."""
+    for _ in range(levels):
         rows = _children(rows).select(
             *keep,
-            F.when(F.col("value").isNull(), F.col("path")).otherwise(F.concat("path", step)).alias("path"),
+            F.when(F.col("value").isNull(), F.col("path")).otherwise(F.concat("path", _step(F.col("key"), F.col("pos")))).alias("path"),
             F.coalesce("value", "node").alias("node"),
         )
-    shape = F.schema_of_variant("node")
-    empty = F.col("_shape").isin("OBJECT<>", "ARRAY<VOID>")
-    checked = rows.withColumn("_shape", shape).filter(~empty)
-    deep = ~empty & F.col("_shape").rlike("^(OBJECT|ARRAY)<")
-    guard = F.when(deep, F.raise_error(F.concat(F.lit("document deeper than max_depth at "), F.col("path"))))
-    return checked.select(
-        *keep, F.coalesce(guard.cast("string"), F.col("path")).alias("path"), "node",
-        (F.col("_shape") == "STRING").alias("is_text"),
+    return rows
+
+
+def _deep_nodes(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Rounds of explodes until no object or list is left, as a recursive query; its depth is that of the documents, its rows have no limit."""
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    names = "".join(f"`{c}`, " for c in keep)
+    own = "".join(f"t.`{c}`, " for c in keep)
+    return spark.sql(
+        f"""WITH RECURSIVE tree({names} path, node) MAX RECURSION LEVEL 1001 AS (
+          SELECT {names} path, node FROM {{rows}}
+          UNION ALL
+          SELECT {own} concat(t.path, if(c.key IS NULL, concat('[', c.pos, ']'), concat('.', c.key))), c.value FROM tree t, LATERAL variant_explode(t.node) c
+        ) SELECT {names} path, node FROM tree""",  # JSON nested more than 1000 deep is no document for the parser
+        rows=rows,
     )
 
 
+def flatten(docs: DataFrame, category: str = "category", doc: str = "doc", levels: int = 8) -> DataFrame:
+    """K1, X4. Leaves as (..., path, node): ``category.key[3].key``, at any depth. No shuffle.
+
+    Documents of up to ``levels`` levels take one pass with as many explodes. Those few that nest deeper, as a
+    look at their brackets tells, are opened by rounds until no object or list is left.
+    """
+    keep = [c for c in docs.columns if c != doc]
+
+    def nodes(some: DataFrame) -> DataFrame:
+        return parse_documents(some, doc).select(*keep, F.col(category).cast("string").alias("path"), "node")
+
+    deep = deeper(F.col(doc), levels)
+    rows = _shallow_nodes(nodes(docs.filter(~deep | F.col(doc).isNull())), keep, levels).unionByName(_deep_nodes(nodes(docs.filter(deep)), keep))
+    checked = rows.withColumn("_shape", F.schema_of_variant("node")).filter(~F.col("_shape").rlike("^(OBJECT|ARRAY)<"))
+    return checked.select(*keep, "path", "node", (F.col("_shape") == "STRING").alias("is_text"))
+
+
 def leaf_text(node: Column) -> Column:
     return F.try_variant_get(node, "$", "string")
 
 
+def leaf_terms(node: Column, min_chars: int = 4) -> Column:
+    """The index words of a text leaf, in order: ``min_chars`` characters or more without the punctuation around them."""
+    words = F.split(F.lower(leaf_text(node)), r"(?U)\s+")
+    return F.array_sort(F.filter(F.transform(words, lambda w: F.btrim(w, F.lit(INDEX_TRIM))), lambda t: F.length(t) >= min_chars))
+
+
 def build_index(leaves: DataFrame, min_chars: int = 4) -> DataFrame:
-    """K2. Postings (..., term, path), one row per occurrence of ``min_chars`` characters or more; string leaves only.
+    """K2. Postings (..., term, path, first), one row per occurrence of ``min_chars`` characters or more; string leaves only.
 
     The original indexes words of more than three characters. Pass 1 to find shorter ones, such as protocol names.
 
-    Postings stay rows. A term in every document is many rows, never one long list.
+    Postings stay rows. A term in every document is many rows, never one long list. ``first`` marks one occurrence of each
+    term in a leaf, so paths are counted without bringing a leaf's words together again.
     """
-    words = F.split(F.lower(leaf_text(F.col("node"))), r"(?U)\s+")
     keep = [c for c in leaves.columns if c not in ("node", "is_text")]
-    postings = leaves.filter("is_text").select(*keep, F.explode(words).alias("_word"))
-    return (
-        postings.withColumn("term", F.btrim("_word", F.lit(INDEX_TRIM)))
-        .drop("_word")
-        .filter(F.length("term") >= min_chars)
+    terms = leaves.filter("is_text").withColumn("_terms", leaf_terms(F.col("node"), min_chars))
+    marked = F.transform("_terms", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (t != F.col("_terms")[F.greatest(i - 1, F.lit(0))])).alias("first")))
+    return terms.select(*keep, F.inline(marked))
+
+
+def index_terms(postings: DataFrame) -> DataFrame:
+    """K2, A19. Postings and distinct paths per term, in one shuffle by term."""
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("postings"), F.count_if("first").alias("paths"))
+
+
+def store_index(postings: DataFrame, folder: str, terms: int = 1 << 20, row_group_bytes: int = 8 << 20) -> None:
+    """K3. One row per leaf and term, laid out by ranges of (term, category, path).
+
+    A search reads the row groups whose least and greatest term, and whose Bloom filter, allow one of its words.
+    A term of very many leaves spreads over several ranges.
+    """
+    order = ["term", "category", "path"]
+    (
+        postings.filter("first").drop("first").repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists")
+        .option("parquet.bloom.filter.enabled#term", "true").option("parquet.bloom.filter.expected.ndv#term", terms)
+        .option("parquet.block.size", row_group_bytes).parquet(folder)
     )
 
 
@@ -144,9 +194,9 @@ def slice_leaves(leaves: DataFrame, slices: list[tuple[str, str, str]] = SLICES)
 
 
 def count_entries(docs: DataFrame, category: str = "category", doc: str = "doc", depth_cap: int = 5) -> DataFrame:
-    """A15. Per document row: entries, where a list counts its length and depth is capped."""
-    rows = parse_documents(docs, doc).withColumn("level", F.lit(0))
-    keep = [c for c in rows.columns if c not in ("node", "level")]
+    """A15. Rows of (..., section, entries), where a list counts its length and depth is capped; ``section`` is the top-level key."""
+    rows = parse_documents(docs, doc).withColumns({"level": F.lit(0), "section": F.lit(None).cast("string")})
+    keep = [c for c in rows.columns if c not in ("node", "level", "section")]
     for _ in range(depth_cap + 1):
         # Lists are counted, not entered: only objects go on to their children.
         shaped = rows.withColumn("_list", F.try_variant_get("node", "$", "array<variant>").isNotNull())
@@ -157,6 +207,7 @@ def count_entries(docs: DataFrame, category: str = "category", doc: str = "doc",
             *keep,
             F.coalesce("value", "_node").alias("node"),
             (F.col("level") + F.col("value").isNotNull().cast("int")).alias("level"),
+            F.when(F.col("level") == 0, F.col("key")).otherwise(F.col("section")).alias("section"),
         )
     size = F.size(F.try_variant_get("node", "$", "array<variant>"))
     entries = (
@@ -169,28 +220,22 @@ def count_entries(docs: DataFrame, category: str = "category", doc: str = "doc",
 
 
 def coverage(docs: DataFrame, category: str = "category", doc: str = "doc") -> DataFrame:
-    """A15, K5. Sections (keys not starting with ``_``), entries, metadata flag per category."""
-    top = sections(docs, category, doc).groupBy("category").agg(
-        F.count_if(~F.startswith("section", F.lit("_"))).alias("section_count"),
+    """A15, K5. Sections (keys not starting with ``_``), entries, metadata flag per category; the documents are opened once."""
+    per_section = count_entries(docs, category, doc).groupBy(F.col(category).alias("category"), "section").agg(F.sum("entries").alias("entries"))
+    return per_section.groupBy("category").agg(
+        F.count_if(~F.startswith("section", F.lit("_"))).alias("section_count"), F.sum("entries").alias("total_entries"),
         F.coalesce(F.bool_or(F.col("section") == "metadata"), F.lit(False)).alias("has_metadata"),
     )
-    counted = count_entries(docs, category, doc).groupBy(F.col(category).alias("category")).agg(
-        F.sum("entries").alias("total_entries")
-    )
-    return counted.join(top, "category", "left").select(
-        "category", F.coalesce("section_count", F.lit(0)).alias("section_count"), "total_entries",
-        F.coalesce("has_metadata", F.lit(False)).alias("has_metadata"),
-    )
 
 
-def coverage_score(known: DataFrame, postings: DataFrame, required: list[str]) -> DataFrame:
-    """A15. 60 points for categories with any section, up to 40 for index terms; A19 counts the terms."""
-    filled = known.filter(F.col("category").isin(required)).select("category").distinct()
-    present = filled.agg(F.count(F.lit(1)).alias("present"), F.lit(0).cast("bigint").alias("total_terms"))
-    terms = postings.select("term").distinct().agg(
-        F.lit(0).cast("bigint").alias("present"), F.count(F.lit(1)).alias("total_terms")
-    )
-    both = present.unionByName(terms).agg(F.sum("present").alias("present"), F.sum("total_terms").alias("total_terms"))
+def coverage_score(leaves: DataFrame, required: list[str], min_chars: int = 4) -> DataFrame:
+    """A15. 60 points for categories with any leaf in a section, up to 40 for index terms; A19 counts the terms. One pass over the leaves."""
+    in_section = F.col("category").isin(required) & F.startswith("path", F.concat(F.col("category"), F.lit(".")))
+    filled = F.when(in_section, F.array(F.struct(F.lit("category").alias("kind"), F.col("category").alias("name"))))
+    terms = F.when(F.col("is_text"), F.transform(F.array_distinct(leaf_terms(F.col("node"), min_chars)), lambda t: F.struct(F.lit("term").alias("kind"), t.alias("name"))))
+    empty = F.array().cast("array<struct<kind:string,name:string>>")
+    found = leaves.select(F.inline(F.concat(F.coalesce(filled, empty), F.coalesce(terms, empty)))).distinct()
+    both = found.agg(F.count_if(F.col("kind") == "category").alias("present"), F.count_if(F.col("kind") == "term").alias("total_terms"))
     score = F.col("present") / len(required) * 60 + F.least(F.lit(40.0), F.col("total_terms") / 100)
     return both.select("present", "total_terms", F.round(score, 1).alias("coverage_score"))
 
@@ -208,24 +253,31 @@ def place_entries(new: DataFrame, known: DataFrame) -> DataFrame:
     ).drop("_found")
 
 
-def upsert(base: DataFrame, new: DataFrame, known: list[str] | None = None) -> DataFrame:
+def _of_categories(rows: DataFrame, known: list[str] | DataFrame | None, how: str) -> DataFrame:
+    """Rows of known categories (left_semi) or of others (left_anti); ``known`` is a list, a table with the column category, or the six of the knowledge base."""
+    if isinstance(known, DataFrame):
+        return rows.join(known.select("category").distinct(), "category", how)
+    listed = F.coalesce(F.col("category").isin(known or list(CATEGORY_SECTIONS)), F.lit(False))
+    return rows.filter(listed if how == "left_semi" else ~listed)
+
+
+def upsert(base: DataFrame, new: DataFrame, known: list[str] | DataFrame | None = None) -> DataFrame:
     """K6, K7. Latest entry per (category, section, key) of base and new rows, by ``added``.
 
     Both have (category, section, key, entry, source, added, seq); ``seq`` breaks ties. Entries
     of unknown categories are rejected. Copies of one key combine on the map side. Write the
-    result as a new snapshot.
+    result as a new snapshot, see ``sources.snapshots``.
     """
-    known = known or list(CATEGORY_SECTIONS)
-    rows = base.unionByName(new.filter(F.col("category").isin(known)))
+    rows = base.unionByName(_of_categories(new, known, "left_semi"))
     last = F.max_by(F.struct("entry", "source", "added", "seq"), F.struct("added", "seq"))
     return rows.groupBy("category", "section", "key").agg(last.alias("e"), F.count(F.lit(1)).alias("versions")).select(
         "category", "section", "key", "e.entry", "e.source", "e.added", "versions"
     )
 
 
-def rejected(new: DataFrame, known: list[str] | None = None) -> DataFrame:
+def rejected(new: DataFrame, known: list[str] | DataFrame | None = None) -> DataFrame:
     """K6. Rows of categories that do not exist."""
-    return new.filter(~F.col("category").isin(known or list(CATEGORY_SECTIONS)))
+    return _of_categories(new, known, "left_anti")
 
 
 def manual_entry(value: Column, source: Column, added: Column) -> Column:
@@ -239,12 +291,12 @@ def manual_entry(value: Column, source: Column, added: Column) -> Column:
     return F.concat(head, F.lit("}"), F.when(inner == "", "").otherwise(F.concat(F.lit(","), inner)), F.lit("}"))
 
 
-def extraction_entry(answer: Column, query: Column, extracted: Column) -> Column:
-    """K7, W9. The description shows the first 2000 characters, the content is whole."""
+def extraction_entry(answer: Column, query: Column, extracted: Column, shown: int = 2000) -> Column:
+    """K7, W9. The description shows the first ``shown`` characters, the content is whole."""
     return F.to_json(
         F.struct(
             query.alias("_query"), extracted.cast("string").alias("_extracted_at"),
-            cut(answer, 2000).alias("description"), answer.alias("full_content"),
+            cut(answer, shown).alias("description"), answer.alias("full_content"),
         )
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerloom.operators.knowledge import SLICES
+
 # Sentences that give the rules something to find; one is added to every assistant turn.
 REMARKS = [
     "Use three-tier for 50000 endpoints; BGP peers over TCP 179 with next-hop-self on iBGP.",
@@ -183,6 +185,23 @@ def knowledge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_region.unionByName(by_event).unionByName(by_text)
 
 
+def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per part, as many lists in objects deep as its size says, 40 levels at most."""
+    part = table(spark, sf_dir, "part")
+    deep = (F.col("p_size") % 39 + 2).cast("int")
+    doc = F.concat(F.repeat(F.lit('{"a":'), deep), F.lit('["'), F.col("p_name"), F.lit('",'), F.col("p_size").cast("string"), F.lit("]"), F.repeat(F.lit("}"), deep))
+    return part.select(F.col("p_brand").alias("category"), F.col("p_partkey").alias("part"), doc.alias("doc"))
+
+
+def section_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Knowledge documents: one per part under the sections of the knowledge base's slices, every sixth under another one."""
+    part, n = table(spark, sf_dir, "part"), F.col("p_partkey") % len(SLICES)
+    at = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for _, c, s in SLICES])[n.cast("int")]
+    section = F.when(F.col("p_partkey") % 6 == 0, F.lit("other")).otherwise(at["s"])
+    doc = F.concat(F.lit('{"'), section, F.lit('":{"name":"'), F.col("p_name"), F.lit('","sizes":['), F.col("p_size").cast("string"), F.lit(",1]}}"))
+    return part.select(at["c"].alias("category"), F.col("p_partkey").alias("part"), doc.alias("doc"))
+
+
 def task_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One queue message per service request, in five forms."""
     r, form = requests(spark, sf_dir), F.col("req_id") % 5

@@ -14,6 +14,7 @@ from answerloom.fixed.rules import (
 )
 from answerloom.fixed.wording import TASK_SYSTEM
 from answerloom.fixed.sources import CITABLE_NAMES, DOMAIN_TITLES, STANDARD_VERSIONS, TECHNICAL_TERMS
+from answerloom.operators.knowledge import SLICES
 from answerloom.plans.inputs import REMARKS
 
 ORACLE: dict[str, str] = {}
@@ -854,8 +855,11 @@ ORACLE["k2_index_terms"] = f"""WITH {KB} SELECT term, count(*) AS postings, coun
 ORACLE["k3_j9_topic_matches"] = f"""WITH {KB} SELECT category, count(DISTINCT (doc_no, path)) AS match_count FROM post WHERE list_contains({_TERMS}, term) GROUP BY 1"""
 ORACLE["k3_topic_sections"] = f"""WITH {KB} SELECT DISTINCT category, string_split(path, '.')[2] AS section FROM post
 WHERE list_contains({_TERMS}, term) AND string_split(path, '.')[2] IN ('name', 'props', 'who', 'body', 'nations', 'empty')"""
-ORACLE["k4_slices"] = f"""WITH {KB} SELECT CASE WHEN path LIKE 'AFRICA.nations%' THEN 'members' WHEN path LIKE 'click.props%' THEN 'properties' ELSE 'texts' END AS slice, category, count(*) AS leaves
-FROM leaf WHERE path LIKE 'AFRICA.nations%' OR path LIKE 'click.props%' OR regexp_matches(path, '^src[0-9]+[.]body') GROUP BY 1, 2"""
+ORACLE["k4_slices"] = f"""SELECT name AS slice, category, 3 * count(*) AS leaves FROM part
+JOIN (VALUES {", ".join(f"({i}, {q(name)}, {q(c)})" for i, (name, c, _) in enumerate(SLICES))}) s(i, name, category) ON i = p_partkey % {len(SLICES)}
+WHERE p_partkey % 6 <> 0 GROUP BY 1, 2"""
+ORACLE["k1_deep_documents"] = """SELECT p_brand AS category, p_partkey AS part, length(p_brand) + 2 * (p_size % 39 + 2) + 3 AS path_chars,
+  unnest([p_name, p_size::VARCHAR]) AS leaf, unnest([true, false]) AS is_text FROM part"""
 _COVER = """cover AS (SELECT r_name AS category, 3::BIGINT AS section_count, 1 + count(n_name) AS total_entries, false AS has_metadata FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1
   UNION ALL SELECT event_type, 2, count(*) * 3, false FROM events GROUP BY 1 UNION ALL SELECT source, 1, count(*) * 2, false FROM documents GROUP BY 1)"""
 ORACLE["a15_k5_coverage"] = f"WITH {_COVER} SELECT category, section_count, total_entries::BIGINT AS total_entries, has_metadata FROM cover"

@@ -88,9 +88,48 @@ def test_deep_documents(spark):
     docs = spark.createDataFrame([("c", deep), ("d", '{"k":[[]],"e":{}}'), ("t", "not json")], "category string, doc string")
     got = {r.category: r.entries for r in knowledge.count_entries(docs).groupBy("category").agg(F.sum("entries").alias("entries")).collect()}
     assert got == {"c": 1, "d": 1, "t": 0}
-    with pytest.raises(Exception, match="deeper than max_depth"):
-        knowledge.flatten(docs, max_depth=5).select("path").collect()
-    assert {r.path for r in knowledge.flatten(docs, max_depth=9).collect()} == {"c" + ".a" * 7 + ".l[0]", "c" + ".a" * 7 + ".l[1]"}
+    want = {"c" + ".a" * 7 + ".l[0]", "c" + ".a" * 7 + ".l[1]"}
+    for levels in (1, 5, 9):
+        assert {r.path for r in knowledge.flatten(docs, levels=levels).collect()} == want
+
+
+def test_documents_of_any_depth(spark):
+    """Brackets in strings, escapes, lists and objects, 40 and 300 levels, beside flat and broken documents."""
+    quoted = "[[{{\" }}\\"
+    rows = [("c", 1, '{"a":' * 40 + '[{"b":null},[],"x"]' + "}" * 40), ("c", 2, json.dumps({"s": quoted, "t": "]" * 20})), ("c", 3, "[" * 300 + "7" + "]" * 300),
+            ("d", 4, "{broken" + "{" * 20), ("d", 5, None), ("d", 6, "3"), ("d", 7, '{"e":{},"l":[]}')]
+    docs = spark.createDataFrame(rows, "category string, n int, doc string")
+    got = sorted((r.n, r.path, r.leaf or "") for r in knowledge.flatten(docs).select("n", "path", knowledge.leaf_text(F.col("node")).alias("leaf")).collect())
+    assert got == [(1, "c" + ".a" * 40 + "[0].b", ""), (1, "c" + ".a" * 40 + "[2]", "x"), (2, "c.s", quoted), (2, "c.t", "]" * 20), (3, "c" + "[0]" * 300, "7"), (6, "d", "3")]
+    deep = docs.select("n", knowledge.deeper(F.col("doc"), 8).alias("deep"))
+    assert {r.n for r in deep.filter("deep").collect()} == {1, 3, 4}
+
+
+def test_stored_index_reads_matching_row_groups(spark, tmp_path):
+    leaves = knowledge.flatten(spark.range(20_000).select(
+        F.concat(F.lit("c"), F.col("id") % 3).alias("category"), F.col("id").alias("doc_no"),
+        F.concat(F.lit('{"body":"common word'), F.col("id").cast("string"), F.lit(" and term"), F.md5(F.col("id").cast("string")), F.lit('"}')).alias("doc"),
+    ))
+    postings = knowledge.build_index(leaves)
+    folder = str(tmp_path / "index")
+    knowledge.store_index(postings, folder, terms=1 << 12, row_group_bytes=16 << 10)
+    stored = spark.read.parquet(folder)
+    total = stored.count()
+    assert total == postings.filter("first").count() == 60_000
+    found = knowledge.topic_matches(stored, "WORD77", ("doc_no", "path"))
+    assert [tuple(r) for r in found.collect()] == [("c2", 1)]
+    plan = found._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if plan.getClass().getSimpleName().startswith("Adaptive") else plan
+    assert "PushedFilters: [" in plan.toString() and "term" in plan.toString().split("PushedFilters: [")[1].split("]")[0]
+
+    def leaves_of(node):
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            return leaves_of(node.plan())
+        children = node.children()
+        return [x for k in range(children.length()) for x in leaves_of(children.apply(k))] or [node]
+
+    read = sum(n.metrics().get("numOutputRows").get().value() for n in leaves_of(plan) if n.metrics().contains("numOutputRows"))
+    assert 0 < read < total / 10
 
 
 def test_upsert_entry_text(spark):
