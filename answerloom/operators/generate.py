@@ -33,6 +33,11 @@ def pick(values: list, key: Column, field: str, seed: int) -> Column:
     return F.array(*literals)[draw(key, field, len(values), seed).cast("int")]
 
 
+#: Columns of a sample's scenario by kind, in the order of a sample file.
+DESIGN_FIELDS = ("user_count", "site_count", "industry", "compliance", "uptime_requirement", "budget", "is_datacenter", "cloud_heavy", "scale")
+FAULT_FIELDS = ("protocol", "issue_type", "symptoms")
+
+
 def design_scenarios(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """G1."""
     k = F.col(key)
@@ -222,8 +227,8 @@ def _tier(users: Column, position: int) -> Column:
 # --- chains -------------------------------------------------------------------------------------
 
 
-def with_design_chain(df: DataFrame) -> DataFrame:
-    """G10, G11. Adds ``chain``: six fixed steps, plus PCI, HIPAA and WAN where they apply.
+def with_design_chain(df: DataFrame, only: Column | None = None, into: str = "chain") -> DataFrame:
+    """G10, G11. Adds ``chain``: six fixed steps, plus PCI, HIPAA and WAN where they apply; null where ``only`` doesn't hold.
 
     Choices and figures are columns first, so that each is worked out once per row.
     """
@@ -238,7 +243,7 @@ def with_design_chain(df: DataFrame) -> DataFrame:
         wan_sizing(users, sites).alias("_size"),
         cost_model(users, compliance).alias("_cost"),
     )
-    return chosen.select(*df.columns, _design_steps().alias("chain"))
+    return chosen.select(*df.columns, (_design_steps() if only is None else F.when(only, _design_steps())).alias(into))
 
 
 def _if(condition: Column, step: Column) -> Column:
@@ -345,8 +350,8 @@ def diagnostic_route() -> Column:
     )
 
 
-def with_fault_chain(df: DataFrame, routes: DataFrame) -> DataFrame:
-    """G12. Adds ``chain``: triage, link check, up to four diagnostics, resolution.
+def with_fault_chain(df: DataFrame, routes: DataFrame, only: Column | None = None, into: str = "chain") -> DataFrame:
+    """G12. Adds ``chain``: triage, link check, up to four diagnostics, resolution; null where ``only`` doesn't hold.
 
     ``routes(route, diagnostics)`` is a small lookup table; Spark broadcasts it by its size.
     """
@@ -380,7 +385,7 @@ def with_fault_chain(df: DataFrame, routes: DataFrame) -> DataFrame:
                   verify.otherwise(_texts(text.VERIFY_DEFAULT)))
         ).cast(STEP_TYPE),
     )
-    return joined.select(*df.columns, chain.alias("chain"))
+    return joined.select(*df.columns, (chain if only is None else F.when(only, chain)).alias(into))
 
 
 def render_chain(chain: Column) -> Column:
@@ -396,13 +401,24 @@ def render_chain(chain: Column) -> Column:
     return F.concat(F.lit("<think>"), F.array_join(blocks, ""), F.lit("\n</think>"))
 
 
-def assemble_samples(df: DataFrame, answers: DataFrame, key: str, kind: str) -> DataFrame:
-    """G14. ``df(key, question, chain, ...)`` with supplied ``answers(key, answer)``.
+def generated_rows(kinds: DataFrame, key: str, routes: DataFrame, seed: int = 42) -> DataFrame:
+    """G1, G2, G4, G11, G12 for rows of both kinds in one branch: the scenario's columns, ``question`` and ``chain`` of each row's own ``kind``."""
+    k, design = F.col(key), F.col("kind") == "design"
+    drawn = fault_scenarios(design_scenarios(kinds, key, seed), key, seed)
+    asked = drawn.withColumn("question", F.when(design, design_question(k, seed)).otherwise(fault_question(k, seed)))
+    chained = with_fault_chain(with_design_chain(asked, design, "_design"), routes, ~design, "_fault")
+    return chained.withColumn("chain", F.coalesce("_design", "_fault")).drop("_design", "_fault")
+
 
-    Rows without an answer keep a null ``messages`` and status ``error`` (A16 counts them).
+def assemble_samples(rows: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """G14, U1. Samples of both kinds from ``generated_rows`` and supplied ``answers(key, answer)``, joined once.
+
+    Messages and metadata have the types of a sample file, so curation takes them as they are; a
+    scenario's columns are null where the kind has none. Rows without an answer keep a null ``messages``
+    and status ``error`` (A16 counts them).
     """
-    joined = df.join(answers, key, "left")
-    answered = F.coalesce(F.col("answer"), F.lit("")) != ""
+    joined = rows.join(answers, key, "left")
+    design, answered = F.col("kind") == "design", F.coalesce(F.col("answer"), F.lit("")) != ""
     messages = F.array(
         F.struct(F.lit("user").alias("role"), F.col("question").alias("content")),
         F.struct(
@@ -410,34 +426,21 @@ def assemble_samples(df: DataFrame, answers: DataFrame, key: str, kind: str) ->
             F.concat(render_chain(F.col("chain")), F.lit("\n\n"), F.col("answer")).alias("content"),
         ),
     )
-    if kind == "design":
-        scenario = F.struct("user_count", "site_count", "industry", "compliance", "uptime_requirement",
-                            "budget", "is_datacenter", "cloud_heavy", "scale")
-        sources = _texts(fixed.DESIGN_SOURCES)
-        patterns = F.array(_spoken(select_topology(F.col("user_count"), F.col("is_datacenter"))))
-        required = F.col("compliance")
-    else:
-        scenario = F.struct("protocol", "issue_type", "symptoms")
-        first = F.concat(F.upper("protocol"), F.lit(" Troubleshooting Decision Tree"))
-        sources = F.concat(F.array(first), _texts(fixed.FAULT_SOURCES))
-        patterns, required = _texts([]), _texts([])
+    own = {name: F.when(design, F.col(name)) for name in DESIGN_FIELDS} | {name: F.when(~design, F.col(name)) for name in FAULT_FIELDS}
+    first = F.concat(F.upper("protocol"), F.lit(" Troubleshooting Decision Tree"))
     metadata = F.struct(
-        F.lit(kind).alias("type"), scenario.alias("scenario"), sources.alias("sources_used"),
-        patterns.alias("design_patterns"), required.alias("compliance_requirements"),
+        F.col("kind").alias("type"), F.lit(None).cast("string").alias("category"), F.struct(*[c.alias(name) for name, c in own.items()]).alias("scenario"),
+        F.when(design, _texts(fixed.DESIGN_SOURCES)).otherwise(F.concat(F.array(first), _texts(fixed.FAULT_SOURCES))).alias("sources_used"),
+        F.when(design, F.array(_spoken(select_topology(F.col("user_count"), F.col("is_datacenter"))))).otherwise(_texts([])).alias("design_patterns"),
+        F.when(design, F.col("compliance")).otherwise(_texts([])).alias("compliance_requirements"),
         F.size("chain").alias("reasoning_steps"),
     )
     return joined.select(
-        key, F.lit(kind).alias("kind"), F.when(answered, "ok").otherwise("error").alias("status"),
+        key, "kind", F.when(answered, "ok").otherwise("error").alias("status"),
         F.when(answered, messages).alias("messages"), F.when(answered, metadata).alias("metadata"),
     )
 
 
-def union_samples(design: DataFrame, faults: DataFrame) -> DataFrame:
-    """U1. Metadata goes to JSON text, because the two kinds have different scenarios."""
-    as_text = [s.withColumn("metadata", F.to_json("metadata")) for s in (design, faults)]
-    return as_text[0].unionByName(as_text[1])
-
-
 def generation_stats(samples: DataFrame) -> DataFrame:
     """A16."""
     return samples.groupBy("kind", "status").agg(F.count(F.lit(1)).alias("n"))

@@ -557,12 +557,18 @@ def q1_overall(spark, d):
 # --- generation ---------------------------------------------------------------------------------
 
 
+def order_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The keys that scenarios are made of, dealt evenly: much work follows from a small row."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return inputs.table(spark, d, "orders").select("o_orderkey").repartition(width, "o_orderkey")
+
+
 def design_rows(spark: SparkSession, d: str) -> DataFrame:
-    return generate.design_scenarios(inputs.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return generate.design_scenarios(order_keys(spark, d), "o_orderkey")
 
 
 def fault_rows(spark: SparkSession, d: str) -> DataFrame:
-    return generate.fault_scenarios(inputs.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return generate.fault_scenarios(order_keys(spark, d), "o_orderkey")
 
 
 @query
@@ -638,20 +644,11 @@ def g12_fault_chains(spark, d):
 
 def assembled(spark: SparkSession, d: str) -> DataFrame:
     """Both kinds of samples; the supplied answer is a short note on the order, some are blank."""
-    kinds = generate.plan_kinds(inputs.table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    kinds = generate.plan_kinds(order_keys(spark, d), "o_orderkey")
     note = F.when(F.col("o_orderkey") % 13 != 0, F.concat_ws(" ", "o_orderpriority", "o_orderstatus")).otherwise("")
     answers = inputs.table(spark, d, "orders").select("o_orderkey", note.alias("answer"))
-    key = F.col("o_orderkey")
-    design = generate.design_scenarios(kinds.filter("kind = 'design'").select("o_orderkey"), "o_orderkey")
-    design = generate.with_design_chain(design.withColumn("question", generate.design_question(key)))
-    faults = generate.fault_scenarios(kinds.filter("kind <> 'design'").select("o_orderkey"), "o_orderkey")
-    faults = generate.with_fault_chain(
-        faults.withColumn("question", generate.fault_question(key)), generate.diagnostic_routes(spark)
-    )
-    return generate.union_samples(
-        generate.assemble_samples(design, answers, "o_orderkey", "design"),
-        generate.assemble_samples(faults, answers, "o_orderkey", "troubleshooting"),
-    )
+    rows = generate.generated_rows(kinds, "o_orderkey", generate.diagnostic_routes(spark))
+    return generate.assemble_samples(rows, answers, "o_orderkey")
 
 
 @query
@@ -659,8 +656,20 @@ def g14_u1_assembled_samples(spark, d):
     return assembled(spark, d).select(
         "o_orderkey", "kind", "status", F.md5(F.col("messages")[0]["content"]).alias("question_md5"),
         F.md5(F.col("messages")[1]["content"]).alias("answer_md5"),
-        F.get_json_object("metadata", "$.reasoning_steps").cast("bigint").alias("reasoning_steps"),
-        F.get_json_object("metadata", "$.sources_used[0]").alias("first_source"),
+        F.col("metadata.reasoning_steps").cast("bigint").alias("reasoning_steps"),
+        F.col("metadata.sources_used")[0].alias("first_source"),
+    )
+
+
+@query
+def g14_curated_samples(spark, d):
+    """Generated samples go through curation as they are: deduplicated, filtered, counted by type."""
+    samples = assembled(spark, d).filter("status = 'ok'")
+    digest = curate.digest_messages(samples, "o_orderkey")
+    kept = curate.validate_samples(curate.deduplicate(digest, F.col("first_print"), "sample_id"))
+    return kept.groupBy("type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("total_chars").alias("chars"), F.sum(whole(F.col("steps"))).alias("steps"),
+        F.sum("reasoning_steps").alias("reasoning_steps"), F.sum("user_count").alias("users"), F.count("compliance").alias("with_scenario"),
     )
 
 

@@ -753,6 +753,12 @@ ORACLE["g14_u1_assembled_samples"] = f"""{_ASSEMBLED} SELECT o_orderkey, kind, C
   CASE WHEN answer IS NOT NULL THEN md5(question) END AS question_md5, md5(think || chr(10) || chr(10) || answer) AS answer_md5,
   CASE WHEN answer IS NOT NULL THEN steps END AS reasoning_steps, CASE WHEN answer IS NOT NULL THEN src END AS first_source
 FROM both_kinds LEFT JOIN a USING (o_orderkey)"""
+ORACLE["g14_curated_samples"] = f"""{_ASSEMBLED}, digest AS (SELECT o_orderkey AS sample_id, kind, question, concat(think, chr(10), chr(10), answer) AS last_content, steps
+  FROM both_kinds JOIN a USING (o_orderkey) WHERE answer IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {fp('question')} ORDER BY o_orderkey) = 1)
+SELECT kind AS type, count(*) AS n, sum(length(question) + length(last_content))::BIGINT AS chars,
+  sum(len(regexp_extract_all(last_content, '(?m)^Step\\s+\\d+:')))::BIGINT AS steps, sum(steps)::BIGINT AS reasoning_steps,
+  sum(CASE WHEN kind = 'design' THEN user_count END)::BIGINT AS users, count(CASE WHEN kind = 'design' THEN 1 END) AS with_scenario
+FROM digest LEFT JOIN (SELECT o_orderkey AS sample_id, user_count FROM chains) USING (sample_id) WHERE length(last_content) >= 100 GROUP BY 1"""
 ORACLE["a16_generation_stats"] = f"""WITH {_KINDS} SELECT kind, CASE WHEN o_orderkey % 13 = 0 THEN 'error' ELSE 'ok' END AS status, count(*) AS n FROM kinds GROUP BY 1, 2"""
 
 

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from answerloom.operators import generate
+from answerloom.operators import curate, generate
+from answerloom.sources import files
 
 
 def test_same_rows_for_any_partitioning(spark):
@@ -44,10 +45,42 @@ def test_cost_and_wan(spark):
     assert [tuple(r[0]) for r in wan.collect()] == [(50, 100, 120), (0, 0, 0)]
 
 
+def made(spark, n):
+    kinds = generate.plan_kinds(spark.range(n), "id")
+    answers = spark.range(n).select("id", F.when(F.col("id") % 5 > 0, "done " * 30).otherwise("").alias("answer")).filter("id % 7 > 0")
+    return generate.assemble_samples(generate.generated_rows(kinds, "id", generate.diagnostic_routes(spark)), answers, "id")
+
+
 def test_missing_answers_are_counted(spark):
-    rows = generate.with_design_chain(
-        generate.design_scenarios(spark.range(20), "id").withColumn("question", generate.design_question(F.col("id")))
-    )
-    answers = spark.range(15).select("id", F.when(F.col("id") < 12, "done").otherwise("").alias("answer"))
-    stats = generate.generation_stats(generate.assemble_samples(rows, answers, "id", "design"))
-    assert {(r.status, r.n) for r in stats.collect()} == {("ok", 12), ("error", 8)}
+    stats = generate.generation_stats(made(spark, 70)).collect()
+    ok = sum(1 for i in range(70) if i % 5 and i % 7)
+    assert sum(r.n for r in stats if r.status == "ok") == ok and sum(r.n for r in stats) == 70
+    assert sum(r.n for r in stats if r.kind == "design") == 49
+
+
+def test_both_kinds_in_one_branch(spark):
+    rows = made(spark, 60).filter("status = 'ok'")
+    for r in rows.collect():
+        s = r.metadata.scenario
+        assert r.metadata.type == r.kind and r.metadata.reasoning_steps == r.messages[1].content.count("\nStep ")
+        assert (s.user_count is None) == (r.kind != "design") == (s.protocol is not None)
+    # Each row's chain is that of its kind alone.
+    key = [r.id for r in rows.filter("kind = 'design'").select("id").collect()]
+    alone = generate.with_design_chain(generate.design_scenarios(spark.range(60), "id")).filter(F.col("id").isin(key))
+    want = {r.id: r.t for r in alone.select("id", generate.render_chain(F.col("chain")).alias("t")).collect()}
+    got = {r.id: r.messages[1].content.split("</think>")[0] + "</think>" for r in rows.filter("kind = 'design'").collect()}
+    assert got == want
+
+
+def test_generated_samples_are_curated_and_written(spark, tmp_path):
+    samples = made(spark, 60).filter("status = 'ok'")
+    digest = curate.digest_messages(samples, "id")
+    kept = curate.validate_samples(curate.deduplicate(digest, F.col("first_print"), "sample_id"))
+    n = kept.count()
+    assert 0 < n <= samples.count() and kept.filter("steps > 0").count() == n
+    files.write_samples(samples.select("messages", "metadata"), str(tmp_path / "s"))
+    again, bad = files.read_samples(spark, str(tmp_path / "s"), line_numbers=False)
+    assert bad.count() == 0
+    back = curate.digest_messages(again)
+    strip = lambda df: sorted(tuple(r)[1:] for r in df.select("sample_id", "first_print", "total_chars", "steps", "type", "user_count", "reasoning_steps").collect())
+    assert strip(back) == strip(digest)
