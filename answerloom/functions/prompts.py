@@ -1,13 +1,13 @@
-"""Chat rendering, prompts, cache keys and loss weights.
-
-The wording of the prompts below is made of fixed values: it must come out letter by letter.
-"""
+"""Chat rendering, prompts, cache keys and loss weights. The prompts' wording is in ``fixed.templates``."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from answerloom.fixed import templates as text
 from answerloom.functions.text import WHITESPACE, cut, one_decimal
 
 # Chat marks.
@@ -123,109 +123,62 @@ def _number(c: Column) -> Column:
     return F.coalesce(c, F.lit(99.9)).cast("double").cast("string")
 
 
-def _extra_lines(extras: Column, prefix: str, suffix: str = "") -> Column:
+def filled(template: str, **values: Column) -> Column:
+    """A template with a column at each ``${name}``."""
+    parts = re.split(r"\$\{(\w+)\}", template)
+    return F.concat(*[values[part] if k % 2 else F.lit(part) for k, part in enumerate(parts)])
+
+
+def _extra_lines(extras: Column, template: str) -> Column:
     """Additional fields, one line each; map order is the order of writing."""
-    lines = F.transform(
-        F.map_entries(F.coalesce(extras, F.create_map().cast("map<string,string>"))),
-        lambda e: F.concat(F.lit(prefix), e["key"], F.lit(": "), e["value"], F.lit(suffix)),
-    )
-    return F.array_join(lines, "")
+    entries = F.map_entries(F.coalesce(extras, F.create_map().cast("map<string,string>")))
+    return F.array_join(F.transform(entries, lambda e: filled(template, key=e["key"], value=e["value"])), "")
 
 
 def design_prompt(r: dict[str, Column], flavor: str = "agent") -> Column:
     """R30. ``r`` maps requirement names to columns; ``uptime_shown`` is the uptime as it was sent."""
+    common = {"sites": _or(r["sites"], "1"), "budget": _or(r["budget"], "flexible")}
     if flavor == "agent":
-        return F.concat(
-            F.lit("Design a complete enterprise network architecture for:\n- Users/endpoints: "),
-            _or(r["users"], "unspecified"),
-            F.lit("\n- Sites/locations: "), _or(r["sites"], "1"),
-            F.lit("\n- Required compliance: "), _listed(r["compliance"], "none specified"),
-            F.lit("\n- Uptime requirement: "), F.coalesce(r.get("uptime_shown", F.lit(None)), _number(r["uptime"])), F.lit("% ("),
-            downtime(F.coalesce(r["uptime"], F.lit(99.9))), F.lit(")\n- Budget: "),
-            _or(r["budget"], "flexible"),
-            F.lit(
-                "\n\nProvide topology selection rationale, redundancy design, routing protocol "
-                "selection,\nsecurity architecture, and implementation roadmap. Include "
-                "configuration examples."
-            ),
-            _extra_lines(r["extras"], "\nAdditional requirement — "),
+        return filled(
+            text.DESIGN_AGENT, **common, users=_or(r["users"], "unspecified"), compliance=_listed(r["compliance"], "none specified"),
+            uptime=F.coalesce(r.get("uptime_shown", F.lit(None)), _number(r["uptime"])), downtime=downtime(F.coalesce(r["uptime"], F.lit(99.9))),
+            extras=_extra_lines(r["extras"], text.DESIGN_AGENT_EXTRA),
         )
+    common |= {
+        "users": _users_or(r["users"], "not specified"), "compliance": _listed(r["compliance"], "none"), "uptime": _number(r["uptime"]),
+        "data_center": _flag(r["data_center"]),
+    }
     if flavor == "api":
-        return F.concat(
-            F.lit("Design a complete enterprise network architecture:\n- Users/endpoints: "),
-            _users_or(r["users"], "not specified"),
-            F.lit("\n- Sites: "), _or(r["sites"], "1"),
-            F.lit("\n- Compliance: "), _listed(r["compliance"], "none"),
-            F.lit("\n- Uptime SLA: "), _number(r["uptime"]), F.lit("%\n- Budget: "),
-            _or(r["budget"], "flexible"),
-            F.lit("\n- Data center: "), _flag(r["data_center"]),
-            F.lit("\n- WAN type: "), _or(r["wan_type"], "not specified"),
-            F.lit("\n- Cloud connectivity: "), _flag(r["cloud_connectivity"]),
-            F.lit("\n- Redundancy level: "), _or(r["redundancy_level"], "N+1"), F.lit("\n"),
-            _extra_lines(r["extras"], "- ", "\n"),
+        return filled(
+            text.DESIGN_API, **common, wan_type=_or(r["wan_type"], "not specified"), cloud_connectivity=_flag(r["cloud_connectivity"]),
+            redundancy_level=_or(r["redundancy_level"], "N+1"), extras=_extra_lines(r["extras"], text.DESIGN_API_EXTRA),
         )
-    return F.concat(
-        F.lit("Design a complete enterprise network architecture:\nUsers: "),
-        _users_or(r["users"], "not specified"),
-        F.lit("\nSites: "), _or(r["sites"], "1"),
-        F.lit("\nCompliance: "), _listed(r["compliance"], "none"),
-        F.lit("\nUptime SLA: "), _number(r["uptime"]), F.lit("%\nBudget: "),
-        _or(r["budget"], "flexible"),
-        F.lit("\nData center needed: "), _flag(r["data_center"]),
-        F.lit("\nWireless coverage: "), _flag(r["wireless"]),
-        F.lit(
-            "\n\nProvide: topology selection, routing design, redundancy, security segmentation,\n"
-            "hardware recommendations, and phased implementation plan."
-        ),
-    )
+    return filled(text.DESIGN_TOOL, **common, wireless=_flag(r["wireless"]))
 
 
-def troubleshoot_prompt(r: dict[str, Column], flavor: str = "agent") -> Column:
-    """R30. Logs are shown to 500 characters, as the prompt format asks (W9)."""
-    protocol = _or(F.when(r["protocol"] != "", r["protocol"]), "unknown")
-    has_logs = F.coalesce(r["logs"], F.lit("")) != ""
+def troubleshoot_prompt(r: dict[str, Column], flavor: str = "agent", logs_chars: int = 500) -> Column:
+    """R30, W9. Logs are shown to ``logs_chars`` characters."""
+    common = {"device": _or(r["device"], "unknown")}
     if flavor == "agent":
-        return F.concat(
-            F.lit("Troubleshoot this network issue:\n\nDevice: "), _or(r["device"], "unknown"),
-            F.lit("\nSymptom: "),
-            F.coalesce(r["symptom"], r["message"], F.lit("No description provided")),
-            F.lit("\nProtocol: "), _or(r["protocol"], "unknown"),
-            F.lit("\nImpact: "), _or(r["impact"], "unknown"), F.lit("\n"),
-        )
-    if flavor == "api":
-        tail = F.when(has_logs, F.concat(F.lit("\nLogs:\n"), cut(r["logs"], 500))).otherwise("")
-        return F.concat(
-            F.lit("Troubleshoot: "), r["symptom"], F.lit("\nDevice: "), _or(r["device"], "unknown"),
-            F.lit("\nProtocol: "), protocol, tail,
-        )
-    tail = F.when(has_logs, F.concat(F.lit("\nRelevant logs:\n"), cut(r["logs"], 500))).otherwise("")
-    return F.concat(
-        F.lit("Troubleshoot network design issue:\nDevice: "), _or(r["device"], "unknown"),
-        F.lit("\nSymptom: "), r["symptom"], F.lit("\nProtocol: "), protocol, F.lit("\n"), tail,
+        symptom = F.coalesce(r["symptom"], r["message"], F.lit("No description provided"))
+        return filled(text.TROUBLESHOOT_AGENT, **common, symptom=symptom, protocol=_or(r["protocol"], "unknown"), impact=_or(r["impact"], "unknown"))
+    template, tail = (text.TROUBLESHOOT_API, text.TROUBLESHOOT_API_LOGS) if flavor == "api" else (text.TROUBLESHOOT_TOOL, text.TROUBLESHOOT_TOOL_LOGS)
+    has_logs = F.coalesce(r["logs"], F.lit("")) != ""
+    return filled(
+        template, **common, symptom=r["symptom"], protocol=_or(F.when(r["protocol"] != "", r["protocol"]), "unknown"),
+        logs=F.when(has_logs, filled(tail, logs=cut(r["logs"], logs_chars))).otherwise(""),
     )
 
 
 def estimate_prompt(r: dict[str, Column], flavor: str = "tool") -> Column:
     """R30."""
     if flavor == "agent":
-        return F.concat(
-            F.lit("Provide a detailed cost estimate for:\n\n"), r["context_json"],
-            F.lit("\n\nBreak down CAPEX and annual OPEX. Include hardware, licensing, and implementation."),
-        )
+        return filled(text.ESTIMATE_AGENT, context=r["context_json"])
+    sites = _or(r["sites"], "1")
     if flavor == "api":
-        quoted = F.transform(
-            F.coalesce(r["compliance"], F.array().cast("array<string>")),
-            lambda s: F.concat(F.lit("'"), s, F.lit("'")),
-        )
-        return F.concat(
-            F.lit("Cost estimate for "), _users_or(r["users"], "?"), F.lit(" users, "),
-            _or(r["sites"], "1"), F.lit(" sites, compliance=["), F.array_join(quoted, ", "), F.lit("]"),
-        )
-    return F.concat(
-        F.lit("Provide detailed cost estimate ("), _or(r["currency"], "USD"), F.lit("):\nUsers: "),
-        _users_or(r["users"], "unspecified"), F.lit(", Sites: "), _or(r["sites"], "1"),
-        F.lit("\nCompliance: "), _listed(r["compliance"], "none"),
-        F.lit("\nInclude: CAPEX itemization, "),
-        F.when(F.coalesce(r["include_opex"], F.lit(True)), "annual OPEX, ").otherwise(""),
-        F.lit("hardware, licensing, implementation labor"),
+        quoted = F.transform(F.coalesce(r["compliance"], F.array().cast("array<string>")), lambda s: F.concat(F.lit("'"), s, F.lit("'")))
+        return filled(text.ESTIMATE_API, users=_users_or(r["users"], "?"), sites=sites, compliance=F.array_join(quoted, ", "))
+    return filled(
+        text.ESTIMATE_TOOL, currency=_or(r["currency"], "USD"), users=_users_or(r["users"], "unspecified"), sites=sites,
+        compliance=_listed(r["compliance"], "none"), opex=F.when(F.coalesce(r["include_opex"], F.lit(True)), text.ESTIMATE_TOOL_OPEX).otherwise(""),
     )

@@ -1,12 +1,10 @@
 """Service requests and queue tasks: defaults, checks, review rules, routing, prompts."""
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from answerloom.functions.json_text import indented_json, python_text
 from answerloom.functions.prompts import design_prompt, estimate_prompt, troubleshoot_prompt
 
 # Defaults of request fields.
@@ -23,19 +21,6 @@ SYMPTOM_LENGTH = 10
 CURRENCY = r"^[A-Z]{3}\z"
 
 
-@F.pandas_udf(T.StringType())
-def indented_json(context: pd.Series) -> pd.Series:
-    """A JSON text with its fields on lines of their own, two blanks a level, which no built-in function writes; other texts stay."""
-
-    def shown(text):
-        try:
-            return None if text is None else json.dumps(json.loads(text), indent=2)
-        except ValueError:
-            return text
-
-    return context.map(shown)
-
-
 def validate_requests(df: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:
     """P5. Fill defaults of the columns present, then list every broken rule in ``violations``.
 
@@ -164,7 +149,7 @@ def task_prompt(tasks: DataFrame) -> DataFrame:
     prompt = (
         F.when(F.col("type") == "design", design_prompt(design, "agent"))
         .when(F.col("type") == "troubleshoot", troubleshoot_prompt(fault, "agent"))
-        .when(F.col("type") == "estimate", estimate_prompt({"context_json": indented_json("context")}, "agent"))
-        .otherwise(F.col("context"))
+        .when(F.col("type") == "estimate", estimate_prompt({"context_json": indented_json(F.col("context"))}, "agent"))
+        .otherwise(python_text(F.col("context")))
     )
     return nested.withColumn("prompt", prompt).drop("_r", "_c")

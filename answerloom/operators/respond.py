@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from answerloom.fixed import wording
+from answerloom.fixed import templates
 from answerloom.functions.parse import parse_judgement, parse_responses
+from answerloom.functions.prompts import filled
 from answerloom.functions.text import cut
+from answerloom.session import cut_lineage
 
 
 def respond(df: DataFrame, fn: Callable[[str], str], prompt: str = "prompt") -> DataFrame:
@@ -43,10 +45,42 @@ def respond(df: DataFrame, fn: Callable[[str], str], prompt: str = "prompt") ->
     return df.mapInPandas(run, schema)
 
 
-def answer_from(df: DataFrame, answers: DataFrame, on: str) -> DataFrame:
-    """X2 with recorded answers ``(on, raw, latency_ms)``; a missing answer is an error."""
-    joined = df.join(answers, on, "left")
-    return joined.withColumn("error", F.when(F.col("raw").isNull(), "no recorded answer"))
+NO_ANSWER = "no recorded answer"
+
+
+def prompt_key(prompt: Column) -> Column:
+    """What a prompt is known by in a table of recorded answers; null for no prompt."""
+    return F.when(prompt != "", F.sha2(prompt, 256))
+
+
+def answer_from(df: DataFrame, answers: DataFrame, prompt: str = "prompt") -> DataFrame:
+    """X2 with recorded answers (prompt_key, raw, latency_ms, error), one row a key, batch or stream.
+
+    Adds ``raw``, ``latency_ms`` and ``error``; a prompt without a record has the error ``NO_ANSWER``. The prompts' texts
+    are not part of the table.
+    """
+    keyed = df.withColumn("prompt_key", prompt_key(F.col(prompt)))
+    known = answers.select("prompt_key", "raw", "latency_ms", F.col("error").alias("_error"), F.lit(True).alias("_known"))
+    missing = F.col("_known").isNull() & F.col("prompt_key").isNotNull()
+    joined = keyed.join(known, "prompt_key", "left")
+    return joined.withColumn("error", F.when(missing, NO_ANSWER).otherwise(F.col("_error"))).drop("_error", "_known", "prompt_key")
+
+
+def new_answers(df: DataFrame, fn: Callable[[str], str], answers: DataFrame | None = None, prompt: str = "prompt") -> DataFrame:
+    """X2. Answers (prompt_key, raw, latency_ms, error) to the distinct prompts without a record: each is asked once, however often it stands in ``df``."""
+    asked = df.select(prompt_key(F.col(prompt)).alias("prompt_key"), F.col(prompt).alias("prompt")).filter("prompt_key is not null")
+    distinct = asked.groupBy("prompt_key").agg(F.any_value("prompt").alias("prompt"))
+    if answers is not None:
+        distinct = distinct.join(answers.select("prompt_key"), "prompt_key", "left_anti")
+    return respond(distinct, fn).select("prompt_key", "raw", "latency_ms", "error")
+
+
+def ask_once(df: DataFrame, fn: Callable[[str], str], answers: DataFrame | None = None, prompt: str = "prompt") -> DataFrame:
+    """X2. ``answer_from`` recorded answers and, for prompts without one, new ones. What is asked is written down first, so that no
+    retry or second use of the result asks again."""
+    fresh = cut_lineage(new_answers(df, fn, answers, prompt))
+    every = fresh if answers is None else answers.select(*fresh.columns).unionByName(fresh)
+    return answer_from(df, every, prompt)
 
 
 def batch_records(answered: DataFrame, flavor: str = "basic") -> DataFrame:
@@ -68,19 +102,25 @@ def batch_records(answered: DataFrame, flavor: str = "basic") -> DataFrame:
 def judge_form(question: Column, reasoning: Column, answer: Column, question_chars: int = 500, response_chars: int = 3000) -> Column:
     """X3, W9. The form shows beginnings, by default of the lengths it was made for."""
     response = F.concat_ws("\n\n", reasoning, answer)
-    return F.concat(
-        F.lit(wording.JUDGE_HEAD), cut(question, question_chars), F.lit(wording.JUDGE_MIDDLE), cut(response, response_chars),
-        F.lit(wording.JUDGE_TAIL),
-    )
+    return filled(templates.JUDGE, question=cut(question, question_chars), response=cut(response, response_chars))
 
 
 def judge(
-    df: DataFrame, fn: Callable[[str], str], question: str = "prompt", reasoning: str = "reasoning",
-    answer: str = "answer",
+    df: DataFrame, fn: Callable[[str], str] | None = None, recorded: DataFrame | None = None, question: str = "prompt", reasoning: str = "reasoning",
+    answer: str = "answer", error_chars: int = 50,
 ) -> DataFrame:
-    """X3, R25. Adds ``score`` and ``rationale``; ``fn`` fills in the form of ``judge_form``."""
+    """X3, R25. Adds ``score``, ``rationale`` and ``judge_error``.
+
+    Forms are looked up among ``recorded`` judgements (prompt_key, raw, latency_ms, error); equal forms without one go to ``fn`` once.
+    A judgement that fails scores 3, as an unreadable one does; without ``fn`` a form that has none has no score.
+    """
     form = judge_form(F.col(question), F.col(reasoning), F.col(answer))
-    judged = respond(df.drop("raw", "latency_ms", "error").withColumn("judge_prompt", form), fn, "judge_prompt")
-    failed = F.struct(F.lit(3.0).alias("score"), F.concat(F.lit("Error: "), cut(F.col("error"), 50)).alias("rationale"))
-    verdict = F.when(F.col("error").isNotNull(), failed).otherwise(parse_judgement(F.coalesce("raw", F.lit(""))))
-    return judged.withColumn("judgement", verdict).select("*", "judgement.score", "judgement.rationale")
+    rows = df.drop("raw", "latency_ms", "error").withColumn("judge_prompt", form)
+    judged = answer_from(rows, recorded, "judge_prompt") if fn is None else ask_once(rows, fn, recorded, "judge_prompt")
+    failed = F.struct(F.lit(3.0).alias("score"), F.concat(F.lit("Error: "), cut(F.col("error"), error_chars)).alias("rationale"))
+    verdict = (
+        F.when(F.col("error") == NO_ANSWER, F.lit(None)).when(F.col("error").isNotNull(), failed)
+        .otherwise(parse_judgement(F.coalesce("raw", F.lit(""))))
+    )
+    scored = judged.withColumn("judgement", verdict).withColumnRenamed("error", "judge_error")
+    return scored.select("*", "judgement.score", "judgement.rationale").drop("raw", "latency_ms", "judgement")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerloom.fixed import alarms, scenarios
@@ -309,12 +309,34 @@ def a9_judge_report(spark, d):
     return report.withColumn("avg_score", real(F.col("avg_score")))
 
 
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed responses with the turn before them as their question."""
+    turns = inputs.table(spark, d, "conversations")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    asked = turns.select("conv_id", "turn", F.coalesce(before, F.lit("")).alias("question"))
+    return parsed(spark, d, "basic").join(asked, ["conv_id", "turn"], "left")
+
+
 @query
 def x3_w9_judge_forms(spark, d):
     """What a judge would read of every response, in the lengths its form shows."""
-    rows = parsed(spark, d, "basic")
-    form = respond.judge_form(F.col("raw"), F.col("reasoning"), F.col("answer"))
-    return rows.select("conv_id", "turn", F.md5(form).alias("form_md5"), whole(F.length(form)).alias("chars"))
+    form = respond.judge_form(F.col("question"), F.col("reasoning"), F.col("answer"))
+    return questions(spark, d).select("conv_id", "turn", F.md5(form).alias("form_md5"), whole(F.length(form)).alias("chars"))
+
+
+@query
+def x3_judged_responses(spark, d):
+    """Responses with their recorded judgements; of every fourth form length none is recorded, of every other fourth the judge failed."""
+    rows = questions(spark, d)
+    form = respond.judge_form(F.col("question"), F.col("reasoning"), F.col("answer"))
+    n = F.length("form")
+    said = F.concat(F.lit('{"score": '), (1 + n % 9 / 2).cast("string"), F.lit(', "rationale": "form of '), n.cast("string"), F.lit('"}'))
+    recorded = rows.select(form.alias("form")).distinct().filter(n % 4 != 0).select(
+        respond.prompt_key(F.col("form")).alias("prompt_key"), F.when(n % 4 != 1, said).alias("raw"), F.lit(None).cast("double").alias("latency_ms"),
+        F.when(n % 4 == 1, "judge was away").alias("error"),
+    )
+    judged = respond.judge(rows, recorded=recorded, question="question")
+    return judged.select("conv_id", "turn", "score", "rationale", "judge_error")
 
 
 @query
@@ -1140,22 +1162,42 @@ def s9_enough_rows(spark, d):
     return files.enough(inputs.table(spark, d, "documents"))
 
 
-@query
-def t10_x2_task_intake(spark, d):
-    """Queue messages through prompt, responder, parsing, review and routing."""
+def recorded_answers(messages: DataFrame) -> DataFrame:
+    """Answers recorded for the prompts of messages: an echo, an error for link faults, none for reviews."""
+    asked = service.asked_tasks(messages).filter("type <> 'review' and model_prompt is not null").select("model_prompt").distinct()
+    lost = F.contains("model_prompt", F.lit("Symptom: link"))
+    return asked.select(
+        respond.prompt_key(F.col("model_prompt")).alias("prompt_key"), F.when(~lost, F.concat(F.lit("<think>Step 1: read.</think>"), "model_prompt")).alias("raw"),
+        F.lit(1.0).alias("latency_ms"), F.when(lost, "device lost").alias("error"),
+    )
 
-    def responder(prompt: str) -> str:
-        if "Symptom: link" in prompt:
-            raise RuntimeError("device lost")
-        return f"<think>Step 1: read.</think>{prompt}"
 
-    answers = service.answer_tasks(inputs.task_messages(spark, d).select("value"), responder)
+def routed_columns(answers: DataFrame) -> DataFrame:
     return answers.select(
         "task_id", "type", "requestor", "status", "queue", "error", F.md5("answer").alias("answer_md5"),
         listed(F.col("sources")).alias("sources"), real(F.col("confidence")).alias("confidence"), "requires_approval",
     )
 
 
+@query
+def t10_x2_task_intake(spark, d):
+    """Queue messages through prompt, recorded answers, parsing, review and routing."""
+    messages = inputs.task_messages(spark, d).select("value")
+    return routed_columns(service.answer_tasks(messages, recorded_answers(messages)))
+
+
+@query
+def t10_stream_intake(spark, d):
+    """The same as a stream over files of messages, joined with a table of recorded answers and written by queue."""
+    messages = inputs.task_messages(spark, d).select("value")
+    inbox, kept, out = work_folder(spark), work_folder(spark), work_folder(spark)
+    messages.write.text(inbox)
+    recorded_answers(messages).write.parquet(kept)
+    answers = service.answer_tasks(service.read_tasks(spark, inbox), spark.read.parquet(kept))
+    service.write_routed(answers, out, work_folder(spark)).awaitTermination()
+    return routed_columns(service.read_routed(spark, out))
+
+
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = inputs.table(spark, d, "events").schema
     return inputs.as_served(spark.readStream.schema(schema).parquet(f"{d}/events*.parquet"))
@@ -1173,18 +1215,6 @@ def whole_result(df: DataFrame) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def appended_result(df: DataFrame) -> DataFrame:
-    """Run a stream over the files there are; its rows are appended to a table."""
-    spark = df.sparkSession
-    out, marks = work_folder(spark), work_folder(spark)
-    running = (
-        df.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks)
-        .trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
-
-
 @query
 def t1_stream_windows(spark, d):
     """Minutes written by a stream, read back as hours."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from answerloom.fixed import alarms as al
 from answerloom.fixed import chain_text as ct
 from answerloom.fixed import scenarios as sc
-from answerloom.fixed import wording
+from answerloom.fixed import templates
 from answerloom.fixed.claims import CLAIMS
 from answerloom.fixed.rules import (
     CONTROL_PREFIX, CONTROLS, EIGRP_WORDS, GATE_TARGETS, NON_PUBLIC_BLOCKS, OTHER_VENDORS,
@@ -370,8 +372,15 @@ ORACLE["a9_judge_report"] = f"""WITH {JUDGED} SELECT count(*) AS num_evaluated,
   {', '.join(f'count(*) FILTER (floor(score) = {i}) AS score_{i}' for i in range(1, 6))},
   count(*) FILTER (score >= 4) AS samples_above_4, count(*) FILTER (score < 3) AS samples_below_3 FROM judgement"""
 
-_FORM = f"concat({q(wording.JUDGE_HEAD)}, substr(raw, 1, 500), {q(wording.JUDGE_MIDDLE)}, substr(concat(reasoning, chr(10), chr(10), answer), 1, 3000), {q(wording.JUDGE_TAIL)})"
-ORACLE["x3_w9_judge_forms"] = f"WITH {PARSED_BASIC} SELECT conv_id, turn, md5({_FORM}) AS form_md5, length({_FORM})::BIGINT AS chars FROM basic"
+_JUDGE_PARTS = re.split(r"\$\{\w+\}", templates.JUDGE)
+_FORM = f"concat({q(_JUDGE_PARTS[0])}, substr(question, 1, 500), {q(_JUDGE_PARTS[1])}, substr(concat(reasoning, chr(10), chr(10), answer), 1, 3000), {q(_JUDGE_PARTS[2])})"
+_ASKED = f"""{PARSED_BASIC}, asked AS (SELECT b.*, coalesce(c.text, '') AS question FROM basic b LEFT JOIN
+  (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS text FROM conversations) c USING (conv_id, turn))"""
+ORACLE["x3_w9_judge_forms"] = f"WITH {_ASKED} SELECT conv_id, turn, md5({_FORM}) AS form_md5, length({_FORM})::BIGINT AS chars FROM asked"
+ORACLE["x3_judged_responses"] = f"""WITH {_ASKED}, f AS (SELECT conv_id, turn, length({_FORM}) AS n FROM asked)
+SELECT conv_id, turn, CASE n % 4 WHEN 0 THEN NULL WHEN 1 THEN 3.0::DOUBLE ELSE 1 + n % 9 / 2.0::DOUBLE END AS score,
+  CASE n % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Error: judge was away' ELSE concat('form of ', n) END AS rationale,
+  CASE n % 4 WHEN 0 THEN 'no recorded answer' WHEN 1 THEN 'judge was away' END AS judge_error FROM f"""
 
 ORACLE["r26_chat_template"] = """WITH t AS (SELECT *, max(turn) OVER w AS last,
   min(turn) FILTER (role = 'system') OVER w AS sys FROM conversations WINDOW w AS (PARTITION BY conv_id)),
@@ -814,7 +823,7 @@ ORACLE["r30_task_prompts"] = f"""WITH {_MSG}, t AS (SELECT *, CASE WHEN form = 0
 SELECT req_id, type, md5(CASE type WHEN 'design' THEN {_AGENT_DESIGN}
   WHEN 'troubleshoot' THEN concat('Troubleshoot this network issue:', chr(10), chr(10), 'Device: r', sites, chr(10), 'Symptom: link ', users, ' down', chr(10), 'Protocol: unknown', chr(10), 'Impact: unknown', chr(10))
   WHEN 'estimate' THEN concat('Provide a detailed cost estimate for:', chr(10), chr(10), {_INDENTED}, chr(10), chr(10), 'Break down CAPEX and annual OPEX. Include hardware, licensing, and implementation.')
-  ELSE context END) AS prompt_md5, CASE WHEN form IN (0, 2) THEN {joined('compliance')} ELSE '' END AS compliance FROM t"""
+  ELSE replace(replace(replace(context, '"', chr(39)), ':', ': '), ',', ', ') END) AS prompt_md5, CASE WHEN form IN (0, 2) THEN {joined('compliance')} ELSE '' END AS compliance FROM t"""
 
 _NL = "chr(10)"
 _TF = lambda c: f"CASE WHEN {c} THEN 'True' ELSE 'False' END"
@@ -1020,16 +1029,17 @@ ORACLE["s5_test_case_files"] = f"""WITH {SCORED} SELECT case_id::VARCHAR AS id,
 _TASK_RAW = f"""{_MSG}, t AS (SELECT *, CASE WHEN form = 0 THEN uptime ELSE 99.9::DOUBLE END AS up FROM tasks),
 prompted AS (SELECT *, CASE type WHEN 'design' THEN {_AGENT_DESIGN}
   WHEN 'estimate' THEN concat('Provide a detailed cost estimate for:', chr(10), chr(10), {_INDENTED}, chr(10), chr(10), 'Break down CAPEX and annual OPEX. Include hardware, licensing, and implementation.')
-  WHEN 'review' THEN context END AS prompt FROM t),
+  END AS prompt FROM t),
 responses AS (SELECT *, coalesce(concat('<think>Step 1: read.</think>', '<|system|>', chr(10), {case_map('type', {'estimate': TASK_SYSTEM['estimate']}, TASK_SYSTEM['design'])},
-  '<|end|>', chr(10), '<|user|>', chr(10), nullif(prompt, ''), '<|end|>', chr(10), '<|assistant|>', chr(10)), '') AS raw FROM prompted WHERE type <> 'troubleshoot'
-  UNION ALL SELECT *, '' FROM prompted WHERE type = 'troubleshoot')"""
-ORACLE["t10_x2_task_intake"] = f"""WITH {PARSED_STRICT.replace(RESP, _TASK_RAW)}, f AS (SELECT *, type = 'troubleshoot' AS failed,
-  CASE WHEN type = 'troubleshoot' THEN 0 ELSE least(0.5::DOUBLE + 0.15 + CASE WHEN len(sources) > 0 THEN 0.1 ELSE 0 END + CASE WHEN len(sources) > 2 THEN 0.05 ELSE 0 END
+  '<|end|>', chr(10), '<|user|>', chr(10), nullif(prompt, ''), '<|end|>', chr(10), '<|assistant|>', chr(10)), '') AS raw FROM prompted WHERE type NOT IN ('troubleshoot', 'review')
+  UNION ALL SELECT *, '' FROM prompted WHERE type IN ('troubleshoot', 'review'))"""
+ORACLE["t10_x2_task_intake"] = f"""WITH {PARSED_STRICT.replace(RESP, _TASK_RAW)}, f AS (SELECT *, type IN ('troubleshoot', 'review') AS failed, type = 'review' AS waits,
+  CASE WHEN type IN ('troubleshoot', 'review') THEN 0 ELSE least(0.5::DOUBLE + 0.15 + CASE WHEN len(sources) > 0 THEN 0.1 ELSE 0 END + CASE WHEN len(sources) > 2 THEN 0.05 ELSE 0 END
     + CASE WHEN length(answer) > 200 THEN 0.05 ELSE 0 END + least(({_HITS}) * 0.02::DOUBLE, 0.1), 1.0) END AS confidence FROM strict),
 g AS (SELECT *, failed OR confidence < 0.8 OR priority = 'high' OR (form IN (0, 2) AND len(compliance) > 0) AS approval FROM f)
-SELECT task_id, type, requestor, CASE WHEN failed THEN 'error' ELSE 'success' END AS status, CASE WHEN approval THEN 'approval' ELSE 'done' END AS queue,
-  CASE WHEN failed THEN 'device lost' END AS error, md5(answer) AS answer_md5, {joined('sources')} AS sources, round(confidence, 6) AS confidence, approval AS requires_approval FROM g"""
+SELECT task_id, type, requestor, CASE WHEN waits THEN 'waiting' WHEN failed THEN 'error' ELSE 'success' END AS status,
+  CASE WHEN waits THEN 'retry' WHEN approval THEN 'approval' ELSE 'done' END AS queue, CASE WHEN waits THEN 'no recorded answer' WHEN failed THEN 'device lost' END AS error, md5(answer) AS answer_md5, {joined('sources')} AS sources, round(confidence, 6) AS confidence, approval AS requires_approval FROM g"""
+ORACLE["t10_stream_intake"] = ORACLE["t10_x2_task_intake"]
 ORACLE["t1_stream_windows"] = f"""WITH {METRICS} SELECT metric, {win(3600)} AS window_start, count(*) AS n, round(sum(value), 6) AS sum, {EXACT_AVG} AS average,
   round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.99), 6) AS p99
 FROM metrics GROUP BY 1, 2"""

@@ -20,7 +20,7 @@ from answerloom.operators.monitor import combined, longer_windows, metric_parts,
 from answerloom.operators.requests import (
     agent_requires_review, normalize_tasks, route, task_compliance, task_prompt, with_error_policy,
 )
-from answerloom.operators.respond import respond
+from answerloom.operators.respond import NO_ANSWER, answer_from, respond
 
 LATENESS = "10 minutes"
 #: Size of the quantile sketches, see ``monitor.value_parts``.
@@ -41,29 +41,39 @@ def system_text(task_type: Column) -> Column:
     return F.coalesce(F.create_map(*pairs)[task_type], F.lit(TASK_SYSTEM["design"]))
 
 
-def answer_tasks(messages: DataFrame, responder: Callable[[str], str], threshold: float = 0.80) -> DataFrame:
+def asked_tasks(messages: DataFrame) -> DataFrame:
+    """P9, R30, R27. Tasks with ``model_prompt``, null for a message that cannot be read."""
+    tasks = task_prompt(normalize_tasks(messages).withColumnRenamed("error", "message_error"))
+    whole = single_turn_prompt(system_text(F.col("type")), F.col("prompt"))
+    return tasks.withColumn("model_prompt", F.when(F.col("message_error").isNull(), whole))
+
+
+def answer_tasks(messages: DataFrame, answers: DataFrame | Callable[[str], str], threshold: float = 0.80) -> DataFrame:
     """T10. P9, R30, R27, X2, R2, R4, P6, P7 in one projection chain, batch or stream.
 
-    A message that cannot be read and a prompt that fails become error rows.
+    ``answers`` are recorded ones (see ``respond.answer_from``), which a stream is joined with, or a responder. A message that cannot
+    be read and a prompt that fails become error rows. A prompt without a record yet waits: its row has the status ``waiting``, the
+    queue ``retry``, and ``message`` with the text to try again.
     """
-    tasks = task_prompt(normalize_tasks(messages).withColumnRenamed("error", "message_error"))
-    whole = single_turn_prompt(system_text(F.col("type")), F.col("prompt"))
-    asked = tasks.withColumn("model_prompt", F.when(F.col("message_error").isNull(), whole))
-    answered = respond(asked, responder, "model_prompt")
+    asked = asked_tasks(messages.withColumn("message", F.col("value")))
+    answered = answer_from(asked, answers, "model_prompt") if isinstance(answers, DataFrame) else respond(asked, answers, "model_prompt")
     parsed = parse_responses(answered.withColumn("raw", F.coalesce("raw", F.lit(""))), "strict")
     scored = with_confidence_strict(parsed).withColumn("error", F.coalesce("message_error", "error"))
     reviewed = scored.withColumn(
         "requires_approval",
         agent_requires_review(F.col("confidence"), F.col("priority"), task_compliance(F.col("context")), threshold),
     )
-    return route(with_error_policy(reviewed)).select(
+    waits = F.coalesce(F.col("error") == NO_ANSWER, F.lit(False))
+    routed = route(with_error_policy(reviewed))
+    marked = {"status": F.when(waits, "waiting").otherwise(F.col("status")), "queue": F.when(waits, "retry").otherwise(F.col("queue")), "message": F.when(waits, F.col("message"))}
+    return routed.withColumns(marked).select(
         "task_id", "type", "requestor", "correlation_id", "status", "queue", "error", "reasoning", "answer",
-        "sources", "confidence", "requires_approval", "latency_ms",
+        "sources", "confidence", "requires_approval", "latency_ms", "message",
     )
 
 
 def write_routed(answers: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """P7, T10. Each micro-batch goes once to ``path/batch=N``, partitioned by queue.
+    """P7, T10. Each micro-batch goes once to ``path/batch=N``, partitioned by queue; ``queue=retry`` is the table of waiting messages.
 
     Writing a batch again replaces its own folder, so a restart leaves no copies.
     """
@@ -79,6 +89,23 @@ def write_routed(answers: DataFrame, path: str, checkpoint: str, **trigger) -> S
     )
 
 
+ROUTED = (
+    "task_id string, type string, requestor string, correlation_id string, status string, error string, reasoning string, answer string, "
+    "sources array<string>, confidence double, requires_approval boolean, latency_ms double, message string, batch bigint, queue string"
+)
+
+
+def read_routed(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_routed`` has written so far."""
+    return spark.read.schema(ROUTED).json(path)
+
+
+def retry_tasks(spark: SparkSession, path: str, answers: DataFrame) -> DataFrame:
+    """T10. The waiting messages once more, with the answers recorded by now."""
+    waiting = read_routed(spark, path).filter("queue = 'retry'").select(F.col("message").alias("value"))
+    return answer_tasks(waiting, answers)
+
+
 def windowed_parts(metrics: DataFrame, seconds: int = 300, lateness: str = LATENESS, rank_k: int = RANK_K) -> DataFrame:
     """T1 as a stream with state: the merging rows of tumbling windows. ``combined`` makes windows of any multiple of them."""
     timed = metrics.withWatermark("ts", lateness)

@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from answerloom.fixed import wording
+from answerloom.fixed import templates
+from answerloom.functions import json_text
 from answerloom.operators import knowledge, respond
 from answerloom.plans import datasets
 from answerloom.sources import files
@@ -206,10 +207,56 @@ def test_judge(spark):
         return json.dumps({"score": 4.5, "rationale": str(len(text))})
 
     got = {r.prompt[:4]: r for r in respond.judge(df, fn).collect()}
-    assert got["qqqq"].score == 4.5 and got["qqqq"].rationale == str(500 + 3000 + len(wording.JUDGE_HEAD + wording.JUDGE_MIDDLE + wording.JUDGE_TAIL))
+    assert got["qqqq"].score == 4.5 and got["qqqq"].rationale == str(500 + 3000 + len(templates.JUDGE.replace("${question}", "").replace("${response}", "")))
     assert got["fail"].score == 3.0 and got["fail"].rationale == "Error: " + "x" * 50
 
 
+def test_prompts_are_asked_once(spark):
+    """Recorded answers first, then each other prompt once, however often it stands there; the judge likewise."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def fn(text):
+        asked.add(1)
+        if "bad" in text:
+            raise RuntimeError("lost")
+        return "raw " + text
+
+    rows = [(i, p) for i, p in enumerate(["a", "b", "bad", "", None, "known", "fails"] * 30)]
+    df = spark.createDataFrame(rows, "id int, prompt string").repartition(5)
+    known = spark.createDataFrame([("known", "kept", 1.0, None), ("fails", None, None, "was lost")], "p string, raw string, latency_ms double, error string")
+    known = known.select(respond.prompt_key(F.col("p")).alias("prompt_key"), "raw", "latency_ms", "error")
+    got = respond.ask_once(df, fn, known)
+    want = {"a": ("raw a", None), "b": ("raw b", None), "bad": (None, "lost"), "": (None, None), None: (None, None), "known": ("kept", None), "fails": (None, "was lost")}
+    for _ in range(2):
+        assert {r.prompt: (r.raw, r.error) for r in got.collect()} == want and got.count() == len(rows)
+    assert asked.value == 3
+    assert {r.error for r in respond.answer_from(df.filter("prompt in ('a', 'known')"), known).collect()} == {None, respond.NO_ANSWER}
+    forms = spark.createDataFrame([("q", "r", "a")] * 20 + [("bad", "r", "a")] * 5, "prompt string, reasoning string, answer string")
+    asked.value = 0
+    judged = respond.judge(forms, fn=lambda text: fn(text) and '{"score": 2, "rationale": "so"}')
+    assert {(r.prompt, r.score, r.rationale) for r in judged.collect()} == {("q", 2.0, "so"), ("bad", 3.0, "Error: lost")} and asked.value == 2
+    silent = respond.judge(forms, recorded=known)
+    assert {(r.score, r.judge_error) for r in silent.collect()} == {(None, respond.NO_ANSWER)}
+
+
+JSONS = [
+    {}, [], {"a": []}, {"a": {}, "b": [1, 2.5, -3, 0.001, 1e6]}, {"users": 500, "compliance": ["HIPAA", "PCI-DSS"], "deep": {"x": [{"y": None}, True, False]}},
+    {"quote": 'say "hi"', "it's": "it's", "both": "it's \"so\"", "lines": "a\nb\tc\\d", "é": "日本 ü 🙂", "brackets": "[{,:}]", "empty": ""}, [[[]], [{}]], {"n": 12345678901234567890},
+]
+
+
+def test_json_texts(spark):
+    texts = [json.dumps(x, ensure_ascii=e, separators=s) for x in JSONS for e in (True, False) for s in ((",", ":"), (" , ", " : "))]
+    df = spark.createDataFrame([(t,) for t in texts] + [("plain text",), ("",), (None,), ('{"broken"',)], "t string")
+    for r in df.select("t", json_text.indented_json(F.col("t")).alias("i"), json_text.python_text(F.col("t")).alias("p")).collect():
+        try:
+            value = json.loads(r.t)
+        except (ValueError, TypeError):
+            assert (r.i, r.p) == (r.t, r.t)
+        else:
+            assert r.i == json.dumps(value, indent=2) and r.p == str(value)
+
+
 def test_knowledge_file_of_several_lines_is_one_document(spark, tmp_path):
     (tmp_path / "cost_benchmarks.json").write_text('{\n "a": {\n  "b": 1\n }\n}\n')
     rows = files.read_knowledge(spark, str(tmp_path), ["cost_benchmarks"]).collect()

@@ -121,3 +121,28 @@ def test_intake(spark, tmp_path):
     batch = service.answer_tasks(spark.read.text(str(inbox)), responder)
     keep = lambda r: (r.task_id, r.status, r.answer, r.confidence)
     assert sorted(map(keep, batch.collect())) == sorted(map(keep, rows.values()))
+
+
+def test_messages_wait_for_answers(spark, tmp_path):
+    """A stream joined with recorded answers; what has none yet is tried again once it is there."""
+    from answerloom.operators import respond
+
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    for i in range(6):
+        (inbox / f"{i}.json").write_text(json.dumps({"task_id": f"t{i}", "payload": {"type": "review", "context": {"note": i % 3}}}) + "\n")
+    messages = spark.read.text(str(inbox))
+    every = service.asked_tasks(messages).select("model_prompt").distinct().select(
+        "model_prompt", respond.prompt_key(F.col("model_prompt")).alias("prompt_key"), F.concat(F.lit("<think>Step 1: x</think>ok"), F.md5("model_prompt")).alias("raw"),
+        F.lit(2.0).alias("latency_ms"), F.lit(None).cast("string").alias("error"),
+    )
+    some = every.filter(~F.contains("model_prompt", F.lit("{'note': 2}")))
+    some.write.parquet(str(tmp_path / "answers"))
+    answers = service.answer_tasks(service.read_tasks(spark, str(inbox), files_per_trigger=2), spark.read.parquet(str(tmp_path / "answers")))
+    out = str(tmp_path / "out")
+    service.write_routed(answers, out, str(tmp_path / "cp")).awaitTermination()
+    routed = {r.task_id: r for r in service.read_routed(spark, out).collect()}
+    assert {k for k, r in routed.items() if r.queue == "retry"} == {"t2", "t5"} and len(routed) == 6
+    assert routed["t0"].answer == routed["t3"].answer and routed["t2"].status == "waiting"
+    again = {r.task_id: r for r in service.retry_tasks(spark, out, every).collect()}
+    assert set(again) == {"t2", "t5"} and all(r.status == "success" and r.queue != "retry" for r in again.values())
