@@ -1114,7 +1114,7 @@ def s3_prompt_files(spark, d):
     )
     path = work_folder(spark)
     turns.select(line.alias("value")).write.text(path)
-    return files.read_prompts_json(spark, path).select("id", "category", F.md5("prompt").alias("prompt_md5"))
+    return files.read_distinctjson(spark, path).select("id", "category", F.md5("prompt").alias("prompt_md5"))
 
 
 @query
@@ -1124,7 +1124,7 @@ def s4_prompt_tables(spark, d):
     path = work_folder(spark)
     shown = F.concat(F.lit('say "'), F.col("text"), F.lit('", please'))
     docs.select(F.col("doc_id").alias("id"), shown.alias("question")).write.option("header", True).option("escape", '"').csv(path)
-    return files.read_prompts_csv(spark, path).select("id", "category", F.md5("prompt").alias("prompt_md5"))
+    return files.read_distinctcsv(spark, path).select("id", "category", F.md5("prompt").alias("prompt_md5"))
 
 
 @query
@@ -1163,13 +1163,17 @@ def s9_enough_rows(spark, d):
 
 
 def recorded_answers(messages: DataFrame) -> DataFrame:
-    """Answers recorded for the prompts of messages: an echo, an error for link faults, none for reviews."""
-    asked = service.asked_tasks(messages).filter("type <> 'review' and model_prompt is not null").select("model_prompt").distinct()
+    """A table of answers recorded for the prompts of messages: an echo, an error for link faults, none for reviews."""
+    spark = messages.sparkSession
+    asked, kept = work_folder(spark), work_folder(spark)
+    service.asked_tasks(messages).filter("type <> 'review'").select("model_prompt").write.parquet(asked)
+    distinct = spark.read.parquet(asked).filter("model_prompt is not null").distinct()
     lost = F.contains("model_prompt", F.lit("Symptom: link"))
-    return asked.select(
+    distinct.select(
         respond.prompt_key(F.col("model_prompt")).alias("prompt_key"), F.when(~lost, F.concat(F.lit("<think>Step 1: read.</think>"), "model_prompt")).alias("raw"),
         F.lit(1.0).alias("latency_ms"), F.when(lost, "device lost").alias("error"),
-    )
+    ).write.parquet(kept)
+    return spark.read.parquet(kept)
 
 
 def routed_columns(answers: DataFrame) -> DataFrame:
@@ -1190,10 +1194,9 @@ def t10_x2_task_intake(spark, d):
 def t10_stream_intake(spark, d):
     """The same as a stream over files of messages, joined with a table of recorded answers and written by queue."""
     messages = inputs.task_messages(spark, d).select("value")
-    inbox, kept, out = work_folder(spark), work_folder(spark), work_folder(spark)
+    inbox, out = work_folder(spark), work_folder(spark)
     messages.write.text(inbox)
-    recorded_answers(messages).write.parquet(kept)
-    answers = service.answer_tasks(service.read_tasks(spark, inbox), spark.read.parquet(kept))
+    answers = service.answer_tasks(service.read_tasks(spark, inbox), recorded_answers(messages))
     service.write_routed(answers, out, work_folder(spark)).awaitTermination()
     return routed_columns(service.read_routed(spark, out))
 
