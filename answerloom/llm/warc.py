@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.session import work_folder
-from answerloom.llm.tables import stored
+from answerloom.llm.tables import partitions, stored
 
 MAGIC = b"\x1f\x8b\x08"
 #: Fixed values of the format.
@@ -23,6 +23,8 @@ VERSION, PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identic
 PAGE_URN = "urn:page:"
 #: Bytes read from a file at once, and given to the decoder at once.
 READ_BYTES, FEED_BYTES = 1 << 20, 1 << 14
+#: Reading tasks of an archive, at most, for each partition of the shuffle width.
+TASKS_PER_PARTITION = 8
 
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -212,5 +214,7 @@ def read_archives(files: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
                     if held:
                         yield pa.RecordBatch.from_pylist(held, schema)
 
-    # Ranges are dealt out one by one: a range is much work and little data.
-    return ranges.repartition("path", "start").mapInArrow(read, RECORD)
+    # A range is much work and little data: the number of tasks is stated, as partitions of so few bytes would be merged.
+    n_ranges = files.agg(F.sum(F.ceil(F.greatest(F.col("size"), F.lit(1)) / split_bytes))).first()[0] or 1
+    tasks = min(int(n_ranges), TASKS_PER_PARTITION * partitions(files.sparkSession))
+    return ranges.repartition(tasks, "path", "start").mapInArrow(read, RECORD)
