@@ -143,18 +143,33 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "do
             "copies": pa.array([copies] * n, pa.int32()), "k": pa.array(range(n), pa.int32()), "text": pa.array(pieces, pa.string()),
         })
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [*batch.schema.names[:-1], "k", "chunk"]
+            for i in range(batch.num_rows):
+                whole = batch.column("text")[i].as_py()
+                starts = range(0, len(whole), chunk_chars)
+                for a in range(0, len(starts), 64):
+                    some = starts[a : a + 64]
+                    same = [pa.array([batch.column(c)[i].as_py()] * len(some), batch.column(c).type) for c in range(batch.num_columns - 1)]
+                    chunks = [whole[x : x + chunk_chars + overlap_chars] for x in some]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(range(a, a + len(some)), pa.int32()), pa.array(chunks, pa.string())], names)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                parts, copies = batch.column("parts")[i].as_py(), batch.column("copies")[i].as_py()
+                joined = [pa.array([b"".join(p[name] for p in parts)] * copies, pa.binary()) for name in ("ids", "decoded")]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("doc_id")[i].as_py()] * copies, batch.column("doc_id").type), *joined], ["doc_id", "ids", "decoded"])
+
     kind = dict(source.dtypes)["doc_id"]
     long = F.char_length("text") > chunk_chars
     short = source.filter(~long).mapInArrow(encode, f"doc_id {kind}, ids binary, decoded binary")
-    spans = F.sequence(F.lit(0), F.expr(f"cast((char_length(text) - 1) div {chunk_chars} as int)"))
     row = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text"), 256).alias("row")
-    chunks = source.filter(long).select(row, "doc_id", "text", F.explode(spans).alias("k")).select(
-        "row", "doc_id", "k", F.substring("text", F.col("k") * chunk_chars + 1, F.lit(chunk_chars + overlap_chars)).alias("chunk")
-    )
+    chunks = source.filter(long).select(row, "doc_id", "text").mapInArrow(cut, f"row string, doc_id {kind}, k int, chunk string")
     scanned = chunks.repartition("row", "k").mapInArrow(scan, f"row string, doc_id {kind}, k int, chunk string, ends binary")
     pieces = scanned.groupBy("row").applyInArrow(stitch, f"row string, doc_id {kind}, copies int, k int, text string")
     encoded = pieces.repartition("row", "k").mapInArrow(encode, f"row string, doc_id {kind}, copies int, k int, ids binary, decoded binary")
-    put = lambda name: F.expr(f"aggregate(transform(parts, p -> p.{name}), cast('' as binary), (a, b) -> concat(a, b))").alias(name)
     joined = encoded.groupBy("row", "doc_id", "copies").agg(F.sort_array(F.collect_list(F.struct("k", "ids", "decoded"))).alias("parts"))
-    long_rows = joined.select("doc_id", put("ids"), put("decoded"), F.explode(F.expr("sequence(1, copies)"))).drop("col")
+    long_rows = joined.select("doc_id", "copies", "parts").mapInArrow(put, f"doc_id {kind}, ids binary, decoded binary")
     return short.unionByName(long_rows).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
