@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.llm.tables import partitions, stored, text_or_empty
+from answerloom.llm.tables import dealt, partitions, pieces, stored, text_or_empty
 
 WHITE_RUN = "[\\x20\\x09-\\x0D]+"
 #: Fingerprints of one filter; a partition with more of them builds several.
@@ -55,12 +55,11 @@ class QuotientFilter:
     @staticmethod
     def merged(filters: Iterable[QuotientFilter]) -> tuple[np.ndarray, np.ndarray]:
         """All fingerprints of several filters, sorted, with their counts added up."""
-        parts = [f.items() for f in filters]
-        keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        return keys[first], np.add.reduceat(counts, first)
+        # Two sorted runs merge by where each entry falls in the other, neighbours first.
+        runs = [f.items() for f in filters]
+        while len(runs) > 1:
+            runs = [_merged(*runs[k : k + 2]) if k + 1 < len(runs) else runs[k] for k in range(0, len(runs), 2)]
+        return runs[0]
 
     def to_bytes(self) -> bytes:
         """Remainders in whole bytes; counts in one byte each, those of 255 or more in full at the end."""
@@ -91,6 +90,16 @@ class QuotientFilter:
         return cls(bits, base, occupied, run_end, remainder.view("<u8").reshape(-1).astype(np.uint64), count)
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs of distinct keys and counts as one; equal keys add up."""
+    at = np.searchsorted(a[0], b[0])
+    same = at < len(a[0])
+    same[same] = a[0][at[same]] == b[0][same]
+    counts = a[1].copy()
+    counts[at[same]] += b[1][same]
+    return np.insert(a[0], at[~same], b[0][~same]), np.insert(counts, at[~same], b[1][~same])
+
+
 def _filters(buckets: int):
     """Fingerprint rows to filters, cut at equal ranges of quotients."""
     from answerloom.llm.arrays import bucket_cuts
@@ -121,15 +130,15 @@ def _repeated(group: pa.Table) -> pa.Table:
     return pa.table({"fingerprint": keys[counts > 1].view(np.int64)})
 
 
-def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
+def repeated_fingerprints(fingerprints: DataFrame, ranges: int | None = None) -> DataFrame:
     """Of a one-column table of 64-bit fingerprints, those that occur more than once.
 
     Every partition builds counting quotient filters; their pieces meet by range of quotients. A
     fingerprint that a third of all rows share is one entry of each filter.
     """
-    buckets = partitions(fingerprints.sparkSession)
-    pieces = fingerprints.mapInArrow(_filters(buckets), "bucket int, filter binary")
-    return pieces.groupBy("bucket").applyInArrow(_repeated, "fingerprint long")
+    buckets = ranges or partitions(fingerprints.sparkSession)
+    filters = fingerprints.mapInArrow(_filters(buckets), "bucket int, filter binary")
+    return filters.groupBy("bucket").applyInArrow(_repeated, "fingerprint long")
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,12 +159,13 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             "doc_id", F.xxhash64("normal").alias("fingerprint"), F.sha2("normal", 256).alias("text_sha256")
         )
     )
-    repeated = repeated_fingerprints(narrow.select("fingerprint"))
+    repeated = repeated_fingerprints(narrow.select("fingerprint"), pieces(docs, partitions(docs.sparkSession)))
     # Rows whose text has to be compared, by id and digest: no key here is shared by many rows of one side.
     suspects = stored(narrow.join(repeated, "fingerprint", "left_semi").select("doc_id", "text_sha256"))
-    ids = suspects.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().hint("shuffle_hash")
+    n = pieces(docs, 1)
+    ids = dealt(suspects.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct(), n, "doc_id").hint("shuffle_hash")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("raw"))
-    texts = texts.filter(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi").unionByName(texts.filter(F.col("doc_id").isNull()))
+    texts = dealt(texts.filter(F.col("doc_id").isNotNull()), n, "doc_id").join(ids, "doc_id", "left_semi").unionByName(texts.filter(F.col("doc_id").isNull()))
     compared = (
         texts.select("doc_id", F.regexp_replace(F.coalesce(F.col("raw").cast("string"), F.lit("")), WHITE_RUN, " ").alias("normal"))
         .groupBy("normal").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

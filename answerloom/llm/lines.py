@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerloom.llm.tables import rest, stored, text_or_empty
+from answerloom.llm.tables import dealt, pieces, rest, stored, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,7 +60,8 @@ def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     bitmaps = words.groupBy("doc_id", "digest").agg(
         F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"), F.sum(F.bit_count("bits")).alias("n_dropped")
     )
-    left, right = source.alias("s"), bitmaps.hint("shuffle_hash").alias("b")
+    n = pieces(docs, 1)
+    left, right = dealt(source, n, "doc_id", "digest").alias("s"), dealt(bitmaps, n, "doc_id", "digest").hint("shuffle_hash").alias("b")
     met = left.join(right, F.col("s.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("s.digest") == F.col("b.digest")), "left")
     kept = F.expr(
         "array_join(filter(split(s.text, '\\n', -1), (line, i) -> "

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from answerloom.llm.arrays import Words, bucket_cuts, joined, mix, pack_sorted, row_slices, run_hashes, unpack_sorted
 from answerloom.llm.components import connected_components
-from answerloom.llm.tables import in_shards, partitions, stored
+from answerloom.llm.tables import in_shards, partitions, pieces, stored
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 #: How much more a shingle of one document weighs than one of all. Among copies of a large group the
@@ -394,9 +394,10 @@ def _verified(threshold: float):
 def near_duplicate_links(docs: DataFrame, doc_id: str, text: str, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rep): each document and the least id with the same words; (a, b, similarity): verified links of such ids."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    shards = pieces(docs, 2 * partitions(spark))
+    buckets = shards // 2
     n_docs = docs.filter(F.col(doc_id).isNotNull()).count()
-    grouped = in_shards(docs, doc_id, text, 2 * buckets).groupBy("shard")
+    grouped = in_shards(docs, doc_id, text, shards).groupBy("shard")
     sent = grouped.applyInArrow(_frequency_rows(k, buckets), "bucket int, shard int, keys binary, counts binary")
     counts = stored(sent.groupBy("bucket").applyInArrow(_document_frequencies, "shard int, bucket int, counts binary"))
     signed = stored(grouped.cogroup(counts.groupBy("shard")).applyInArrow(
@@ -422,7 +423,7 @@ def near_duplicate_links(docs: DataFrame, doc_id: str, text: str, threshold: flo
     in_large = keys.join(shared.filter(F.col("n") > ALL_PAIRS).select("key"), "key").select("doc_id").distinct()
     asked = counts.withColumn("doc_id", F.lit(None).cast("long"))
     for mark, ids in ((-1, ends), (-2, in_large)):
-        wanted = in_shards(ids.withColumn("text", F.lit("")), "doc_id", "text", 2 * buckets)
+        wanted = in_shards(ids.withColumn("text", F.lit("")), "doc_id", "text", shards)
         asked = asked.unionByName(wanted.select("shard", F.lit(mark).alias("bucket"), F.lit(None).cast("binary").alias("counts"), "doc_id"))
     vectors = stored(grouped.cogroup(asked.groupBy("shard")).applyInArrow(
         _vector_rows(k, buckets, n_docs, threshold), "doc_id long, vector binary, weight double, prefix array<int>, reach array<double>"

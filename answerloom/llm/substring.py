@@ -1,4 +1,4 @@
-"""Passages that recur across documents: confirmed by digests, located by Aho-Corasick automata, removed after their first place."""
+"""Passages that recur across documents: confirmed and located by digests, located again by Aho-Corasick automata, removed after their first place."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from answerloom.llm.arrays import (
     Words, bucket_cuts, mix, pack_sorted, positions_in, row_slices, run_hashes, sliding, unpack_sorted,
 )
-from answerloom.llm.tables import in_shards, partitions, rest, text_or_empty
+from answerloom.llm.tables import in_shards, partitions, pieces, rest, text_or_empty
 
 #: Words of a passage, and of the shorter runs by which recurring passages are first looked for.
 PASSAGE_WORDS, ANCHOR_WORDS = 20, 8
@@ -288,30 +288,30 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str
     id, or before in its own. Runs are judged on the input. Kept words are joined by one space, or
     with ``separators="original"`` by the white space that stood between them.
 
-    Documents lie in shards by a hash of their id, as many as twice the shuffle width. (1) Each shard sends the
+    Documents lie in shards by a hash of their id, as many as twice the shuffle width or as the input's size asks for. (1) Each shard sends the
     anchors of its windows - of each window's runs of ``anchor`` words the one with the least hash -
     and learns which recur anywhere. (2) Windows around those are confirmed by 96-bit digests, and each
-    shard learns the first place of every one that has an earlier place. (3) Each shard compiles the passages
-    these make to automata, a slice of documents at a time, and streams the slice's documents through
-    them. What a shard sends is distinct, so a passage in a third of all documents is one entry a shard.
+    shard learns the first place of every one that has an earlier place. (3) A slice of a shard's documents at a time, the passages
+    these make are compiled to an automaton and the slice's documents stream through it, which repeats what the digests located. What a shard sends is distinct, so a passage in a third of all documents is one entry a shard.
 
     Null text has no words. Repeated rows of one id don't count as earlier than each other. Rows
     without an id are neither searched nor changed. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    shards = pieces(docs, 2 * partitions(spark))
+    buckets = shards // 2
     words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
     kept = F.array_join(words, " ") if separators == "space" else F.col("text")
     whole = docs.filter(F.col(doc_id).isNull()).select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), *rest(carry)).select(
         "doc_id", F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), kept.alias("kept_text"), *(["rest"] if carry else [])
     )
-    grouped = in_shards(docs, doc_id, text, 2 * buckets).groupBy("shard")
+    grouped = in_shards(docs, doc_id, text, shards).groupBy("shard")
     anchors = grouped.applyInArrow(_anchor_rows(window, anchor, buckets), "bucket int, shard int, keys binary, many binary")
     recurring = anchors.groupBy("bucket").applyInArrow(_recurring_anchors, "shard int, bucket int, keys binary")
     candidates = grouped.cogroup(recurring.groupBy("shard")).applyInArrow(
         _window_rows(window, anchor, buckets), "bucket int, shard int, high binary, low binary, doc binary, pos binary, many binary"
     )
     confirmed = candidates.groupBy("bucket").applyInArrow(_first_places, "shard int, bucket int, high binary, low binary, doc binary, pos binary")
-    carried = in_shards(docs, doc_id, text, 2 * buckets, carry).groupBy("shard") if carry else grouped
+    carried = in_shards(docs, doc_id, text, shards, carry).groupBy("shard") if carry else grouped
     cleaned = carried.cogroup(confirmed.groupBy("shard")).applyInArrow(_cleaned(window, anchor, separators, whole.columns), whole.schema)
     return cleaned.unionByName(whole)

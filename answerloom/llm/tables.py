@@ -29,7 +29,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def partitions(spark: SparkSession) -> int:
-    """The cluster's shuffle width; what is cut into pieces is cut by it, so pieces keep their size as the input grows."""
+    """The cluster's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -45,6 +45,11 @@ def pieces(df: DataFrame, least: int) -> int:
     return max(least, -(-known // piece))
 
 
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``df`` in ``n`` partitions by ``keys`` if that is more than the shuffle width, so that a partition of a hash join stays bounded."""
+    return df.repartition(n, *keys) if n > partitions(df.sparkSession) else df
+
+
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

@@ -217,3 +217,58 @@ def test_packing_ids_equal_the_tokenizer_by_default():
     texts = ["a document <|endoftext|> then more", "x<|startoftext|>y.<|endoftext|>", "<|ENDOFTEXT|> <|end oftext|>", "don't<|endoftext|>'s stop!! <|endoftext|>."]
     ids, lengths = word_ids(path, 2).encode(pa.array(texts))
     assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [[*fresh.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+
+
+@pytest.mark.parametrize("end", [" ", "", "\n"])
+def test_long_spans_are_hashed_in_linear_time(end):
+    """A line or word of 20 MB costs about what the same bytes cost in short ones; equal spans have equal hashes wherever they stand."""
+    import time
+
+    from answerloom.llm.arrays import BLOCK_BYTES, Words, span_hashes
+
+    piece = ("x" * 9 + end) * (2 << 20)
+    begun = time.perf_counter()
+    words = Words.of(pa.array([piece, "a " + piece]))
+    hashes = words.hashes()
+    assert time.perf_counter() - begun < 5
+    if not end:
+        assert len(hashes) == 3 and hashes[0] == hashes[2] != hashes[1]
+    data = np.frombuffer(bytes(np.random.default_rng(1).integers(0, 256, 5 * BLOCK_BYTES, np.uint8)) * 2 + b"\0" * 8, np.uint8)
+    for n in (0, 1, BLOCK_BYTES - 1, BLOCK_BYTES, BLOCK_BYTES + 1, 3 * BLOCK_BYTES, 5 * BLOCK_BYTES):
+        one, two, other = span_hashes(data, np.array([0, 5 * BLOCK_BYTES, 1]), np.array([n, n, n]))
+        assert one == two and (n == 0 or one != other)
+    swapped = np.concatenate([data[BLOCK_BYTES : 2 * BLOCK_BYTES], data[:BLOCK_BYTES], data[-8:]])
+    assert span_hashes(swapped, np.array([0]), np.array([2 * BLOCK_BYTES]))[0] != span_hashes(data, np.array([0]), np.array([2 * BLOCK_BYTES]))[0]
+
+
+def test_long_texts_in_linear_time(spark):
+    """Statistics, passages and tokens of one text without a line end or blank."""
+    import time
+
+    from answerloom.llm.bytebpe import encode_documents
+    from answerloom.llm.substring import remove_repeated_passages
+    from answerloom.llm.tokengroups import jaccard_components
+
+    def seconds(n, df_of):
+        text = spark.createDataFrame([(1, "ab1 " * 10)], "doc_id long, text string").selectExpr("doc_id", f"repeat('ab1xyz', {n}) as text")
+        begun = time.perf_counter()
+        df_of(text).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - begun
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    spaced = lambda df: df.withColumn("text", F.replace("text", F.lit("1"), F.lit("1 ")))
+    coded = lambda df: encode_documents(spaced(df), path, P.PATTERN)
+    seconds(1000, coded)
+    one, two = seconds(1 << 19, coded), seconds(1 << 20, coded)
+    assert two < 3 * one + 2
+    for op in (remove_repeated_passages, jaccard_components):
+        assert seconds(3 << 20, op) < 20
+
+
+def test_archives_are_read_by_many_tasks(spark):
+    from answerloom.llm.warc import read_archives, write_archives
+
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 20).alias("html"))
+    records = read_archives(write_archives(pages.repartition(4), file_bytes=64 << 10), split_bytes=8 << 10)
+    tasks = records.withColumn("task", F.spark_partition_id()).groupBy("task").count().count()
+    assert records.count() == 3000 and tasks >= 8
