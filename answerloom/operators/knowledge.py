@@ -253,7 +253,7 @@ def place_entries(new: DataFrame, known: DataFrame) -> DataFrame:
     ).drop("_found")
 
 
-def _of_categories(rows: DataFrame, known: list[str] | DataFrame | None, how: str) -> DataFrame:
+def of_categories(rows: DataFrame, known: list[str] | DataFrame | None, how: str) -> DataFrame:
     """Rows of known categories (left_semi) or of others (left_anti); ``known`` is a list, a table with the column category, or the six of the knowledge base."""
     if isinstance(known, DataFrame):
         return rows.join(known.select("category").distinct(), "category", how)
@@ -261,23 +261,22 @@ def _of_categories(rows: DataFrame, known: list[str] | DataFrame | None, how: st
     return rows.filter(listed if how == "left_semi" else ~listed)
 
 
-def upsert(base: DataFrame, new: DataFrame, known: list[str] | DataFrame | None = None) -> DataFrame:
+def upsert(base: DataFrame, new: DataFrame, known: list[str] | DataFrame | None = None, keep_seq: bool = False) -> DataFrame:
     """K6, K7. Latest entry per (category, section, key) of base and new rows, by ``added``.
 
     Both have (category, section, key, entry, source, added, seq); ``seq`` breaks ties. Entries
-    of unknown categories are rejected. Copies of one key combine on the map side. Write the
-    result as a new snapshot, see ``sources.snapshots``.
+    of unknown categories are rejected. Copies of one key combine on the map side. ``versions`` counts rows, or those that
+    a row of ``base`` stands for. ``sources.snapshots`` writes the result.
     """
-    rows = base.unionByName(_of_categories(new, known, "left_semi"))
+    counted = [df if "versions" in df.columns else df.withColumn("versions", F.lit(1).cast("bigint")) for df in (base, of_categories(new, known, "left_semi"))]
     last = F.max_by(F.struct("entry", "source", "added", "seq"), F.struct("added", "seq"))
-    return rows.groupBy("category", "section", "key").agg(last.alias("e"), F.count(F.lit(1)).alias("versions")).select(
-        "category", "section", "key", "e.entry", "e.source", "e.added", "versions"
-    )
+    merged = counted[0].unionByName(counted[1]).groupBy("category", "section", "key").agg(last.alias("e"), F.sum("versions").alias("versions"))
+    return merged.select("category", "section", "key", "e.entry", "e.source", "e.added", *(["e.seq"] if keep_seq else []), "versions")
 
 
 def rejected(new: DataFrame, known: list[str] | DataFrame | None = None) -> DataFrame:
     """K6. Rows of categories that do not exist."""
-    return _of_categories(new, known, "left_anti")
+    return of_categories(new, known, "left_anti")
 
 
 def manual_entry(value: Column, source: Column, added: Column) -> Column:

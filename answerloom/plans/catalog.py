@@ -16,7 +16,7 @@ from answerloom.operators import (
 from answerloom.operators.reports import score_summary, top_counts
 from answerloom.plans import datasets, inputs
 from answerloom.session import work_folder
-from answerloom.sources import files, schemas
+from answerloom.sources import files, schemas, snapshots
 from answerloom.streaming import service
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -541,8 +541,11 @@ def batch_answers(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def s8_u2_batch_records(spark, d):
+    """Records written as lines, absent fields left out, and read back."""
+    path = work_folder(spark)
     records = respond.batch_records(batch_answers(spark, d))
-    return records.select(
+    files.write_batch(records, path)
+    return spark.read.schema(records.schema).json(path).select(
         "id", F.md5("prompt").alias("prompt_md5"), F.md5("answer").alias("answer_md5"), "error",
         real(F.col("latency_ms")).alias("latency_ms"), "has_think_block",
         whole(F.col("reasoning_steps")).alias("reasoning_steps"),
@@ -1114,7 +1117,7 @@ def s3_prompt_files(spark, d):
     )
     path = work_folder(spark)
     turns.select(line.alias("value")).write.text(path)
-    return files.read_distinctjson(spark, path).select("id", "category", F.md5("prompt").alias("prompt_md5"))
+    return files.read_prompts_json(spark, path).select("id", "category", F.md5("prompt").alias("prompt_md5"))
 
 
 @query
@@ -1124,7 +1127,7 @@ def s4_prompt_tables(spark, d):
     path = work_folder(spark)
     shown = F.concat(F.lit('say "'), F.col("text"), F.lit('", please'))
     docs.select(F.col("doc_id").alias("id"), shown.alias("question")).write.option("header", True).option("escape", '"').csv(path)
-    return files.read_distinctcsv(spark, path).select("id", "category", F.md5("prompt").alias("prompt_md5"))
+    return files.read_prompts_csv(spark, path).select("id", "category", F.md5("prompt").alias("prompt_md5"))
 
 
 @query
@@ -1157,6 +1160,79 @@ def s7_result_files(spark, d):
     )
 
 
+@query
+def s7_report_file(spark, d):
+    """A report written as one document and read back."""
+    path = work_folder(spark)
+    files.write_report(curate_statistics(spark, d), path)
+    return spark.read.schema("total bigint, think_block_rate double, avg_response_chars double, avg_reasoning_steps double").json(path)
+
+
+@query
+def s2_split_folders(spark, d):
+    """Samples written to a folder per split and read back from them."""
+    path, k = work_folder(spark), F.col("doc_id")
+    split = F.when(k % 10 < 8, "train").when(k % 10 == 8, "val").otherwise("test")
+    said = F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))
+    files.write_samples(inputs.table(spark, d, "documents").select(F.array(said).alias("messages"), split.alias("split")), path, split="split")
+    rows = spark.read.schema("messages array<struct<role:string,content:string>>, split string").json(path)
+    texts = F.col("messages")[0]["content"]
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(texts)).alias("chars"), F.min(F.md5(texts)).alias("least_md5"))
+
+
+@query
+def s6_knowledge_files(spark, d):
+    """One JSON file per category, those of other names left alone and missing ones empty, read and flattened."""
+    nation, folder = inputs.table(spark, d, "nation"), work_folder(spark)
+    names = ["design_patterns", "vendor_specifics", "notes"]
+    category = F.array(*[F.lit(n) for n in names])[(F.col("n_regionkey") % 3).cast("int")]
+    docs = nation.groupBy(category.alias("category")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))  # 25 nations
+    docs.select("category", F.to_json(F.struct("nations")).alias("value")).repartition("category").write.partitionBy("category").text(f"{folder}/parts")
+    store, of = snapshots.file_store(spark, folder)
+    store.mkdirs(of(f"{folder}/files"))
+    for name in names:
+        part = store.globStatus(of(f"{folder}/parts/category={name}/part-*"))[0].getPath()
+        store.rename(part, of(f"{folder}/files/{name}.json"))
+    read = files.read_knowledge(spark, f"{folder}/files")
+    per_file = knowledge.flatten(read).groupBy("category").agg(F.count(F.lit(1)).alias("leaves"), F.max(knowledge.leaf_text(F.col("node"))).alias("last"))
+    return read.select("category").join(per_file, "category", "left").select("category", F.coalesce("leaves", F.lit(0)).alias("leaves"), "last")
+
+
+@query
+def s11_scenario_cases(spark, d):
+    """A scenario file of one case per nation, written and read back."""
+    n, path = F.col("n_nationkey"), work_folder(spark)
+    given = F.struct(n.alias("users"), F.lower("n_name").alias("industry"))
+    case = F.struct(
+        F.concat(F.lit("case-"), n.cast("string")).alias("id"), F.col("n_name").alias("name"), F.when(n % 2 == 0, "troubleshooting").alias("type"), given.alias("input"),
+        F.array(F.col("n_name"), F.lit("OSPF")).alias("expected_keywords"), (n / 32).alias("min_confidence"), (n % 3 == 0).alias("requires_human_review"),
+    )
+    doc = inputs.table(spark, d, "nation").agg(F.struct(F.sort_array(F.collect_list(case)).alias("scenarios")).alias("d"))  # 25 nations
+    doc.select(F.to_json("d").alias("value")).coalesce(1).write.text(path)
+    rows = files.read_scenarios(spark, path)
+    return rows.select("id", "name", "type", F.col("input")["users"].alias("users"), F.col("input")["industry"].alias("industry"), listed(F.col("expected_keywords")).alias("keywords"), "min_confidence", "requires_human_review")
+
+
+@query
+def k6_snapshots(spark, d):
+    """Base entries and then updates in three parts, each a snapshot of its own; the last one is read."""
+    path, new = work_folder(spark), inputs.new_entries(spark, d)
+    snapshots.update_snapshot(inputs.base_entries(spark, d), path)
+    for part in range(3):
+        snapshots.update_snapshot(new.filter(F.col("seq") % 3 == part), path)
+    return snapshots.read_snapshot(spark, path).filter("category <> 'unlisted'").drop("seq")
+
+
+@query
+def k6_manual_entries(spark, d):
+    """Entries made by hand: objects keep their fields, other values go under a key."""
+    c = inputs.table(spark, d, "customer")
+    value = F.when(F.col("c_custkey") % 3 == 0, F.to_json(F.struct("c_name", "c_custkey"))).otherwise(F.to_json(F.array("c_name")))
+    entry = knowledge.manual_entry(value, F.col("c_mktsegment"), F.col("c_custkey"))
+    shown = {"source": "$._metadata.source", "added": "$._metadata.added", "name": "$.c_name", "value": "$.value"}
+    return c.select("c_custkey", *[F.get_json_object(entry, p).alias(k) for k, p in shown.items()])
+
+
 @query
 def s9_enough_rows(spark, d):
     return files.enough(inputs.table(spark, d, "documents"))

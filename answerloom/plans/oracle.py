@@ -889,6 +889,9 @@ fresh AS (SELECT ({_NAMES})[(n_regionkey + c_custkey % 6) % 6 + 1] AS category,
 ORACLE["k6_upsert"] = f"""WITH {_ENTRIES}, u AS (SELECT * FROM base UNION ALL SELECT * FROM fresh WHERE category <> 'unlisted')
 SELECT category, 'base' AS section, key, entry, source, added, versions FROM (SELECT *, count(*) OVER (PARTITION BY category, key) AS versions,
   row_number() OVER (PARTITION BY category, key ORDER BY added DESC, seq DESC) AS rn FROM u) WHERE rn = 1"""
+ORACLE["k6_snapshots"] = ORACLE["k6_upsert"].replace("SELECT * FROM base", "SELECT * FROM base WHERE category <> 'unlisted'")
+ORACLE["k6_manual_entries"] = """SELECT c_custkey, c_mktsegment AS source, c_custkey::VARCHAR AS added, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS name,
+  CASE WHEN c_custkey % 3 <> 0 THEN concat('["', c_name, '"]') END AS value FROM customer"""
 ORACLE["k6_place_entries"] = f"""WITH {_ENTRIES} SELECT category, CASE WHEN category = 'design_patterns' THEN 'topology_patterns' ELSE '' END AS section, count(*) AS n
 FROM fresh GROUP BY 1, 2"""
 ORACLE["k6_rejected"] = f"WITH {_ENTRIES} SELECT category, count(*) AS n FROM fresh WHERE category = 'unlisted' GROUP BY 1"
@@ -1020,6 +1023,14 @@ _SCORE = lambda c: f"round({c}, 6) AS {c}"
 ORACLE["s7_result_files"] = f"""WITH {SCORED} SELECT concat(conv_id, '-', turn) AS test_id, case_category AS category, overall_score, pass_fail,
   has_think_block AS has_think, reasoning_steps::BIGINT AS reasoning_steps, {_SCORE('keyword_score')}, {_SCORE('source_score')}, {_SCORE('confidence')},
   {_SCORE('latency_ms')}, {joined('kmissing')} AS missing FROM scored"""
+ORACLE["s7_report_file"] = ORACLE["curate_statistics"]
+ORACLE["s2_split_folders"] = """SELECT CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split, count(*) AS n,
+  sum(length(text))::BIGINT AS chars, min(md5(text)) AS least_md5 FROM documents GROUP BY 1"""
+ORACLE["s6_knowledge_files"] = """WITH c(category) AS (VALUES ('design_patterns'), ('troubleshooting_trees'), ('compliance_requirements'), ('vendor_specifics'), ('configuration_templates'), ('cost_benchmarks')),
+f AS (SELECT ['design_patterns', 'vendor_specifics', 'notes'][n_regionkey % 3 + 1] AS category, 2 * count(*) AS leaves, max(n_name) AS last FROM nation GROUP BY 1)
+SELECT category, coalesce(leaves, 0) AS leaves, last FROM c LEFT JOIN f USING (category)"""
+ORACLE["s11_scenario_cases"] = """SELECT concat('case-', n_nationkey) AS id, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'troubleshooting' ELSE 'design' END AS type,
+  n_nationkey::VARCHAR AS users, lower(n_name) AS industry, concat(n_name, '|OSPF') AS keywords, n_nationkey / 32.0::DOUBLE AS min_confidence, n_nationkey % 3 = 0 AS requires_human_review FROM nation"""
 ORACLE["s9_enough_rows"] = "SELECT least(count(*), 9000) AS rows_seen, count(*) >= 9000 AS enough FROM documents"
 ORACLE["s3_prompt_files"] = """SELECT concat(conv_id, '-', turn) AS id, CASE WHEN role = 'user' THEN 'asked' ELSE 'general' END AS category, md5(text) AS prompt_md5
 FROM conversations"""

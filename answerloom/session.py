@@ -39,13 +39,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
             if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             named = tempfile.mkdtemp(prefix="answerloom-checkpoint-")
-        sc.setCheckpointDir(named)
+            sc.setCheckpointDir(named)
+            deleted_at_exit(spark, named)
+        else:
+            sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+#: The folder of each application that holds its work folders.
+_WORK: dict[str, str] = {}
+
+
+def deleted_at_exit(spark: SparkSession, folder: str) -> None:
+    """Have an existing folder removed with all that is in it when the application ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def work_folder(spark: SparkSession) -> str:
-    """A new folder name beside the checkpoints, for tables a run writes and reads back."""
-    return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    """A new folder name beside the checkpoints, for tables a run writes and reads back; removed when the application ends."""
+    name = spark.sparkContext.applicationId
+    if name not in _WORK:
+        root = f"{checkpoint_dir(spark)}/work-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+        deleted_at_exit(spark, root)
+        _WORK[name] = root
+    return f"{_WORK[name]}/{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
