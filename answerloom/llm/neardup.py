@@ -61,9 +61,9 @@ def text_digests(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def inverse_frequency(df: np.ndarray, n_docs: int) -> np.ndarray:
-    """1 for a shingle of all documents, nearly 1 + IDF_SHARE for one of a single document, by the logarithm between."""
-    return 1 + IDF_SHARE * np.log((1 + n_docs) / (1 + np.minimum(df, n_docs))) / np.log(1 + max(n_docs, 1))
+def inverse_frequency(df: np.ndarray, n_docs: int, share: float = IDF_SHARE) -> np.ndarray:
+    """1 for a shingle of all documents, nearly 1 + ``share`` for one of a single document, by the logarithm between."""
+    return 1 + share * np.log((1 + n_docs) / (1 + np.minimum(df, n_docs))) / np.log(1 + max(n_docs, 1))
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -166,16 +166,16 @@ class Frequencies:
     def of(self, key: np.ndarray) -> np.ndarray:
         return self.df[np.searchsorted(self.keys, key >> np.uint64(8) << np.uint64(8))]
 
-    def weights(self, key: np.ndarray, tf: np.ndarray, n_docs: int) -> np.ndarray:
-        return tf * inverse_frequency(self.of(key), n_docs)
+    def weights(self, key: np.ndarray, tf: np.ndarray, n_docs: int, share: float) -> np.ndarray:
+        return tf * inverse_frequency(self.of(key), n_docs, share)
 
 
-def _signature_rows(k: int, buckets: int, n_docs: int):
+def _signature_rows(k: int, buckets: int, n_docs: int, share: float):
     def run(key: tuple, docs: pa.Table, counts: pa.Table) -> pa.Table:
         frequencies, out = Frequencies(docs, counts, k, buckets), []
         for part in row_slices(docs.to_batches(), "text"):
             row, shingle, tf, words = shingles(part.column("text"), k)
-            samples = weighted_samples(row, shingle, frequencies.weights(shingle, tf, n_docs), part.num_rows, BANDS * ROWS)
+            samples = weighted_samples(row, shingle, frequencies.weights(shingle, tf, n_docs, share), part.num_rows, BANDS * ROWS)
             d1, d2 = text_digests(words)
             bands = np.empty((part.num_rows, BANDS), np.uint64)
             for b in range(BANDS):
@@ -211,7 +211,7 @@ def rare_prefix(short: np.ndarray, weight: np.ndarray, df: np.ndarray, threshold
     return short[order][some], reach[some]
 
 
-def _vector_rows(k: int, buckets: int, n_docs: int, threshold: float):
+def _vector_rows(k: int, buckets: int, n_docs: int, threshold: float, share: float):
     """Wanted documents' shingles: 32 bits of each hash, sorted, and the weight as a logarithm in 16 bits; with bucket -2 also the rare prefix."""
     schema = pa.schema([("doc_id", pa.int64()), ("vector", pa.binary()), ("weight", pa.float64()), ("prefix", pa.list_(pa.int32())), ("reach", pa.list_(pa.float64()))])
 
@@ -227,7 +227,7 @@ def _vector_rows(k: int, buckets: int, n_docs: int, threshold: float):
         for part in row_slices(chosen.to_batches(), "text"):
             row, shingle, tf, _ = shingles(part.column("text"), k)
             short = (shingle >> np.uint64(32)).astype("<u4")  # still in order within a row
-            weight = np.minimum(np.log2(frequencies.weights(shingle, tf, n_docs)) * 2048, 65535).astype("<u2")
+            weight = np.minimum(np.log2(frequencies.weights(shingle, tf, n_docs, share)) * 2048, 65535).astype("<u2")
             first = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
             spans = list(zip(first, first[1:], strict=False))
             vectors = [short[a:z].tobytes() + weight[a:z].tobytes() for a, z in spans]
@@ -391,7 +391,7 @@ def _verified(threshold: float):
     return run
 
 
-def near_duplicate_links(docs: DataFrame, doc_id: str, text: str, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_links(docs: DataFrame, doc_id: str, text: str, threshold: float, k: int, idf_share: float = IDF_SHARE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rep): each document and the least id with the same words; (a, b, similarity): verified links of such ids."""
     spark = docs.sparkSession
     shards = pieces(docs, 2 * partitions(spark))
@@ -401,7 +401,7 @@ def near_duplicate_links(docs: DataFrame, doc_id: str, text: str, threshold: flo
     sent = grouped.applyInArrow(_frequency_rows(k, buckets), "bucket int, shard int, keys binary, counts binary")
     counts = stored(sent.groupBy("bucket").applyInArrow(_document_frequencies, "shard int, bucket int, counts binary"))
     signed = stored(grouped.cogroup(counts.groupBy("shard")).applyInArrow(
-        _signature_rows(k, buckets, n_docs), "doc_id long, d1 long, d2 long, bands array<long>, sketch binary"
+        _signature_rows(k, buckets, n_docs, idf_share), "doc_id long, d1 long, d2 long, bands array<long>, sketch binary"
     ))
     # Equal texts meet once, as the least id of them.
     reps = stored(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
@@ -426,7 +426,7 @@ def near_duplicate_links(docs: DataFrame, doc_id: str, text: str, threshold: flo
         wanted = in_shards(ids.withColumn("text", F.lit("")), "doc_id", "text", shards)
         asked = asked.unionByName(wanted.select("shard", F.lit(mark).alias("bucket"), F.lit(None).cast("binary").alias("counts"), "doc_id"))
     vectors = stored(grouped.cogroup(asked.groupBy("shard")).applyInArrow(
-        _vector_rows(k, buckets, n_docs, threshold), "doc_id long, vector binary, weight double, prefix array<int>, reach array<double>"
+        _vector_rows(k, buckets, n_docs, threshold, idf_share), "doc_id long, vector binary, weight double, prefix array<int>, reach array<double>"
     ).dropDuplicates(["doc_id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -439,14 +439,14 @@ def near_duplicate_links(docs: DataFrame, doc_id: str, text: str, threshold: flo
     return members, links.unionByName(verified(missed))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE_WORDS) -> DataFrame:
-    """One row per document: (doc_id, class_id, class_size, n_links, kept).
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE_WORDS, idf_share: float = IDF_SHARE) -> DataFrame:
+    """One row per document: (doc_id, class_id, class_size, kept).
 
     Texts are sets of ``k``-word shingles (case of A-Z aside), weighted by how often the text has them and by
     how few documents do. A link is a weighted Jaccard similarity of ``threshold`` or more; classes are what
     links and equal word sequences connect, ``class_id`` the least id in one, and that document is kept.
-    ``n_links`` counts the links to other texts that were verified to find the classes, on the least id of those with
-    the same words, else 0. In a large class that is fewer than it has: pairs connected already are not looked at.
+    A shingle of one document weighs up to 1 + ``idf_share`` times as much as one of all. The number of a document's links is
+    not returned: pairs that links connect already are not looked at.
 
     Document frequencies cover all documents: shards send packed distinct shingles to ranges of the hash
     space and get their counts back. Bands of samples make buckets. All pairs of a bucket of up to ``ALL_PAIRS``
@@ -460,15 +460,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     at all, like an empty one. Repeated rows of one id share a class. Rows without an id are each a class of their
     own, with a null ``class_id``. Other columns are ignored; an empty table gives an empty result.
     """
-    members, links = near_duplicate_links(docs, doc_id, text, threshold, k)
+    members, links = near_duplicate_links(docs, doc_id, text, threshold, k, idf_share)
     labels = connected_components(links).select(F.col("node").alias("rep"), "label")
-    degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_links"))
     classed = stored(members.join(labels, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id")))
     sizes = stored(classed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")))
-    known = classed.join(sizes, "class_id").join(degree, "doc_id", "left").select(
-        "doc_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("doc_id") == F.col("class_id")).alias("kept")
-    )
-    alone = docs.filter(F.col(doc_id).isNull()).select(
-        F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept")
-    )
+    known = classed.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    none = F.lit(None).cast("long")
+    alone = docs.filter(F.col(doc_id).isNull()).select(none.alias("doc_id"), none.alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return known.unionByName(alone)

@@ -212,3 +212,28 @@ def test_rare_prefixes_leave_out_no_link():
 def test_all_likely_pairs_of_a_small_block():
     links = block_links(np.arange(ALL_PAIRS), np.zeros((ALL_PAIRS, 56), np.uint8), 0.64)
     assert {tuple(x) for x in links.tolist()} == set(combinations(range(ALL_PAIRS), 2))
+
+
+@pytest.mark.parametrize("share", [0.2, 1.0])
+def test_recall_at_other_inverse_frequencies(spark, share):
+    """All pairs against brute force where inverse frequency counts a fifth, as by default, and in full."""
+    draw = random.Random(8)
+    words = [f"w{k}" for k in range(600)]
+    texts = {}
+    for i in range(0, 240, 2):
+        text = [draw.choice(words) for _ in range(120)]
+        texts[i] = " ".join(text)
+        for _ in range(draw.choice([0, 1, 2, 3, 4])):
+            text[draw.randrange(120)] = draw.choice(words)
+        texts[i + 1] = " ".join(text)
+    _, sets = shingle_counts(list(texts.items()))
+    n, df = len(texts), Counter(s for c in sets.values() for s in c)
+    weight = {i: {s: k * (1 + share * math.log((1 + n) / (1 + df[s])) / math.log(1 + n)) for s, k in c.items()} for i, c in sets.items()}
+    want = {i: i for i in texts}
+    for i in range(0, 240, 2):
+        a, b = weight[i], weight[i + 1]
+        common = sum(min(w, b[s]) for s, w in a.items() if s in b)
+        if common / (sum(a.values()) + sum(b.values()) - common) >= 0.8:
+            want[i + 1] = i
+    got = near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), idf_share=share).collect()
+    assert {r.doc_id: r.class_id for r in got} == want and 20 < sum(i != k for i, k in want.items()) < 120

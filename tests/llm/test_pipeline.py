@@ -53,3 +53,22 @@ def test_last_stage_returns_tokens(spark):
     for r in docs.collect():
         own = sorted((p.start, bytes(p.ids)) for p in pieces if p.doc_id == r.doc_id)
         assert b"".join(x for _, x in own) == coder.whole(r.text or "") + (2).to_bytes(4, "little")
+
+
+def test_stages_on_odd_rows(spark, documents, nothing):
+    """Nulls, empty and long texts, repeated rows, rows without an id, empty tables and columns of clashing names go through every stage."""
+    docs, columns = documents, documents.dtypes
+    for frame in (documents, nothing):
+        before = frame
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, before, SF)
+            assert [c for c in after.dtypes if c[0] != "n_chars"] == columns
+            if frame is nothing:
+                assert after.count() == 0
+            elif name in ("line dedup", "substring dedup"):  # no row goes
+                assert sorted(map(str, (r.doc_id for r in after.collect()))) == sorted(map(str, (r.doc_id for r in before.collect())))
+            elif name == "MinHash near-dedup":
+                assert after.filter("doc_id is null").count() == before.filter("doc_id is null").count()
+        pieces = corpus_pipeline.STAGES[-1][1](spark, frame, SF)
+        assert pieces.select("doc_id").distinct().count() == frame.select("doc_id").distinct().count()
+    assert docs.count() > 100

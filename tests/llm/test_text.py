@@ -272,3 +272,65 @@ def test_archives_are_read_by_many_tasks(spark):
     records = read_archives(write_archives(pages.repartition(4), file_bytes=64 << 10), split_bytes=8 << 10)
     tasks = records.withColumn("task", F.spark_partition_id()).groupBy("task").count().count()
     assert records.count() == 3000 and tasks >= 8
+
+
+def walked(forest, x):
+    """One row through every tree, node by node."""
+    total = forest.bias
+    for at in forest.root.tolist():
+        while forest.left[at] != at:
+            at = int(forest.left[at] if x[forest.feature[at]] <= forest.threshold[at] else forest.right[at])
+        total += forest.value[at]
+    return 1 / (1 + np.exp(-total))
+
+
+def statistics_of(text):
+    from answerloom.llm.features import matrix, with_statistics
+
+    (_, stats), = with_statistics(iter([pa.record_batch([pa.array([text])], ["text"])]), "text")
+    return matrix(stats)[0]
+
+
+def test_verdicts_are_those_of_the_trees(spark, documents, rows, labels):
+    """Scores against single walks through the nodes, on each document's own statistics; accuracy on labels that weren't learned."""
+    from answerloom.llm.features import FEATURES as NAMES
+    from answerloom.llm.quality import held_out, labelled_matrix
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = labels.filter(~held_out(F.col("doc_id")))
+    x, y = labelled_matrix(docs, known, "doc_id", "text", "quality", 20_000)
+    forest = trees.fit(x, y, np.array([-1 if name in FALLING else 0 for name in NAMES]))
+    judged = quality_rules(docs, known).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in judged:
+        want = walked(forest, statistics_of(texts[r.doc_id] or ""))
+        assert abs(r.score - want) < 1e-9 and r.kept == (not r.base_failed and want >= 0.5)
+    truth = {r.doc_id: r.quality for r in labels.filter(held_out(F.col("doc_id"))).collect()}
+    asked = [r for r in judged if r.doc_id in truth and not r.base_failed]
+    assert len(asked) > 10 and np.mean([r.kept == bool(truth[r.doc_id]) for r in asked]) >= 0.9
+
+
+def test_scores_are_those_of_dense_covariances(spark, labels):
+    """Log-densities row by row from the covariances themselves, without Cholesky factors."""
+    from answerloom.llm import discriminant
+    from answerloom.llm.quality import fitted, held_out, labelled_matrix
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    x, y = labelled_matrix(docs, labels.filter(~held_out(F.col("doc_id"))), "doc_id", "text", "quality", 20_000)
+    model = fitted(docs, labels, "doc_id", "text", "quality", 20_000)
+    z = discriminant.transformed(x)
+    centre, scale = z.mean(0), np.maximum(z.std(0), 1e-3)
+    z = (z - centre) / scale
+    own = [z[y == k] for k in (0, 1)]
+    spread = [np.cov(o.T, bias=True) for o in own]
+    pooled = sum(s * len(o) / len(z) for s, o in zip(spread, own, strict=True))
+    shrunk = [0.7 * s + 0.3 * pooled for s in spread]
+    shrunk = [0.9 * s + 0.1 * np.trace(s) / len(s) * np.eye(len(s)) for s in shrunk]
+    texts = {r.doc_id: r.text for r in docs.limit(60).collect()}
+    scores = {r.doc_id: r.score for r in quality_scores(docs, labels).collect()}
+    for i, text in texts.items():
+        v = (discriminant.transformed(statistics_of(text or "")) - centre) / scale
+        density = [-0.5 * np.linalg.slogdet(s)[1] - 0.5 * (v - o.mean(0)) @ np.linalg.solve(s, v - o.mean(0)) for s, o in zip(shrunk, own, strict=True)]
+        d = density[1] - density[0]
+        want = 1 / (1 + np.exp(-np.clip(model.slope * np.sign(d) * np.log1p(abs(d)) + model.shift, -40, 40)))
+        assert abs(scores[i] - want) < 1e-6
