@@ -1,9 +1,10 @@
-"""Passages that recur across documents: confirmed and located by digests, located again by Aho-Corasick automata, removed after their first place."""
+"""Passages that recur across documents: confirmed by digests, located by sharded Aho-Corasick automata, removed after their first place."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,10 @@ from answerloom.llm.tables import in_shards, partitions, pieces, rest, text_or_e
 PASSAGE_WORDS, ANCHOR_WORDS = 20, 8
 #: Distinct words up to which one character stands for a word in an automaton.
 ALPHABET = 1_000_000
+#: An automaton ends at so many words of passages, and so many words of documents are made a string at a time.
+AUTOMATON_WORDS, STREAM_WORDS = 1 << 19, 1 << 18
+#: What a shard says of a window: it stands at several places, always behind the same window, always before the same one.
+MANY, BEHIND_ONE, BEFORE_ONE = 1, 2, 4
 
 
 @dataclass
@@ -62,8 +67,8 @@ class Windows:
 
 
 def _slices(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """The shard's documents by id, in pieces; of repeated rows all."""
-    return row_slices(table.sort_by("doc_id").to_batches(), "text")
+    """The shard's documents by id and text, in pieces, so that all passes number its words alike; of repeated rows all."""
+    return row_slices(table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).to_batches(), "text")
 
 
 def _bytes(column: pa.ChunkedArray, kind: str) -> np.ndarray:
@@ -107,63 +112,101 @@ def _by_bucket(table: pa.Table) -> pa.Table:
     return table.sort_by("bucket")
 
 
+def _neighbours(found: Windows, high: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the windows one word before and after those at ``at``; 0 where their document has none."""
+    padded = np.zeros(len(high) + 2, np.uint64)
+    padded[1:-1] = np.where(found.inside, high, 0)
+    row = np.full(len(high) + 2, -1)
+    row[1:-1] = found.words.row[: len(high)]
+    before, after = padded[at], padded[at + 2]
+    return np.where(row[at] == row[at + 1], before, 0), np.where(row[at + 2] == row[at + 1], after, 0)
+
+
 def _window_rows(window: int, anchor: int, buckets: int):
-    """A shard's documents and recurring anchors to its candidate windows: digest, first place in the shard, more than one place."""
+    """A shard's documents and recurring anchors to its candidate windows: digest, first place and first word in the shard, and what ``flags`` say."""
 
     def run(key: tuple, docs: pa.Table, anchors: pa.Table) -> pa.Table:
         recurring = [unpack_sorted(k) for k in _by_bucket(anchors).column("keys").to_pylist()]
         recurring = np.concatenate(recurring) if recurring else np.empty(0, np.uint64)
-        parts: list[tuple[np.ndarray, ...]] = []
+        kinds = (np.uint64, np.uint32, np.int64, np.int32, np.uint32, np.uint64, np.uint64)
+        parts: list[tuple[np.ndarray, ...]] = [tuple(np.empty(0, kind) for kind in kinds)]
+        behind = 0
         for part in _slices(docs) if len(recurring) else ():
             found = Windows.of(part.column("text"), window, anchor)
             at = np.flatnonzero(found.inside)
             at = at[positions_in(recurring, mix(found.least[at])) >= 0]
             high, low = found.digests(window)
             ids = part.column("doc_id").to_numpy()
-            parts.append((high[at], low[at], ids[found.words.row[at]], found.position()[at].astype(np.int32)))
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32)]
-        order = np.argsort(columns[0], kind="stable")  # documents come by id, so the first of equal ones stays first
-        high, low, doc, pos = (c[order] for c in columns)
-        begin = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))) if len(high) else np.empty(0, np.int64)
-        many = np.diff(np.append(begin, len(high))) > 1
-        high, low, doc, pos = high[begin], low[begin], doc[begin], pos[begin]
+            parts.append((high[at], low[at], ids[found.words.row[at]], found.position()[at].astype(np.int32), (at + behind).astype(np.uint32), *_neighbours(found, high, at)))
+            behind += len(found.hashes)
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        del parts
+        order = np.lexsort((columns[1], columns[0]))  # documents come by id, so the first of equal ones stays first
+        high, low, doc, pos, at, before, after = (c[order] for c in columns)
+        fresh = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])) if len(high) else np.zeros(0, bool)
+        begin = np.flatnonzero(fresh)
+        count = np.diff(np.append(begin, len(high)))
+        head = np.repeat(begin, count)
+        flags = np.where(count > 1, MANY, 0)
+        for flag, side in ((BEHIND_ONE, before), (BEFORE_ONE, after)):
+            flags |= np.where(np.logical_and.reduceat(side == side[head], begin), flag, 0) if len(begin) else 0
+        high, low, doc, pos, at, flags = high[begin], low[begin], doc[begin], pos[begin], at[begin], flags.astype(np.uint8)
         cuts = bucket_cuts(high, buckets)
         rows = [(b, slice(i, j)) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
         binary = lambda f: pa.array([f(s) for _, s in rows], pa.binary())
         return pa.table({
             "bucket": pa.array([b for b, _ in rows], pa.int32()), "shard": pa.array([key[0].as_py()] * len(rows), pa.int32()),
             "high": binary(lambda s: pack_sorted(high[s])), "low": binary(lambda s: low[s].tobytes()), "doc": binary(lambda s: doc[s].tobytes()),
-            "pos": binary(lambda s: pos[s].tobytes()), "many": binary(lambda s: np.packbits(many[s]).tobytes()),
+            "pos": binary(lambda s: pos[s].tobytes()), "at": binary(lambda s: at[s].tobytes()), "flags": binary(lambda s: flags[s].tobytes()),
         })
 
     return run
 
 
 def _first_places(key: tuple, group: pa.Table) -> pa.Table:
-    """All shards' candidate windows of one range to, for each shard, those that have an earlier place for some occurrence in it."""
+    """All shards' candidate windows of one range to, for each shard, those that have an earlier place for some occurrence in it: where in the shard, and the first place."""
     parts = [unpack_sorted(k) for k in group.column("high").to_pylist()]
     sizes = [len(k) for k in parts]
-    high, low, doc, pos = np.concatenate(parts), _bytes(group.column("low"), np.uint32), _bytes(group.column("doc"), np.int64), _bytes(group.column("pos"), np.int32)
-    many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(group.column("many").to_pylist(), sizes, strict=True)]).astype(bool)
+    kinds = {"low": np.uint32, "doc": np.int64, "pos": np.int32, "at": np.uint32, "flags": np.uint8}
+    high, (low, doc, pos, at, flags) = np.concatenate(parts), (_bytes(group.column(c), kind) for c, kind in kinds.items())
     owner = np.repeat(np.arange(len(parts)), sizes)
     order = np.lexsort((pos, doc, low, high))
     fresh = np.append(True, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1]))
     first = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
     first_doc, first_pos = np.empty_like(doc), np.empty_like(pos)
     first_doc[order], first_pos[order] = doc[first], pos[first]
-    wanted = many | (first_doc != doc) | (first_pos != pos)
-    rows = [np.flatnonzero(wanted & (owner == k)) for k in range(len(parts))] if len(parts) < 8 else np.split(np.flatnonzero(wanted), np.searchsorted(owner[wanted], np.arange(1, len(parts))))
-    binary = lambda f: pa.array([f(r) for r in rows], pa.binary())
-    return pa.table({
-        "shard": group.column("shard"), "bucket": pa.array([key[0].as_py()] * len(parts), pa.int32()), "high": binary(lambda r: pack_sorted(high[r])),
-        "low": binary(lambda r: low[r].tobytes()), "doc": binary(lambda r: first_doc[r].tobytes()), "pos": binary(lambda r: first_pos[r].tobytes()),
-    })
-
-
-def _as_text(hashes: np.ndarray) -> tuple[str, int]:
-    """Words as characters, equal words as equal ones; two a word where there are too many words for one."""
-    distinct, number = np.unique(hashes, return_inverse=True)
-    if len(distinct) <= ALPHABET:
+    wanted = (flags & MANY > 0) | (first_doc != doc) | (first_pos != pos)
+    rows = [r[np.argsort(at[r])] for r in np.split(np.flatnonzero(wanted), np.searchsorted(owner[wanted], np.arange(1, len(parts))))]
+    binary = lambda c: pa.array([c[r].tobytes() for r in rows], pa.binary())
+    return pa.table({"shard": group.column("shard"), "at": binary(at), "doc": binary(first_doc), "pos": binary(first_pos), "flags": binary(flags)})
+
+
+@dataclass
+class Passages:
+    """What recurs in a shard: first word there, number of words, and the first place of all (document, position)."""
+
+    at: np.ndarray
+    size: np.ndarray
+    doc: np.ndarray
+    pos: np.ndarray
+
+    @classmethod
+    def of(cls, windows: pa.Table, window: int) -> Passages:
+        """Neighbouring windows whose first places are neighbours too, and which nowhere in the shard stand without each other, make one passage.
+
+        So each window is in one passage, and wherever it stands, the passage stands as a whole.
+        """
+        at, doc, pos, flags = (_bytes(windows.column(c), kind) for c, kind in (("at", np.uint32), ("doc", np.int64), ("pos", np.int32), ("flags", np.uint8)))
+        order = np.argsort(at)
+        at, doc, pos, flags = at[order].astype(np.int64), doc[order], pos[order].astype(np.int64), flags[order]
+        onward = (np.diff(at) == 1) & (np.diff(doc) == 0) & (np.diff(pos) == 1) & (flags[:-1] & BEFORE_ONE > 0) & (flags[1:] & BEHIND_ONE > 0)
+        begin = np.flatnonzero(np.append(True, ~onward)) if len(at) else np.empty(0, np.int64)
+        return cls(at[begin], np.diff(np.append(begin, len(at))) + window - 1, doc[begin], pos[begin])
+
+
+def _as_text(number: np.ndarray, distinct: int) -> tuple[str, int]:
+    """Words by number (0 to ``distinct``) as characters; two a word where there are too many words for one."""
+    if distinct <= ALPHABET:
         code, width = number + 1, 1
     else:
         code, width = np.column_stack([number >> 19, (number & 0x7FFFF) + (1 << 19)]).ravel() + 1, 2
@@ -171,64 +214,40 @@ def _as_text(hashes: np.ndarray) -> tuple[str, int]:
     return code.astype("<u4").tobytes().decode("utf-32-le"), width
 
 
-def _covered(found: Windows, ids: np.ndarray, window: int, known: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Which words of a slice lie in a passage that also stands earlier.
+def _covered(hashes: np.ndarray, first: np.ndarray, ids: np.ndarray, passages: Passages) -> np.ndarray:
+    """Which words of a shard lie in a passage that also stands earlier. ``first``: where each document's words begin, and their number.
 
-    Neighbouring windows whose first places are neighbours too make one phrase. The phrases are
-    compiled to an automaton, every document of the slice streams through it, and each occurrence
-    but the phrase's first place covers its words.
+    The passages are compiled to automata of bounded size, every document of the shard streams through
+    each, and each occurrence but the passage's first place covers its words.
     """
     import ahocorasick
 
-    n_words = len(found.hashes)
-    cover = np.zeros(n_words + 1, np.int64)
-    high_known, low_known, doc_known, pos_known = known
-    at = np.flatnonzero(found.inside)
-    if not len(high_known) or not len(at):
-        return cover[:n_words] > 0
-    high, low = found.digests(window)
-    place = np.searchsorted(high_known, high[at])
-    hit = np.zeros(len(at), bool)
-    while True:  # equal high parts with other low parts are neighbours
-        going = (place < len(high_known)) & ~hit
-        going[going] = high_known[place[going]] == high[at][going]
-        hit[going] = low_known[place[going]] == low[at][going]
-        going &= ~hit
-        if not going.any():
-            break
-        place[going] += 1
-    at, place = at[hit], place[hit]
-    row, position = found.words.row[at], found.position()[at]
-    later = (doc_known[place] != ids[row]) | (pos_known[place] != position)
-    at, place, row = at[later], place[later], row[later]
-    if not len(at):
-        return cover[:n_words] > 0
-    doc, pos = doc_known[place], pos_known[place].astype(np.int64)
-    runs_on = (np.diff(at) == 1) & (np.diff(row) == 0) & (np.diff(doc) == 0) & (np.diff(pos) == 1)
-    begin = np.flatnonzero(np.append(True, ~runs_on))
-    length = np.diff(np.append(begin, len(at))) + window - 1
-    text, width = _as_text(found.hashes)
-    automaton, phrases = ahocorasick.Automaton(), {}
-    for b, n in zip(begin.tolist(), length.tolist(), strict=True):
-        phrase = (int(doc[b]), int(pos[b]), n)
-        if phrase not in phrases:
-            phrases[phrase] = at[b]
-            automaton.add_word(text[width * at[b] : width * (at[b] + n)], phrase)
-    automaton.make_automaton()
-    first, last, starts, ends = found.words.first, n_words, [], []
-    for r in range(len(first) - 1):
-        a, z = int(first[r]), int(first[r + 1])
-        if z - a < window:
-            continue
-        own = int(ids[r])
-        for end, (there, where, n) in automaton.iter(text, width * a, width * z):
-            start = (end + 1) // width - n
-            if there != own or where != start - a:
-                starts.append(start)
-                ends.append(start + n)
-    np.add.at(cover, np.array(starts, np.int64), 1)
-    np.add.at(cover, np.array(ends, np.int64), -1)
-    return np.cumsum(cover)[:last] > 0
+    cover = np.zeros(len(hashes) + 1, np.int32)
+    part = np.zeros(len(hashes) + 1, np.int32)
+    np.add.at(part, passages.at, 1)
+    np.add.at(part, passages.at + passages.size, -1)
+    alphabet = np.unique(hashes[np.cumsum(part)[:-1] > 0])
+    number = (positions_in(alphabet, hashes) + 1).astype(np.int32)  # 0: a word of no passage
+    steps = np.flatnonzero(np.diff(first[:-1] // STREAM_WORDS)) + 1
+    cuts = [0, *first[steps].tolist(), len(hashes)]
+    groups = np.flatnonzero(np.diff(np.cumsum(passages.size) // AUTOMATON_WORDS)) + 1
+    for group in np.split(np.arange(len(passages.at)), groups):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        text, width = _as_text(np.concatenate([number[passages.at[k] : passages.at[k] + passages.size[k]] for k in group]), len(alphabet))
+        ends = (np.cumsum(passages.size[group]) * width).tolist()
+        for k, a, z in zip(group.tolist(), [0, *ends], ends, strict=False):
+            automaton.add_word(text[a:z], k)
+        automaton.make_automaton()
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            text, _ = _as_text(number[a:z], len(alphabet))
+            end, which = np.fromiter(chain.from_iterable(automaton.iter(text)), np.int64).reshape(-1, 2).T
+            end = a + (end + 1) // width
+            start = end - passages.size[which]
+            row = np.searchsorted(first, end - 1, side="right") - 1
+            counts = (start >= first[row]) & ((ids[row] != passages.doc[which]) | (start - first[row] != passages.pos[which]))
+            np.add.at(cover, start[counts], 1)
+            np.add.at(cover, end[counts], -1)
+    return np.cumsum(cover)[:-1] > 0
 
 
 def _left_text(words: Words, gone: np.ndarray, separators: str) -> pa.Array:
@@ -259,22 +278,25 @@ def _left_text(words: Words, gone: np.ndarray, separators: str) -> pa.Array:
     return pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
 
 
-def _cleaned(window: int, anchor: int, separators: str, names: Sequence[str]):
+def _cleaned(window: int, separators: str, names: Sequence[str]):
     """A shard's documents and its recurring windows to the documents without them."""
 
     def run(key: tuple, docs: pa.Table, windows: pa.Table) -> pa.Table:
-        windows = _by_bucket(windows)
-        high = [unpack_sorted(k) for k in windows.column("high").to_pylist()]
-        known = (np.concatenate(high) if high else np.empty(0, np.uint64), *(_bytes(windows.column(c), kind) for c, kind in (("low", np.uint32), ("doc", np.int64), ("pos", np.int32))))
-        out = []
+        passages, behind, out = Passages.of(windows, window), 0, []
+        if len(passages.at):
+            looked = ((Words.of(part.column("text")), part.column("doc_id").to_numpy()) for part in _slices(docs))
+            hashes, sizes, ids = (np.concatenate(c) for c in zip(*((w.hashes(), np.diff(w.first), i) for w, i in looked), strict=True))
+            repeated = _covered(hashes, np.concatenate([[0], np.cumsum(sizes)]), ids, passages)
+            del hashes
         for part in _slices(docs):
-            found = Windows.of(part.column("text"), window, anchor)
-            ids = part.column("doc_id").to_numpy()
-            gone = _covered(found, ids, window, known)
-            removed = np.bincount(found.words.row[gone], minlength=part.num_rows)
-            kept = _left_text(found.words, gone, separators)
+            words = Words.of(part.column("text"))
+            n = len(words.start)
+            gone = repeated[behind : behind + n] if len(passages.at) else np.zeros(n, bool)
+            behind += n
+            removed = np.bincount(words.row[gone], minlength=part.num_rows)
+            kept = _left_text(words, gone, separators)
             carried = [part.column("rest")] if "rest" in names else []
-            out.append(pa.record_batch([part.column("doc_id"), pa.array(np.diff(found.words.first)), pa.array(removed), kept, *carried], list(names)))
+            out.append(pa.record_batch([part.column("doc_id"), pa.array(np.diff(words.first)), pa.array(removed), kept, *carried], list(names)))
         return pa.Table.from_batches(out)
 
     return run
@@ -291,11 +313,13 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str
     Documents lie in shards by a hash of their id, as many as twice the shuffle width or as the input's size asks for. (1) Each shard sends the
     anchors of its windows - of each window's runs of ``anchor`` words the one with the least hash -
     and learns which recur anywhere. (2) Windows around those are confirmed by 96-bit digests, and each
-    shard learns the first place of every one that has an earlier place. (3) A slice of a shard's documents at a time, the passages
-    these make are compiled to an automaton and the slice's documents stream through it, which repeats what the digests located. What a shard sends is distinct, so a passage in a third of all documents is one entry a shard.
+    shard learns the first place of every one that has an earlier place. (3) These windows make the shard's recurring passages,
+    which are compiled to automata of up to ``AUTOMATON_WORDS`` words; all documents of the shard stream through each, and that alone
+    tells where passages stand. What a shard sends is distinct, so a passage in a third of all documents is one entry a shard.
 
-    Null text has no words. Repeated rows of one id don't count as earlier than each other. Rows
-    without an id are neither searched nor changed. Other columns are ignored; an empty table gives an empty result.
+    Null text has no words. Repeated rows of one id don't count as earlier than each other; if their texts differ, the
+    smaller text counts as earlier, but for passages at the same place. Rows without an id are neither searched
+    nor changed. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     shards = pieces(docs, 2 * partitions(spark))
@@ -309,9 +333,9 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str
     anchors = grouped.applyInArrow(_anchor_rows(window, anchor, buckets), "bucket int, shard int, keys binary, many binary")
     recurring = anchors.groupBy("bucket").applyInArrow(_recurring_anchors, "shard int, bucket int, keys binary")
     candidates = grouped.cogroup(recurring.groupBy("shard")).applyInArrow(
-        _window_rows(window, anchor, buckets), "bucket int, shard int, high binary, low binary, doc binary, pos binary, many binary"
+        _window_rows(window, anchor, buckets), "bucket int, shard int, high binary, low binary, doc binary, pos binary, at binary, flags binary"
     )
-    confirmed = candidates.groupBy("bucket").applyInArrow(_first_places, "shard int, bucket int, high binary, low binary, doc binary, pos binary")
+    confirmed = candidates.groupBy("bucket").applyInArrow(_first_places, "shard int, at binary, doc binary, pos binary, flags binary")
     carried = in_shards(docs, doc_id, text, shards, carry).groupBy("shard") if carry else grouped
-    cleaned = carried.cogroup(confirmed.groupBy("shard")).applyInArrow(_cleaned(window, anchor, separators, whole.columns), whole.schema)
+    cleaned = carried.cogroup(confirmed.groupBy("shard")).applyInArrow(_cleaned(window, separators, whole.columns), whole.schema)
     return cleaned.unionByName(whole)

@@ -8,8 +8,11 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
+from answerloom.llm import substring
 from answerloom.llm.exact import QuotientFilter, exact_groups
 from answerloom.llm.lines import drop_shared_lines
 from answerloom.llm.neardup import ALL_PAIRS, IDF_SHARE, block_links, near_duplicates, rare_prefix, weighted_samples
@@ -105,10 +108,47 @@ def test_passages_keep_separators(documents, rows):
 
 def test_two_characters_a_word(monkeypatch):
     monkeypatch.setattr("answerloom.llm.substring.ALPHABET", 3)
-    text, width = _as_text(np.array([5, 9, 5, 70, 11], np.uint64))
+    text, width = _as_text(np.array([1, 2, 1, 4, 3]), 4)
     assert width == 2 and text[0:2] == text[4:6] != text[2:4] and len(text) == 10
 
 
+def template_rows(draw, n):
+    """Documents of few words and one period, so that passages overlap, nest, repeat in themselves and end in the middle of others."""
+    base = [str(draw.randrange(50)) for _ in range(120)]
+    out = []
+    for k in range(n):
+        a = draw.randrange(len(base))
+        piece = base[a : a + draw.randrange(100)] + draw.choice([[], ["x"] * draw.randrange(30), ["p", "q"] * draw.randrange(20), base[: draw.randrange(60)]])
+        if piece and draw.random() < 0.3:
+            piece[draw.randrange(len(piece))] = f"edit{draw.randrange(3)}"
+        out.append((k, " ".join(piece)))
+    return out + out[:3]
+
+
+@pytest.mark.parametrize("limit", [None, 30])
+def test_automata_locate_every_occurrence(monkeypatch, limit):
+    """The steps of the operator by hand, over shards that share passages; with small automata, strings and alphabets too."""
+    if limit:
+        for name in ("ALPHABET", "AUTOMATON_WORDS", "STREAM_WORDS"):
+            monkeypatch.setattr(substring, name, limit)
+    for seed in range(6):
+        rows = template_rows(random.Random(seed), 60)
+        shards = [pa.table({"doc_id": pa.array([i for i, _ in rows if i % 3 == k], pa.int64()), "text": [t for i, t in rows if i % 3 == k]}) for k in range(3)]
+
+        def grouped(tables, column):
+            whole = pa.concat_tables(tables)
+            return {k: whole.filter(pc.equal(whole.column(column), k)) for k in pc.unique(whole.column(column)).to_pylist()}
+
+        keys = [(pa.scalar(k),) for k in range(3)]
+        sent = grouped([substring._anchor_rows(20, 8, 2)(k, t) for k, t in zip(keys, shards, strict=True)], "bucket")
+        anchors = grouped([substring._recurring_anchors((pa.scalar(b),), t) for b, t in sent.items()], "shard")
+        windows = grouped([substring._window_rows(20, 8, 2)(keys[k], shards[k], anchors[k]) for k in range(3)], "bucket")
+        known = grouped([substring._first_places((pa.scalar(b),), t) for b, t in windows.items()], "shard")
+        clean = substring._cleaned(20, "space", ["doc_id", "n_words", "n_removed", "kept_text"])
+        got = pa.concat_tables([clean(keys[k], shards[k], known[k]) for k in range(3)])
+        assert sorted((tuple(r.values()) for r in got.to_pylist()), key=repr) == brute_passages(rows)
+
+
 def test_samples_estimate_weighted_similarity():
     draw = np.random.default_rng(1)
     key = np.sort(draw.integers(0, 2**64, 500, dtype=np.uint64))
