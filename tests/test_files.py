@@ -261,3 +261,28 @@ def test_knowledge_file_of_several_lines_is_one_document(spark, tmp_path):
     (tmp_path / "cost_benchmarks.json").write_text('{\n "a": {\n  "b": 1\n }\n}\n')
     rows = files.read_knowledge(spark, str(tmp_path), ["cost_benchmarks"]).collect()
     assert len(rows) == 1 and '"b": 1' in rows[0].doc
+
+
+def test_stored_index_spreads_a_term_of_one_path(spark, tmp_path):
+    """Leaves of one term, category and path lie in several ranges."""
+    rows = spark.range(0, 40_000, 1, 4).select(F.lit("c").alias("category"), F.col("id").alias("doc_no"), F.lit('{"who":"user User, x"}').alias("doc"))
+    folder, part = str(tmp_path / "index"), "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(part)
+    spark.conf.set(part, "false")
+    try:
+        knowledge.store_index(knowledge.build_index(knowledge.flatten(rows), repeats=False), folder)
+    finally:
+        spark.conf.set(part, before)
+    stored = spark.read.parquet(folder)
+    assert stored.columns == ["category", "doc_no", "path", "term"] and stored.distinct().count() == stored.count() == 40_000
+    per_file = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+    assert len(per_file) > 1 and max(per_file) < 30_000
+
+
+def test_index_without_repeats(spark):
+    """The first occurrences alone: trimmed forms of one word count once a leaf."""
+    docs = spark.createDataFrame([("c", 1, '{"a":"Word (word) word. two\\u2003Word","b":["two two, tree","",7,null]}'), ("c", 1, '{"a":"word"}'), ("d", 2, None)], "category string, n int, doc string")
+    leaves = knowledge.flatten(docs)
+    whole = knowledge.build_index(leaves, 3)
+    assert sorted(map(tuple, knowledge.build_index(leaves, 3, repeats=False).collect())) == sorted(map(tuple, whole.filter("first").collect()))
+    assert whole.count() == 9 and whole.filter("first").count() == 5
