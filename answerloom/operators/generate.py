@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +105,11 @@ def _say(*parts) -> Column:
     return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+def _drawn(forms: tuple[Column, ...], number: Column) -> Column:
+    """The form of that number; the others are not made."""
+    return reduce(lambda chosen, form: chosen.when(number == form[0], form[1]), enumerate(forms[1:], 1), F.when(number == 0, forms[0]))
+
+
 def design_question(key: Column, seed: int = 42) -> Column:
     """G4. The sentences."""
     comply = F.when(
@@ -116,7 +123,7 @@ def design_question(key: Column, seed: int = 42) -> Column:
     industry, users = _spoken(F.col("industry")), _thousands(F.col("user_count"))
     sites, uptime = F.col("site_count"), F.col("uptime_requirement")
     many = sites > 1
-    forms = F.array(
+    forms = (
         _say("Design a network for a ", industry, " company with ", users, " users across ", sites, " ",
              F.when(many, "sites").otherwise("site"), ".", comply, " We need ", uptime,
              " uptime and have a ", budget, "."),
@@ -129,14 +136,14 @@ def design_question(key: Column, seed: int = 42) -> Column:
              sites, " sites.", comply, " Required uptime: ", uptime, ". Budget constraints: ", budget,
              ". Include topology, WAN design, security, hardware recommendations, and cost estimates."),
     )
-    return forms[draw(key, "question", 3, seed).cast("int")]
+    return _drawn(forms, draw(key, "question", 3, seed))
 
 
 def fault_question(key: Column, seed: int = 42) -> Column:
     """G4. The sentences."""
     symptoms = F.array_join("symptoms", "; ")
     protocol, issue = F.upper("protocol"), _spoken(F.col("issue_type"))
-    forms = F.array(
+    forms = (
         _say("We're experiencing ", issue, " on our ", protocol, " network. Symptoms: ", symptoms,
              ". Walk me through the troubleshooting methodology."),
         _say("Our network team is seeing: ", symptoms, ". This appears to be a ", protocol, " ", issue,
@@ -144,7 +151,7 @@ def fault_question(key: Column, seed: int = 42) -> Column:
         _say("Help me troubleshoot a ", protocol, " problem. We're observing: ", symptoms,
              ". Provide step-by-step diagnostic commands and expected outputs."),
     )
-    return forms[draw(key, "question", 3, seed).cast("int")]
+    return _drawn(forms, draw(key, "question", 3, seed))
 
 
 # --- choices ------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from answerloom.operators import curate, generate
+from answerloom.plans.catalog import QUERIES
 from answerloom.sources import files
 
 
@@ -84,3 +85,20 @@ def test_generated_samples_are_curated_and_written(spark, tmp_path):
     back = curate.digest_messages(again)
     strip = lambda df: sorted(tuple(r)[1:] for r in df.select("sample_id", "first_print", "total_chars", "steps", "type", "user_count", "reasoning_steps").collect())
     assert strip(back) == strip(digest)
+
+
+def test_curated_samples_are_made_once(spark, tmp_path):
+    """Curation reads the digests twice, once to find copies; the samples behind them are not made twice."""
+    key = F.col("id")
+    spark.range(300).select(key.alias("o_orderkey"), F.lit("1-URGENT").alias("o_orderpriority"), F.lit("F").alias("o_orderstatus")).write.parquet(str(tmp_path / "orders.parquet"))
+    counts = QUERIES["g14_curated_samples"](spark, str(tmp_path))
+    assert "<think>" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    whole = sum(r.n for r in counts.collect())
+    assert 0 < whole <= 276
+
+
+def test_question_forms_are_made_one_at_a_time(spark):
+    rows = generate.fault_scenarios(spark.range(60).union(spark.sql("SELECT CAST(NULL AS BIGINT) AS id")), "id").select("id", generate.fault_question(F.col("id")).alias("q"))
+    begins = {(r.q or "").split(" ")[0] for r in rows.filter("id is not null").collect()}
+    assert begins == {"We're", "Our", "Help"}
+    assert rows.filter("id is null").first().q is None
