@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from answerloom.operators import monitor
-from answerloom.plans import inputs
+from answerloom.plans import catalog, inputs
 from answerloom.streaming import service
 
 SF = "/root/testdata/sf0.001"
@@ -146,3 +146,18 @@ def test_messages_wait_for_answers(spark, tmp_path):
     assert routed["t0"].answer == routed["t3"].answer and routed["t2"].status == "waiting"
     again = {r.task_id: r for r in service.retry_tasks(spark, out, every).collect()}
     assert set(again) == {"t2", "t5"} and all(r.status == "success" and r.queue != "retry" for r in again.values())
+
+
+def test_queue_messages_are_dealt_evenly(spark, tmp_path):
+    """Messages of one small file of orders are answered in several parts, none lost."""
+    n = F.col("id")
+    orders = spark.range(0, 2000, 1, 1).select(
+        n.alias("o_orderkey"), (n % 50).alias("o_custkey"), F.lit("F").alias("o_orderstatus"), F.lit(1.0).alias("o_totalprice"),
+        F.lit("1-URGENT").alias("o_orderpriority"), F.timestamp_seconds(n).cast("timestamp_ntz").alias("o_orderdate"),
+    )
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(50).select(n.alias("c_custkey"), F.lit("BUILDING").alias("c_mktsegment")).write.parquet(str(tmp_path / "customer.parquet"))
+    dealt = catalog.queue_messages(spark, str(tmp_path))
+    assert sorted(r.value for r in dealt.collect()) == sorted(r.value for r in inputs.task_messages(spark, str(tmp_path)).select("value").collect())
+    parts = [r["count"] for r in dealt.groupBy(F.input_file_name()).count().collect()]
+    assert len(parts) > 1 and max(parts) < 1000
